@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .pii import op7_pii
 from .quality_rules import OP9_SQL, op9_quality_rules
 
 QUERIES = {
+    "op7_pii": op7_pii,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES = {
