@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .pii import op7_pii
 from .quality_rules import OP9_SQL, op9_quality_rules
+from .sharding import op6_sharding
 
 QUERIES = {
+    "op6_sharding": op6_sharding,
     "op7_pii": op7_pii,
     "op9_quality_rules": op9_quality_rules,
 }
