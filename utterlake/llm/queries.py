@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .language_id import op1_language_id
 from .pii import op7_pii
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .sharding import op6_sharding
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op6_sharding": op6_sharding,
     "op7_pii": op7_pii,
     "op9_quality_rules": op9_quality_rules,
