@@ -5,9 +5,11 @@ from __future__ import annotations
 from .language_id import op1_language_id
 from .pii import op7_pii
 from .quality_rules import OP9_SQL, op9_quality_rules
+from .repeat_index import op5_suffix_dedup
 from .sharding import op6_sharding
 
 QUERIES = {
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op1_language_id": op1_language_id,
     "op6_sharding": op6_sharding,
     "op7_pii": op7_pii,
