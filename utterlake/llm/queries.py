@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe
 from .language_id import op1_language_id
 from .pii import op7_pii
 from .quality_rules import OP9_SQL, op9_quality_rules
@@ -9,6 +10,7 @@ from .repeat_index import op5_suffix_dedup
 from .sharding import op6_sharding
 
 QUERIES = {
+    "op10_bpe": op10_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op1_language_id": op1_language_id,
     "op6_sharding": op6_sharding,
