@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op10_bpe
 from .language_id import op1_language_id
+from .packing import op4_packing
 from .pii import op7_pii
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .repeat_index import op5_suffix_dedup
 from .sharding import op6_sharding
 
 QUERIES = {
+    "op4_packing": op4_packing,
     "op10_bpe": op10_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op1_language_id": op1_language_id,
