@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe
+from .jaccard_join import op3_jaccard_join
 from .language_id import op1_language_id
 from .packing import op4_packing
 from .pii import op7_pii
@@ -11,6 +12,7 @@ from .repeat_index import op5_suffix_dedup
 from .sharding import op6_sharding
 
 QUERIES = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_packing": op4_packing,
     "op10_bpe": op10_bpe,
     "op5_suffix_dedup": op5_suffix_dedup,
