@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from .ann import op8_ann
 from .bpe import op10_bpe
 from .jaccard_join import op3_jaccard_join
 from .language_id import op1_language_id
 from .packing import op4_packing
 from .pii import op7_pii
+from .quality import op2_quality
 from .quality_rules import OP9_SQL, op9_quality_rules
 from .repeat_index import op5_suffix_dedup
 from .sharding import op6_sharding
 
 QUERIES = {
+    "op8_ann": op8_ann,
+    "op2_quality": op2_quality,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_packing": op4_packing,
     "op10_bpe": op10_bpe,
