@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("text_plans", "row_plans", "join_plans", "metric_plans", "split_plans")
+FAMILIES = ("text_plans", "row_plans", "join_plans", "metric_plans", "split_plans", "collate_plans")
 
 
 def books():
