@@ -102,45 +102,57 @@ class Encoder:
         return [np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4") for words in split_texts]
 
 
-BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("first", pa.int32()), ("doc_id", pa.int64()), ("body", pa.binary()), ("size", pa.int64())])
-BLOCK_SQL = "block long, bucket int, first int, doc_id long, body binary, size long"
+BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("body", pa.binary()), ("numbers", pa.binary())])
+BLOCK_SQL = "block long, bucket int, doc_id long, body binary, numbers binary"
+TABLE = pa.schema([("block", pa.int64()), ("numbers", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary())])
+TABLE_SQL = "block long, numbers binary, lens binary, ids binary"
+DONE = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
 
-def _packed(a: bytes) -> bytes:
-    return pa.compress(a, codec="zstd", asbytes=True)
+def zipped(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
-def _unpacked(a: bytes, size: int) -> bytes:
-    return pa.decompress(a, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+def unzipped(b: bytes) -> bytes:
+    size = int.from_bytes(b[:8], "little")
+    return pa.decompress(b[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+def packed(a: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, so that high bytes pack well."""
+    return zipped(np.ascontiguousarray(a, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(unzipped(b), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
 
 
 def blocks(docs: DataFrame, path: str, buckets: int, most_words: int = 4_000_000, most_distinct: int = 400_000) -> DataFrame:
-    """docs: doc_id, text. Word-list rows (bucket set) and document rows (bucket null, body: word numbers) of each block."""
+    """docs: doc_id, text. Word-list rows (bucket set; body: words, numbers: theirs) and document rows (bucket null, body: word numbers) of each block."""
 
     def flush(no: int, known: dict[str, int], ids: list, codes: list):
+        block = (TaskContext.get().partitionId() << 24) + no
         words = list(known)
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        bucket = np.array([zlib.crc32(w) % buckets for w in raw], np.int32)
-        order = np.argsort(bucket, kind="stable")
+        times = np.zeros(len(words), np.int64)
+        for c in codes:
+            np.add.at(times, c, 1)
         number = np.empty(len(words), np.int32)
-        number[order] = np.arange(len(words), dtype=np.int32)
-        edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))  # first word of each bucket
+        number[np.argsort(-times, kind="stable")] = np.arange(len(words), dtype=np.int32)  # frequent words have small numbers
+        bucket = np.array([zlib.crc32(w) % buckets for w in raw], np.int32)
+        order = np.lexsort((number, bucket))
+        edge = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         past = np.append(edge[1:], len(words))[: len(edge)]
-        block = (TaskContext.get().partitionId() << 24) + no
         rows = {k: [] for k in BLOCK.names}
         for a, b in zip(edge.tolist(), past.tolist(), strict=True):
-            body = b"\n".join(raw[i] for i in order[a:b].tolist())
-            for k, v in zip(BLOCK.names, (block, int(bucket[order[a]]), a, None, _packed(body), len(body)), strict=True):
+            here = order[a:b]
+            for k, v in zip(BLOCK.names, (block, int(bucket[here[0]]), None, zipped(b"\n".join(raw[i] for i in here.tolist())), packed(np.diff(number[here], prepend=0))), strict=True):
                 rows[k].append(v)
         yield pa.RecordBatch.from_pydict(rows, schema=BLOCK)
         for i in range(0, len(ids), 2000):
-            bodies, sizes = [], []
-            for c in codes[i : i + 2000]:
-                planes = number[c].view(np.uint8).reshape(-1, 4).T.tobytes()  # byte by byte, so that high bytes pack well
-                bodies.append(_packed(planes))
-                sizes.append(len(planes))
+            bodies = [packed(number[c]) for c in codes[i : i + 2000]]
             n = len(bodies)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(ids[i : i + 2000], pa.int64()), pa.array(bodies, pa.binary()), pa.array(sizes, pa.int64())], schema=BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(ids[i : i + 2000], pa.int64()), pa.array(bodies, pa.binary()), pa.nulls(n, pa.binary())], schema=BLOCK)
 
     def cut(batches):
         no, known, ids, codes, total = 0, {}, [], [], 0
@@ -167,48 +179,78 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     path = path or vocabulary()
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    kept = keep(blocks(docs, path, max(1, -(-total // bucket_bytes))), "blocks")
+    kept = keep(blocks(docs, path, max(1, -(-total // bucket_bytes))), "blocks", "none")
 
     def once(batches):
+        """Rows in order of bucket: a bucket's distinct words are encoded as they first come."""
         bucket, table = None, {}
         for batch in batches:
-            out = {"block": [], "first": [], "lens": [], "ids": []}
-            for block, b, first, body, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            out = {k: [] for k in TABLE.names}
+            for block, b, body, numbers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if b != bucket:
                     bucket, table = b, {}
-                words = _unpacked(body, size).decode("utf-8", "surrogatepass").split("\n")
+                words = unzipped(body).decode("utf-8", "surrogatepass").split("\n")
                 fresh = [w for w in words if w not in table]
                 for i in range(0, len(fresh), 20_000):
                     part = fresh[i : i + 20_000]
                     table.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(part, encode_words(part, path), strict=True))
                 found = [table[w] for w in words]
-                out["block"].append(block)
-                out["first"].append(first)
-                out["lens"].append(np.fromiter(map(len, found), np.int32, len(found)).tobytes())
-                out["ids"].append(b"".join(found))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), ("first", pa.int32()), ("lens", pa.binary()), ("ids", pa.binary())]))
-
-    lists = kept.where("bucket is not null").select("block", "bucket", "first", "body", "size")
-    table = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(once, "block long, first int, lens binary, ids binary")
-
-    def back(words: pa.Table, texts: pa.Table) -> pa.Table:
-        words = words.sort_by("first")
-        lens = np.frombuffer(b"".join(words["lens"].to_pylist()), np.int32) // 4
-        flat = np.frombuffer(b"".join(words["ids"].to_pylist()), "<u4")
-        start = np.cumsum(lens) - lens
-        pieces = piece_bytes(path)
-        decoded = [b" ".join([pieces[i] for i in flat[a : a + n].tolist()]) for a, n in zip(start.tolist(), lens.tolist(), strict=True)]
-        ids, said = [], []
-        for body, size in zip(texts["body"].to_pylist(), texts["size"].to_pylist(), strict=True):
-            codes = np.frombuffer(_unpacked(body, size), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel() if size else np.zeros(0, np.int32)
-            n = lens[codes]
-            place = np.repeat(start[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            ids.append(flat[place].tobytes())
-            said.append(b" ".join([decoded[c] for c in codes.tolist() if lens[c]]).decode())
-        return pa.table({"doc_id": texts["doc_id"], "ids": pa.array(ids, pa.binary()), "decoded": pa.array(said, pa.large_string()).cast(pa.string())})
-
-    texts = kept.where("bucket is null").select("block", "doc_id", "body", "size")
-    return table.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(back, "doc_id long, ids binary, decoded string")
+                lens = np.fromiter(map(len, found), np.int32, len(found)) // 4
+                for k, v in zip(TABLE.names, (block, numbers, packed(lens), packed(np.frombuffer(b"".join(found), np.int32))), strict=True):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=TABLE)
+
+    lists = kept.where("bucket is not null").select("block", "bucket", "body", "numbers")
+    table = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(once, TABLE_SQL)
+    none = F.lit(None)
+    both = table.select("block", F.lit(0).alias("kind"), none.cast("long").alias("doc_id"), "numbers", "lens", F.col("ids").alias("body")).unionByName(
+        kept.where("bucket is null").select("block", F.lit(1).alias("kind"), "doc_id", none.cast("binary").alias("numbers"), none.cast("binary").alias("lens"), "body")
+    )
+
+    def back(batches):
+        """Rows in order of block, its word ids before its documents, which stream."""
+        pieces, block, parts, ready = piece_bytes(path), None, [], None
+        for batch in batches:
+            out, size = {k: [] for k in DONE.names}, 0
+            for b, kind, doc, numbers, lens, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if b != block:
+                    block, parts, ready = b, [], None
+                if kind == 0:
+                    parts.append((numbers, lens, body))
+                    continue
+                if ready is None:
+                    ready = word_table(parts, pieces)
+                    parts = []
+                count, start, flat, decoded = ready
+                codes = unpacked(body)
+                n = count[codes]
+                place = np.repeat(start[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                ids = flat[place].tobytes()
+                said = b" ".join([decoded[c] for c in codes[n > 0].tolist()]).decode()
+                for k, v in zip(DONE.names, (doc, ids, said), strict=True):
+                    out[k].append(v)
+                size += len(ids) + len(said)
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_pydict(out, schema=DONE)
+                    out, size = {k: [] for k in DONE.names}, 0
+            yield pa.RecordBatch.from_pydict(out, schema=DONE)
+
+    return both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(back, "doc_id long, ids binary, decoded string")
+
+
+def word_table(parts: list[tuple[bytes, bytes, bytes]], pieces: list[bytes]) -> tuple:
+    """Number of ids, start and decoded form of each word number of a block, and all ids."""
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), []
+    numbers = np.concatenate([np.cumsum(unpacked(n)) for n, _, _ in parts])
+    lens = np.concatenate([unpacked(x) for _, x, _ in parts])
+    flat = np.concatenate([unpacked(x) for _, _, x in parts])
+    count, start = np.zeros(len(numbers), np.int32), np.zeros(len(numbers), np.int64)
+    at = np.cumsum(lens) - lens
+    count[numbers], start[numbers] = lens, at
+    joined = list(map(pieces.__getitem__, flat.tolist()))  # the id-to-piece join
+    decoded = [b" ".join(joined[a : a + n]) for a, n in zip(start.tolist(), count.tolist(), strict=True)]
+    return count, start, flat, decoded
 
 
 @functools.cache
