@@ -19,7 +19,7 @@ are left out, so their names never clash.
 from __future__ import annotations
 
 import functools
-import hashlib
+import os
 import re
 import zlib
 
@@ -81,13 +81,15 @@ def split(text: str, path: str) -> list[str]:
 
 
 def encode_words(words: list[str], path: str) -> list[list[int]]:
-    return [e.ids for e in word_tokenizer(path).encode_batch(words, add_special_tokens=False)]
+    # a Spark task has one core: the library's own threads would only spin
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return [e.ids for e in word_tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
 
 
 class Encoder:
     """Ids of whole texts, with a cache of at most `most` words."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         self.path, self.most, self.cache = path, most, {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -95,7 +97,7 @@ class Encoder:
         if len(self.cache) > self.most:
             self.cache = {}
         cache = self.cache
-        fresh = list({w for words in split_texts for w in words if w not in cache})
+        fresh = list(set().union(*split_texts) - cache.keys())
         for i in range(0, len(fresh), 20_000):
             part = fresh[i : i + 20_000]
             cache.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(part, encode_words(part, self.path), strict=True))
@@ -159,9 +161,8 @@ def blocks(docs: DataFrame, path: str, buckets: int, most_words: int = 4_000_000
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = split(text or "", path)
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
+                for w in set(words) - known.keys():
+                    known[w] = len(known)
                 codes.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 ids.append(doc)
                 total += len(words)
