@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("text_plans", "row_plans", "join_plans", "metric_plans", "split_plans", "collate_plans", "frame_plans", "decision_plans", "event_plans")
+FAMILIES = ("text_plans", "row_plans", "join_plans", "metric_plans", "split_plans", "collate_plans", "frame_plans", "decision_plans", "event_plans", "source_plans")
 
 
 def books():
