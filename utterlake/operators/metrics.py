@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import accepted, count_where, margin_ok, ratio, ratio0, wilson
 
-N = F.count(F.lit(1)).alias
+
+def N(name: str) -> Column:
+    """Row count under a name."""
+    return F.count(F.lit(1)).alias(name)
 
 
 def counts(df: DataFrame, groupings: list[list[str]]) -> DataFrame:

@@ -147,7 +147,7 @@ def cv18(spark, d):
 
 @add("cv19_recompute_check", S + f", {SWEEP_SQL} SELECT threshold FROM sweep WHERE threshold > 0.95")
 def cv19(spark, d):
-    fresh = M.sweep(scores(spark, d).where("split = 'val'"), GRID, TARGET)
+    fresh = M.sweep(scores(spark, d).where("split = 'val'"), GRID, TARGET())
     saved = fresh.withColumn("ta", F.col("ta") + F.when(F.col("threshold") > 0.95, 1).otherwise(0))
     return V.recomputed(saved, fresh, "threshold", ["target_rate", "false_rate"], ["ta", "fa"])
 

@@ -18,7 +18,7 @@ SCORE_EXPR = {
     "bucket": "CASE WHEN event_type = 'view' THEN 'babble' WHEN event_type = 'error' THEN 'silence' ELSE 'target_commands' END",
     "label": "CASE WHEN event_type = 'view' THEN 'unknown' WHEN event_type = 'error' THEN 'silence' ELSE event_type END",
     "intent": "CASE WHEN k % 10 = 9 THEN NULL WHEN k % 10 < 6 AND event_type NOT IN ('view', 'error') THEN event_type WHEN k % 3 = 0 THEN 'purchase' WHEN k % 3 = 1 THEN 'signup' ELSE 'click' END",
-    "confidence": "CASE WHEN k % 10 = 9 THEN NULL ELSE round(1 - value / 600.0, 4) END",
+    "confidence": "CASE WHEN k % 10 = 9 THEN NULL ELSE CAST(floor((1 - value / 600.0) * 10000) AS DOUBLE) / CAST(10000 AS DOUBLE) END",
     "gap": "CASE WHEN k % 7 = 0 THEN NULL ELSE (k - 30) / 10.0 END",
     "slot_truth": "CASE WHEN k % 4 = 0 THEN 'on' WHEN k % 4 = 1 THEN 'OFF' ELSE NULL END",
     "slot_pred": "CASE WHEN k % 5 = 0 THEN 'off' ELSE 'on' END",

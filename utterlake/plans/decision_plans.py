@@ -13,15 +13,21 @@ from .metric_plans import CONFIG_SQL, GRID, GRID_SQL, OK, OK_SQL, R_SQL, RIGHT,
 BOOK = Book()
 add = BOOK.add
 S = f"WITH {SCORES}"
-NEW = OK & (F.col("gap").isNull() | (F.col("gap") >= -1))
+
+def NEW():
+    return OK() & (F.col("gap").isNull() | (F.col("gap") >= -1))
+
 NEW_SQL = f"({OK_SQL} AND (gap IS NULL OR gap >= -1))"
-HUMAN = F.col("grp") % 4 == 0
+
+def HUMAN():
+    return F.col("grp") % 4 == 0
+
 
 _BASE = f"count(*) FILTER ({T_SQL}) AS n, count(*) FILTER ({T_SQL} AND {OK_SQL} AND {R_SQL}) AS base_exact, count(*) FILTER ({T_SQL} AND {NEW_SQL} AND {R_SQL}) AS new_exact, count(*) FILTER (NOT ({T_SQL}) AND {OK_SQL}) AS base_fa, count(*) FILTER (NOT ({T_SQL}) AND {NEW_SQL}) AS new_fa, count(*) FILTER (NOT ({T_SQL})) AS negatives"
 
 
 def base_row(s):
-    return s.agg(F.count_if(TARGET).alias("n"), F.count_if(TARGET & OK & RIGHT).alias("base_exact"), F.count_if(TARGET & NEW & RIGHT).alias("new_exact"), F.count_if(~TARGET & OK).alias("base_fa"), F.count_if(~TARGET & NEW).alias("new_fa"), F.count_if(~TARGET).alias("negatives"))
+    return s.agg(F.count_if(TARGET()).alias("n"), F.count_if(TARGET() & OK() & RIGHT()).alias("base_exact"), F.count_if(TARGET() & NEW() & RIGHT()).alias("new_exact"), F.count_if(~TARGET() & OK()).alias("base_fa"), F.count_if(~TARGET() & NEW()).alias("new_fa"), F.count_if(~TARGET()).alias("negatives"))
 
 
 _PILOT = f"""r AS (SELECT {_BASE}, count(*) FILTER ({T_SQL} AND grp % 4 = 0) AS human_n, count(*) FILTER ({T_SQL} AND grp % 4 = 0 AND {OK_SQL} AND {R_SQL}) AS human_base, count(*) FILTER ({T_SQL} AND grp % 4 = 0 AND {NEW_SQL} AND {R_SQL}) AS human_new FROM scores),
@@ -32,15 +38,15 @@ t AS (SELECT unnest(['R1_exact', 'R2_false_accepts', 'R3_halved', 'R4_enough_bas
 @add("dr1_go_no_go", S + f", {_PILOT} SELECT CASE WHEN NOT max(ok::INT) FILTER (c = 'R7_parity')::BOOL THEN 'INVALID' WHEN bool_and(ok) THEN 'GO' ELSE 'NO-GO' END AS verdict, coalesce(string_agg(c, ',' ORDER BY c) FILTER (NOT ok), '') AS failed FROM t")
 def dr1(spark, d):
     s = scores(spark, d)
-    human = s.agg(F.count_if(TARGET & HUMAN).alias("human_n"), F.count_if(TARGET & HUMAN & OK & RIGHT).alias("human_base"), F.count_if(TARGET & HUMAN & NEW & RIGHT).alias("human_new"))
-    row = base_row(s).crossJoin(human).crossJoin(D.worst_label_drop(s.where(TARGET), "label", OK & RIGHT, NEW & RIGHT)).withColumn("parity", F.col("n") > 0)
+    human = s.agg(F.count_if(TARGET() & HUMAN()).alias("human_n"), F.count_if(TARGET() & HUMAN() & OK() & RIGHT()).alias("human_base"), F.count_if(TARGET() & HUMAN() & NEW() & RIGHT()).alias("human_new"))
+    row = base_row(s).crossJoin(human).crossJoin(D.worst_label_drop(s.where(TARGET()), "label", OK() & RIGHT(), NEW() & RIGHT())).withColumn("parity", F.col("n") > 0)
     return D.pilot_rules(row)
 
 
 @add("dr2_parity_block", S + f", o AS (SELECT source, count(*) FILTER ({OK_SQL}) AS n, count(*) FILTER (abs(confidence - 0.9) < 0.0001) AS near FROM scores GROUP BY 1), e AS (SELECT source, n + CASE source WHEN 'src1' THEN 1 WHEN 'src2' THEN 2 ELSE 0 END AS want FROM o) SELECT source, n = want AS exact, n = want OR (abs(n - want) = 1 AND near > 0) AS ok FROM o JOIN e USING (source)")
 def dr2(spark, d):
     s = scores(spark, d)
-    o = s.groupBy("source").agg(F.count_if(OK).alias("n"))
+    o = s.groupBy("source").agg(F.count_if(OK()).alias("n"))
     near = s.groupBy("source").agg(F.count_if(F.abs(F.col("confidence") - 0.9) < 0.0001).alias("near"))
     want = o.withColumn("n", F.col("n") + F.expr("CASE source WHEN 'src1' THEN 1 WHEN 'src2' THEN 2 ELSE 0 END"))
     return D.parity(o, want, "source", near)
@@ -82,7 +88,7 @@ def dr6(spark, d):
 @add("dr7_gate_a", S + f", r AS (SELECT avg(({NEW_SQL} AND {R_SQL})::INT) FILTER ({T_SQL}) AS joint, avg(({OK_SQL} AND {R_SQL})::INT) FILTER ({T_SQL}) AS baseline, count(*) FILTER (bucket = 'babble' AND {NEW_SQL}) AS oos, count(*) FILTER (bucket = 'silence' AND {NEW_SQL}) AS neg, count(*) AS total FROM scores) SELECT unnest(['joint', 'oos', 'negatives']) AS criterion, unnest([joint >= baseline - 0.05, oos <= 100, neg <= 100000000]) AS ok FROM r")
 def dr7(spark, d):
     s = scores(spark, d)
-    row = s.agg(F.avg(F.when(TARGET, (NEW & RIGHT).cast("int"))).alias("joint"), F.avg(F.when(TARGET, (OK & RIGHT).cast("int"))).alias("baseline"), F.count_if((F.col("bucket") == "babble") & NEW).alias("oos"), F.count_if((F.col("bucket") == "silence") & NEW).alias("negatives"))
+    row = s.agg(F.avg(F.when(TARGET(), (NEW() & RIGHT()).cast("int"))).alias("joint"), F.avg(F.when(TARGET(), (OK() & RIGHT()).cast("int"))).alias("baseline"), F.count_if((F.col("bucket") == "babble") & NEW()).alias("oos"), F.count_if((F.col("bucket") == "silence") & NEW()).alias("negatives"))
     return D.gate_a(row, 0.05, 100, 100000000)
 
 
@@ -92,7 +98,7 @@ def dr7(spark, d):
 )
 def dr8(spark, d):
     s = scores(spark, d).withColumn("run", F.concat(F.lit("run"), F.col("k") % 2)).withColumn("confidence", F.col("confidence").cast("double"))
-    return D.run_report(s, "run", TARGET, RIGHT, "confidence", "split", "run0", 0.1)
+    return D.run_report(s, "run", TARGET(), RIGHT(), "confidence", "split", "run0", 0.1)
 
 
 @add(
@@ -102,19 +108,19 @@ def dr8(spark, d):
 def dr9(spark, d):
     s = scores(spark, d)
     x = s.withColumn("model", F.concat(F.lit("m"), F.col("k") % 3))
-    return D.registered_rules(x, "model", s.where("value > 200"), "i", (F.col("cond") == "noisy") & (F.col("k") % 3 > 0), RIGHT, OK, TARGET)
+    return D.registered_rules(x, "model", s.where("value > 200"), "i", (F.col("cond") == "noisy") & (F.col("k") % 3 > 0), RIGHT(), OK(), TARGET())
 
 
 @add("dr10_two_conditions", S + f", {SWEEP_SQL}, t AS (SELECT threshold FROM sweep ORDER BY j DESC, threshold DESC LIMIT 1) SELECT cond, max(threshold) AS threshold, count(*) FILTER ({T_SQL}) AS n, count(*) FILTER ({T_SQL} AND confidence >= threshold AND {R_SQL}) / count(*) FILTER ({T_SQL})::DOUBLE AS accuracy, count(*) FILTER (NOT ({T_SQL}) AND confidence >= threshold) / count(*) FILTER (NOT ({T_SQL}))::DOUBLE AS false_rate FROM scores, t WHERE split = 'test' GROUP BY 1")
 def dr10(spark, d):
     s = scores(spark, d)
-    t = K.best_threshold(M.sweep(s.where("split = 'val'"), GRID, TARGET))
-    return D.two_conditions(s.where("split = 'test'"), t, "cond", TARGET, RIGHT)
+    t = K.best_threshold(M.sweep(s.where("split = 'val'"), GRID, TARGET()))
+    return D.two_conditions(s.where("split = 'test'"), t, "cond", TARGET(), RIGHT())
 
 
 @add("dr11_ghost_probe", S + f", g AS (SELECT source, count(*) AS n, count(*) FILTER ({OK_SQL}) AS base_fa, count(*) FILTER ({NEW_SQL}) AS new_fa FROM scores WHERE NOT ({T_SQL}) GROUP BY 1) SELECT source, n, base_fa, new_fa, round({wilson_sql('new_fa', 'n', True)}, 6) AS upper, new_fa <= base_fa AS ok FROM g")
 def dr11(spark, d):
-    return D.ghost_probe(scores(spark, d).where(~TARGET), "source", OK, NEW).withColumn("upper", F.round("upper", 6))
+    return D.ghost_probe(scores(spark, d).where(~TARGET()), "source", OK(), NEW()).withColumn("upper", F.round("upper", 6))
 
 
 @add("dr12_cell_gate", S + f", {CONFIG_SQL}, {GRID_SQL} SELECT b.split, b.cond, w.fa <= b.fa AND 1000 * (w.exact - b.exact) >= -5 * b.n AS ok FROM cells b JOIN cells w ON w.split = b.split AND w.cond = b.cond WHERE b.config = 'base' AND w.config = 'tight'")
@@ -128,12 +134,12 @@ def _loose(h: int) -> str:
 
 @add("dr13_threshold_stability", S + f", x AS (SELECT *, {_HALF} AS half FROM scores), t AS (SELECT {_loose(0)} AS tau0, {_loose(1)} AS tau1) SELECT max(tau0) AS tau0, max(tau1) AS tau1, count(*) FILTER (NOT ({T_SQL}) AND half = 1 AND confidence >= tau0) AS fa0, count(*) FILTER (NOT ({T_SQL}) AND half = 0 AND confidence >= tau1) AS fa1, coalesce(abs(max(tau0) - max(tau1)) <= 0.3, FALSE) AS stable FROM x, t")
 def dr13(spark, d):
-    return D.stability(scores(spark, d), "confidence", TARGET, "cond", D.half_of(F.col("grp"), 3), 20)
+    return D.stability(scores(spark, d), "confidence", TARGET(), "cond", D.half_of(F.col("grp"), 3), 20)
 
 
 @add("dr14_loosening_curve", S + f", {SWEEP_SQL} SELECT s.threshold, s.ta - b.ta AS gain, s.fa - b.fa AS cost, s.fa - b.fa <= 200 AND s.ta - b.ta >= 3 * (s.fa - b.fa) AS ok FROM sweep s, sweep b WHERE b.threshold = 0.9 AND s.threshold < 0.9")
 def dr14(spark, d):
-    return D.loosening(M.sweep(scores(spark, d).where("split = 'val'"), GRID, TARGET), 0.9, 200)
+    return D.loosening(M.sweep(scores(spark, d).where("split = 'val'"), GRID, TARGET()), 0.9, 200)
 
 
 @add("dr15_promotion_bar", S + f", r AS (SELECT {_BASE} FROM scores) SELECT unnest(['triggers', 'accepts', 'recall', 'drops']) AS criterion, unnest([new_exact <= base_exact, new_fa = 0, 100 * (new_exact - base_exact) >= -n, TRUE]) AS ok FROM r")

@@ -49,7 +49,7 @@ def wn3(spark, d):
     return W.trailing_hold(frames(spark, d), "rec", "frame", F.col("e") < 200, 3)
 
 
-@add("wn4_active_duration", f"WITH {FR} SELECT rec, count(*) FILTER (NOT blank) * 0.02 AS active_s FROM fr GROUP BY 1")
+@add("wn4_active_duration", f"WITH {FR} SELECT rec, count(*) FILTER (NOT blank) * 0.02::DOUBLE AS active_s FROM fr GROUP BY 1")
 def wn4(spark, d):
     return W.active_seconds(frames(spark, d), "rec", ~F.col("blank"), 0.02)
 
@@ -103,7 +103,7 @@ def wn12(spark, d):
 
 @add("tk1_operating_threshold", S + f", {SWEEP_SQL} SELECT * FROM sweep ORDER BY j DESC, threshold DESC LIMIT 1")
 def tk1(spark, d):
-    return K.best_threshold(M.sweep(scores(spark, d).where("split = 'val'"), GRID, TARGET))
+    return K.best_threshold(M.sweep(scores(spark, d).where("split = 'val'"), GRID, TARGET()))
 
 
 _G2 = f"g AS (SELECT m AS margin, avg(({OK_SQL} AND {R_SQL} AND (gap IS NULL OR gap >= m))::INT) FILTER ({T_SQL}) AS accuracy, avg(({OK_SQL} AND (gap IS NULL OR gap >= m))::INT) FILTER (NOT ({T_SQL})) AS far FROM scores, (SELECT unnest([0.0::DOUBLE, 1.0, 2.0, 4.0]) AS m) GROUP BY 1)"
@@ -112,8 +112,8 @@ _G2 = f"g AS (SELECT m AS margin, avg(({OK_SQL} AND {R_SQL} AND (gap IS NULL OR
 @add("tk2_margin_selection", S + f", {_G2} SELECT margin, far, accuracy FROM g WHERE accuracy >= (SELECT min_by(accuracy, margin) FROM g) - 0.06 ORDER BY far, margin LIMIT 1")
 def tk2(spark, d):
     grid = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (4.0,)], "m double")
-    met = OK & (F.col("gap").isNull() | (F.col("gap") >= F.col("m")))
-    g = scores(spark, d).crossJoin(F.broadcast(grid)).groupBy(F.col("m").alias("margin")).agg(F.avg(F.when(TARGET, (met & RIGHT).cast("int"))).alias("accuracy"), F.avg(F.when(~TARGET, met.cast("int"))).alias("far"))
+    met = OK() & (F.col("gap").isNull() | (F.col("gap") >= F.col("m")))
+    g = scores(spark, d).crossJoin(F.broadcast(grid)).groupBy(F.col("m").alias("margin")).agg(F.avg(F.when(TARGET(), (met & RIGHT()).cast("int"))).alias("accuracy"), F.avg(F.when(~TARGET(), met.cast("int"))).alias("far"))
     return K.choose_margin(g, 0.06)
 
 
@@ -129,7 +129,7 @@ def tk3(spark, d):
 
 @add("tk4_budget_threshold", S + f", r AS (SELECT confidence::DOUBLE AS confidence, row_number() OVER (ORDER BY confidence DESC) AS r, count(*) OVER () AS n FROM scores WHERE NOT ({T_SQL}) AND confidence IS NOT NULL) SELECT coalesce(max(confidence) FILTER (r = floor(n * 0.05 + 1e-9) + 1), 0.0) AS strict FROM r")
 def tk4(spark, d):
-    return K.budget_threshold(scores(spark, d).where(~TARGET & F.col("confidence").isNotNull()).withColumn("confidence", F.col("confidence").cast("double")), "confidence", 0.05)
+    return K.budget_threshold(scores(spark, d).where(~TARGET() & F.col("confidence").isNotNull()).withColumn("confidence", F.col("confidence").cast("double")), "confidence", 0.05)
 
 
 @add("tk5_relaxed_thresholds", S + " SELECT intent, least(round(quantile_cont(confidence::DOUBLE, 0.3), 6), 0.92) AS tau FROM scores WHERE intent IS NOT NULL GROUP BY 1")
@@ -166,4 +166,4 @@ def tk9(spark, d):
 
 @add("tk10_loosest_threshold", S + f", r AS (SELECT confidence, row_number() OVER (PARTITION BY cond ORDER BY confidence DESC) AS r FROM scores WHERE NOT ({T_SQL}) AND confidence IS NOT NULL) SELECT min(confidence) AS tau FROM scores WHERE {T_SQL} AND confidence > (SELECT max(confidence) FROM r WHERE r = 21)")
 def tk10(spark, d):
-    return K.loosest(scores(spark, d), "confidence", TARGET, "cond", 20)
+    return K.loosest(scores(spark, d), "confidence", TARGET(), "cond", 20)

@@ -11,10 +11,19 @@ from .common import CLIPS, SCORES, Book, clips, scores, table
 BOOK = Book()
 add = BOOK.add
 S, C = f"WITH {SCORES}", f"WITH {CLIPS}"
-TARGET = F.col("bucket") == "target_commands"
-OK = accepted(F.col("intent"), F.col("confidence"), 0.9)
+
+def TARGET():
+    return F.col("bucket") == "target_commands"
+
+
+def OK():
+    return accepted(F.col("intent"), F.col("confidence"), 0.9)
+
 T_SQL, OK_SQL = "bucket = 'target_commands'", "coalesce(intent IS NOT NULL AND confidence >= 0.9, FALSE)"
-RIGHT = F.coalesce(F.col("label") == F.col("intent"), F.lit(False))
+
+def RIGHT():
+    return F.coalesce(F.col("label") == F.col("intent"), F.lit(False))
+
 R_SQL = "coalesce(label = intent, FALSE)"
 
 
@@ -50,12 +59,12 @@ def ag5(spark, d):
 
 @add("ag6_confusion", S + f" SELECT label, coalesce(CASE WHEN {OK_SQL} THEN intent END, 'REJECTED') AS predicted, count(*) AS n FROM scores WHERE {T_SQL} GROUP BY 1, 2")
 def ag6(spark, d):
-    return M.confusion(scores(spark, d).where(TARGET), "label", F.when(OK, F.col("intent")))
+    return M.confusion(scores(spark, d).where(TARGET()), "label", F.when(OK(), F.col("intent")))
 
 
 @add("ag7_false_accepts", S + f" SELECT bucket, count(*) AS n, count(*) FILTER ({OK_SQL}) AS accepted, count(*) FILTER ({OK_SQL}) / count(*)::DOUBLE AS rate, count(*) FILTER ({OK_SQL} AND (gap IS NULL OR gap >= 1)) AS gated, count(*) FILTER ({OK_SQL} AND (gap IS NULL OR gap >= 1)) / count(*)::DOUBLE AS gated_rate FROM scores WHERE NOT ({T_SQL}) GROUP BY 1")
 def ag7(spark, d):
-    return M.false_accepts(scores(spark, d).where(~TARGET), "bucket", OK, F.col("gap").isNull() | (F.col("gap") >= 1))
+    return M.false_accepts(scores(spark, d).where(~TARGET()), "bucket", OK(), F.col("gap").isNull() | (F.col("gap") >= 1))
 
 
 GRID = [0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.92, 0.94, 0.96, 0.98, 0.99]
@@ -65,7 +74,7 @@ SWEEP_SQL = _GRID + f", sw AS (SELECT threshold, count(*) FILTER ({T_SQL} AND in
 
 @add("ag8_threshold_sweep", S + f", {SWEEP_SQL} SELECT * FROM sweep")
 def ag8(spark, d):
-    return M.sweep(scores(spark, d).where("split = 'val'"), GRID, TARGET)
+    return M.sweep(scores(spark, d).where("split = 'val'"), GRID, TARGET())
 
 
 _MARGINS = [0.0, 0.5, 1.0, 2.0, 3.0, 5.0]
@@ -75,12 +84,12 @@ MARGIN_SQL = _MG + f", ms AS (SELECT margin, coalesce(count(*) FILTER ({T_SQL} A
 
 @add("ag9_margin_sweep", S + f", {MARGIN_SQL} SELECT * FROM ms")
 def ag9(spark, d):
-    return M.margin_sweep(scores(spark, d), 0.9, _MARGINS, TARGET)
+    return M.margin_sweep(scores(spark, d), 0.9, _MARGINS, TARGET())
 
 
 @add("ag10_exhaustive_sweep", S + f", p AS (SELECT confidence, count(*) FILTER ({T_SQL}) AS t, count(*) FILTER (NOT ({T_SQL})) AS f FROM scores WHERE confidence IS NOT NULL GROUP BY 1) SELECT confidence, (sum(t) OVER w)::BIGINT AS hits, (sum(f) OVER w)::BIGINT AS false_accepts FROM p WINDOW w AS (ORDER BY confidence DESC)")
 def ag10(spark, d):
-    return M.exhaustive(scores(spark, d), "confidence", TARGET)
+    return M.exhaustive(scores(spark, d), "confidence", TARGET())
 
 
 def wilson_sql(k: str, n: str, upper: bool) -> str:
@@ -94,7 +103,7 @@ def wilson_sql(k: str, n: str, upper: bool) -> str:
 )
 def ag11(spark, d):
     s = scores(spark, d)
-    out = M.breakdown(s.where(TARGET), "source", OK, RIGHT, "grp", s.where("grp % 2 = 0"))
+    out = M.breakdown(s.where(TARGET()), "source", OK(), RIGHT(), "grp", s.where("grp % 2 = 0"))
     return out.withColumn("low", F.round("low", 6)).withColumn("high", F.round("high", 6))
 
 
@@ -106,7 +115,7 @@ def ag12(spark, d):
 
 @add("ag13_slot_accuracy", S + f" SELECT concat('slot', k % 3) AS slot, count(slot_truth) AS n, count(*) FILTER (lower(slot_truth) = lower(slot_pred)) AS right, count(*) FILTER (lower(slot_truth) = lower(slot_pred)) / nullif(count(slot_truth), 0)::DOUBLE AS rate, count(*) FILTER (slot_truth IS NULL) AS unparseable FROM scores WHERE {T_SQL} AND {R_SQL} GROUP BY 1")
 def ag13(spark, d):
-    return M.slot_accuracy(scores(spark, d).where(TARGET).withColumn("slot", F.concat(F.lit("slot"), F.col("k") % 3)), RIGHT, "slot_truth", "slot_pred", "slot")
+    return M.slot_accuracy(scores(spark, d).where(TARGET()).withColumn("slot", F.concat(F.lit("slot"), F.col("k") % 3)), RIGHT(), "slot_truth", "slot_pred", "slot")
 
 
 _SR = "coalesce(slot_truth IS NULL OR lower(slot_truth) = lower(slot_pred), FALSE)"
@@ -115,23 +124,25 @@ HEAD_SQL = f"""count(*) FILTER ({T_SQL}) AS targets, count(*) FILTER ({T_SQL} AN
 count(*) FILTER ({T_SQL} AND {_FULL}) / nullif(count(*) FILTER ({T_SQL} AND {OK_SQL} AND {R_SQL}), 0)::DOUBLE AS slot_accuracy, count(*) FILTER ({T_SQL} AND NOT {OK_SQL}) / nullif(count(*) FILTER ({T_SQL}), 0)::DOUBLE AS false_reject,
 count(*) FILTER (bucket = 'babble' AND {OK_SQL}) / nullif(count(*) FILTER (bucket = 'babble'), 0)::DOUBLE AS oos_accept, count(*) FILTER (bucket = 'silence' AND {OK_SQL}) / nullif(count(*) FILTER (bucket = 'silence'), 0)::DOUBLE AS misfire,
 count(*) FILTER ({T_SQL} AND grp % 4 = 0 AND {_FULL}) / nullif(count(*) FILTER ({T_SQL} AND grp % 4 = 0), 0)::DOUBLE AS human, count(*) FILTER ({T_SQL} AND grp % 4 <> 0 AND {_FULL}) / nullif(count(*) FILTER ({T_SQL} AND grp % 4 <> 0), 0)::DOUBLE AS synthetic"""
-SLOT_OK = F.coalesce(F.col("slot_truth").isNull() | (F.lower("slot_truth") == F.lower("slot_pred")), F.lit(False))
+
+def SLOT_OK():
+    return F.coalesce(F.col("slot_truth").isNull() | (F.lower("slot_truth") == F.lower("slot_pred")), F.lit(False))
 
 
 @add("ag14_headline_block", S + f" SELECT {HEAD_SQL} FROM scores")
 def ag14(spark, d):
-    return M.headline(scores(spark, d), OK, TARGET, F.col("bucket") == "babble", RIGHT, SLOT_OK, F.col("grp") % 4 == 0)
+    return M.headline(scores(spark, d), OK(), TARGET(), F.col("bucket") == "babble", RIGHT(), SLOT_OK(), F.col("grp") % 4 == 0)
 
 
 @add("ag15_balanced_accuracy", S + f", p AS (SELECT CASE WHEN bucket = 'babble' THEN 'oos' ELSE (k % 20)::VARCHAR END AS cls, avg((CASE WHEN bucket = 'babble' THEN NOT {OK_SQL} ELSE {OK_SQL} AND {R_SQL} END)::INT) AS recall FROM scores WHERE bucket <> 'silence' GROUP BY 1) SELECT count(*) AS classes, round(avg(recall), 9) AS balanced_accuracy FROM p")
 def ag15(spark, d):
     s = scores(spark, d).where("bucket <> 'silence'").withColumn("variation", F.col("k") % 20)
-    return M.balanced(s, "variation", OK & RIGHT, F.col("bucket") == "babble", OK).withColumn("balanced_accuracy", F.round("balanced_accuracy", 9))
+    return M.balanced(s, "variation", OK() & RIGHT(), F.col("bucket") == "babble", OK()).withColumn("balanced_accuracy", F.round("balanced_accuracy", 9))
 
 
 @add("ag16_source_breakdown", S + f" SELECT source, count(*) AS n, count(*) FILTER ({OK_SQL} AND {R_SQL}) AS gated, count(*) FILTER ({R_SQL}) AS plain FROM scores WHERE {T_SQL} GROUP BY 1")
 def ag16(spark, d):
-    return M.by_source(scores(spark, d).where(TARGET), "source", {"gated": OK & RIGHT, "plain": RIGHT})
+    return M.by_source(scores(spark, d).where(TARGET()), "source", {"gated": OK() & RIGHT(), "plain": RIGHT()})
 
 
 _B = "CASE WHEN k % 4 = 0 THEN 'click' ELSE intent END"
@@ -141,20 +152,20 @@ _B = "CASE WHEN k % 4 = 0 THEN 'click' ELSE intent END"
 def ag17(spark, d):
     s = scores(spark, d).withColumn("b", F.expr(_B))
     b_ok = F.coalesce((F.col("k") % 3 > 0) & F.col("b").isNotNull(), F.lit(False))
-    return M.agreement(s, F.col("intent"), F.col("b"), OK, b_ok, (F.col("intent") == F.col("b")) | (F.col("k") % 2 == 0))
+    return M.agreement(s, F.col("intent"), F.col("b"), OK(), b_ok, (F.col("intent") == F.col("b")) | (F.col("k") % 2 == 0))
 
 
 @add("ag18_confusable_pairs", S + f", p AS (SELECT label, min(other) AS other FROM (SELECT DISTINCT a.event_type AS label, b.event_type AS other FROM events a, (SELECT DISTINCT event_type FROM events) b WHERE b.event_type > a.event_type AND a.event_type IN ('click', 'purchase') AND b.event_type IN ('purchase', 'signup')) GROUP BY 1), x AS (SELECT label, CASE WHEN {OK_SQL} THEN intent END AS p FROM scores) SELECT label, other, count(*) FILTER (p = label) AS n_member, count(*) FILTER (p = other) AS n_other, count(*) FILTER (p <> label AND p <> other) AS n_else, count(*) FILTER (p IS NULL) AS n_reject FROM x JOIN p USING (label) GROUP BY 1, 2")
 def ag18(spark, d):
     kinds = table(spark, d, "events").select("event_type").distinct()
     pairs = kinds.where("event_type IN ('click', 'purchase')").select(F.col("event_type").alias("label")).crossJoin(kinds.where("event_type IN ('purchase', 'signup')")).where("event_type > label").groupBy("label").agg(F.min("event_type").alias("other"))
-    return M.confusable(scores(spark, d), pairs, "label", F.when(OK, F.col("intent")))
+    return M.confusable(scores(spark, d), pairs, "label", F.when(OK(), F.col("intent")))
 
 
 @add("ag19_complementarity", S + f", x AS (SELECT {OK_SQL} AND {R_SQL} AS ar, coalesce(k % 3 > 0 AND ({_B}) = label, FALSE) AS br, CASE WHEN {OK_SQL} THEN 'A' WHEN k % 3 > 0 THEN 'B' END AS who FROM scores WHERE {T_SQL}) SELECT CASE WHEN ar AND br THEN 'both' WHEN ar THEN 'only_a' WHEN br THEN 'only_b' ELSE 'neither' END AS kind, coalesce(who, 'none') AS answered_by, count(*) AS n FROM x GROUP BY 1, 2")
 def ag19(spark, d):
-    s = scores(spark, d).where(TARGET)
-    return M.complementarity(s, OK & RIGHT, F.expr(f"coalesce(k % 3 > 0 AND ({_B}) = label, FALSE)"), F.when(OK, "A").when(F.col("k") % 3 > 0, "B"))
+    s = scores(spark, d).where(TARGET())
+    return M.complementarity(s, OK() & RIGHT(), F.expr(f"coalesce(k % 3 > 0 AND ({_B}) = label, FALSE)"), F.when(OK(), "A").when(F.col("k") % 3 > 0, "B"))
 
 
 @add("ag20_precision_recall", S + ", c AS (SELECT DISTINCT unnest([label, intent]) AS cls FROM scores), x AS (SELECT cls, (SELECT count(*) FROM scores WHERE label = cls) AS support, (SELECT count(*) FROM scores WHERE label = cls AND intent = cls) AS tp, (SELECT count(*) FROM scores WHERE intent = cls) AS pred FROM c WHERE cls IS NOT NULL), r AS (SELECT cls, support, tp, coalesce(tp / nullif(pred, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(support, 0)::DOUBLE, 0) AS recall FROM x) SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM r")
@@ -164,34 +175,34 @@ def ag20(spark, d):
 
 @add("ag21_subgroup_recall", S + f" SELECT source, count(*) AS n, avg(({OK_SQL} AND {R_SQL})::INT) AS recall FROM scores WHERE label = 'signup' GROUP BY 1")
 def ag21(spark, d):
-    return M.recall_by(scores(spark, d), "source", F.col("label") == "signup", OK & RIGHT)
+    return M.recall_by(scores(spark, d), "source", F.col("label") == "signup", OK() & RIGHT())
 
 
 @add("ag22_prefix_far", S + f", x AS (SELECT concat('p', k % 8) AS prefix, CASE WHEN {OK_SQL} THEN intent END AS i FROM scores WHERE NOT ({T_SQL})), g AS (SELECT prefix, i, count(*) AS n FROM x GROUP BY 1, 2) SELECT prefix, sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (i IS NOT NULL), 0)::BIGINT AS accepted, coalesce(string_agg(concat(i, ':', n), ',' ORDER BY i) FILTER (i IS NOT NULL), '') AS intents FROM g GROUP BY 1")
 def ag22(spark, d):
-    return M.prefix_far(scores(spark, d).where(~TARGET).withColumn("prefix", F.concat(F.lit("p"), F.col("k") % 8)), "prefix", OK, "intent")
+    return M.prefix_far(scores(spark, d).where(~TARGET()).withColumn("prefix", F.concat(F.lit("p"), F.col("k") % 8)), "prefix", OK(), "intent")
 
 
 @add("ag23_origin_far", S + f", x AS (SELECT coalesce(CASE WHEN k % 9 = 0 THEN NULL ELSE source END, '<missing>') AS key, {OK_SQL} AS ok FROM scores WHERE NOT ({T_SQL})) SELECT key, count(*) AS n, avg(ok::INT) AS rate, CASE key WHEN 'src2' THEN 1 WHEN 'src0' THEN 2 ELSE 3 END AS place FROM x GROUP BY 1")
 def ag23(spark, d):
-    s = scores(spark, d).where(~TARGET).withColumn("o", F.when(F.col("k") % 9 != 0, F.col("source")))
-    return M.ordered_rates(s, "o", OK, ["src2", "src0"])
+    s = scores(spark, d).where(~TARGET()).withColumn("o", F.when(F.col("k") % 9 != 0, F.col("source")))
+    return M.ordered_rates(s, "o", OK(), ["src2", "src0"])
 
 
 @add("ag24_phrase_false_reject", S + f" SELECT label, count(*) AS n, avg((NOT {OK_SQL})::INT) AS recall FROM scores WHERE {T_SQL} AND slot_truth = 'on' GROUP BY 1")
 def ag24(spark, d):
-    return M.recall_by(scores(spark, d), "label", TARGET & (F.col("slot_truth") == "on"), ~OK)
+    return M.recall_by(scores(spark, d), "label", TARGET() & (F.col("slot_truth") == "on"), ~OK())
 
 
 @add("ag25_gate_rejects", S + f", x AS (SELECT concat('c', k % 6) AS competitor, label AS i FROM scores WHERE {T_SQL} AND {OK_SQL} AND gap < 1), g AS (SELECT competitor, i, count(*) AS n FROM x GROUP BY 1, 2) SELECT competitor, sum(n)::BIGINT AS n, sum(n)::BIGINT AS accepted, string_agg(concat(i, ':', n), ',' ORDER BY i) AS intents FROM g GROUP BY 1")
 def ag25(spark, d):
-    s = scores(spark, d).where(TARGET & OK & (F.col("gap") < 1)).withColumn("competitor", F.concat(F.lit("c"), F.col("k") % 6))
+    s = scores(spark, d).where(TARGET() & OK() & (F.col("gap") < 1)).withColumn("competitor", F.concat(F.lit("c"), F.col("k") % 6))
     return M.prefix_far(s, "competitor", F.lit(True), "label")
 
 
 @add("ag26_histogram_buckets", S + f" SELECT CASE WHEN gap IS NULL THEN 'unknown' WHEN gap < -1 THEN '<-1' WHEN gap < 0 THEN '[-1,0)' WHEN gap < 2.5 THEN '[0,2.5)' WHEN gap < 5 THEN '[2.5,5)' ELSE '>=5' END AS bucket_, count(*) AS n, avg({OK_SQL}::INT) AS rate FROM scores GROUP BY 1")
 def ag26(spark, d):
-    return scores(spark, d).groupBy(M.bucket_of(F.col("gap"), [-1, 0, 2.5, 5]).alias("bucket_")).agg(F.count(F.lit(1)).alias("n"), F.avg(OK.cast("int")).alias("rate"))
+    return scores(spark, d).groupBy(M.bucket_of(F.col("gap"), [-1, 0, 2.5, 5]).alias("bucket_")).agg(F.count(F.lit(1)).alias("n"), F.avg(OK().cast("int")).alias("rate"))
 
 
 @add("ag27_snr_histogram", S + " SELECT source, (floor(gap / 5) * 5)::INT AS band, count(*) AS n, avg((value > 100)::INT) AS clipped FROM scores GROUP BY 1, 2")
@@ -203,14 +214,14 @@ def ag27(spark, d):
 def ag28(spark, d):
     grid = spark.createDataFrame([(m,) for m in _MARGINS], "margin double")
     met = F.col("gap").isNull() | (F.col("gap") >= F.col("margin"))
-    per = scores(spark, d).select(TARGET.alias("t"), RIGHT.alias("r"), OK.alias("ok"), (F.col("bucket") == "babble").alias("b"), "gap").groupBy("t", "r", "ok", "b", "gap").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(grid))
+    per = scores(spark, d).select(TARGET().alias("t"), RIGHT().alias("r"), OK().alias("ok"), (F.col("bucket") == "babble").alias("b"), "gap").groupBy("t", "r", "ok", "b", "gap").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(grid))
     total = lambda c: F.coalesce(F.sum(F.when(c & F.col("ok") & met, F.col("n"))), F.lit(0))
     return per.groupBy("margin").agg(total(F.col("t") & F.col("r")).alias("right"), total(~F.col("t")).alias("fa"), total(F.col("b")).alias("fa_babble"))
 
 
 @add("ag29_metric_bundle", S + f" SELECT {HEAD_SQL} FROM scores WHERE gap IS NULL OR gap >= 1")
 def ag29(spark, d):
-    return M.headline(scores(spark, d).where("gap IS NULL OR gap >= 1"), OK, TARGET, F.col("bucket") == "babble", RIGHT, SLOT_OK, F.col("grp") % 4 == 0)
+    return M.headline(scores(spark, d).where("gap IS NULL OR gap >= 1"), OK(), TARGET(), F.col("bucket") == "babble", RIGHT(), SLOT_OK(), F.col("grp") % 4 == 0)
 
 
 CONFIGS = [("loose", 0.8, 0.0), ("base", 0.9, 1.0), ("tight", 0.95, 2.0)]
@@ -223,7 +234,7 @@ def cells(spark, d):
     cfg = spark.createDataFrame(CONFIGS, "config string, th double, mg double")
     j = scores(spark, d).crossJoin(F.broadcast(cfg))
     ok = F.coalesce((F.col("confidence") >= F.col("th")) & (F.col("gap").isNull() | (F.col("gap") >= F.col("mg"))), F.lit(False))
-    return j.groupBy("config", "split", "cond").agg(F.count_if(TARGET).alias("n"), F.count_if(TARGET & RIGHT & ok).alias("exact"), F.count_if(~TARGET & ok).alias("fa"))
+    return j.groupBy("config", "split", "cond").agg(F.count_if(TARGET()).alias("n"), F.count_if(TARGET() & RIGHT() & ok).alias("exact"), F.count_if(~TARGET() & ok).alias("fa"))
 
 
 @add("ag30_config_grid", S + f", {CONFIG_SQL}, {GRID_SQL} SELECT * FROM cells")
@@ -233,8 +244,8 @@ def ag30(spark, d):
 
 @add("ag31_block_merge", S + f" SELECT label, count(*) AS n, count(*) FILTER ({R_SQL}) AS right, count(*) FILTER ({R_SQL}) / count(*)::DOUBLE AS rate FROM scores WHERE {T_SQL} GROUP BY 1")
 def ag31(spark, d):
-    s = scores(spark, d).where(TARGET)
-    block = lambda x: x.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(RIGHT).alias("right"))
+    s = scores(spark, d).where(TARGET())
+    block = lambda x: x.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(RIGHT()).alias("right"))
     return M.merge_blocks([block(s.where(f"split = '{x}'")) for x in ("train", "val", "test")], ["label"], ["n", "right"], {"rate": ("right", "n")})
 
 
@@ -271,12 +282,12 @@ def ag37(spark, d):
 
 @add("ag38_joint_exact", S + f" SELECT count(*) AS n, avg({R_SQL}::INT) AS intent, count(*) FILTER (lower(slot_truth) = lower(slot_pred)) / count(slot_truth)::DOUBLE AS slot, count(*) FILTER ({R_SQL} AND (slot_truth IS NULL OR lower(slot_truth) = lower(slot_pred))) / count(*)::DOUBLE AS joint FROM scores WHERE {T_SQL}")
 def ag38(spark, d):
-    return M.joint_exact(scores(spark, d).where(TARGET), RIGHT, "slot_truth", F.lower("slot_truth") == F.lower("slot_pred"))
+    return M.joint_exact(scores(spark, d).where(TARGET()), RIGHT(), "slot_truth", F.lower("slot_truth") == F.lower("slot_pred"))
 
 
 @add("ag39_worst_classes", S + f" SELECT k, count(*) AS n, avg({R_SQL}::INT) AS accuracy FROM scores WHERE {T_SQL} GROUP BY 1 ORDER BY 3, 1 LIMIT 5")
 def ag39(spark, d):
-    return M.worst(scores(spark, d).where(TARGET), "k", RIGHT, 5)
+    return M.worst(scores(spark, d).where(TARGET()), "k", RIGHT(), 5)
 
 
 @add("ag40_score_quantiles", S + " SELECT label, CASE WHEN k % 20 <= 6 THEN '<=6' WHEN k % 20 <= 10 THEN '7-10' WHEN k % 20 <= 15 THEN '11-15' ELSE '16+' END AS band, count(*) AS n, round(quantile_cont(confidence::DOUBLE, 0.05), 6) AS p05, round(quantile_cont(confidence::DOUBLE, 0.1), 6) AS p10, round(quantile_cont(confidence::DOUBLE, 0.5), 6) AS p50, avg((confidence < 0.9)::INT) AS under FROM scores WHERE confidence IS NOT NULL GROUP BY 1, 2")
