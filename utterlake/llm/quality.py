@@ -1,7 +1,9 @@
 """Quality classifier: ordinal cumulative-link regression on graded texts.
 
-A text is a sparse vector of hashed words (letters in lower case) and hashed
-single bytes of the raw text. One weight vector is shared by all grades;
+A text is a sparse vector of hashed words (letters in lower case, log counts),
+shares of single bytes of the raw text, and its repetition. Words in too few
+training texts to tell anything keep weight 0. One weight vector is shared by
+all grades;
 ordered thresholds cut the score: P(grade <= k) = sigmoid(threshold_k - w.x).
 The result is the expected grade and tail probabilities for selection.
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .jaccard_join import word_hashes
 from .ngrams import FOLD, string_buffers
 
-BITS = 16
+BITS = 20
 OUT = ("expected_grade", "tail", "selected")
 
 
@@ -38,19 +40,19 @@ class Model:
 
 
 def features(column: pa.Array):
-    """(row, slots, values) of every row, of unit length."""
+    """(row, slots, values) of every row."""
     data, at = string_buffers(column)
     for row, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
         raw = data[a:b]
         _, h = word_hashes(FOLD[raw])
         slot, n = np.unique(h >> np.uint64(64 - BITS), return_counts=True)
-        value = np.log1p(n) / max(np.sqrt((np.log1p(n) ** 2).sum()), 1e-9) if len(n) else np.zeros(0)
+        value = np.log1p(n)
         byte, m = np.unique(raw, return_counts=True)
         share = np.sqrt(m / max(len(raw), 1))
         kinds = len(slot) / max(len(h), 1)  # repetition: distinct words over words
-        more = np.array([kinds, 1 - kinds])
+        more = 4 * np.array([kinds, 1 - kinds])
         slots = np.concatenate([slot.astype(np.int64), (1 << BITS) + byte.astype(np.int64), (1 << BITS) + 256 + np.arange(2)])
-        yield row, slots, np.concatenate([value, share, more])
+        yield row, slots, np.concatenate([value, 4 * share, more])
 
 
 WIDTH = (1 << BITS) + 258
@@ -60,10 +62,13 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, grades: int, rounds: int, rate: float, ridge: float) -> Model:
+def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, grades: int, rounds: int, rate: float, lasso: float, least_share: float = 0.01) -> Model:
     """Full-batch Adagrad on the cumulative-link likelihood, grades weighted to equal sums."""
     which = np.repeat(np.arange(len(rows)), [len(s) for s, _ in rows])
     slots, values = np.concatenate([s for s, _ in rows]), np.concatenate([v for _, v in rows])
+    common = np.bincount(slots, minlength=WIDTH) >= max(2, least_share * len(rows))
+    seen = common[slots]
+    which, slots, values = which[seen], slots[seen], values[seen]
     weight = 1.0 / np.bincount(y, minlength=grades)[y]
     weight /= weight.sum()
     w, sq = np.zeros(WIDTH), np.full(WIDTH, 1e-8)
@@ -76,16 +81,18 @@ def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, grades: in
         hi, lo = np.where(y == grades - 1, 1.0, hi), np.where(y == 0, 0.0, lo)
         p = np.maximum(hi - lo, 1e-9)
         dh, dl = hi * (1 - hi) / p, lo * (1 - lo) / p
-        g = np.bincount(slots, values * (weight * (dh - dl))[which], minlength=WIDTH) + ridge * w
+        g = np.bincount(slots, values * (weight * (dh - dl))[which], minlength=WIDTH)
         sq += g * g
-        w -= rate * g / np.sqrt(sq)
+        pace = rate / np.sqrt(sq)
+        w -= pace * g
+        w = np.sign(w) * np.maximum(np.abs(w) - pace * lasso, 0)  # words that tell nothing go to 0
         t = np.array([-(weight * dh)[y == k].sum() + (weight * dl)[y == k + 1].sum() for k in range(grades - 1)])
         tsq += t * t
         theta = np.maximum.accumulate(theta - rate * t / np.sqrt(tsq))
     return Model(w.astype(np.float32), theta)
 
 
-def fit(graded: DataFrame, train_rows: int = 8_000, seed: int = 3, rounds: int = 150, rate: float = 0.1, ridge: float = 1e-6) -> Model | None:
+def fit(graded: DataFrame, train_rows: int = 8_000, seed: int = 3, rounds: int = 300, rate: float = 0.1, lasso: float = 1e-3) -> Model | None:
     """graded: key, text, grade (0, 1, 2 ...)."""
     graded = graded.where(F.col("grade").isNotNull())
     n, top = graded.agg(F.count(F.lit(1)), F.max("grade")).first()
@@ -101,13 +108,13 @@ def fit(graded: DataFrame, train_rows: int = 8_000, seed: int = 3, rounds: int =
         present = np.unique(y)
         if len(present) < 2:
             return pa.table({"model": pa.array([], pa.binary())})
-        return pa.table({"model": [pickle.dumps(descend(rows, y, int(top) + 1, rounds, rate, ridge))]})
+        return pa.table({"model": [pickle.dumps(descend(rows, y, int(top) + 1, rounds, rate, lasso))]})
 
     row = sample.select("key", "text", "grade").groupBy(F.lit(1).alias("all")).applyInArrow(train, "model binary").first()
     return pickle.loads(row["model"]) if row else None
 
 
-def score(docs: DataFrame, model: Model | None, text: str = "text", at_least: int = 2, least: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, text: str = "text", at_least: int = 2, least: float = 0.2) -> DataFrame:
     """docs with expected_grade, tail (probability of `at_least` or better) and selected (tail >= least)."""
     if clash := set(OUT) & set(docs.columns):
         raise ValueError(f"columns already present: {sorted(clash)}")
