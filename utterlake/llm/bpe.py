@@ -104,8 +104,8 @@ class Encoder:
         return [np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4") for words in split_texts]
 
 
-BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("body", pa.binary()), ("numbers", pa.binary())])
-BLOCK_SQL = "block long, bucket int, doc_id long, body binary, numbers binary"
+BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("body", pa.binary()), ("numbers", pa.binary())])
+BLOCK_SQL = "block long, bucket int, docs array<long>, body binary, numbers binary"
 TABLE = pa.schema([("block", pa.int64()), ("numbers", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary())])
 TABLE_SQL = "block long, numbers binary, lens binary, ids binary"
 DONE = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
@@ -130,7 +130,7 @@ def unpacked(b: bytes) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, path: str, buckets: int, most_words: int = 4_000_000, most_distinct: int = 400_000) -> DataFrame:
-    """docs: doc_id, text. Word-list rows (bucket set; body: words, numbers: theirs) and document rows (bucket null, body: word numbers) of each block."""
+    """docs: doc_id, text. Word-list rows (bucket set; body: words, numbers: theirs) and document rows (bucket null; body: word numbers of some documents, numbers: how many each has) of each block."""
 
     def flush(no: int, known: dict[str, int], ids: list, codes: list):
         block = (TaskContext.get().partitionId() << 24) + no
@@ -151,10 +151,12 @@ def blocks(docs: DataFrame, path: str, buckets: int, most_words: int = 4_000_000
             for k, v in zip(BLOCK.names, (block, int(bucket[here[0]]), None, zipped(b"\n".join(raw[i] for i in here.tolist())), packed(np.diff(number[here], prepend=0))), strict=True):
                 rows[k].append(v)
         yield pa.RecordBatch.from_pydict(rows, schema=BLOCK)
-        for i in range(0, len(ids), 2000):
-            bodies = [packed(number[c]) for c in codes[i : i + 2000]]
-            n = len(bodies)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(ids[i : i + 2000], pa.int64()), pa.array(bodies, pa.binary()), pa.nulls(n, pa.binary())], schema=BLOCK)
+        # some documents a row: one code table serves them all when they are packed
+        at = range(0, len(ids), 64)
+        bodies = [packed(number[np.concatenate(codes[i : i + 64])]) for i in at]
+        lens = [packed(np.array([len(c) for c in codes[i : i + 64]])) for i in at]
+        n = len(bodies)
+        yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.array([ids[i : i + 64] for i in at], pa.list_(pa.int64())), pa.array(bodies, pa.binary()), pa.array(lens, pa.binary())], schema=BLOCK)
 
     def cut(batches):
         no, known, ids, codes, total = 0, {}, [], [], 0
@@ -204,8 +206,8 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     lists = kept.where("bucket is not null").select("block", "bucket", "body", "numbers")
     table = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(once, TABLE_SQL)
     none = F.lit(None)
-    both = table.select("block", F.lit(0).alias("kind"), none.cast("long").alias("doc_id"), "numbers", "lens", F.col("ids").alias("body")).unionByName(
-        kept.where("bucket is null").select("block", F.lit(1).alias("kind"), "doc_id", none.cast("binary").alias("numbers"), none.cast("binary").alias("lens"), "body")
+    both = table.select("block", F.lit(0).alias("kind"), none.cast("array<long>").alias("docs"), "numbers", "lens", F.col("ids").alias("body")).unionByName(
+        kept.where("bucket is null").select("block", F.lit(1).alias("kind"), "docs", "numbers", none.cast("binary").alias("lens"), "body")
     )
 
     def back(batches):
@@ -213,7 +215,7 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
         pieces, block, parts, ready = piece_bytes(path), None, [], None
         for batch in batches:
             out, size = {k: [] for k in DONE.names}, 0
-            for b, kind, doc, numbers, lens, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for b, kind, docs_, numbers, lens, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if b != block:
                     block, parts, ready = b, [], None
                 if kind == 0:
@@ -223,17 +225,19 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
                     ready = word_table(parts, pieces)
                     parts = []
                 count, start, flat, decoded = ready
-                codes = unpacked(body)
-                n = count[codes]
-                place = np.repeat(start[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                ids = flat[place].tobytes()
-                said = b" ".join([decoded[c] for c in codes[n > 0].tolist()]).decode()
-                for k, v in zip(DONE.names, (doc, ids, said), strict=True):
-                    out[k].append(v)
-                size += len(ids) + len(said)
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_pydict(out, schema=DONE)
-                    out, size = {k: [] for k in DONE.names}, 0
+                every, end = unpacked(body), np.cumsum(unpacked(numbers))
+                for doc, a, z in zip(docs_, [0, *end[:-1].tolist()], end.tolist(), strict=True):
+                    codes = every[a:z]
+                    n = count[codes]
+                    place = np.repeat(start[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    ids = flat[place].tobytes()
+                    said = b" ".join([decoded[c] for c in codes[n > 0].tolist()]).decode()
+                    for k, v in zip(DONE.names, (doc, ids, said), strict=True):
+                        out[k].append(v)
+                    size += len(ids) + len(said)
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_pydict(out, schema=DONE)
+                        out, size = {k: [] for k in DONE.names}, 0
             yield pa.RecordBatch.from_pydict(out, schema=DONE)
 
     return both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(back, "doc_id long, ids binary, decoded string")
