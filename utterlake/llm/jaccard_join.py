@@ -8,11 +8,12 @@ exact: unshared shingles first, shared ones by frequency. A class goes on
 only if enough of it is shared (length and prefix filter), with the shared
 shingles of its prefix and their positions.
 
-Classes meet on prefix shingles. Pairs pass the length, positional and count
-filters, then in verification a suffix filter (shingle counts in hash ranges
-bound the overlap) before the one exact intersection. Pairs inside a
-component say nothing new, so stars come first: each class meets the first
-and the last class on its prefix shingles; components form; and only then do
+Classes meet on prefix shingles. Pairs pass the length and positional filters,
+then a suffix filter (shingle counts in hash ranges bound the overlap) before
+the one exact intersection. Pairs inside a
+component say nothing new, so stars come first: each class meets the hub of
+its prefix shingles; components form; then the hub of the other components;
+components form again; and only then do
 all remaining pairs between different components meet. No link between
 different components is lost, and no group emits all its pairs.
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ngrams import string_buffers
@@ -37,6 +38,7 @@ MIX = np.random.default_rng(31).integers(0, 1 << 64, 256, dtype=np.uint64)
 TURN = np.random.default_rng(32).integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = 0xD6E8FEB86659FD93
 RANGES = 64
+HUBS = 2
 CHUNK = 2 << 20
 
 
@@ -135,11 +137,11 @@ POSTINGS = pa.schema([("bucket", pa.int64()), ("tokens", pa.binary()), ("owner",
 POSTINGS_SQL = "bucket long, tokens binary, owner binary, cls binary, n binary"
 SHARED = pa.schema([("bucket", pa.int64()), ("cls", pa.binary()), ("n", pa.binary()), ("many", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())])
 SHARED_SQL = "bucket long, cls binary, n binary, many binary, tokens binary, df binary"
-CLASSES = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64())), ("pos", pa.int32())])
-CLASSES_SQL = "cls long, n int, tokens binary, prefix array<long>, pos int"
+CLASSES = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64())), ("pos", pa.int32()), ("hub", pa.float64()), ("hist", pa.list_(pa.int32()))])
+CLASSES_SQL = "cls long, n int, tokens binary, prefix array<long>, pos int, hub double, hist array<int>"
 
 
-def postings(docs: DataFrame, buckets: int, most: int = 3_000_000) -> DataFrame:
+def postings(docs: DataFrame, buckets: int, most: int = 2_000_000) -> DataFrame:
     """docs: text. Packed (shingle, class) lists, dealt by ranges of the shingle hash."""
 
     def flush(sets: list[np.ndarray], cls: list[int]):
@@ -224,7 +226,7 @@ def prefixes(group: pa.Table) -> pa.Table:
         df.append(unpack(d, np.int32))
     cls, n, token, df = np.concatenate(cls), np.concatenate(n), np.concatenate(token), np.concatenate(df)
     order = np.lexsort((token, df, cls))
-    cls, n, token = cls[order], n[order], token[order]
+    cls, n, token, df = cls[order], n[order], token[order], df[order]
     head = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1])))
     rows = {k: [] for k in CLASSES.names}
     for a, b in zip(head.tolist(), [*head[1:].tolist(), len(cls)], strict=True):
@@ -234,7 +236,7 @@ def prefixes(group: pa.Table) -> pa.Table:
             continue
         lone = size - shared
         prefix = token[a : a + size - need + 1 - lone]
-        for k, v in zip(CLASSES.names, (int(cls[a]), size, np.sort(token[a:b]).tobytes(), prefix.view(np.int64).tolist(), lone), strict=True):
+        for k, v in zip(CLASSES.names, (int(cls[a]), size, np.sort(token[a:b]).tobytes(), prefix.view(np.int64).tolist(), lone, float(df[a:b].sum() / size), np.bincount(range_of(token[a:b], RANGES).astype(np.int64), minlength=RANGES).tolist()), strict=True):
             rows[k].append(v)
     return pa.table(rows, schema=CLASSES)
 
@@ -250,10 +252,6 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             for nx, ny, tx, ty in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4, 5)], strict=True):
                 a, b = np.frombuffer(tx, np.uint64), np.frombuffer(ty, np.uint64)
                 need = -(-3 * (nx + ny) // 7)
-                ha, hb = (np.bincount(range_of(s, RANGES).astype(np.int64), minlength=RANGES) for s in (a, b))
-                if np.minimum(ha, hb).sum() < need:  # suffix filter
-                    ok.append(False)
-                    continue
                 merged = np.concatenate([a, b])
                 merged.sort()
                 ok.append(int((merged[1:] == merged[:-1]).sum()) >= need)
@@ -282,28 +280,40 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def candidates(grams: DataFrame, labels: DataFrame, star: bool, last: bool = False) -> DataFrame:
-    """Pairs of classes in different components on common prefix shingles, after the length, positional and count filters."""
+def candidates(grams: DataFrame, labels: DataFrame, stage: str) -> DataFrame:
+    """Pairs of classes in different components on common prefix shingles, after the length and positional filters.
+
+    hub: each class meets the shingle's hub, the class whose shingles are
+    shared most (the original among its altered copies); second: the hub of
+    the other components; all: every class of another component.
+    """
     here = grams.join(labels, "cls")
-    met = here.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    met = here.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("hub", "label")).alias("h")).where("lo <> hi").select("token", F.col("h.label").alias("first"))
     here = here.join(met, "token")
-    if star:
-        pick = F.max if last else F.min
-        other = here.groupBy("token").agg(pick(F.struct("label", "cls", "n", "pos")).alias("o")).select("token", F.col("o.cls").alias("c2"), F.col("o.label").alias("l2"), F.col("o.n").alias("n2"), F.col("o.pos").alias("p2"))
-    else:
+    if stage == "all":
         other = here.select("token", F.col("cls").alias("c2"), F.col("label").alias("l2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-    apart = F.col("label") != F.col("l2") if star else F.col("label") < F.col("l2")
+        apart = F.col("label") < F.col("l2")
+    else:
+        chosen = here if stage == "hub" else here.where("label <> first")
+        best = F.max(F.struct("hub", "cls", "label", "n", "pos"))
+        other = chosen.groupBy("token").agg(best.alias("o")).select("token", F.col("o.cls").alias("c2"), F.col("o.label").alias("l2"), F.col("o.n").alias("n2"), F.col("o.pos").alias("p2"))
+        apart = F.col("label") != F.col("l2")
     long_enough = (F.col("n") * 4 >= F.col("n2") * 3) & (F.col("n2") * 4 >= F.col("n") * 3)
-    pairs = here.join(other, "token").where(apart & long_enough)
-    x_first = F.col("cls") < F.col("c2")
-    flip = lambda a, b: F.when(x_first, F.col(a)).otherwise(F.col(b))
-    pairs = pairs.select(flip("cls", "c2").alias("x"), flip("c2", "cls").alias("y"), flip("n", "n2").alias("nx"), flip("n2", "n").alias("ny"), flip("pos", "p2").alias("px"), flip("p2", "pos").alias("py"), "token").distinct() if star else pairs.select(flip("cls", "c2").alias("x"), flip("c2", "cls").alias("y"), flip("n", "n2").alias("nx"), flip("n2", "n").alias("ny"), flip("pos", "p2").alias("px"), flip("p2", "pos").alias("py"))
-    met = pairs.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("c"), F.min("px").alias("px"), F.min("py").alias("py"))
-    need = F.ceil((F.col("nx") + F.col("ny")) * 3 / 7.0)
-    rest = lambda n: F.ceil(F.col(n) * 3 / 4.0) - 1  # noqa: E731  shingles beyond the prefix
-    return met.where(
-        (F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= need) & (F.col("c") + F.greatest(rest("nx"), rest("ny")) >= need) if not star else F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= need
-    )
+    need = F.ceil((F.col("n") + F.col("n2")) * 3 / 7.0)
+    # the first common shingle of a similar pair leaves enough behind it on both sides
+    early = (F.col("pos") <= F.col("n") - need) & (F.col("p2") <= F.col("n2") - need)
+    flip = lambda a, b: F.when(F.col("cls") < F.col("c2"), F.col(a)).otherwise(F.col(b))
+    pairs = here.join(other, "token").where(apart & long_enough & early)
+    pairs = pairs.select(flip("cls", "c2").alias("x"), flip("c2", "cls").alias("y"), flip("n", "n2").alias("nx"), flip("n2", "n").alias("ny"))
+    return pairs.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("c"))
+
+
+def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Suffix filter: the shingle counts of both sides in hash ranges bound the intersection."""
+    h = classes.select("cls", "hist")
+    both = pairs.join(h.toDF("x", "hx"), "x").join(h.toDF("y", "hy"), "y")
+    most = F.aggregate(F.zip_with("hx", "hy", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
+    return both.where(most * 7 >= (F.col("nx") + F.col("ny")) * 3).drop("hx", "hy")
 
 
 def similar_classes(docs: DataFrame, bucket_bytes: int = 12 << 20) -> DataFrame:
@@ -312,21 +322,24 @@ def similar_classes(docs: DataFrame, bucket_bytes: int = 12 << 20) -> DataFrame:
     buckets = max(1, -(-total // bucket_bytes))
     shared = postings(docs.select("text"), buckets).groupBy("bucket").applyInArrow(meet(buckets), SHARED_SQL)
     classes = keep(shared.groupBy("bucket").applyInArrow(prefixes, CLASSES_SQL), "classes", "none")
-    grams = keep(classes.select("cls", "n", "pos", F.posexplode("prefix").alias("i", "token")).select("cls", "n", (F.col("pos") + F.col("i")).cast("int").alias("pos"), "token"), "prefixes")
+    grams = keep(classes.select("cls", "n", "pos", "hub", F.posexplode("prefix").alias("i", "token")).select("cls", "n", "hub", (F.col("pos") + F.col("i")).cast("int").alias("pos"), "token"), "prefixes")
     lone = grams.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("token")
     grams = keep(grams.join(lone, "token"), "met")
     labels = keep(classes.select("cls", F.col("cls").alias("label")), "labels")
     links, tested = None, None
-    for star, last in ((True, False), (True, True), (False, False)):
-        found = candidates(grams, labels, star, last)
-        if star:
-            # each class asks the one it shares most with
-            best = found.select("x", "y", "nx", "ny", "c", F.explode(F.array("x", "y")).alias("who")).groupBy("who").agg(F.max(F.struct("c", "x", "y", "nx", "ny")).alias("p"))
-            found = best.select("p.x", "p.y", "p.nx", "p.ny").distinct()
-        else:
-            found = found.select("x", "y", "nx", "ny")
+    for stage in ("hub", "second", "all"):
+        found = candidates(grams, labels, stage)
         if tested is not None:
             found = found.join(tested, ["x", "y"], "left_anti")
+        found = plausible(found, classes)
+        if stage != "all":
+            # each class asks the few hubs it meets most often
+            asked = Window.partitionBy("who").orderBy(F.desc("c"), "x", "y")
+            found = found.withColumn("who", F.explode(F.array("x", "y"))).withColumn("r", F.row_number().over(asked))
+            hubs = F.col("r") <= HUBS
+            found = found.where(hubs).select("x", "y", "nx", "ny").distinct()
+        else:
+            found = found.select("x", "y", "nx", "ny")
         found = keep(found, "pairs")
         now = found.select("x", "y")
         tested = now if tested is None else tested.unionByName(now)
