@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,14 +75,26 @@ def placed(a: Column, n: int, where: str) -> Column:
 
 
 def sign_test(k: Column, n: Column) -> Column:
-    """AR7: P(X >= k) for n fair coins, exact by recurrence; 1 when n is 0."""
+    """AR7: P(X >= k) for n fair coins; 1 when n is 0. By recurrence from 0 up to 1000 coins; 0.5 to the n underflows soon after, so beyond, the term at the nearer tail's edge comes from Stirling's series and the recurrence runs on from there until nothing is left."""
     start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.lit(0.0).alias("sum"))
 
     def step(acc: Column, i: Column) -> Column:
         term = acc["term"]
         return F.struct((term * (n - i) / (i + 1)).alias("term"), F.when(i >= k, acc["sum"] + term).otherwise(acc["sum"]).alias("sum"))
 
-    return F.when(n == 0, 1.0).otherwise(F.aggregate(F.sequence(F.lit(0).cast("long"), n.cast("long")), start, step)["sum"])
+    few = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(n, F.lit(1000)).cast("long")), start, step)["sum"]
+
+    upper = 2 * k > n
+    edge = F.when(upper, k).otherwise(n - k + 1).cast("long")  # P(X >= k) = 1 - P(X >= n - k + 1)
+    rest = (n - edge).cast("double")
+    lean = (2 * edge - n) / n
+    series = lambda x: 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5)))
+    log_term = series(n.cast("double")) - series(edge.cast("double")) - series(rest) + F.log(n / (2 * F.lit(math.pi) * edge * rest)) / 2 - edge * F.log1p(lean) - rest * F.log1p(-lean)
+    first = F.when(edge > n, 0.0).when(edge == n, F.pow(F.lit(0.5), n)).otherwise(F.exp(log_term))
+    last = F.greatest(F.least(n, edge + F.ceil(10 * F.sqrt(n)) + 50), edge).cast("long")
+    begin = F.struct(first.alias("term"), F.lit(0.0).alias("sum"))
+    tail = F.aggregate(F.sequence(edge, last), begin, lambda acc, i: F.struct((acc["term"] * (n - i) / (i + 1)).alias("term"), (acc["sum"] + acc["term"]).alias("sum")))["sum"]
+    return F.when(n == 0, 1.0).when(n <= 1000, few).otherwise(F.when(upper, tail).otherwise(1 - tail))
 
 
 def zscore(a: Column) -> Column:

@@ -116,18 +116,22 @@ def rounded_split(df: DataFrame, by: str, key: str, seed: int, parts: list[tuple
 
 
 def voice_split(ids: DataFrame, n_test: int, n_val: int, test_pct: int = 30, val_pct: int = 8) -> DataFrame:
-    """SP10: ids: no (0 .. n-1, at most about 20), n. The pair of disjoint id sets with the least deviation from the shares; ties to the first in sorted order."""
-    spark = ids.sparkSession
-    size = ids.count()
-    if size > 20:
-        raise ValueError("at most 20 ids")
+    """SP10: ids: no, n. The pair of disjoint id sets with the least deviation from the shares; ties to the first in sorted order. The pairs of sets are the planned product; any number of ids."""
     total = F.broadcast(ids.agg(F.sum("n").alias("total")))
-    masks = spark.range(1 << size).withColumnRenamed("id", "m").where(F.bit_count("m").isin(n_test, n_val))
-    sums = masks.join(F.broadcast(ids), F.expr("getbit(m, no) = 1")).groupBy("m").agg(F.sum("n").alias("s"), F.array_sort(F.collect_list("no")).alias("ids"))
-    test = sums.where(F.bit_count("m") == n_test).select(F.col("m").alias("mt"), F.col("s").alias("st"), F.col("ids").alias("test_ids"))
-    val = sums.where(F.bit_count("m") == n_val).select(F.col("m").alias("mv"), F.col("s").alias("sv"), F.col("ids").alias("val_ids"))
+    one = ids.where(F.col("no").isNotNull())
+
+    def sets(size: int) -> DataFrame:
+        """Sets of `size` ids in rising order, with their sum."""
+        x = one.select(F.array("no").alias("ids"), F.col("n").alias("s"))
+        for _ in range(size - 1):
+            more = F.broadcast(one.select("no", "n"))
+            x = x.join(more, F.col("no") > F.element_at("ids", -1)).select(F.array_append("ids", F.col("no")).alias("ids"), (F.col("s") + F.col("n")).alias("s"))
+        return x
+
+    test = sets(n_test).select(F.col("s").alias("st"), F.col("ids").alias("test_ids"))
+    val = sets(n_val).select(F.col("s").alias("sv"), F.col("ids").alias("val_ids"))
     err = F.abs(100 * F.col("st") - test_pct * F.col("total")) + F.abs(100 * F.col("sv") - val_pct * F.col("total"))
-    pairs = test.join(F.broadcast(val), F.expr("(mt & mv) = 0")).crossJoin(total)
+    pairs = test.join(F.broadcast(val), ~F.arrays_overlap("test_ids", "val_ids")).crossJoin(total)
     best = pairs.agg(F.min(F.struct(err.alias("err"), "test_ids", "val_ids")).alias("b"))
     return best.select("b.err", F.array_join("b.test_ids", ",").alias("test_ids"), F.array_join("b.val_ids", ",").alias("val_ids"))
 

@@ -23,7 +23,16 @@ def timed(spark, d):
 
 @add("es1_sliding_windows", "WITH e AS (SELECT user_id, value, epoch_us(ts) AS u FROM events WHERE user_id % 10 = 0), x AS (SELECT user_id, value, unnest(range((u // 21600000000) * 21600000000 - 64800000000, (u // 21600000000) * 21600000000 + 1, 21600000000)) AS s, u FROM e), m AS (SELECT max(u) AS m FROM e) SELECT user_id, make_timestamp(s) AS start, make_timestamp(s + 86400000000) AS \"end\", count(*) AS n, max(value) AS top FROM x, m WHERE u >= s AND u < s + 86400000000 AND s + 86400000000 <= m GROUP BY 1, 2, 3")
 def es1(spark, d):
-    out = E.sliding(table(spark, d, "events").where("user_id % 10 = 0").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "1 day", "6 hours")
+    return _es1(table(spark, d, "events").where("user_id % 10 = 0"))
+
+
+@add("es1_sliding_windows_whole")
+def es1_whole(spark, d):
+    return _es1(table(spark, d, "events"))
+
+
+def _es1(events):
+    out = E.sliding(events.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "1 day", "6 hours")
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 

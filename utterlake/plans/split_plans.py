@@ -61,7 +61,16 @@ FROM (SELECT f.fam, g.i, te, tr, va, n, g.grp, CASE WHEN total - 10 * va >= tota
 SELECT fam, grp, split FROM f WHERE i > 0""",
 )
 def sp4(spark, d):
-    sizes = table(spark, d, "orders").where("o_custkey % 5 = 0").groupBy(F.col("o_orderpriority").alias("fam"), F.col("o_custkey").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+    return _sp4(table(spark, d, "orders").where("o_custkey % 5 = 0"))
+
+
+@add("sp4_greedy_group_split_whole")
+def sp4_whole(spark, d):
+    return _sp4(table(spark, d, "orders"))
+
+
+def _sp4(orders):
+    sizes = orders.groupBy(F.col("o_orderpriority").alias("fam"), F.col("o_custkey").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
     return S.group_split(sizes, "fam", "grp", "n", 4, {"train": 8, "val": 1, "test": 1}).select("fam", F.col("grp").cast("long").alias("grp"), "split")
 
 
@@ -99,7 +108,16 @@ p AS (SELECT abs(100 * a.s - 30 * t) + abs(100 * b.s - 8 * t) AS err, a.ids AS t
 SELECT err::BIGINT AS err, array_to_string(ta, ',') AS test_ids, array_to_string(vb, ',') AS val_ids FROM p ORDER BY p.err, ta, vb LIMIT 1""",
 )
 def sp10(spark, d):
-    ids = table(spark, d, "customer").where("c_nationkey < 10").groupBy(F.col("c_nationkey").alias("no")).agg(F.count(F.lit(1)).alias("n"))
+    return _sp10(table(spark, d, "customer").where("c_nationkey < 10"))
+
+
+@add("sp10_voice_split_whole")
+def sp10_whole(spark, d):
+    return _sp10(table(spark, d, "customer"))
+
+
+def _sp10(customers):
+    ids = customers.groupBy(F.col("c_nationkey").alias("no")).agg(F.count(F.lit(1)).alias("n"))
     return S.voice_split(ids, 3, 2)
 
 
@@ -183,8 +201,17 @@ def sp21(spark, d):
 
 @add("sp22_even_pairs", f"WITH p AS (SELECT p_type AS label, p_partkey AS clip, s_suppkey AS persona FROM part, supplier WHERE p_partkey % 20 = 0 AND s_suppkey < 8), r AS (SELECT *, row_number() OVER (PARTITION BY label, clip ORDER BY {draw_sql(2, 'pair', 'clip', 'persona')}) AS r FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY r, clip) AS o FROM r) SELECT label, clip, persona FROM o WHERE o <= 25")
 def sp22(spark, d):
-    c = table(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_type").alias("label"), F.col("p_partkey").alias("clip"))
-    p = table(spark, d, "supplier").where("s_suppkey < 8").select(F.col("s_suppkey").alias("persona"))
+    return _sp22(table(spark, d, "part").where("p_partkey % 20 = 0"), table(spark, d, "supplier").where("s_suppkey < 8"))
+
+
+@add("sp22_even_pairs_whole")
+def sp22_whole(spark, d):
+    return _sp22(table(spark, d, "part"), table(spark, d, "supplier"))
+
+
+def _sp22(parts, suppliers):
+    c = parts.select(F.col("p_type").alias("label"), F.col("p_partkey").alias("clip"))
+    p = suppliers.select(F.col("s_suppkey").alias("persona"))
     return S.even_pairs(c, p, "label", "clip", "persona", 25, 2)
 
 
@@ -246,7 +273,16 @@ UNION ALL SELECT spk, i, CASE WHEN take THEN longer ELSE len END, CASE WHEN take
 l AS (SELECT *, row_number() OVER (PARTITION BY spk ORDER BY i DESC) AS r FROM f) SELECT spk, len AS ms, out AS clips FROM l WHERE r = 1 AND len >= 8000""",
 )
 def sp30(spark, d):
-    x = table(spark, d, "orders").where("o_custkey % 7 = 0").select(F.col("o_custkey").alias("spk"), F.when(F.col("o_orderstatus") == "F", "read").otherwise("clip").alias("kind"), F.col("o_orderkey").alias("k"), F.bround(F.col("o_totalprice") / 200).cast("int").alias("ms"))
+    return _sp30(table(spark, d, "orders").where("o_custkey % 7 = 0"))
+
+
+@add("sp30_prompt_packing_whole")
+def sp30_whole(spark, d):
+    return _sp30(table(spark, d, "orders"))
+
+
+def _sp30(orders):
+    x = orders.select(F.col("o_custkey").alias("spk"), F.when(F.col("o_orderstatus") == "F", "read").otherwise("clip").alias("kind"), F.col("o_orderkey").alias("k"), F.bround(F.col("o_totalprice") / 200).cast("int").alias("ms"))
     return S.prompt_pack(x, "spk", "kind", "k", "ms")
 
 

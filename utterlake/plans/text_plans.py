@@ -191,5 +191,14 @@ def ar9(spark, d):
 t AS (SELECT g, k, n, unnest(range(k, n + 1)) AS i FROM w) SELECT g, k, n, round(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))), 6) AS p FROM t GROUP BY g, k, n""",
 )
 def ar7(spark, d):
-    e = table(spark, d, "events").where("event_id % 40 < 2").groupBy((F.col("user_id") % 10).alias("g")).agg(F.count_if(F.col("value") > 60).alias("k"), F.count_if((F.col("value") > 60) | (F.col("value") < 12)).alias("n"))
+    return _ar7(table(spark, d, "events").where("event_id % 40 < 2"))
+
+
+@add("ar7_sign_test_whole")
+def ar7_whole(spark, d):
+    return _ar7(table(spark, d, "events"))
+
+
+def _ar7(events):
+    e = events.groupBy((F.col("user_id") % 10).alias("g")).agg(F.count_if(F.col("value") > 60).alias("k"), F.count_if((F.col("value") > 60) | (F.col("value") < 12)).alias("n"))
     return e.select("g", "k", "n", F.round(A.sign_test(F.col("k"), F.col("n")), 6).alias("p"))
