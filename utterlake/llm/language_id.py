@@ -4,8 +4,12 @@ Hashed byte n-grams (one to four bytes, letters in lower case) become
 log-scaled counts times inverse document frequency, with unit length. Each
 language has several centroids, found by spherical k-means; a text takes the
 language of the centroid with the largest cosine. It is rejected when that
-cosine lies under the centroid's radius, a fixed share of the smallest cosine
-seen among the centroid's own training texts, or when it has no letter.
+cosine lies under the language's radius for texts with as many different
+n-grams, or when it has no letter. The radius is a share of a low quantile of the cosines
+of the language's own training texts and their beginnings: cosines grow with
+the number of different n-grams, whatever the text, so each range of that
+number has its own radius, which no single outlier rules. Ranges seen too
+rarely take the radius of the next lower range, the lowest 0.
 
 Document frequencies cover every training document. Centroids are fitted on a
 hash sample of about `per_language` training texts of each language: the
@@ -30,6 +34,8 @@ from .ngrams import counts
 
 BITS = 12
 OUT = ("lang_pred", "score", "rejected")
+BEGINNINGS = (12, 40, 120, 400)
+STEPS = 2 * BITS + 1
 
 
 @dataclass(frozen=True)
@@ -52,8 +58,24 @@ def vectors(column: pa.Array, idf: np.ndarray):
         yield first, np.divide(v, norm, out=v, where=norm > 0)
 
 
-def cluster(vecs: np.ndarray, k: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest-first starts: centroids and the smallest cosine in each."""
+def breadth(vecs: np.ndarray) -> np.ndarray:
+    """Range of the number of different n-grams: two to each doubling."""
+    return (2 * np.log2(np.maximum(np.count_nonzero(vecs, axis=1), 1))).astype(np.int64)
+
+
+def radii(best: np.ndarray, wide: np.ndarray, quantile: float, least: int) -> np.ndarray:
+    """The low quantile of the cosines of each range; one with fewer than `least` takes that of the range before."""
+    out, r = np.zeros(STEPS), 0.0
+    for i in range(STEPS):
+        here = best[wide == i]
+        if len(here) >= least:
+            r = max(r, float(np.quantile(here, quantile)))
+        out[i] = r
+    return out
+
+
+def cluster(vecs: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    """Spherical k-means from farthest-first starts."""
     rng = np.random.default_rng(seed)
     centre = [vecs[rng.integers(len(vecs))]]
     while len(centre) < min(k, len(vecs)):
@@ -65,13 +87,10 @@ def cluster(vecs: np.ndarray, k: int, rounds: int, seed: int) -> tuple[np.ndarra
             if (own == j).any():
                 mean = vecs[own == j].mean(axis=0)
                 c[j] = mean / max(np.linalg.norm(mean), 1e-12)
-    sims = vecs @ c.T
-    own = np.argmax(sims, axis=1)
-    low = np.array([sims[own == j, j].min() if (own == j).any() else 1.0 for j in range(len(c))])
-    return c, low
+    return c
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, clusters: int = 4, share: float = 0.2, seed: int = 5) -> Model | None:
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, clusters: int = 4, quantile: float = 0.01, least: int = 50, share: float = 0.7, seed: int = 5) -> Model | None:
     """A model from labelled texts; None without any."""
     train = train.where(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}"))
     sizes = {r[lang]: r["n"] for r in train.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -97,21 +116,23 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
 
     def embed(batches):
         for batch in batches:
-            for first, v in vectors(batch.column(2), idf):
-                part = batch.slice(first, len(v))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in v])], ["lang", "key", "vec"])
+            for name, of, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                parts = [texts, *[texts[:n] for n in BEGINNINGS if n < len(texts)]]
+                vecs = np.concatenate([v for _, v in vectors(pa.array(parts, pa.string()), idf)])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(vecs)), pa.array([of] * len(vecs), pa.int64()), pa.array(range(len(vecs)), pa.int32()), pa.array([x.tobytes() for x in vecs])], ["lang", "key", "part", "vec"])
 
     def centroids(group: pa.Table) -> pa.Table:
-        group = group.sort_by("key")
+        group = group.sort_by([("key", "ascending"), ("part", "ascending")])
         vecs = np.frombuffer(b"".join(group["vec"].to_pylist()), np.float32).reshape(len(group), -1)
-        c, low = cluster(vecs, clusters, 8, seed)
-        return pa.table({"lang": [group["lang"][0].as_py()] * len(c), "no": np.arange(len(c)), "vec": [x.astype(np.float32).tobytes() for x in c], "low": low.astype(np.float64)})
+        c = cluster(vecs[group["part"].to_numpy() == 0], clusters, 8, seed)
+        r = share * radii((vecs @ c.T).max(axis=1), breadth(vecs), quantile, least)
+        return pa.table({"lang": [group["lang"][0].as_py()] * len(c), "no": np.arange(len(c)), "vec": [x.astype(np.float32).tobytes() for x in c], "radius": [r.tolist()] * len(c)})
 
-    shaped = sample.mapInArrow(embed, "lang string, key long, vec binary")
-    rows = sorted(shaped.groupBy("lang").applyInArrow(centroids, "lang string, no long, vec binary, low double").collect(), key=lambda r: (r["lang"], r["no"]))
+    shaped = sample.mapInArrow(embed, "lang string, key long, part int, vec binary")
+    rows = sorted(shaped.groupBy("lang").applyInArrow(centroids, "lang string, no long, vec binary, radius array<double>").collect(), key=lambda r: (r["lang"], r["no"]))
     if not rows:
         return None
-    return Model([r["lang"] for r in rows], idf, np.array([np.frombuffer(r["vec"], np.float32) for r in rows]), share * np.array([r["low"] for r in rows]))
+    return Model([r["lang"] for r in rows], idf, np.array([np.frombuffer(r["vec"], np.float32) for r in rows]), np.array([r["radius"] for r in rows]))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -127,14 +148,16 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     def label(batches):
         for batch in batches:
             letter = batch.column(len(cols)).to_numpy(zero_copy_only=False)
-            best, score = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            best, score, radius = np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.zeros(len(batch))
             for first, v in vectors(batch.column(at), model.idf):
                 sims = v @ model.centroids.T
-                best[first : first + len(v)] = np.argmax(sims, axis=1)
+                own = np.argmax(sims, axis=1)
+                best[first : first + len(v)] = own
                 score[first : first + len(v)] = sims.max(axis=1)
+                radius[first : first + len(v)] = model.radius[own, breadth(v)]
             lang = np.where(letter, names[best], "und")
             score = np.where(letter, np.clip(score, 0, 1), 0.0)
-            rejected = ~letter | (score < model.radius[best])
+            rejected = ~letter | (score < radius)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*cols, *OUT])
 
     schema = marked.drop("_letter").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(True)}).schema
