@@ -34,7 +34,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import string_buffers
@@ -168,7 +168,7 @@ def mark(texts: list[bytes], many: np.ndarray, length: int) -> list[list[tuple[i
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = 1 << 20, hot_anchor: int = 2000) -> DataFrame:
-    """docs: row long, tag int, text; row and tag name a row. Returns row, tag, lo, hi: byte ranges, one row each, that repeated windows cover."""
+    """docs: row long, tag long, text; row and tag name a text of an id, equal rows share both. Returns row, tag, lo, hi: byte ranges, one row each, that repeated windows cover."""
 
     def cut(batches):
         for batch in batches:
@@ -181,7 +181,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buc
                 anchor, lo, n = segments(text, length, gram)
                 raw = text.tobytes()
                 out["row"].append(np.full(len(lo), row, np.int64))
-                out["tag"].append(np.full(len(lo), tag, np.int32))
+                out["tag"].append(np.full(len(lo), tag, np.int64))
                 out["anchor"].append(anchor.view(np.int64))
                 out["seg"].append(np.array([xxhash.xxh3_64_intdigest(raw[i : i + m + length - 1]) for i, m in zip(lo.tolist(), n.tolist(), strict=True)], np.uint64).view(np.int64))
                 out["lo"].append(lo.astype(np.int32))
@@ -189,7 +189,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buc
             if out["row"]:
                 yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()})
 
-    cuts = keep(docs.mapInArrow(cut, "row long, tag int, anchor long, seg long, lo int, n int"), "segments")
+    cuts = keep(docs.mapInArrow(cut, "row long, tag long, anchor long, seg long, lo int, n int"), "segments")
     # counts are summed before the shuffle; then only what has an anchor in common goes on
     busy = cuts.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1")
     cuts = keep(cuts.join(busy.select("anchor"), "anchor"), "repeated")
@@ -216,7 +216,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buc
                     out = {k: [] for k in out}
             yield pa.RecordBatch.from_pydict(out, schema=FETCHED)
 
-    bodies = docs.join(wanted, ["row", "tag"]).select("text", "w").mapInArrow(fetch, "anchor long, seg long, times long, kinds long, body binary")
+    one = docs.join(wanted, ["row", "tag"]).groupBy("row", "tag").agg(F.first("text").alias("text"), F.first("w").alias("w"))  # of equal rows
+    bodies = one.select("text", "w").mapInArrow(fetch, "anchor long, seg long, times long, kinds long, body binary")
     bodies = keep(bodies, "bodies")
     size = bodies.where(F.col("kinds") <= hot_anchor).agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
@@ -268,15 +269,20 @@ def merge(lo: list[int], hi: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def row_tag(key: Column, text: Column) -> dict[str, Column]:
+    """row and tag: two 64-bit hashes with different seeds of id, its null flag and text."""
+    return {name: F.xxhash64(F.lit(seed), key.isNull(), key, text.isNull(), text) for name, seed in (("row", 41), ("tag", 42))}
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256, spans and kept_text (remaining bytes; what a cut leaves of a broken character is dropped from it)."""
     if clash := {*OWN, "row", "tag", "ranges"} & set(docs.columns):
         raise ValueError(f"columns already present: {sorted(clash)}")
-    # a row is known by its id and a hash of its text; equal rows share both and so their ranges
-    numbered = docs.withColumns({"row": F.coalesce(F.col(key).cast("long"), F.lit(-1)), "tag": F.hash(F.col(text))})
+    # a row is known by 128 bits of its id, null or not, and its text; equal rows share them and so their ranges
+    numbered = docs.withColumns(row_tag(F.col(key), F.col(text)))
     body = numbered.select("row", "tag", F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranges = repeated_ranges(body, length, **options)
-    per_row = ranges.groupBy("row", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    per_row = ranges.groupBy("row", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     joined = numbered.join(per_row, ["row", "tag"], "left")
     at = docs.columns.index(text)
     cols = docs.columns
