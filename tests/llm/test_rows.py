@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from utterlake.llm import repeat_index
+from utterlake.llm import jaccard_join, repeat_index
 
 
 def words(rng, n):
@@ -51,3 +52,32 @@ def test_equal_rows_do_not_multiply_ranges(spark, monkeypatch):
     assert len(got) == 31 and all(r.n_removed == len(text) for r in got if r.doc_id is None)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" in plan and "collect_list(struct(lo" not in plan
+
+
+def kept(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(docs).collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    a = [words(rng, 100) for _ in range(5)]
+    return a, [x + " more" for x in a]
+
+
+def test_keep_one_decides_by_row(spark, texts):
+    a, near = texts
+    rows = [
+        (None, a[0]), (None, near[0]), (None, a[0]),  # a null id: one stays
+        (5, a[1]), (9, near[1]), (9, a[2]),  # near[1] goes, the other text of id 9 stays
+        (3, a[3]), (3, near[3]), (3, a[3]),  # one id: one stays
+        (None, a[4]), (8, near[4]),  # nulls come last
+        (None, ""), (None, None), (4, " "), (4, " "), (9, None),  # the empty set is linked with nothing
+    ]
+    got = kept(spark, rows)
+    full = [r for r in got if r[1] and r[1].strip()]
+    assert sum(k is None for k, _ in full) == 1 and sum(k == 3 for k, _ in full) == 1
+    assert {r for r in full if r[0] not in (None, 3)} == {(5, a[1]), (9, a[2]), (8, near[4])} and len(full) == 5
+    assert sorted((r for r in got if r not in full), key=repr) == sorted(rows[-5:], key=repr)
+    assert got == kept(spark, rows[::-1])

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ngrams import string_buffers
+from .repeat_index import row_tag
 from .scratch import drop, keep
 
 WORDS = 5
@@ -378,10 +379,32 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those whose component has a smaller id; of rows that share the id, one stays."""
-    found = jaccard_join(docs, key, text).where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
-    rest = docs.join(found, key, "left_anti")
-    return rest.dropDuplicates([key, text])
+    """docs with one row of each component: that of the smallest id, nulls last, then of the smallest hash of id and text; of equal rows one. Rows with the empty set stay."""
+    if clash := {"row", "tag", "full", "turn"} & set(docs.columns):
+        raise ValueError(f"columns already present: {sorted(clash)}")
+    named = docs.withColumns(row_tag(F.col(key), F.col(text)))
+
+    def measure(batches):
+        for batch in batches:
+            n, a, b = [], [], []
+            for _, s in shingle_sets(batch.column(3)):
+                x, y = fingerprint(s)
+                n.append(len(s))
+                a.append(x)
+                b.append(y)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["row", "tag", "doc_id", "n_shingles", "cls", "check"])
+
+    short = named.select("row", "tag", F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sets = keep(short.mapInArrow(measure, "row long, tag long, doc_id long, n_shingles long, cls long, check long"), "sets")
+    labels = similar_classes(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row", "tag")
+    full = F.col("n_shingles") > 0
+    first = sets.where(full).groupBy("cls", "check").agg(F.min(order).alias("at"))
+    first = first.join(labels, "cls", "left").groupBy(F.coalesce("label", "cls")).agg(F.min("at").alias("at"))
+    stay = first.select("at.row", "at.tag", F.lit(True).alias("full"))
+    stay = stay.unionByName(sets.where(~full).select("row", "tag", F.lit(False).alias("full")).distinct())
+    turn = F.row_number().over(Window.partitionBy("row", "tag").orderBy("full"))
+    return named.join(stay, ["row", "tag"]).withColumn("turn", turn).where(~F.col("full") | (F.col("turn") == 1)).select(*docs.columns)
 
 
 def op3_jaccard_join(spark, sf_dir):
