@@ -1,11 +1,15 @@
 """Quality classifier: ordinal cumulative-link regression on graded texts.
 
 A text is a sparse vector of hashed words (letters in lower case, log counts),
-shares of single bytes of the raw text, and its repetition. Words in too few
-training texts to tell anything keep weight 0. One weight vector is shared by
+shares of single bytes of the raw text, and its repetition. Words in fewer than
+`least_rows` training texts keep weight 0; the lasso takes out the others that
+tell nothing. One weight vector is shared by
 all grades;
 ordered thresholds cut the score: P(grade <= k) = sigmoid(threshold_k - w.x).
 The result is the expected grade and tail probabilities for selection.
+Both tails follow one score, so toxicity is also judged by a regression of its
+own (grade 0 against the rest); the most of it that a selected text may have
+is set on held-out training rows.
 
 The fit takes a hash sample of about `train_rows` labelled rows (a documented
 bound); every text is scored whole.
@@ -19,7 +23,7 @@ repeat; an empty table gives no rows; other columns pass through.
 from __future__ import annotations
 
 import pickle
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,8 @@ OUT = ("expected_grade", "tail", "selected")
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
+    toxic: Model | None = None
+    most_toxic: float = 1.0
 
 
 def features(column: pa.Array):
@@ -62,11 +68,11 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, grades: int, rounds: int, rate: float, lasso: float, least_share: float = 0.01) -> Model:
+def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, grades: int, rounds: int, rate: float, lasso: float, least_rows: int = 5) -> Model:
     """Full-batch Adagrad on the cumulative-link likelihood, grades weighted to equal sums."""
     which = np.repeat(np.arange(len(rows)), [len(s) for s, _ in rows])
     slots, values = np.concatenate([s for s, _ in rows]), np.concatenate([v for _, v in rows])
-    common = np.bincount(slots, minlength=WIDTH) >= max(2, least_share * len(rows))
+    common = np.bincount(slots, minlength=WIDTH) >= least_rows
     seen = common[slots]
     which, slots, values = which[seen], slots[seen], values[seen]
     weight = 1.0 / np.bincount(y, minlength=grades)[y]
@@ -92,7 +98,23 @@ def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, grades: in
     return Model(w.astype(np.float32), theta)
 
 
-def fit(graded: DataFrame, train_rows: int = 8_000, seed: int = 3, rounds: int = 300, rate: float = 0.1, lasso: float = 1e-3) -> Model | None:
+def scores(rows: list[tuple[np.ndarray, np.ndarray]], model: Model) -> np.ndarray:
+    return np.array([(model.weights[slots] * values).sum() for slots, values in rows])
+
+
+def guard(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, top: int, cost: float, **options) -> tuple[Model, float] | None:
+    """A regression of grade 0 against the rest with weights of its own, and the probability of grade 0 that only a share `cost` of the best grade's held-out rows (every fourth) exceeds."""
+    apart = np.arange(len(rows)) % 4 == 0
+    at = np.flatnonzero(~apart)
+    best = np.flatnonzero(apart & (y == top))
+    if not len(best) or len(np.unique(y[at] > 0)) < 2:
+        return None
+    model = descend([rows[i] for i in at], (y[at] > 0).astype(np.int64), 2, **options)
+    p = sigmoid(model.thresholds[0] - scores([rows[i] for i in best], model))
+    return model, float(np.quantile(p, 1 - cost))
+
+
+def fit(graded: DataFrame, train_rows: int = 8_000, seed: int = 3, rounds: int = 300, rate: float = 0.1, lasso: float = 1e-3, cost: float = 0.02) -> Model | None:
     """graded: key, text, grade (0, 1, 2 ...)."""
     graded = graded.where(F.col("grade").isNotNull())
     n, top = graded.agg(F.count(F.lit(1)), F.max("grade")).first()
@@ -108,14 +130,17 @@ def fit(graded: DataFrame, train_rows: int = 8_000, seed: int = 3, rounds: int =
         present = np.unique(y)
         if len(present) < 2:
             return pa.table({"model": pa.array([], pa.binary())})
-        return pa.table({"model": [pickle.dumps(descend(rows, y, int(top) + 1, rounds, rate, lasso))]})
+        model = descend(rows, y, int(top) + 1, rounds, rate, lasso)
+        if top > 1 and (found := guard(rows, y, int(top), cost, rounds=rounds, rate=rate, lasso=lasso)):
+            model = replace(model, toxic=found[0], most_toxic=found[1])
+        return pa.table({"model": [pickle.dumps(model)]})
 
     row = sample.select("key", "text", "grade").groupBy(F.lit(1).alias("all")).applyInArrow(train, "model binary").first()
     return pickle.loads(row["model"]) if row else None
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", at_least: int = 2, least: float = 0.2) -> DataFrame:
-    """docs with expected_grade, tail (probability of `at_least` or better) and selected (tail >= least)."""
+    """docs with expected_grade, tail (probability of `at_least` or better) and selected (tail >= least, and grade 0 no likelier than the model allows)."""
     if clash := set(OUT) & set(docs.columns):
         raise ValueError(f"columns already present: {sorted(clash)}")
     if model is None:
@@ -124,12 +149,14 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", at_least: in
 
     def rate(batches):
         for batch in batches:
-            z = np.zeros(len(batch))
+            z, bad = np.zeros(len(batch)), np.zeros(len(batch))
             for row, slots, values in features(batch.column(at)):
                 z[row] = (model.weights[slots] * values).sum()
+                if model.toxic is not None:
+                    bad[row] = sigmoid(model.toxic.thresholds[0] - (model.toxic.weights[slots] * values).sum())
             above = 1 - sigmoid(model.thresholds[None] - z[:, None])  # P(grade > k)
             tail = above[:, min(at_least, above.shape[1]) - 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above.sum(axis=1)), pa.array(tail), pa.array(tail >= least)], [*cols, *OUT])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(above.sum(axis=1)), pa.array(tail), pa.array((tail >= least) & (bad <= model.most_toxic))], [*cols, *OUT])
 
     schema = docs.withColumns({"expected_grade": F.lit(0.0), "tail": F.lit(0.0), "selected": F.lit(True)}).schema
     return docs.mapInArrow(rate, schema)
