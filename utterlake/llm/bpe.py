@@ -163,7 +163,7 @@ def blocks(docs: DataFrame, path: str, buckets: int, most_words: int = 4_000_000
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = split(text or "", path)
-                for w in set(words) - known.keys():
+                for w in set(words).difference(known):  # a set less a dictionary view would walk the whole dictionary
                     known[w] = len(known)
                 codes.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 ids.append(doc)
