@@ -97,13 +97,19 @@ class Encoder:
         if len(self.cache) > self.most:
             self.cache = {}
         cache = self.cache
-        fresh = list(set().union(*split_texts) - cache.keys())
+        fresh = list(set().union(*split_texts).difference(cache))
         for i in range(0, len(fresh), 20_000):
             part = fresh[i : i + 20_000]
             cache.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(part, encode_words(part, self.path), strict=True))
         return [np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4") for words in split_texts]
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """The encoder of a Python worker: words met in one task are known in the worker's next."""
+    return Encoder(path)
+
+
 BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("body", pa.binary()), ("numbers", pa.binary())])
 BLOCK_SQL = "block long, bucket int, docs array<long>, body binary, numbers binary"
 TABLE = pa.schema([("block", pa.int64()), ("numbers", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary())])

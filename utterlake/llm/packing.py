@@ -25,10 +25,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, vocabulary
+from .bpe import encoder, vocabulary
 from .scratch import keep
 
 PIECE, GAP, PLACED = 0, 1, 2
@@ -42,12 +42,12 @@ def cut_pieces(docs: DataFrame, capacity: int, end_id: int, path: str) -> DataFr
     """docs: doc_id, text. One row a piece; local: its number among the task's pieces of the same length."""
 
     def cut(batches):
-        encoder, seen, part = Encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        known, seen, part = encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo in range(0, len(docs_), 500):
                 out = {k: [] for k in PIECES.names}
-                for doc, ids in zip(docs_[lo : lo + 500], encoder.ids([t or "" for t in texts[lo : lo + 500]]), strict=True):
+                for doc, ids in zip(docs_[lo : lo + 500], known.ids([t or "" for t in texts[lo : lo + 500]]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for no, start in enumerate(range(0, len(ids), capacity)):
                         p = ids[start : start + capacity]
@@ -142,6 +142,19 @@ def pack_lengths(spark: SparkSession, lengths: DataFrame, capacity: int, zones:
     return out.select(F.col("size").cast("long").alias("length"), "first", "n", "bin", "per", "off")
 
 
+def placed_pieces(ranked: DataFrame, placements: DataFrame, block: int = 1 << 12) -> DataFrame:
+    """Each piece with the placement that starts last at or before its rank, if any. A length is dealt by blocks of ranks, placements are cut at them: a frequent length is many groups, and each is met in one pass."""
+    last = F.col("first") + F.col("n") - 1
+    cut = placements.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(last / block))))
+    none = F.lit(None)
+    cut = cut.select("length", "block", F.greatest("first", F.col("block") * block).alias("rank"), F.lit(0).alias("turn"), F.struct("first", "bin", "per", "off").alias("p"))
+    own = [c for c in ranked.columns if c not in ("length", "rank")]
+    asked = ranked.select("length", F.floor(F.col("rank") / block).alias("block"), "rank", F.lit(1).alias("turn"), none.cast(cut.schema["p"].dataType).alias("p"), F.struct(*own).alias("own"))
+    both = cut.withColumn("own", none.cast(asked.schema["own"].dataType)).unionByName(asked)
+    so_far = Window.partitionBy("length", "block").orderBy("rank", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("p", F.last("p", ignorenulls=True).over(so_far)).where("turn = 1").select("length", "rank", "own.*", "p.*")
+
+
 def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
@@ -151,12 +164,11 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | Non
     lengths = keep(per_part.groupBy("length").agg(F.sum("n").alias("n")), "lengths")
     placements = keep(pack_lengths(spark, lengths.where(F.col("length") < capacity), capacity), "placements")
     # rank within a length: the task's own count after those of earlier tasks; a row for each task and length
-    before = per_part.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("p")).select("length", F.explode(_running("p")).alias("o")).select("length", "o.part", "o.before")
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_part.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("local")).drop("part", "local", "before")
-    p = placements.withColumnRenamed("length", "size")
-    fits = (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
+    packed = placed_pieces(ranked, placements)
     inside = F.col("rank") - F.col("first")
-    packed = ranked.join(p, fits, "left")
     whole = F.col("length") == capacity
     return packed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
@@ -165,13 +177,6 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | Non
     )
 
 
-def _running(column: str):
-    """(part, before) of an array of (part, n) in order of part."""
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<part:int,before:bigint>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["sum"] + x["n"]).alias("sum"), F.concat(acc["out"], F.array(F.struct(x["part"].alias("part"), acc["sum"].alias("before")))).alias("out"))
-    return F.aggregate(column, start, step)["out"]
-
-
 def op4_packing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack(docs)
