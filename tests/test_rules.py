@@ -163,11 +163,100 @@ def test_paths(spark):
     assert one(spark, rows.contained(F.lit("a/../../b"))) is False
 
 
-def test_integer_gates(spark):
-    row = spark.createDataFrame([(1000, 900, 895, 10, 3, 100, 80, 80, None, True)], "n long, base_exact long, new_exact long, base_fa long, new_fa long, human_n long, human_base long, human_new long, worst_drop long, parity boolean")
-    assert decide.pilot_rules(row).first().verdict == "GO"
-    assert decide.pilot_rules(row.withColumn("new_exact", F.lit(894))).first().failed == "R1_exact"
-    assert decide.pilot_rules(row.withColumn("parity", F.lit(False))).first().verdict == "INVALID"
+INP = {
+    "noisy_b_fa": 10, "noisy_s_fa": 5, "noisy_b_babble_fa": 6, "noisy_s_babble_fa": 5, "removed": 8, "added": 0, "clean_b_fa": 4, "clean_s_fa": 4,
+    "clean_b_exact": 1000, "clean_s_exact": 1000, "clean_b_n_targets": 1000, "noisy_b_exact": 1000, "noisy_s_exact": 1000, "noisy_b_n_targets": 1000, "noisy_b_ts_fa": 5, "noisy_s_ts_fa": 5,
+}
+
+
+def rule_row(spark, parity=True, **other):
+    """Rows of DR1's counts, one for each combination of the values given."""
+    return spark.createDataFrame([tuple((INP | other).values()) + (parity,)], ", ".join(f"{k} long" for k in INP) + ", parity boolean")
+
+
+def label_row(spark, n=50, clean=50, noisy=None):
+    return spark.createDataFrame([("TIME", n, n, clean, n, n if noisy is None else noisy)], "label string, clean_n long, clean_b_exact long, clean_s_exact long, noisy_b_exact long, noisy_s_exact long")
+
+
+@pytest.mark.parametrize(
+    ("other", "rule", "ok"),
+    [
+        ({"noisy_s_fa": 5}, "r1", True), ({"noisy_s_fa": 6}, "r1", False), ({"noisy_s_babble_fa": 6}, "r2", False),
+        ({"removed": 5}, "r3", True), ({"removed": 4}, "r3", False), ({"removed": 0}, "r3", False),
+        ({"clean_s_fa": 4}, "r4", True), ({"clean_s_fa": 5}, "r4", False), ({"noisy_s_ts_fa": 5}, "r7", True), ({"noisy_s_ts_fa": 6}, "r7", False),
+        ({"clean_s_exact": 995}, "r5", True), ({"clean_s_exact": 994}, "r5", False), ({"noisy_s_exact": 994}, "r5", False),
+    ],
+)
+def test_go_no_go_boundaries(spark, other, rule, ok):
+    r = decide.go_no_go(rule_row(spark, **other), label_row(spark)).first()
+    assert r[rule] is ok
+    assert r.verdict == ("GO" if ok else "NO-GO") and (ok or rule.upper() in r.reason)
+
+
+def test_go_no_go_labels_parity_and_few(spark):
+    say = lambda row, labels: decide.go_no_go(row, labels).first()
+    assert say(rule_row(spark), label_row(spark, 100, 97)).r6 and not say(rule_row(spark), label_row(spark, 100, 96)).r6
+    assert say(rule_row(spark), label_row(spark, 49, 0)).r6  # below the floor of 50 targets: ignored
+    assert not say(rule_row(spark), label_row(spark, 100, 100, 96)).r6
+    r = say(rule_row(spark, False), label_row(spark))
+    assert (r.verdict, r.reason, r.r1) == ("INVALID", "parity_failed", None)
+    r = say(rule_row(spark, noisy_b_fa=3, noisy_s_fa=0), label_row(spark))
+    assert (r.verdict, r.reason, r.r1) == ("NO-GO", "baseline_far_already_absorbed_by_margin", None)
+
+
+def gate_tables(spark, s, c=(0, 0), label=100):
+    """Baseline of 1000 exact rows and 4 false accepts in each condition against s: (exact, fa) clean and noisy."""
+    (ce, cf), (ne, nf) = s
+    row = [("val", 1000, 1000, 4, ce, cf, c[0], 1000, 1000, 4, ne, nf, c[1])]
+    cols = ", ".join(f"{k}_{v} long" for k in ("clean", "noisy") for v in ("b_n_targets", "b_exact", "b_fa", "s_exact", "s_fa", "c_fa"))
+    return spark.createDataFrame(row, "split string, " + cols), spark.createDataFrame([("val", "X", 100, 100, label, 100, 100)], "split string, label string, clean_n long, clean_b_exact long, clean_s_exact long, noisy_b_exact long, noisy_s_exact long")
+
+
+def test_gate_boundaries(spark):
+    g = lambda *a, **k: decide.gates(*gate_tables(spark, *a, **k), ["split"]).first()
+    assert not g(((995, 4), (995, 4)), label=97).g5  # 8 > 0 + 2
+    ok = g(((995, 1), (995, 1)), label=97)
+    assert all(ok[f"g{i}"] for i in range(1, 6))
+    assert not g(((994, 1), (995, 1))).g3
+    assert g(((1000, 0), (1000, 0)), label=96).failing == ["X"]
+    assert g(((1000, 5), (1000, 0))).g2 is False
+
+
+def test_hybrid_verdict_paths(spark):
+    def say(val, test):
+        rows_ = [(name, *[g not in bad for g in ("g1", "g2", "g3", "g4", "g5")], labels) for name, (bad, labels) in (("val", val), ("test", test))]
+        return decide.hybrid_verdict(spark.createDataFrame(rows_, "split string, g1 boolean, g2 boolean, g3 boolean, g4 boolean, g5 boolean, failing array<string>")).first().verdict
+
+    ok, g4 = ((), []), (("g4",), ["PAUSE"])
+    assert say(ok, ok) == "GO" and say(ok, g4) == "INCONCLUSIVE" and say(g4, ok) == "NO-GO"
+    assert say(ok, (("g4",), ["A", "B", "C"])) == "NO-GO" and say(ok, (("g4", "g1"), ["PAUSE"])) == "NO-GO"
+
+
+def test_calibrate(spark):
+    rows_ = [("A", -0.05, -0.05, None), ("A", -0.09, -0.09, None), ("A", -0.5, -0.5, None), ("B", -0.08, -0.08, None), ("B", -0.2, -0.2, None), ("C", -0.6, -0.6, None), (None, None, None, None), ("A", -0.01, -0.01, 1.0)]
+    df = spark.createDataFrame(rows_, "intent string, confidence double, d1 double, gap double")
+    got = {r["at"]: r.tau for r in decide.calibrate(df, {"d1": "d1"}, -0.1, 4.0).collect()}
+    assert got == {"d1|*": -0.09, "d1|A": -0.09, "d1|B": -0.08}  # the third best of all; C has no baseline accept; the small gap is not eligible
+    ok = decide.with_thresholds(df, decide.calibrate(df, {"d1": "d1"}, -0.1, 4.0))
+    relax, own = (ok.select(decide.config_ok(f"d1-{m}", {"d1": "d1"}, -0.1, 4.0).alias("x")) for m in ("relax", "per_intent"))
+    assert [r.x for r in relax.collect()] == [True, True, False, True, False, False, False, False]
+    assert [r.x for r in own.collect()] == [True, True, False, True, False, False, False, False]
+
+
+def test_halves_are_crc_bits(spark):
+    import zlib
+
+    got = {r.g: r.h for r in spark.createDataFrame([(f"s{i}",) for i in range(200)], "g string").select("g", decide.half_of(F.col("g")).alias("h")).collect()}
+    assert got == {g: zlib.crc32(g.encode()) & 1 for g in got} and 60 < sum(got.values()) < 140
+
+
+def test_gate_a(spark):
+    def say(clean, noisy, babble):
+        row = spark.createDataFrame([(980, clean, 1000, 950, noisy, 1000, 0, babble, 47)], "clean_b_exact long, clean_s_exact long, clean_b_n_targets long, noisy_b_exact long, noisy_s_exact long, noisy_b_n_targets long, noisy_b_babble_fa long, noisy_s_babble_fa long, scale long")
+        return {r.criterion: (r.bound, r.ok) for r in decide.gate_a(row).collect()}
+
+    assert say(976, 946, 1) == {"clean_exact": (975, True), "noisy_exact": (945, True), "noisy_babble_fa": (1, True)}
+    assert say(970, 950, 2) == {"clean_exact": (975, False), "noisy_exact": (945, True), "noisy_babble_fa": (1, False)}
 
 
 def test_voice_split_brute_force(spark):
