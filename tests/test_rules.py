@@ -134,11 +134,130 @@ def test_gate_closes_exactly(spark):
     assert got == [True, True, False]
 
 
+POLLS = "s string, t long, open_at long, intent string, ok boolean, ended boolean, fallback_ended boolean, speech long, fallback string"
+
+
+def ends(spark, polls, **options):
+    df = spark.createDataFrame([("s", *p) for p in polls], POLLS)
+    return [(r.opened_at, r.t, r.intent, r.reason) for r in events.endpointed(df, "s", **({"period": 5000, "stable": 2} | options)).orderBy("t").collect()]
+
+
 def test_endpointed(spark):
-    rows_ = [("s", 0, True, "on", True, False), ("s", 1, False, "on", True, True), ("s", 2, False, "on", True, True), ("s", 3, False, "off", True, True), ("s", 4, True, "off", False, False), ("s", 9, False, "off", False, False)]
-    df = spark.createDataFrame(rows_, "s string, t long, score_open boolean, intent string, ok boolean, quiet boolean")
-    got = events.endpointed(df, "s", "s string, opened_at long, t long, intent string, reason string", 5, 2, 2).orderBy("t").collect()
-    assert [(r.opened_at, r.t, r.intent, r.reason) for r in got] == [(0, 2, "on", "accepted"), (4, 9, None, "timeout")]
+    no = (False, 0, None)
+    said = lambda t, at, intent="on", ended=True: (t, at, intent, True, ended, *no)
+    # two equal confident windows, the second one ended; nothing within the first 300 ms
+    assert ends(spark, [said(0, 0), said(200, 0), said(400, 0, ended=False), said(600, 0)]) == [(0, 600, "on", "accepted")]
+    assert ends(spark, [said(0, 0), said(400, 0, "on"), said(600, 0, "off"), said(800, 0, "off")]) == [(0, 800, "off", "accepted")]
+    # the time-out counts from the latest opening, the period from the first
+    quiet = lambda t, at: (t, at, "on", False, False, *no)
+    assert ends(spark, [quiet(0, 0), quiet(2000, 2000), quiet(5000, 2000), quiet(7000, 2000)]) == [(0, 7000, None, "timeout")]
+    # after closing, the old detection must stop before a new one counts
+    again = [said(0, 0), said(400, 0), said(600, 0), said(700, 700), said(900, 900), said(1000, None), said(1100, 1100), said(1500, 1100), said(1700, 1100)]
+    assert ends(spark, again) == [(0, 600, "on", "accepted"), (1100, 1700, "on", "accepted")]
+
+
+def test_endpointed_fallback(spark):
+    ask = lambda t, speech, long, what: (t, 0, "on", False, True, long, speech, what)
+    assert ends(spark, [ask(0, 300, True, "red"), ask(400, 300, True, "red")]) == [(0, 400, "red", "fallback")]
+    assert ends(spark, [ask(0, 0, True, "red"), ask(400, 199, True, "red"), ask(600, 300, False, "red"), ask(800, 300, True, None)]) == []
+
+
+def test_debounce_runs_equal_one_fold(spark):
+    rng = random.Random(6)
+    rows_ = [(f"s{i % 3}", t, i) for i, t in enumerate(rng.sample(range(0, 4000), 600) + rng.sample(range(9000, 90000), 300))]
+    got = {r.k: r.emitted for r in events.debounce(spark.createDataFrame(rows_, "s string, t long, k long"), "s", "t", F.lit(True), 40, "k").collect()}
+    want, last = {}, {}
+    for s, t, k in sorted(rows_, key=lambda r: (r[1], r[2])):
+        want[k] = s not in last or t - last[s] >= 40
+        last[s] = t if want[k] else last[s]
+    assert got == want
+
+
+def test_state_fold_composes_stretches(spark):
+    table = {("a", "x"): "b", ("b", "x"): "a", ("b", "y"): "c", ("c", "x"): "a", ("a", "y"): "a"}
+    rng = random.Random(8)
+    rows_ = [(f"d{i % 3}", i, rng.choice("xyz")) for i in range(300)] + [("idle", 7, "z")]
+    got = {r.d: (r.state, r.changes) for r in events.state_fold(spark.createDataFrame(rows_, "d string, o long, e string"), "d", "o", "e", "a", table, stretch=16).collect()}
+    want = {}
+    for d, _, e in rows_:
+        state, n = want.get(d, ("a", 0))
+        want[d] = (table.get((state, e), state), n + ((state, e) in table))
+    assert got == want
+
+
+def unit(i, label, slot="", oos=False):
+    return (i, label, slot, oos, 0.2, 3.0, 4.0)
+
+
+def trig(i, t, intent, slots=(), text="x"):
+    return (i, "trigger", t, intent, list(slots), text, 60.0, 2.0)
+
+
+UNITS = "u int, label string, slot_value string, is_oos boolean, gap_s double, speech_end double, unit_end double"
+RECORDS = "u int, event string, t double, intent string, slots array<string>, text string, decode_ms double, gate_ms double"
+
+
+def test_soak_score(spark):
+    """Correct, wrong slot, missed, correct but early, out of scope, and a second trigger in the gap."""
+    units = [unit(0, "STOP"), unit(1, "TIMER", "10 seconds"), unit(2, "PAUSE"), unit(3, "NEXT"), unit(4, "unknown", oos=True), unit(5, "unknown", oos=True), unit(6, "STOP")]
+    records = [trig(0, 3.4, "STOP"), trig(1, 3.5, "TIMER", ["1 minute"], "[classifier]"), trig(3, 2.5, "NEXT"), trig(4, 3.0, "WEATHER"), trig(6, 3.2, "STOP"), trig(6, 6.0, "STOP")]
+    s = events.soak_score(spark.createDataFrame(units, UNITS), spark.createDataFrame(records, RECORDS), "u").first()
+    assert (s.commands, s.correct, s.missed, s.no_period) == (5, 3, 1, 1)
+    assert (s.wrong_intents, s.wrong_actions, s.early, s.by_classifier) == (0, 1, 1, 0)
+    assert (s.oos, s.oos_accepts, s.gap_triggers, s.extra) == (2, 1, 1, 1)
+    assert s.objective == 3 - 2 * (1 + 1 + 1) and (s.gap_00_03_correct, s.gap_00_03_all) == (3, 5)
+    assert abs(s.late_p50 - 0.4) < 0.31 and s.decode_ms_mean == 60.0 and s.both_ms_p95 == 62.0 and s.rtf_p95 == 0.248
+
+
+def test_soak_slots_ignore_case(spark):
+    units = [unit(0, "TIMER", "10 seconds"), unit(1, "TIMER", "10 seconds"), unit(2, "TIMER")]
+    records = [trig(0, 3.1, "TIMER", ["10 Seconds"]), trig(1, 3.1, "TIMER", ["1 minute"]), trig(2, 3.1, "TIMER")]
+    assert events.soak_score(spark.createDataFrame(units, UNITS), spark.createDataFrame(records, RECORDS), "u").first().correct == 2
+
+
+def test_replay_score(spark):
+    s = spark.createDataFrame([(0, "A", 3.0), (1, "A", 3.0), (2, "B", 3.0), (3, "B", 3.0)], "s int, label string, speech_end double")
+    t = spark.createDataFrame([(0, 2.0, "A"), (0, 5.0, "B"), (1, 4.0, "B"), (1, 4.5, "A"), (2, 3.5, "B")], "s int, t double, intent string")
+    r = events.replay_score(s, t, "s", ["A", "B"]).first()
+    assert (r.sessions, r.correct, r.correct_rate, r.wrong, r.missed, r.early, r.extra) == (4, 2, 0.5, 2, 1, 1, 2)
+    assert (r.p50, r.mean, r.focus_A, r.focus_B) == (-0.25, -0.25, "1/2", "1/2")
+
+
+def test_pinned_split_equals_loop(spark):
+    rng = random.Random(12)
+    sizes = [(label, f"g{g}", rng.randint(1, 40)) for label in ("a", "b", "c") for g in rng.sample(range(60), 40)]
+    parts = [("train", 7), ("val", 2), ("test", 1)]
+    got = {(r.label, r.grp): r.split for r in splits.pinned_split(spark.createDataFrame(sizes, "label string, grp string, n int").repartition(5), ["a", "b", "c"], parts).collect()}
+    want, pins = {}, {}
+    for label in ("a", "b", "c"):
+        mine = sorted(((g in pins) is False, -n, g) for x, g, n in sizes if x == label)
+        total, have = -sum(m for _, m, _ in mine), dict.fromkeys(("train", "val", "test"), 0)
+        for _, m, g in mine:
+            to = pins.get(g) or max(parts, key=lambda p: (p[1] * total - 10 * have[p[0]], -[q for q, _ in parts].index(p[0])))[0]
+            have[to] -= m
+            want[label, g] = to
+        for (x, g), to in want.items():
+            if x == label:
+                pins[g] = min(pins.get(g, to), to)
+    assert got == want
+
+
+def test_ranks_equal_sorting(spark):
+    from utterlake.operators import ranks
+
+    rng = random.Random(3)
+    rows_ = [(rng.choice(["a", "b", None]), rng.choice([rng.gauss(0, 1), float("inf"), float("-inf")]) if i % 50 == 0 else rng.gauss(0, 1e6 if i % 2 else 1), i) for i in range(800)]
+    df = spark.createDataFrame(rows_, "g string, v double, i int").repartition(6)
+    want = {}
+    for g in ("a", "b", None):
+        for n, r in enumerate(sorted((r for r in rows_ if r[0] == g), key=lambda r: r[1])):
+            want[r[2]] = (n, r[1])
+    got = {r.i: (r.r, r.v) for r in ranks.ranked_by_number(df, ["g"], "v", "r").collect()}
+    assert {i: v for i, (_, v) in got.items()} == {i: v for i, (_, v) in want.items()}
+    assert all(got[i] == want[i] for i in want if abs(want[i][1]) < float("inf"))
+    top = ranks.ranked(df, ["g"], F.md5(F.col("i").cast("string")), upto=F.lit(10)).where("_r < 10").collect()
+    order = {g: sorted((hashlib.md5(str(r[2]).encode()).hexdigest(), r[2]) for r in rows_ if r[0] == g)[:10] for g in ("a", "b", None)}
+    assert sorted((str(r.g), r._r, r.i) for r in top) == sorted((str(g), n, i) for g, x in order.items() for n, (_, i) in enumerate(x))
 
 
 def test_streaks_reset(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import exhaustive
+from .ranks import running, with_span_slot
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:
@@ -16,15 +17,15 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 def choose_margin(grid: DataFrame, budget: float) -> DataFrame:
     """TK2: grid: margin, accuracy, far. Margins whose accuracy falls at most `budget` below that of the smallest margin; of these the lowest far, ties to the smallest margin."""
     base = grid.agg(F.min_by("accuracy", "margin").alias("base"))
-    fit = grid.crossJoin(F.broadcast(base)).where(F.col("accuracy") >= F.col("base") - budget)
+    fit = grid.crossJoin(base).where(F.col("accuracy") >= F.col("base") - budget)
     return fit.agg(F.min(F.struct("far", "margin", "accuracy")).alias("r")).select("r.margin", "r.far", "r.accuracy")
 
 
 def iso_threshold(df: DataFrame, by: str, score: str, want: DataFrame) -> DataFrame:
     """TK3: want: by, n. The n-th largest score of each key; +infinity for n <= 0, -infinity when there are fewer. Ranks run over distinct scores."""
     per = df.where(F.col(score).isNotNull()).groupBy(by, score).agg(F.count(F.lit(1)).alias("_n"))
-    c = per.withColumn("_c", F.sum("_n").over(Window.partitionBy(by).orderBy(F.desc(score))))
-    j = want.join(c, by, "left").groupBy(by, "n").agg(F.max(F.when(F.col("_c") >= F.col("n"), F.col(score))).alias("t"))
+    x = running(with_span_slot(per, [by], score), [by], [F.desc(score)], "_slot", {"_before": F.col("_n")}, descending=True)
+    j = want.join(x, by, "left").groupBy(by, "n").agg(F.max(F.when(F.col("_before") + F.col("_n") >= F.col("n"), F.col(score))).alias("t"))
     inf = F.lit(float("inf"))
     return j.select(by, F.when(F.col("n") <= 0, inf).otherwise(F.coalesce(F.col("t").cast("double"), -inf)).alias("tau"))
 
@@ -33,7 +34,7 @@ def budget_threshold(df: DataFrame, score: str, rate: float) -> DataFrame:
     """TK4: `strict`: rows must score above it so that at most floor(rate * n + 1e-9) of df do; 0 when there are no more rows than that."""
     n = df.agg(F.floor(F.count(F.lit(1)) * rate + 1e-9).alias("allowed"))
     above = exhaustive(df, score, F.lit(False))
-    return above.crossJoin(F.broadcast(n)).agg(F.coalesce(F.max(F.when(F.col("false_accepts") > F.col("allowed"), F.col(score))), F.lit(0.0)).alias("strict"))
+    return above.crossJoin(n).agg(F.coalesce(F.max(F.when(F.col("false_accepts") > F.col("allowed"), F.col(score))), F.lit(0.0)).alias("strict"))
 
 
 def relax(per_intent: DataFrame, overall: Column) -> DataFrame:
@@ -66,7 +67,7 @@ def first_event(df: DataFrame, session: str, at: str, fields: list[str]) -> Data
 
 def loosest(df: DataFrame, score: str, target: Column, condition: str, budget: int) -> DataFrame:
     """TK10: the smallest target score above the (budget + 1)-th highest other score of every condition."""
-    r = F.row_number().over(Window.partitionBy(condition).orderBy(F.desc(score)))
-    over = df.where(~target & F.col(score).isNotNull()).withColumn("_r", r).where(F.col("_r") == budget + 1)
-    edge = over.agg(F.max(score).alias("edge"))
-    return df.where(target).crossJoin(F.broadcast(edge)).where(F.col("edge").isNull() | (F.col(score) > F.col("edge"))).agg(F.min(score).alias("tau"))
+    other = df.where(~target)
+    want = other.groupBy(condition).agg(F.lit(budget + 1).alias("n"))
+    edge = iso_threshold(other, condition, score, want).agg(F.max("tau").alias("edge"))
+    return df.where(target).crossJoin(edge).where(F.col("edge").isNull() | (F.col(score) > F.col("edge"))).agg(F.min(score).alias("tau"))

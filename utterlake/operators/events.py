@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import ENDPOINT_START, debounce_step, endpoint_step, fold_sorted
+
 
 def sliding(df: DataFrame, key: str, ts: str, width: str, stride: str) -> DataFrame:
     """ES1: observations in each sliding window; windows that end after the last event are left out."""
     w = df.groupBy(key, F.window(ts, width, stride).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
     end = df.agg(F.max(ts).alias("_end"))
-    return w.crossJoin(F.broadcast(end)).where(F.col("w.end") <= F.col("_end")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "top")
+    return w.crossJoin(end).where(F.col("w.end") <= F.col("_end")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "top")
 
 
 def threshold_policy(df: DataFrame, ok: Column) -> DataFrame:
@@ -18,17 +20,23 @@ def threshold_policy(df: DataFrame, ok: Column) -> DataFrame:
     return df.where(F.coalesce(ok, F.lit(False)))
 
 
-def debounce(df: DataFrame, session: str, at: str, fire: Column, refractory: int, key: str) -> DataFrame:
-    """ES3: a firing row is emitted if `refractory` has passed since the last emission, else suppressed. A fold over each session's firing rows."""
-    rows = df.where(fire).groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("long").alias("t"), F.col(key).cast("long").alias("k")))).alias("e"))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<k:bigint,emitted:boolean>>").alias("out"))
+def runs_of(df: DataFrame, session: str, at: str, gap: int, out: str) -> DataFrame:
+    """df with the number of the row's run: stretches of a session with at least `gap` between them are runs of their own. Found on the first and last times of wide stretches of time, so that a long session is many runs; two gaps within one stretch may share a run."""
+    wide = max(16 * gap, 1)
+    stretch = F.floor(F.col(at) / wide)
+    per = df.groupBy(session, stretch.alias("_s")).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
+    w = Window.partitionBy(session).orderBy("_s")
+    first = F.coalesce(F.col("_a") - F.lag("_b").over(w) >= gap, F.lit(True)).cast("int")
+    runs = per.withColumn("_f", first).select(session, "_s", F.sum("_f").over(w).alias(out))
+    return df.withColumn("_s", stretch).join(runs, [session, "_s"]).drop("_s")
 
-    def step(acc: Column, x: Column) -> Column:
-        go = acc["last"].isNull() | (x["t"] - acc["last"] >= refractory)
-        return F.struct(F.when(go, x["t"]).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(F.struct(x["k"].alias("k"), go.alias("emitted")))).alias("out"))
 
-    done = rows.select(session, F.explode(F.aggregate("e", zero, step)["out"]).alias("x"))
-    return done.select(session, F.col("x.k").alias(key), "x.emitted")
+def debounce(df: DataFrame, session: str, at: str, fire: Column, refractory: int, key: str) -> DataFrame:
+    """ES3: a firing row is emitted if `refractory` has passed since the last emission, else suppressed. After a pause of that length nothing is remembered, so sessions are folded run by run."""
+    rows = df.where(fire).select(session, F.col(at).cast("long").alias("_t"), F.col(key).cast("long").alias("_k"))
+    rows = runs_of(rows, session, "_t", refractory, "_run").select(session, "_run", "_t", "_k")
+    kind = df.schema[session].dataType.simpleString()
+    return fold_sorted(rows, [session, "_run"], ["_t", "_k"], f"`{session}` {kind}, `{key}` long, emitted boolean", lambda: None, debounce_step(refractory))
 
 
 def gate_open(df: DataFrame, session: str, at: str, score: str, threshold: float, period: int) -> DataFrame:
@@ -56,28 +64,14 @@ def period_votes(obs: DataFrame, spans: DataFrame, session: str, at: str, cls: s
     return mode_vote(inside.where(F.col(cls).isNotNull()), [session, "pid"], at, [cls], confidence)
 
 
-def endpointed(df: DataFrame, session: str, schema: str, period: int, stable: int, hold: int):
-    """ES7, batch form: df: session, t, score_open, intent, ok, quiet. A period opens on score_open and is re-armed by it; it accepts once an accepted intent has been stable for `stable` rows and the session has been quiet for `hold` rows; it times out `period` after the latest re-arm; after closing, a fresh detection is needed."""
-    import pandas as pd
+def endpointed(polls: DataFrame, session: str, period: int, stable: int, least_audio: int = 300, least_speech: int = 200) -> DataFrame:
+    """ES7: polls: session, t, open_at (the gate's latest opening, null while closed), intent, ok (confident), ended and fallback_ended (quiet for the hold and the longer hold), speech and fallback (what the second scorer says, if it accepts). Times in milliseconds.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, opened, armed, streak, last, quiet = [], None, None, 0, None, 0
-        for r in pdf.sort_values("t").itertuples(index=False):
-            if r.score_open:
-                opened, armed = (r.t, r.t) if opened is None else (opened, r.t)
-            if opened is None:
-                continue
-            quiet = quiet + 1 if r.quiet else 0
-            streak = (streak + 1 if r.intent == last else 1) if r.ok else 0
-            last = r.intent if r.ok else None
-            ended = r.t >= armed + period
-            if (streak >= stable and quiet >= hold) or ended:
-                done = streak >= stable and quiet >= hold
-                out.append((getattr(r, session), opened, r.t, r.intent if done else None, "accepted" if done else "timeout"))
-                opened, streak, last, quiet = None, 0, None, 0
-        return pd.DataFrame(out, columns=[session, "opened_at", "t", "intent", "reason"])
-
-    return df.groupBy(session).applyInPandas(one, schema)
+    The first opening anchors a period; later ones move only its time-out, which comes `period` after the latest. A poll accepts once a confident intent has been the same `stable` times running and the speech has ended; one that is not confident asks the second scorer, if the longer hold has passed with enough speech. After closing, the old detection has to stop before a new one counts. Rows: session, opened_at, t, intent, reason.
+    """
+    cols = [session, "t", "open_at", "intent", "ok", "ended", "fallback_ended", "speech", "fallback"]
+    kind = polls.schema[session].dataType.simpleString()
+    return fold_sorted(polls.select(*cols), [session], cols[1:], f"`{session}` {kind}, opened_at long, t long, intent string, reason string", lambda: ENDPOINT_START, endpoint_step(period, stable, least_audio, least_speech))
 
 
 def fan_out(lines: DataFrame, line: str, lead: int = 3) -> DataFrame:
@@ -108,50 +102,87 @@ def run_summary(df: DataFrame, session: str, fire: Column, emitted: Column, inde
     return x.groupBy(session).agg(F.count(F.lit(1)).alias("windows"), F.count_if(fire & emitted).alias("events"), F.count_if(fire & ~emitted).alias("suppressed"), F.coalesce(F.sum("_d"), F.lit(0)).cast("long").alias("dropped"))
 
 
-def replay_score(sessions: DataFrame, triggers: DataFrame, session: str) -> DataFrame:
-    """ES12: sessions: session, label, start, end; triggers: session, t, intent. Correct first triggers, wrong ones, missed, early and extra, with latency percentiles."""
+def replay_score(sessions: DataFrame, triggers: DataFrame, session: str, focus: list[str] = ()) -> DataFrame:
+    """ES12: sessions: session, label, speech_end; triggers: session, t, intent. Correct first triggers, wrong intents over all triggers, missed, extra, first triggers before the speech end, latency of the correct ones, and correct of all for each focus label."""
     from .choose import first_event
 
     first = first_event(triggers, session, "t", ["intent"])
-    n = triggers.groupBy(session).agg(F.count(F.lit(1)).alias("_n"))
+    right = triggers.join(sessions.select(session, "label"), session)
+    n = right.groupBy(session).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("intent") != F.col("label")).alias("_w"))
     x = sessions.join(first, session, "left").join(n, session, "left")
-    good = F.coalesce((F.col("intent") == F.col("label")) & (F.col("t") >= F.col("start")), F.lit(False))
-    late = F.when(good, F.col("t") - F.col("end"))
+    good = F.coalesce(F.col("intent") == F.col("label"), F.lit(False))
+    late = F.when(good, F.col("t") - F.col("speech_end"))
     q = lambda p: F.round(F.percentile(late, p), 3)
+    per = [F.concat_ws("/", F.count_if(good & (F.col("label") == f)), F.count_if(F.col("label") == f)).alias(f"focus_{f}") for f in focus]
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return x.agg(
-        F.count(F.lit(1)).alias("sessions"), F.count_if(good).alias("correct"), F.count_if(F.col("intent") != F.col("label")).alias("wrong"), F.count_if(F.col("t").isNull()).alias("missed"),
-        F.count_if(F.col("t") < F.col("start")).alias("early"), F.coalesce(F.sum(F.greatest(F.col("_n") - 1, F.lit(0))), F.lit(0)).alias("extra"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.round(F.avg(late), 3).alias("mean"),
+        F.count(F.lit(1)).alias("sessions"), F.count_if(good).alias("correct"), F.round(F.try_divide(F.count_if(good), F.count(F.lit(1))), 4).alias("correct_rate"), whole("_w").alias("wrong"), F.count_if(F.col("t").isNull()).alias("missed"),
+        F.count_if(F.col("t") < F.col("speech_end")).alias("early"), whole(F.greatest(F.col("_n") - 1, F.lit(0))).alias("extra"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.round(F.avg(late), 3).alias("mean"), *per,
     )
 
 
-def soak_score(units: DataFrame, hits: DataFrame, unit: str, slack: int) -> DataFrame:
-    """ES13: units: unit, label, slot_value, is_oos, end; hits: unit, t, intent, slot (first trigger). Correct, wrong action, false accepts, gap triggers, missed, and the objective correct - 2 * (wrong + oos + gap)."""
-    x = units.join(hits, unit, "left")
-    gap = F.coalesce(F.col("t") > F.col("end") + slack, F.lit(False))
-    hit = F.col("t").isNotNull() & ~gap
-    right = F.coalesce((F.col("intent") == F.col("label")) & (F.col("slot_value").isNull() | F.lower("slot_value").eqNullSafe(F.lower("slot"))), F.lit(False))
-    oos = F.col("is_oos")
-    g = x.agg(F.count_if(~oos & hit & right).alias("correct"), F.count_if(~oos & hit & ~right).alias("wrong"), F.count_if(oos & hit).alias("oos_accepts"), F.count_if(gap).alias("gap_triggers"), F.count_if(~oos & F.col("t").isNull()).alias("missed"))
-    return g.withColumn("objective", F.col("correct") - 2 * (F.col("wrong") + F.col("oos_accepts") + F.col("gap_triggers")))
-
-
-def state_fold(df: DataFrame, device: str, order: str, event: str, start: str, table: dict[tuple[str, str], str]) -> DataFrame:
-    """ES14: last state of each device and the number of changes; pairs outside the table change nothing."""
-    moves = F.create_map(*[F.lit(x) for (s, e), to in table.items() for x in (f"{s}/{e}", to)])
-    rows = df.groupBy(device).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(event).alias("e")))).alias("es"))
-
-    def step(acc: Column, x: Column) -> Column:
-        to = F.try_element_at(moves, F.concat_ws("/", acc["state"], x["e"]))
-        return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["changes"] + F.when(to.isNotNull(), 1).otherwise(0)).alias("changes"))
+def soak_score(units: DataFrame, records: DataFrame, unit: str, stride_s: float = 0.25, after_s: float = 1.5) -> DataFrame:
+    """ES13: units: unit, label, slot_value, is_oos, gap_s, speech_end, unit_end; records: unit, event, t, intent, slots, text, decode_ms, gate_ms, the triggers among them. One row: first triggers by intent and slot, wrong ones, misses, accepts out of scope, triggers later than `after_s` past a unit's end (over all triggers), correct and all by gap, the objective, latencies in seconds and compute times in milliseconds with the real-time factor."""
+    from .choose import first_event
 
-    s = F.aggregate("es", F.struct(F.lit(start).alias("state"), F.lit(0).alias("changes")), step)
-    return rows.select(device, s["state"].alias("state"), s["changes"].alias("changes"))
+    c = F.col
+    per = records.groupBy(unit).agg(F.count(F.lit(1)).alias("_records"))
+    trig = records.where("event = 'trigger'")
+    first = first_event(trig, unit, "t", ["intent", "slots", "text"])
+    known = trig.join(units.select(unit, "label", "is_oos", "unit_end"), unit)
+    n = known.groupBy(unit).agg(F.count(F.lit(1)).alias("_n"), F.count_if(~c("is_oos") & ~c("intent").eqNullSafe(c("label"))).alias("_w"), F.count_if(c("t") > c("unit_end") + after_s).alias("_g"))
+    x = units.join(per, unit, "left").join(first, unit, "left").join(n, unit, "left")
+    cmd, hit = ~c("is_oos"), c("t").isNotNull()
+    slot = (F.coalesce(c("slot_value"), F.lit("")) == "") | F.coalesce(F.exists("slots", lambda s: F.lower(s) == F.lower("slot_value")), F.lit(False))
+    good = cmd & hit & F.coalesce(c("intent") == c("label"), F.lit(False)) & slot
+    late = c("t") - c("speech_end")
+    q = lambda v, p: F.round(F.percentile(v, p), 3)
+    whole = lambda v: F.coalesce(F.sum(v), F.lit(0))
+    bins = {"00_03": c("gap_s") <= 0.3, "04_06": (c("gap_s") > 0.3) & (c("gap_s") <= 0.6), "07_10": c("gap_s") > 0.6}
+    score = x.agg(
+        F.count_if(cmd).alias("commands"), F.count_if(good).alias("correct"), F.round(F.try_divide(F.count_if(good), F.count_if(cmd)), 4).alias("correct_rate"), F.count_if(cmd & ~hit).alias("missed"), F.count_if(cmd & c("_records").isNull()).alias("no_period"),
+        whole("_w").alias("wrong_intents"), F.count_if(cmd & hit & ~good).alias("wrong_actions"), F.count_if(cmd & (c("t") < c("speech_end"))).alias("early"), F.count_if(good & (c("text") == "[classifier]")).alias("by_classifier"),
+        F.count_if(~cmd).alias("oos"), F.count_if(~cmd & hit).alias("oos_accepts"), whole(F.greatest(c("_n") - 1, F.lit(0))).alias("extra"), whole("_g").alias("gap_triggers"),
+        *[e.alias(f"gap_{b}_{s}") for b, w in bins.items() for s, e in (("correct", F.count_if(good & w)), ("all", F.count_if(cmd & w)))],
+        q(F.when(good, late), 0.5).alias("late_p50"), q(F.when(good, late), 0.95).alias("late_p95"), F.round(F.avg(F.when(good, late)), 3).alias("late_mean"), q(F.when(cmd, late), 0.5).alias("late_all_p50"),
+    )
+    ms = {"decode": c("decode_ms"), "gate": c("gate_ms"), "both": c("decode_ms") + c("gate_ms")}
+    two = lambda v: F.round(v, 2)
+    times = records.agg(*[e.alias(f"{k}_ms_{s}") for k, v in ms.items() for s, e in (("n", F.count(v)), ("mean", two(F.avg(v))), ("p50", two(F.percentile(v, 0.5))), ("p95", two(F.percentile(v, 0.95))), ("max", two(F.max(v))))], F.round(F.percentile(ms["both"], 0.95) / (1000 * stride_s), 3).alias("rtf_p95"))
+    objective = c("correct") - 2 * (c("wrong_actions") + c("oos_accepts") + c("gap_triggers"))
+    return score.withColumn("objective", objective).crossJoin(times)
+
+
+def state_fold(df: DataFrame, device: str, order: str, event: str, start: str, table: dict[tuple[str, str], str], stretch: int = 4096) -> DataFrame:
+    """ES14: last state of each device and the number of changes; pairs outside the table change nothing.
+
+    Each stretch of `stretch` order numbers is folded from every state at once into a map of states; a device's maps are then composed in order, so a device is never one list of events.
+    """
+    states = sorted({start, *[s for s, _ in table], *table.values()})
+    no = {s: i for i, s in enumerate(states)}
+    moves = F.create_map(*[x for e in sorted({e for _, e in table}) for x in (F.lit(e), F.array(*[F.lit(no[table[s, e]] if (s, e) in table else -1) for s in states]))])
+    cell = lambda s, n: F.struct(s.cast("int").alias("s"), n.cast("long").alias("n"))
+    same = F.array(*[cell(F.lit(i), F.lit(0)) for i in range(len(states))])
+
+    def event_step(acc: Column, x: Column) -> Column:
+        to = lambda a: F.get(x["to"], a["s"])
+        return F.transform(acc, lambda a: F.when(to(a) >= 0, cell(to(a), a["n"] + 1)).otherwise(a))
+
+    listed = df.select(device, F.col(order).alias("_o"), F.try_element_at(moves, F.col(event)).alias("_to"))
+    part = listed.where(F.col("_to").isNotNull()).groupBy(device, F.floor(F.col("_o") / stretch).alias("_p")).agg(F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("_to").alias("to")))).alias("_e"))
+    part = part.select(device, F.struct(F.col("_p").alias("p"), F.aggregate("_e", same, event_step).alias("m")).alias("_m"))
+    whole = part.groupBy(device).agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
+    last = F.aggregate("_ms", cell(F.lit(no[start]), F.lit(0)), lambda acc, x: cell(F.get(x["m"], acc["s"])["s"], acc["n"] + F.get(x["m"], acc["s"])["n"]))
+    ended = whole.select(device, last.alias("_l"))
+    names = F.array(*[F.lit(s) for s in states])
+    every = df.select(device).distinct().join(ended, device, "left")
+    return every.select(device, F.coalesce(F.get(names, F.col("_l.s")), F.lit(start)).alias("state"), F.coalesce(F.col("_l.n"), F.lit(0)).cast("int").alias("changes"))
 
 
 def log_latest(df: DataFrame, key: str, at: str, item: str, vocabulary: list[str], n: int) -> DataFrame:
     """ES15: the newest n known items of each key, newest first by place."""
     known = df.where(F.col(item).isin(vocabulary))
-    return known.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))).where(F.col("place") <= n).select(key, "place", at, item)
+    return known.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), item))).where(F.col("place") <= n).select(key, "place", at, item)
 
 
 def trial_events(events: DataFrame, trials: DataFrame, key: str, at: str, lead: int) -> DataFrame:
@@ -160,7 +191,7 @@ def trial_events(events: DataFrame, trials: DataFrame, key: str, at: str, lead:
 
     early = trials.withColumn("_from", F.col("start") - lead)
     inside = assign_interval(events, early, key, at, "_from", "end", ["trial", "start"])
-    r = F.row_number().over(Window.partitionBy(key, "trial").orderBy(at))
+    r = F.row_number().over(Window.partitionBy(key, "trial").orderBy(at, "id"))
     first = inside.withColumn("_r", r)
     stray = events.join(inside.select("id"), "id", "left_anti").select(key, "id", F.lit(None).cast("long").alias("trial"), F.lit(None).cast("long").alias("latency"))
     return first.where("_r = 1").select(key, "id", "trial", (F.col(at) - F.col("start")).alias("latency")).unionByName(stray)

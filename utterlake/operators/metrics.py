@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import accepted, count_where, margin_ok, ratio, ratio0, wilson
+from .ranks import running, with_span_slot
 
 
 def N(name: str) -> Column:
@@ -81,14 +82,10 @@ def margin_sweep(df: DataFrame, threshold: float, margins: list[float], target:
 
 
 def exhaustive(df: DataFrame, score: str, target: Column) -> DataFrame:
-    """AG10: recall and false accepts at each distinct score. Scores are counted, range-sorted and summed within parts; only part totals are summed across."""
+    """AG10: recall and false accepts at each distinct score. Scores are counted and summed within slots of the score's span; only slot totals are summed across."""
     per = df.where(F.col(score).isNotNull()).groupBy(score).agg(count_where(target).alias("t"), count_where(~target).alias("f"))
-    part = per.repartitionByRange(F.col(score).desc()).withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part").orderBy(F.col(score).desc())
-    inner = part.withColumn("ct", F.sum("t").over(w)).withColumn("cf", F.sum("f").over(w))
-    tot = part.groupBy("part").agg(F.sum("t").alias("pt"), F.sum("f").alias("pf"))
-    before = tot.alias("a").join(F.broadcast(tot.alias("b")), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.pt"), F.lit(0)).alias("bt"), F.coalesce(F.sum("b.pf"), F.lit(0)).alias("bf"))
-    return inner.join(F.broadcast(before), "part").select(score, (F.col("ct") + F.col("bt")).alias("hits"), (F.col("cf") + F.col("bf")).alias("false_accepts"))
+    x = running(with_span_slot(per, [], score), [], [F.desc(score)], "_slot", {"bt": F.col("t"), "bf": F.col("f")}, descending=True)
+    return x.select(score, (F.col("t") + F.col("bt")).alias("hits"), (F.col("f") + F.col("bf")).alias("false_accepts"))
 
 
 def breakdown(df: DataFrame, by: str, ok: Column, exact: Column, group: str, train_groups: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Splits, quotas, samples and plans. Every draw is a hash of seed, purpose and key; sequential rules fold group sizes, never rows."""
+"""Splits, quotas, samples and plans. Every draw is a hash of seed, purpose and key; ranks come from counted slots, sequential rules fold sorted group sizes."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeding import draw, number, uniform
+from .folds import fold_sorted
+from .ranks import digest_slot, ranked, ranked_by_number, running
 
 
 class Shortage(ValueError):
@@ -43,40 +45,42 @@ def exact_split(df: DataFrame, by: str, key: str, seed: int, parts: list[tuple[s
     dim = df.sparkSession.createDataFrame([(i, n, w) for i, (n, w) in enumerate(parts)], "place int, split string, weight int")
     quota = largest_remainder(sizes.crossJoin(F.broadcast(dim)), [by], "place", "weight", F.col("total"))
     upto = quota.withColumn("upto", F.sum("n").over(Window.partitionBy(by).orderBy("place"))).select(by, "split", (F.col("upto") - F.col("n")).alias("lo"), F.col("upto").alias("hi"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(draw(seed, "split", F.col(key)))) - 1)
-    return ranked.join(F.broadcast(upto), by).where("_r >= lo AND _r < hi").drop("_r", "lo", "hi")
+    x = ranked(df, [by], draw(seed, "split", F.col(key)))
+    return x.join(upto, by).where("_r >= lo AND _r < hi").drop("_r", "lo", "hi")
 
 
 def group_split(sizes: DataFrame, family: str, group: str, n: str, seed: int, parts: dict[str, int]) -> DataFrame:
-    """SP4: groups of a family in seeded order, each to the part that lacks most (parts in tenths), ties to the larger name. Folds group sizes only: up to about a million groups a family."""
+    """SP4: groups of a family in seeded order, each to the part that lacks most (parts in tenths), ties to the larger name. A fold over the groups' sizes."""
     names = sorted(parts)
-    whole = sizes.groupBy(family).agg(F.array_sort(F.collect_list(F.struct(draw(seed, "group", F.col(family), F.col(group)).alias("h"), F.col(group).cast("string").alias("g"), F.col(n).cast("long").alias("n")))).alias("gs"), F.sum(n).cast("long").alias("total"))
-    zero = F.struct(*[F.lit(0).cast("long").alias(p) for p in names], F.array().cast("array<struct<g:string,split:string>>").alias("out"))
+    total = sizes.groupBy(family).agg(F.sum(n).cast("long").alias("_total"))
+    x = sizes.join(total, family).select(family, group, F.col(n).cast("long").alias("_n"), "_total", draw(seed, "group", F.col(family), F.col(group)).alias("_h"))
 
-    def step(acc: Column, x: Column) -> Column:
-        lack = F.array_max(F.array(*[F.struct((F.lit(parts[p]) * F.col("total") - 10 * acc[p]).alias("v"), F.lit(p).alias("p")) for p in names]))["p"]
-        return F.struct(*[(acc[p] + F.when(lack == p, x["n"]).otherwise(0)).alias(p) for p in names], F.concat(acc["out"], F.array(F.struct(x["g"].alias("g"), lack.alias("split")))).alias("out"))
+    def step(have, row):
+        to = max(names, key=lambda p: (parts[p] * row[3] - 10 * have[p], p))
+        return have | {to: have[to] + row[2]}, [(row[0], row[1], to)]
 
-    done = whole.select(family, F.aggregate("gs", zero, step)["out"].alias("out"))
-    return done.select(family, F.explode("out").alias("x")).select(family, F.col("x.g").alias(group), F.col("x.split").alias("split"))
+    kinds = [sizes.schema[c].dataType.simpleString() for c in (family, group)]
+    return fold_sorted(x, [family], ["_h", group], f"`{family}` {kinds[0]}, `{group}` {kinds[1]}, split string", lambda: dict.fromkeys(names, 0), step)
 
 
 def pinned_split(sizes: DataFrame, labels: list[str], parts: list[tuple[str, int]]) -> DataFrame:
     """SP5: sizes: label, grp, n. Label by label, groups largest first (ties by name) to the part that lacks most, ties to the first part; a group that an earlier label placed stays there and counts. parts in tenths."""
     placed = None
+    names = [p for p, _ in parts]
+
+    def step(have, row):
+        label, grp, n, pin, total, _ = row
+        to = pin or max(range(len(parts)), key=lambda i: (parts[i][1] * total - 10 * have[i], -i))
+        i = names.index(to) if pin else to
+        return [h + n * (j == i) for j, h in enumerate(have)], [(label, grp, names[i])]
+
     for label in labels:
         mine = sizes.where(F.col("label") == label)
         mine = mine.withColumn("pin", F.lit(None).cast("string")) if placed is None else mine.join(placed.groupBy("grp").agg(F.min("split").alias("pin")), "grp", "left")
-        gs = F.array_sort(F.collect_list(F.struct(F.when(F.col("pin").isNull(), 1).otherwise(0).alias("free"), (-F.col("n")).alias("m"), F.col("grp").cast("string").alias("g"), "pin")))
-        whole = mine.groupBy("label").agg(gs.alias("gs"), F.sum("n").cast("long").alias("total"))
-        zero = F.struct(*[F.lit(0).cast("long").alias(p) for p, _ in parts], F.array().cast("array<struct<g:string,split:string>>").alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            lack = F.array_max(F.array(*[F.struct((w * F.col("total") - 10 * acc[p]).alias("v"), F.lit(-i).alias("i"), F.lit(p).alias("p")) for i, (p, w) in enumerate(parts)]))["p"]
-            to = F.coalesce(x["pin"], lack)
-            return F.struct(*[(acc[p] + F.when(to == p, -x["m"]).otherwise(0)).alias(p) for p, _ in parts], F.concat(acc["out"], F.array(F.struct(x["g"].alias("g"), to.alias("split")))).alias("out"))
-
-        done = whole.select("label", F.explode(F.aggregate("gs", zero, step)["out"]).alias("x")).select("label", F.col("x.g").alias("grp"), F.col("x.split").alias("split"))
+        total = mine.groupBy("label").agg(F.sum("n").cast("long").alias("total"))
+        x = mine.join(total, "label").select("label", F.col("grp").cast("string").alias("grp"), F.col("n").cast("long").alias("n"), "pin", "total", F.when(F.col("pin").isNull(), 1).otherwise(0).alias("free"))
+        x = x.withColumn("free", F.struct("free", (-F.col("n")).alias("m")))
+        done = fold_sorted(x, ["label"], ["free", "grp"], "label string, grp string, split string", lambda: [0] * len(parts), step)
         placed = done if placed is None else placed.unionByName(done)
     return placed
 
@@ -101,9 +105,8 @@ def hash_split(key: Column, seed: int, tenths: int = 1) -> Column:
 
 def rounded_split(df: DataFrame, by: str, key: str, seed: int, parts: list[tuple[str, float]]) -> DataFrame:
     """SP9: shares rounded (halves to even) in each stratum, what is left to the last part."""
-    r = F.row_number().over(Window.partitionBy(by).orderBy(draw(seed, "round", F.col(key)))) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    x = df.withColumn("_r", r).withColumn("_n", n)
+    sizes = df.groupBy(F.struct(by).alias("_in")).agg(F.count(F.lit(1)).alias("_n"))
+    x = ranked(df, [by], draw(seed, "round", F.col(key))).withColumn("_in", F.struct(by)).join(sizes, "_in").drop("_in")
     out, upto = F.lit(parts[-1][0]), []
     for name, share in parts[:-1]:
         upto.append((name, F.bround(F.col("_n") * share)))
@@ -140,7 +143,7 @@ def capped_sample(df: DataFrame, by: str, group: str, key: str, n: int, seed: in
     """SP11: n rows a stratum, at most ceil(n / groups) of a group in group order, then one more a group and round."""
     groups = df.groupBy(by).agg(F.count_distinct(group).alias("_g"))
     r = F.row_number().over(Window.partitionBy(by, group).orderBy(draw(seed, "cap", F.col(key))))
-    x = df.withColumn("_r", r).join(F.broadcast(groups), by).withColumn("_cap", F.ceil(F.lit(n) / F.col("_g")))
+    x = df.withColumn("_r", r).where(F.col("_r") <= n).join(groups, by).withColumn("_cap", F.ceil(F.lit(n) / F.col("_g")))
     over = F.col("_r") > F.col("_cap")
     order = Window.partitionBy(by).orderBy(F.when(over, F.col("_r") - F.col("_cap")).otherwise(0), F.col(group), F.col("_r"))
     return x.withColumn("_o", F.row_number().over(order)).where(F.col("_o") <= n).drop("_r", "_g", "_cap", "_o")
@@ -155,10 +158,9 @@ def round_robin(df: DataFrame, by: list[str], voice: str, key: str, cap: int, se
 
 def budget(df: DataFrame, by: str, key: str, wants: Column, target: int, seed: int) -> DataFrame:
     """SP13: rows in seeded order, cost 2 if a noisy copy is wanted, else 1, up to the target; the row that would overshoot keeps its clean copy only."""
-    cost = F.when(wants, 2).otherwise(1)
-    w = Window.partitionBy(by).orderBy(draw(seed, "budget", F.col(key))).rowsBetween(Window.unboundedPreceding, -1)
-    x = df.withColumn("_c", F.coalesce(F.sum(cost).over(w), F.lit(0)))
-    return x.where(F.col("_c") < target).withColumn("noisy", wants & (F.col("_c") + 2 <= target)).drop("_c")
+    x = df.withColumn("_h", draw(seed, "budget", F.col(key))).withColumn("_slot", digest_slot(F.col("_h")))
+    x = running(x, [by], [F.col("_h")], "_slot", {"_c": F.when(wants, 2).otherwise(1)}, {"_c": F.lit(target)})
+    return x.where(F.col("_c") < target).withColumn("noisy", wants & (F.col("_c") + 2 <= target)).drop("_c", "_h", "_slot")
 
 
 def family_draw(df: DataFrame, by: str, family: str, key: str, total: int, seed: int) -> DataFrame:
@@ -176,8 +178,9 @@ def proportional_sample(df: DataFrame, by: str, key: str, total: int, seed: int)
     """SP15: total rows in proportion to stratum sizes."""
     sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("pool")).withColumn("all", F.lit(1))
     quota = largest_remainder(sizes, ["all"], by, "pool", F.lit(total)).select(by, F.col("n").alias("q"))
-    r = F.row_number().over(Window.partitionBy(by).orderBy(draw(seed, "prop", F.col(key))))
-    return df.withColumn("_r", r).join(F.broadcast(quota), by).where("_r <= q").drop("_r", "q")
+    x = df.join(quota, by)
+    rest = [c for c in x.columns if c not in (by, "q")]
+    return ranked(x, [by, "q"], draw(seed, "prop", F.col(key)), upto=F.col("q")).where("_r < q").select(by, *rest)
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -193,8 +196,9 @@ def capped(df: DataFrame, by: list[str], key: str, cap: int, seed: int | str) ->
 
 def first_and_focus(df: DataFrame, by: str, position: str, k: int, focus: list[str]) -> DataFrame:
     """SP18: the first k rows of every label, focus labels in full."""
+    whole = F.coalesce(F.col(by).isin(focus), F.lit(False))
     r = F.row_number().over(Window.partitionBy(by).orderBy(position))
-    return df.withColumn("_r", r).where((F.col("_r") <= k) | F.col(by).isin(focus)).drop("_r")
+    return df.where(~whole).withColumn("_r", r).where(F.col("_r") <= k).drop("_r").unionByName(df.where(whole))
 
 
 def gap_fill(have: DataFrame, by: str, target: int, overgen: float, voices: int) -> DataFrame:
@@ -207,11 +211,11 @@ def gap_fill(have: DataFrame, by: str, target: int, overgen: float, voices: int)
 
 def job_plan(deficits: DataFrame, rows: DataFrame, split: str, key: str, overgen: float, voices: int, p_noisy: float, seed: int) -> DataFrame:
     """SP20: floor(deficit * overgen + 0.999) jobs a split; voices in turn; source rows of the split with replacement; noisy by a coin."""
-    numbered = rows.withColumn("pos", F.row_number().over(Window.partitionBy(split).orderBy(key)) - 1)
+    numbered = ranked_by_number(rows, [split], key, "pos")
     sizes = rows.groupBy(split).agg(F.count(F.lit(1)).alias("size"))
     jobs = deficits.withColumn("jobs", F.floor(F.col("deficit") * overgen + 0.999).cast("int")).where("jobs > 0").join(sizes, split)
     job = jobs.select(split, "size", F.explode(F.sequence(F.lit(0), F.col("jobs") - 1)).alias("i"))
-    job = job.withColumn("pos", F.pmod(number(draw(seed, "row", F.col(split), F.col("i"))), F.col("size")).cast("int"))
+    job = job.withColumn("pos", F.pmod(number(draw(seed, "row", F.col(split), F.col("i"))), F.col("size")))
     plan = job.join(numbered, [split, "pos"])
     return plan.select(split, "i", key, F.pmod("i", F.lit(voices)).alias("voice"), (uniform(seed, "noisy", F.col(split), F.col("i")) < p_noisy).alias("noisy"))
 
@@ -242,7 +246,7 @@ def mix_plan(df: DataFrame, split: str, key: str, pools: DataFrame, p_mix: float
     x = x.withColumn("_a", F.explode(F.array(F.struct(F.lit(1).alias("attempt"), one.alias("pos")), F.struct(F.lit(2).alias("attempt"), two.alias("pos")))))
     x = x.select(split, key, F.col("_a.attempt").alias("attempt"), F.col("_a.pos").cast("int").alias("pos"))
     snr = F.lit(lo) + uniform(seed, "snr", F.col(key), F.col("attempt")) * (hi - lo)
-    return x.join(F.broadcast(pools), [split, "pos"]).withColumn("snr_db", F.round(snr, 6)).drop("pos")
+    return x.join(pools, [split, "pos"]).withColumn("snr_db", F.round(snr, 6)).drop("pos")
 
 
 def step_plan(df: DataFrame, cls: str, key: str, steps: dict[str, float], seed: int, epoch: int, barred: dict[str, Column] | None = None) -> DataFrame:
@@ -250,26 +254,28 @@ def step_plan(df: DataFrame, cls: str, key: str, steps: dict[str, float], seed:
     x = df
     for step, p in steps.items():
         free = F.lit(True) if not barred or step not in barred else ~barred[step]
-        n = F.count_if(free).over(Window.partitionBy(cls))
+        x = x.withColumn("_free", F.coalesce(free, F.lit(False)))
+        size = x.groupBy(F.struct(cls).alias("_in")).agg(F.count_if("_free").alias("_n"))
+        n = F.col("_n")
         quota = F.floor(n * p) + F.when(uniform(seed, "frac", F.lit(epoch), F.col(cls), F.lit(step)) < n * p - F.floor(n * p), 1).otherwise(0)
-        r = F.row_number().over(Window.partitionBy(cls).orderBy(F.when(free, 0).otherwise(1), draw(seed, "step", F.lit(epoch), F.lit(step), F.col(key))))
-        x = x.withColumn(step, free & (r <= quota))
+        # barred rows come last; they never reach the quota
+        h = F.concat(F.when(F.col("_free"), "0").otherwise("f"), draw(seed, "step", F.lit(epoch), F.lit(step), F.col(key)))
+        y = ranked(x, [cls], h).withColumn("_in", F.struct(cls)).join(size, "_in")
+        x = y.withColumn(step, F.col("_free") & (F.col("_r") < quota)).drop("_in", "_r", "_n", "_free")
     return x
 
 
 def spread(df: DataFrame, by: str, key: str, lo: float, hi: float, seed: int) -> DataFrame:
     """SP25: one value in each of k equal strata of [lo, hi), in random order."""
-    w = Window.partitionBy(by)
-    r = F.row_number().over(w.orderBy(draw(seed, "rank", F.col(key)))) - 1
-    k = F.count(F.lit(1)).over(w)
-    return df.withColumn("value", F.round(F.lit(lo) + (r + uniform(seed, "u", F.col(key))) / k * (hi - lo), 6))
+    sizes = df.groupBy(F.struct(by).alias("_in")).agg(F.count(F.lit(1)).alias("_n"))
+    x = ranked(df, [by], draw(seed, "rank", F.col(key))).withColumn("_in", F.struct(by)).join(sizes, "_in")
+    return x.withColumn("value", F.round(F.lit(lo) + (F.col("_r") + uniform(seed, "u", F.col(key))) / F.col("_n") * (hi - lo), 6)).drop("_in", "_r", "_n")
 
 
 def deal(df: DataFrame, key: str, order_by: str, pool: DataFrame, seed: int, by: str) -> DataFrame:
     """SP26: pool: item. Rows of a stratum take items deck by deck, each deck shuffled anew, so items are used evenly."""
     size = pool.count()  # a dimension
-    r = F.row_number().over(Window.partitionBy(by).orderBy(order_by)) - 1
-    x = df.withColumn("_r", r).withColumn("deck", F.floor(F.col("_r") / size).cast("int")).withColumn("pos", (F.col("_r") % size).cast("int")).drop("_r")
+    x = ranked_by_number(df, [by], order_by).withColumn("deck", F.floor(F.col("_r") / size).cast("int")).withColumn("pos", (F.col("_r") % size).cast("int")).drop("_r")
     decks = x.select(by, "deck").distinct().crossJoin(F.broadcast(pool))
     ranked = decks.withColumn("pos", F.row_number().over(Window.partitionBy(by, "deck").orderBy(draw(seed, "deck", F.col(by), F.col("deck"), F.col("item")))) - 1)
     return x.join(ranked, [by, "deck", "pos"])
@@ -297,16 +303,17 @@ def timeline(df: DataFrame, by: str, key: str, duration: str, seed: int) -> Data
 
 def prompt_pack(df: DataFrame, speaker: str, kind: str, key: str, ms: str, least: int = 8000, most: int = 12000, gap: int = 150) -> DataFrame:
     """SP30: read speech first, clips added until `least`, one that would pass `most` skipped, gaps counted; speakers short of it are dropped. Milliseconds."""
-    items = F.array_sort(F.collect_list(F.struct(F.when(F.col(kind) == "read", 0).otherwise(1).alias("o"), F.col(key).alias("k"), F.col(ms).cast("int").alias("ms"))))
-    zero = F.struct(F.lit(0).alias("len"), F.array().cast("array<bigint>").alias("out"))
+    x = df.select(speaker, F.when(F.col(kind) == "read", 0).otherwise(1).alias("_o"), F.col(key).cast("long").alias("_k"), F.col(ms).cast("int").alias("_ms"))
+
+    def step(state, row):
+        length, taken = state
+        longer = length + row[3] + (gap if taken else 0)
+        return (longer, [*taken, row[2]]) if length < least and longer <= most else state, []
 
-    def step(acc: Column, x: Column) -> Column:
-        longer = acc["len"] + x["ms"] + F.when(F.size(acc["out"]) > 0, gap).otherwise(0)
-        take = (acc["len"] < least) & (longer <= most)
-        return F.struct(F.when(take, longer).otherwise(acc["len"]).alias("len"), F.when(take, F.concat(acc["out"], F.array(x["k"].cast("long")))).otherwise(acc["out"]).alias("out"))
+    def finish(name, state):
+        return [(*name, state[0], ",".join(map(str, state[1])))] if state[0] >= least else []
 
-    done = df.groupBy(speaker).agg(F.aggregate(items, zero, step).alias("p"))
-    return done.where(F.col("p.len") >= least).select(speaker, F.col("p.len").alias("ms"), F.array_join(F.col("p.out"), ",").alias("clips"))
+    return fold_sorted(x, [speaker], ["_o", "_k"], f"`{speaker}` {df.schema[speaker].dataType.simpleString()}, ms int, clips string", lambda: (0, []), step, finish)
 
 
 def chunk_plan(colours: DataFrame, bands: DataFrame, total: int, seed: int) -> DataFrame:

@@ -21,13 +21,12 @@ def timed(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "ts", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("t"))
 
 
-@add("es1_sliding_windows", "WITH e AS (SELECT user_id, value, epoch_us(ts) AS u FROM events WHERE user_id % 10 = 0), x AS (SELECT user_id, value, unnest(range((u // 21600000000) * 21600000000 - 64800000000, (u // 21600000000) * 21600000000 + 1, 21600000000)) AS s, u FROM e), m AS (SELECT max(u) AS m FROM e) SELECT user_id, make_timestamp(s) AS start, make_timestamp(s + 86400000000) AS \"end\", count(*) AS n, max(value) AS top FROM x, m WHERE u >= s AND u < s + 86400000000 AND s + 86400000000 <= m GROUP BY 1, 2, 3")
-def es1(spark, d):
-    return _es1(table(spark, d, "events").where("user_id % 10 = 0"))
+_ES1 = "WITH e AS (SELECT user_id, value, epoch_us(ts) AS u FROM events), x AS (SELECT user_id, value, unnest(range((u // 21600000000) * 21600000000 - 64800000000, (u // 21600000000) * 21600000000 + 1, 21600000000)) AS s, u FROM e), m AS (SELECT max(u) AS m FROM e) SELECT user_id, make_timestamp(s) AS start, make_timestamp(s + 86400000000) AS \"end\", count(*) AS n, max(value) AS top FROM x, m WHERE u >= s AND u < s + 86400000000 AND s + 86400000000 <= m GROUP BY 1, 2, 3"
 
 
-@add("es1_sliding_windows_whole")
-def es1_whole(spark, d):
+@add("es1_sliding_windows", _ES1)
+@add("es1_sliding_windows_whole", _ES1)
+def es1(spark, d):
     return _es1(table(spark, d, "events"))
 
 
@@ -78,10 +77,31 @@ def es6(spark, d):
     return spans(spark, d)
 
 
-@add("es7_endpointed_period")
+_WAIT, _AUDIO = 1_000_000_000, 1000
+_POLLS = f"""p AS (SELECT e.user_id, g.t, CASE WHEN g.t < o + 200000000 THEN o END AS open_at, event_type AS intent, value > 10 AS ok, value < 60 AS ended, value < 30 AS fbe, json_extract_string(props, '$.k')::INT * 10 AS speech, CASE WHEN json_extract_string(props, '$.k')::INT % 4 = 0 THEN event_type END AS fb FROM g JOIN events e USING (event_id)),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, open_at NULLS FIRST, intent, ok, ended, fbe, speech, fb NULLS FIRST) AS i FROM p)"""
+_ENDED = f"""r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS anchor, 0::BIGINT AS since, -1::BIGINT AS closed, TRUE AS armed, NULL::BIGINT AS lopen, NULL::VARCHAR AS key, 0 AS streak, NULL::BIGINT AS e_open, NULL::BIGINT AS e_t, NULL::VARCHAR AS e_intent, NULL::VARCHAR AS reason FROM (SELECT DISTINCT user_id FROM n)
+UNION ALL SELECT user_id, i, CASE WHEN said IS NULL THEN anchor2 END, since2, CASE WHEN said IS NULL THEN closed2 ELSE t END, CASE WHEN said IS NULL THEN armed2 ELSE FALSE END, open_at, CASE WHEN said IS NULL THEN key3 END, CASE WHEN said IS NULL THEN streak3 ELSE 0 END, CASE WHEN said IS NOT NULL THEN anchor2 END, CASE WHEN said IS NOT NULL THEN t END, CASE said WHEN 'accepted' THEN intent WHEN 'fallback' THEN fb END, said
+FROM (SELECT *, CASE WHEN anchor2 IS NULL THEN NULL WHEN t >= since2 + {_WAIT} THEN 'timeout' WHEN obs AND ok AND streak3 >= 2 AND ended THEN 'accepted' WHEN obs AND NOT ok AND fb IS NOT NULL AND fbe AND speech >= 200 THEN 'fallback' END AS said
+FROM (SELECT *, CASE WHEN NOT obs THEN key WHEN ok THEN intent END AS key3, CASE WHEN NOT obs THEN streak WHEN NOT ok THEN 0 WHEN key = intent THEN streak + 1 ELSE 1 END AS streak3
+FROM (SELECT *, coalesce(anchor2 IS NOT NULL AND t < since2 + {_WAIT} AND t - anchor2 >= {_AUDIO}, FALSE) AS obs
+FROM (SELECT *, CASE WHEN anchor IS NOT NULL THEN anchor WHEN hold OR open_at IS NULL OR open_at <= closed THEN NULL ELSE open_at END AS anchor2, CASE WHEN anchor IS NOT NULL THEN CASE WHEN rearmed THEN open_at ELSE since END WHEN hold OR open_at IS NULL OR open_at <= closed THEN since ELSE open_at END AS since2, CASE WHEN hold THEN greatest(closed, open_at) ELSE closed END AS closed2, NOT hold AS armed2
+FROM (SELECT *, anchor IS NULL AND NOT armed AND rearmed AS hold FROM (SELECT r.anchor, r.since, r.closed, r.armed, r.lopen, r.key, r.streak, n.*, coalesce(n.open_at IS NOT NULL AND n.open_at IS DISTINCT FROM r.lopen, FALSE) AS rearmed FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)))))))"""
+_ES7 = "WITH RECURSIVE {0}, " + _POLLS + ", " + _ENDED + " SELECT user_id, e_open AS opened_at, e_t AS t, e_intent AS intent, reason FROM r WHERE reason IS NOT NULL"
+
+
+def polls(e):
+    """Polls of ES7 from rows with user_id, t, open_at, event_type, value and props."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    v = F.col("value")
+    return e.select("*", F.col("event_type").alias("intent"), (v > 10).alias("ok"), (v < 60).alias("ended"), (v < 30).alias("fallback_ended"), (k * 10).alias("speech"), F.when(k % 4 == 0, F.col("event_type")).alias("fallback"))
+
+
+@add("es7_endpointed_period", _ES7.format(_GATE))
 def es7(spark, d):
-    x = timed(spark, d).select("user_id", "t", (F.col("value") > 150).alias("score_open"), F.col("event_type").alias("intent"), (F.col("value") > 10).alias("ok"), (F.col("value") < 60).alias("quiet"))
-    return E.endpointed(x, "user_id", "user_id long, opened_at long, t long, intent string, reason string", 1_000_000_000, 2, 2)
+    g = E.gate_open(timed(spark, d), "user_id", "t", "value", 120, 200_000_000)
+    x = g.join(table(spark, d, "events").select("event_id", "props"), "event_id").withColumn("open_at", F.when(F.col("open"), F.col("opened_at")))
+    return E.endpointed(polls(x), "user_id", _WAIT, 2, _AUDIO)
 
 
 _LINE = "CASE WHEN event_id % 10 = 0 THEN '{broken' WHEN event_id % 3 = 0 THEN concat('{\"event\": \"window\", \"t_seconds\": ', event_id % 50, '}') ELSE concat('{\"event\": \"trigger\", \"t_seconds\": ', event_id % 50, ', \"intent\": \"', event_type, '\"}') END"
@@ -112,27 +132,47 @@ def es11(spark, d):
     return table(spark, d, "events").withColumn("g", g).groupBy("user_id").agg(F.coalesce(F.sum("g"), F.lit(0)).alias("dropped"), F.count_if(F.col("g") > 0).alias("gaps"))
 
 
-_SES = "s AS (SELECT conv_id AS sid, CASE conv_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'error' END AS label, conv_id % 7 AS start, conv_id % 7 + 3 AS fin FROM (SELECT DISTINCT conv_id FROM conversations)), tr AS (SELECT event_id % 200 AS sid, event_id // 200 AS t, event_type AS intent FROM events WHERE value > 90)"
+_SES = "s AS (SELECT conv_id AS sid, CASE conv_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'error' END AS label, (conv_id % 7 + 3)::DOUBLE AS speech_end FROM (SELECT DISTINCT conv_id FROM conversations)), rc AS (SELECT event_id % 200 AS sid, CASE WHEN value > 90 THEN 'trigger' ELSE 'window' END AS event, (event_id // 200)::DOUBLE AS t, event_type AS intent, CASE WHEN event_id % 4 = 1 THEN ['on'] ELSE ['off', 'dim'] END AS slots, CASE WHEN event_id % 6 = 0 THEN '[classifier]' ELSE 'x' END AS text, value AS decode_ms, CASE WHEN event_id % 3 > 0 THEN (event_id % 7)::DOUBLE / 2 END AS gate_ms FROM events), tr AS (SELECT * FROM rc WHERE event = 'trigger')"
 
 
 def sessions(spark, d):
-    s = table(spark, d, "conversations").select("conv_id").distinct().selectExpr("conv_id AS sid", "CASE conv_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'error' END AS label", "conv_id % 7 AS start", "conv_id % 7 + 3 AS end")
-    return s, table(spark, d, "events").where("value > 90").selectExpr("event_id % 200 AS sid", "event_id div 200 AS t", "event_type AS intent")
+    s = table(spark, d, "conversations").select("conv_id").distinct().selectExpr("conv_id AS sid", "CASE conv_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'error' END AS label", "CAST(conv_id % 7 + 3 AS DOUBLE) AS speech_end")
+    r = table(spark, d, "events").selectExpr(
+        "event_id % 200 AS sid", "CASE WHEN value > 90 THEN 'trigger' ELSE 'window' END AS event", "CAST(event_id div 200 AS DOUBLE) AS t", "event_type AS intent", "CASE WHEN event_id % 4 = 1 THEN array('on') ELSE array('off', 'dim') END AS slots",
+        "CASE WHEN event_id % 6 = 0 THEN '[classifier]' ELSE 'x' END AS text", "value AS decode_ms", "CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 7 AS DOUBLE) / 2 END AS gate_ms",
+    )
+    return s, r
+
 
+_FOCUS = ["click", "view"]
 
-@add("es12_replay_score", f"WITH {_SES}, f AS (SELECT sid, min(t) AS t, min_by(intent, t) AS intent, count(*) AS n FROM tr GROUP BY 1), x AS (SELECT s.*, t, intent, n, coalesce(intent = label AND t >= start, FALSE) AS good FROM s LEFT JOIN f USING (sid)) SELECT count(*) AS sessions, count(*) FILTER (good) AS correct, count(*) FILTER (intent <> label) AS wrong, count(*) FILTER (t IS NULL) AS missed, count(*) FILTER (t < start) AS early, coalesce(sum(greatest(n - 1, 0)), 0)::BIGINT AS extra, round(quantile_cont((t - fin)::DOUBLE, 0.5) FILTER (good), 3) AS p50, round(quantile_cont((t - fin)::DOUBLE, 0.95) FILTER (good), 3) AS p95, round(avg(t - fin) FILTER (good), 3) AS mean FROM x")
+
+@add(
+    "es12_replay_score",
+    f"""WITH {_SES}, f AS (SELECT sid, min(t) AS t, min_by(intent, t) AS intent FROM tr GROUP BY 1), c AS (SELECT sid, count(*) AS n, count(*) FILTER (intent <> label) AS w FROM tr JOIN s USING (sid) GROUP BY 1), x AS (SELECT s.*, t, intent, n, w, coalesce(intent = label, FALSE) AS good FROM s LEFT JOIN f USING (sid) LEFT JOIN c USING (sid))
+SELECT count(*) AS sessions, count(*) FILTER (good) AS correct, round(count(*) FILTER (good) / nullif(count(*), 0)::DOUBLE, 4) AS correct_rate, coalesce(sum(w), 0)::BIGINT AS wrong, count(*) FILTER (t IS NULL) AS missed, count(*) FILTER (t < speech_end) AS early, coalesce(sum(greatest(n - 1, 0)), 0)::BIGINT AS extra, round(quantile_cont(t - speech_end, 0.5) FILTER (good), 3) AS p50, round(quantile_cont(t - speech_end, 0.95) FILTER (good), 3) AS p95, round(avg(t - speech_end) FILTER (good), 3) AS mean, {', '.join(f"concat(count(*) FILTER (good AND label = '{x}'), '/', count(*) FILTER (label = '{x}')) AS focus_{x}" for x in _FOCUS)} FROM x""",
+)
 def es12(spark, d):
-    return E.replay_score(*sessions(spark, d), "sid")
+    s, r = sessions(spark, d)
+    return E.replay_score(s, r.where("event = 'trigger'"), "sid", _FOCUS)
 
 
-@add("es13_soak_score", f"WITH {_SES}, f AS (SELECT sid, min(t) AS t, min_by(intent, t) AS intent FROM tr GROUP BY 1), x AS (SELECT s.sid % 5 = 0 AS oos, t, coalesce(t > fin + 8, FALSE) AS gap, coalesce(intent = label AND (s.sid % 2 = 0 OR (s.sid % 4 = 1)), FALSE) AS good FROM s LEFT JOIN f ON f.sid = s.sid), g AS (SELECT count(*) FILTER (NOT oos AND t IS NOT NULL AND NOT gap AND good) AS correct, count(*) FILTER (NOT oos AND t IS NOT NULL AND NOT gap AND NOT good) AS wrong, count(*) FILTER (oos AND t IS NOT NULL AND NOT gap) AS oos_accepts, count(*) FILTER (gap) AS gap_triggers, count(*) FILTER (NOT oos AND t IS NULL) AS missed FROM x) SELECT *, correct - 2 * (wrong + oos_accepts + gap_triggers) AS objective FROM g")
-def es13(spark, d):
-    from ..operators.choose import first_event
+_BINS = {"00_03": "gap_s <= 0.3", "04_06": "gap_s > 0.3 AND gap_s <= 0.6", "07_10": "gap_s > 0.6"}
+_MS = {"decode": "decode_ms", "gate": "gate_ms", "both": "decode_ms + gate_ms"}
+_UNIT = "CASE WHEN sid % 2 = 1 THEN 'On' END AS slot_value, sid % 5 = 0 AS is_oos, CAST(sid % 11 AS DOUBLE) / 10 AS gap_s, CASE WHEN sid % 9 > 0 THEN speech_end + 1 END AS unit_end"
 
-    s, t = sessions(spark, d)
-    units = s.selectExpr("sid", "label", "CASE WHEN sid % 2 = 1 THEN 'On' END AS slot_value", "sid % 5 = 0 AS is_oos", "end")
-    hits = first_event(t, "sid", "t", ["intent"]).selectExpr("sid", "t", "intent", "CASE WHEN sid % 4 = 1 THEN 'on' ELSE 'off' END AS slot")
-    return E.soak_score(units, hits, "sid", 8)
+
+@add(
+    "es13_soak_score",
+    f"""WITH {_SES}, u AS (SELECT *, {_UNIT} FROM s), f AS (SELECT sid, min(t) AS t, min_by(intent, t) AS intent, min_by(slots, t) AS slots, min_by(text, t) AS text FROM tr GROUP BY 1), c AS (SELECT sid, count(*) AS n, count(*) FILTER (NOT is_oos AND intent IS DISTINCT FROM label) AS w, count(*) FILTER (t > unit_end + 1.5) AS g FROM tr JOIN u USING (sid) GROUP BY 1), k AS (SELECT sid, count(*) AS records FROM rc GROUP BY 1),
+x AS (SELECT u.*, t, text, n, w, g, records, NOT is_oos AND t IS NOT NULL AND coalesce(intent = label, FALSE) AND (coalesce(slot_value, '') = '' OR list_contains(slots, lower(slot_value))) AS good FROM u LEFT JOIN f USING (sid) LEFT JOIN c USING (sid) LEFT JOIN k USING (sid)),
+y AS (SELECT count(*) FILTER (NOT is_oos) AS commands, count(*) FILTER (good) AS correct, round(count(*) FILTER (good) / nullif(count(*) FILTER (NOT is_oos), 0)::DOUBLE, 4) AS correct_rate, count(*) FILTER (NOT is_oos AND t IS NULL) AS missed, count(*) FILTER (NOT is_oos AND records IS NULL) AS no_period, coalesce(sum(w), 0)::BIGINT AS wrong_intents, count(*) FILTER (NOT is_oos AND t IS NOT NULL AND NOT good) AS wrong_actions, count(*) FILTER (NOT is_oos AND t < speech_end) AS early, count(*) FILTER (good AND text = '[classifier]') AS by_classifier, count(*) FILTER (is_oos) AS oos, count(*) FILTER (is_oos AND t IS NOT NULL) AS oos_accepts, coalesce(sum(greatest(n - 1, 0)), 0)::BIGINT AS extra, coalesce(sum(g), 0)::BIGINT AS gap_triggers,
+{', '.join(f'count(*) FILTER (good AND {w}) AS gap_{b}_correct, count(*) FILTER (NOT is_oos AND {w}) AS gap_{b}_all' for b, w in _BINS.items())}, round(quantile_cont(t - speech_end, 0.5) FILTER (good), 3) AS late_p50, round(quantile_cont(t - speech_end, 0.95) FILTER (good), 3) AS late_p95, round(avg(t - speech_end) FILTER (good), 3) AS late_mean, round(quantile_cont(t - speech_end, 0.5) FILTER (NOT is_oos), 3) AS late_all_p50 FROM x),
+z AS (SELECT {', '.join(f'count({v}) AS {k}_ms_n, round(avg({v}), 2) AS {k}_ms_mean, round(quantile_cont({v}, 0.5), 2) AS {k}_ms_p50, round(quantile_cont({v}, 0.95), 2) AS {k}_ms_p95, round(max({v}), 2) AS {k}_ms_max' for k, v in _MS.items())}, round(quantile_cont(decode_ms + gate_ms, 0.95) / 250, 3) AS rtf_p95 FROM rc) SELECT y.*, correct - 2 * (wrong_actions + oos_accepts + gap_triggers) AS objective, z.* FROM y, z""",
+)
+def es13(spark, d):
+    s, r = sessions(spark, d)
+    return E.soak_score(s.selectExpr("*", *_UNIT.split(", ")), r, "sid")
 
 
 TABLE = {("idle", "click"): "armed", ("armed", "purchase"): "on", ("on", "error"): "idle", ("armed", "error"): "idle"}
@@ -164,7 +204,7 @@ def run_stream(spark, d, build, complete=False):
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).parquet(path if _is_dir(spark, path) else f"{d}/event[s].parquet")
-    stream = stream.withColumn("t", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000))
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("t", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000))
     out = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     rows = build(stream)
     writer = rows.writeStream.option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
@@ -192,6 +232,36 @@ def es4_stream(spark, d):
     return run_stream(spark, d, lambda s: P.gated(s, "user_id", "t", "value", 120, 200_000_000))
 
 
+_LAST = f"z AS (SELECT user_id, max({MS}) AS lt FROM events GROUP BY 1), wm AS (SELECT max({MS}) - 86400000 AS wm FROM events)"
+_SHUT = "(lt >= start + 200000000 OR wm > lt + 200000000)"
+
+
+@add(
+    "es5_mode_period_stream",
+    f"WITH {_PER}, {_LAST}, x AS (SELECT e.user_id, start AS pid, event_type, {MS} AS t, value FROM events e JOIN pp ON pp.user_id = e.user_id AND NOT restarted AND {MS} >= start AND {MS} < start + 200000000 JOIN z ON z.user_id = e.user_id JOIN wm ON {_SHUT}), g AS (SELECT user_id, pid, event_type, count(*) AS votes, round(sum(value), 9) AS s, min(t) AS f, max(t) AS latest, avg(value) AS mean FROM x GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, pid ORDER BY votes DESC, s DESC, f) AS r FROM g) SELECT user_id, pid, event_type, votes, latest, round(mean, 6) AS mean FROM r WHERE r = 1",
+)
+def es5_stream(spark, d):
+    fires = lambda s: s.withColumn("fires", F.col("value") >= 120)
+    return run_stream(spark, d, lambda s: P.mode_periods(fires(s), "user_id", "t", "fires", "event_type", "value", 200_000_000)).withColumn("mean", F.round("mean", 6))
+
+
+@add("es6_single_period_stream", f'WITH {_PER}, {_LAST} SELECT user_id, start, restarted, fin AS "end" FROM pp JOIN z USING (user_id) JOIN wm ON restarted OR {_SHUT}')
+def es6_stream(spark, d):
+    return run_stream(spark, d, lambda s: P.single_periods(s.withColumn("fires", F.col("value") >= 120), "user_id", "t", "fires", 200_000_000))
+
+
+@add("es7_endpointed_stream", _ES7.format(_GATE))
+def es7_stream(spark, d):
+    """The gate's openings come with the polls: they are found per row from the batch table, as a live gate would stamp them."""
+    g = E.gate_open(timed(spark, d), "user_id", "t", "value", 120, 200_000_000).select("event_id", F.when(F.col("open"), F.col("opened_at")).alias("open_at"))
+    return run_stream(spark, d, lambda s: P.endpointed(polls(s.join(g, "event_id")), "user_id", _WAIT, 2, _AUDIO))
+
+
+@add("es14_state_stream", f"WITH RECURSIVE x AS (SELECT user_id, event_type AS e, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), f AS (SELECT user_id, 0::BIGINT AS i, 'idle' AS state, FALSE AS changed, NULL::BIGINT AS event_id FROM (SELECT DISTINCT user_id FROM x) UNION ALL SELECT f.user_id, x.i, coalesce({_MOVE}, state), ({_MOVE}) IS NOT NULL, x.event_id FROM f JOIN x ON x.user_id = f.user_id AND x.i = f.i + 1) SELECT user_id, event_id, state, changed FROM f WHERE i > 0")
+def es14_stream(spark, d):
+    return run_stream(spark, d, lambda s: P.machine(s, "user_id", "event_id", "event_type", "idle", TABLE))
+
+
 @add("es15_latest_stream", "SELECT user_id, max_by(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")
 def es15_stream(spark, d):
     return run_stream(spark, d, lambda s: P.latest(s, "user_id", "event_id", "event_type"), True)
