@@ -34,7 +34,7 @@ def target_label(df: DataFrame, phrases: DataFrame, intents: list[str]) -> DataF
     """ST11: df: text, label, bucket, slot_value. Target intent and slot with the reason: nontarget, intent_unmapped, phrase, phrase_label_mismatch, manifest_slot_value, nonslotted or no_slot_target."""
     p = phrases.groupBy("text").agg(F.min("intent").alias("_i"), F.min("value").alias("_v"), F.max(F.when(F.col("slot").isNotNull(), True).otherwise(False)).alias("_s"))
     slotted = phrases.where(F.col("slot").isNotNull()).select(F.col("intent").alias("label"), F.lit(True).alias("_slotted")).distinct()
-    x = df.join(F.broadcast(p), "text", "left").join(F.broadcast(slotted), "label", "left")
+    x = df.join(p, "text", "left").join(slotted, "label", "left")
     why = (
         F.when(F.col("bucket") != "target_commands", "nontarget")
         .when(~F.col("label").isin(intents), "intent_unmapped")

@@ -103,7 +103,7 @@ def dictionary_match(df: DataFrame, phrases: DataFrame) -> DataFrame:
     e = F.col("_e")
     own = F.filter(e, lambda x: x["intent"] == F.col("label"))
     best = F.when(F.size(own) > 0, F.get(own, F.lit(0))).otherwise(F.get(e, F.lit(0)))
-    return df.join(F.broadcast(p), "text", "left").select(*df.columns, best["intent"].alias("intent"), best["value"].alias("value"))
+    return df.join(p, "text", "left").select(*df.columns, best["intent"].alias("intent"), best["value"].alias("value"))
 
 
 def prefix_join(df: DataFrame, prefixes: DataFrame, most_words: int) -> DataFrame:
@@ -111,12 +111,12 @@ def prefix_join(df: DataFrame, prefixes: DataFrame, most_words: int) -> DataFram
     w = F.split("text", " ")
     upto = F.least(F.size(w) - 1, F.lit(most_words))
     own = df.where(F.size(w) > 1).withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), upto), lambda n: F.array_join(F.slice(w, F.lit(1), n), " "))))
-    return own.join(F.broadcast(prefixes.select("prefix").distinct()), "prefix")
+    return own.join(prefixes.select("prefix").distinct(), "prefix")
 
 
 def plan_product(a: DataFrame, b: DataFrame, name: Column) -> DataFrame:
     """JN13: every pair of two dimension tables with a target name; names that occur twice are marked."""
-    pairs = a.crossJoin(F.broadcast(b)).withColumn("name", name)
+    pairs = a.crossJoin(b).withColumn("name", name)
     n = pairs.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("clash"))
     return pairs.join(n, "name")
 

@@ -137,7 +137,7 @@ def confusable(df: DataFrame, pairs: DataFrame, label: str, predicted: Column) -
     """AG18: pairs: label, other. Counts of right, other member, anything else and rejected."""
     p = predicted
     kind = F.when(p.isNull(), "reject").when(p == F.col(label), "member").when(p == F.col("other"), "other").otherwise("else")
-    return df.join(F.broadcast(pairs), label).withColumn("kind_", kind).groupBy(label, "other").agg(*[count_where(F.col("kind_") == k).alias(f"n_{k}") for k in ("member", "other", "else", "reject")])
+    return df.join(pairs, label).withColumn("kind_", kind).groupBy(label, "other").agg(*[count_where(F.col("kind_") == k).alias(f"n_{k}") for k in ("member", "other", "else", "reject")])
 
 
 def complementarity(df: DataFrame, a_right: Column, b_right: Column, who: Column) -> DataFrame:
@@ -217,7 +217,7 @@ def imbalance(before: DataFrame, after: DataFrame, label: str) -> DataFrame:
     a, b = before.groupBy(label).agg(N("before")), after.groupBy(label).agg(N("after"))
     j = a.join(b, label, "full").na.fill(0, ["before", "after"])
     r = j.agg(ratio(F.max("before"), F.min("before")).alias("ratio_before"), ratio(F.max("after"), F.nullif(F.min("after"), F.lit(0))).alias("ratio_after"))
-    return j.crossJoin(F.broadcast(r))
+    return j.crossJoin(r)
 
 
 def plan_audit(df: DataFrame, cls: str, steps: list[str]) -> DataFrame:

@@ -32,7 +32,7 @@ def convert_row(text: Column, variation: Column) -> tuple[Column, Column]:
 
 def dispatch(df: DataFrame, dim: DataFrame, on: str) -> DataFrame:
     """PF4: fixed columns by kind, from a small dimension; kinds it lacks keep nulls."""
-    return df.join(F.broadcast(dim), on, "left")
+    return df.join(dim, on, "left")
 
 
 def already_noised(source: Column, filename: Column) -> Column:
@@ -115,7 +115,7 @@ def decision(threshold: float, margin: float) -> Column:
 
 def per_intent_accept(df: DataFrame, taus: DataFrame, default: float, score: str = "confidence") -> DataFrame:
     """PF17: score reaches the intent's own threshold, or the default."""
-    return df.join(F.broadcast(taus), "intent", "left").withColumn("ok", F.coalesce(F.col(score) >= F.coalesce("tau", F.lit(default)), F.lit(False))).drop("tau")
+    return df.join(taus, "intent", "left").withColumn("ok", F.coalesce(F.col(score) >= F.coalesce("tau", F.lit(default)), F.lit(False))).drop("tau")
 
 
 def correct(label: Column, intent: Column, slot_truth: Column, slots: Column) -> Column:
@@ -140,7 +140,7 @@ def combine(mode: str, a: Column, a_ok: Column, b: Column, b_ok: Column) -> tupl
 
 def command_status(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """PF21: vocabulary: intent, needs_slot, values. status ok or malformed; changed false for values outside it."""
-    v = df.join(F.broadcast(vocabulary), "intent", "left")
+    v = df.join(vocabulary, "intent", "left")
     known = F.col("needs_slot").isNotNull()
     bad = ~known | (F.col("needs_slot") & F.col("slot").isNull())
     changed = ~bad & (~F.col("needs_slot") | F.array_contains("values", F.col("slot")))

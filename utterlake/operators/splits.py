@@ -33,9 +33,9 @@ def allocation(pools: DataFrame, share: float, residual: dict[str, int]) -> Data
     whole = t.select("each", (F.bround(target / share) - target).cast("long").alias("rest"))
     names = F.create_map(*[F.lit(x) for kv in residual.items() for x in kv])
     buckets = pools.where(F.col("bucket") != "target_commands").select("bucket").distinct().withColumn("weight", names[F.col("bucket")])
-    per = largest_remainder(buckets.crossJoin(F.broadcast(whole)).withColumn("all", F.lit(1)), ["all"], "bucket", "weight", F.col("rest")).select("bucket", F.col("n").alias("quota"))
+    per = largest_remainder(buckets.crossJoin(whole).withColumn("all", F.lit(1)), ["all"], "bucket", "weight", F.col("rest")).select("bucket", F.col("n").alias("quota"))
     others = largest_remainder(pools.join(per, "bucket").withColumnRenamed("n", "pool"), ["bucket"], "label", "pool", F.col("quota")).select("bucket", "label", "n")
-    targets = pools.where("bucket = 'target_commands'").select("bucket", "label").crossJoin(F.broadcast(whole)).select("bucket", "label", F.col("each").alias("n"))
+    targets = pools.where("bucket = 'target_commands'").select("bucket", "label").crossJoin(whole).select("bucket", "label", F.col("each").alias("n"))
     return targets.unionByName(others)
 
 
@@ -43,7 +43,7 @@ def exact_split(df: DataFrame, by: str, key: str, seed: int, parts: list[tuple[s
     """SP3: rows of a stratum in seeded order, split exactly by largest remainder; ties go to earlier parts."""
     sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
     dim = df.sparkSession.createDataFrame([(i, n, w) for i, (n, w) in enumerate(parts)], "place int, split string, weight int")
-    quota = largest_remainder(sizes.crossJoin(F.broadcast(dim)), [by], "place", "weight", F.col("total"))
+    quota = largest_remainder(sizes.crossJoin(dim), [by], "place", "weight", F.col("total"))
     upto = quota.withColumn("upto", F.sum("n").over(Window.partitionBy(by).orderBy("place"))).select(by, "split", (F.col("upto") - F.col("n")).alias("lo"), F.col("upto").alias("hi"))
     x = ranked(df, [by], draw(seed, "split", F.col(key)))
     return x.join(upto, by).where("_r >= lo AND _r < hi").drop("_r", "lo", "hi")
@@ -120,21 +120,21 @@ def rounded_split(df: DataFrame, by: str, key: str, seed: int, parts: list[tuple
 
 def voice_split(ids: DataFrame, n_test: int, n_val: int, test_pct: int = 30, val_pct: int = 8) -> DataFrame:
     """SP10: ids: no, n. The pair of disjoint id sets with the least deviation from the shares; ties to the first in sorted order. The pairs of sets are the planned product; any number of ids."""
-    total = F.broadcast(ids.agg(F.sum("n").alias("total")))
+    total = ids.agg(F.sum("n").alias("total"))
     one = ids.where(F.col("no").isNotNull())
 
     def sets(size: int) -> DataFrame:
         """Sets of `size` ids in rising order, with their sum."""
         x = one.select(F.array("no").alias("ids"), F.col("n").alias("s"))
         for _ in range(size - 1):
-            more = F.broadcast(one.select("no", "n"))
+            more = one.select("no", "n")
             x = x.join(more, F.col("no") > F.element_at("ids", -1)).select(F.array_append("ids", F.col("no")).alias("ids"), (F.col("s") + F.col("n")).alias("s"))
         return x
 
     test = sets(n_test).select(F.col("s").alias("st"), F.col("ids").alias("test_ids"))
     val = sets(n_val).select(F.col("s").alias("sv"), F.col("ids").alias("val_ids"))
     err = F.abs(100 * F.col("st") - test_pct * F.col("total")) + F.abs(100 * F.col("sv") - val_pct * F.col("total"))
-    pairs = test.join(F.broadcast(val), ~F.arrays_overlap("test_ids", "val_ids")).crossJoin(total)
+    pairs = test.join(val, ~F.arrays_overlap("test_ids", "val_ids")).crossJoin(total)
     best = pairs.agg(F.min(F.struct(err.alias("err"), "test_ids", "val_ids")).alias("b"))
     return best.select("b.err", F.array_join("b.test_ids", ",").alias("test_ids"), F.array_join("b.val_ids", ",").alias("val_ids"))
 
@@ -223,14 +223,14 @@ def job_plan(deficits: DataFrame, rows: DataFrame, split: str, key: str, overgen
 def voice_pool(voices: DataFrame, splits: DataFrame, mode: str) -> DataFrame:
     """SP21: voices (voice, split, origin) of each split: all of that split, references whatever their split, or the split's own recordings."""
     if mode == "references":
-        return splits.crossJoin(F.broadcast(voices.where("origin = 'reference'").select("voice")))
+        return splits.crossJoin(voices.where("origin = 'reference'").select("voice"))
     own = voices if mode == "all" else voices.where("origin = 'own'")
     return splits.join(own.select("split", "voice"), "split")
 
 
 def even_pairs(clips: DataFrame, personas: DataFrame, by: str, clip: str, persona: str, cap: int, seed: int) -> DataFrame:
     """SP22: min(cap, clips * personas) pairs a label, round-robin over clips, each clip meeting personas in its own order."""
-    pairs = clips.crossJoin(F.broadcast(personas))
+    pairs = clips.crossJoin(personas)
     r = F.row_number().over(Window.partitionBy(by, clip).orderBy(draw(seed, "pair", F.col(clip), F.col(persona))))
     order = Window.partitionBy(by).orderBy("_r", clip)
     return pairs.withColumn("_r", r).withColumn("_o", F.row_number().over(order)).where(F.col("_o") <= cap).drop("_r", "_o")
@@ -240,7 +240,7 @@ def mix_plan(df: DataFrame, split: str, key: str, pools: DataFrame, p_mix: float
     """SP23: pools: split, pos, chunk. Chosen rows get two attempts with different chunks of their split and uniform SNR."""
     sizes = pools.groupBy(split).agg(F.count(F.lit(1)).alias("size"))
     k = F.col(key)
-    x = df.where(uniform(seed, "mix", k) < p_mix).join(F.broadcast(sizes), split)
+    x = df.where(uniform(seed, "mix", k) < p_mix).join(sizes, split)
     one = F.pmod(number(draw(seed, "c1", k)), F.col("size"))
     two = F.pmod(one + 1 + F.pmod(number(draw(seed, "c2", k)), F.col("size") - 1), F.col("size"))
     x = x.withColumn("_a", F.explode(F.array(F.struct(F.lit(1).alias("attempt"), one.alias("pos")), F.struct(F.lit(2).alias("attempt"), two.alias("pos")))))
@@ -276,7 +276,7 @@ def deal(df: DataFrame, key: str, order_by: str, pool: DataFrame, seed: int, by:
     """SP26: pool: item. Rows of a stratum take items deck by deck, each deck shuffled anew, so items are used evenly."""
     size = pool.count()  # a dimension
     x = ranked_by_number(df, [by], order_by).withColumn("deck", F.floor(F.col("_r") / size).cast("int")).withColumn("pos", (F.col("_r") % size).cast("int")).drop("_r")
-    decks = x.select(by, "deck").distinct().crossJoin(F.broadcast(pool))
+    decks = x.select(by, "deck").distinct().crossJoin(pool)
     ranked = decks.withColumn("pos", F.row_number().over(Window.partitionBy(by, "deck").orderBy(draw(seed, "deck", F.col(by), F.col("deck"), F.col("item")))) - 1)
     return x.join(ranked, [by, "deck", "pos"])
 
@@ -318,7 +318,7 @@ def prompt_pack(df: DataFrame, speaker: str, kind: str, key: str, ms: str, least
 
 def chunk_plan(colours: DataFrame, bands: DataFrame, total: int, seed: int) -> DataFrame:
     """SP31: chunks dealt equally over colour and band (lo, hi), with uniform duration of 2 to 10 s and level within the band."""
-    cells = colours.crossJoin(F.broadcast(bands)).withColumn("all", F.lit(1)).withColumn("w", F.lit(1)).withColumn("cell", F.concat_ws("/", "colour", "band"))
+    cells = colours.crossJoin(bands).withColumn("all", F.lit(1)).withColumn("w", F.lit(1)).withColumn("cell", F.concat_ws("/", "colour", "band"))
     per = largest_remainder(cells, ["all"], "cell", "w", F.lit(total)).where("n > 0")
     x = per.select("cell", "lo", "hi", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
     u = lambda p: uniform(seed, p, F.col("cell"), F.col("i"))

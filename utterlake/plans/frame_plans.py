@@ -112,8 +112,11 @@ _G2 = f"g AS (SELECT m AS margin, avg(({OK_SQL} AND {R_SQL} AND (gap IS NULL OR
 @add("tk2_margin_selection", S + f", {_G2} SELECT margin, far, accuracy FROM g WHERE accuracy >= (SELECT min_by(accuracy, margin) FROM g) - 0.06 ORDER BY far, margin LIMIT 1")
 def tk2(spark, d):
     grid = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (4.0,)], "m double")
-    met = OK() & (F.col("gap").isNull() | (F.col("gap") >= F.col("m")))
-    g = scores(spark, d).crossJoin(F.broadcast(grid)).groupBy(F.col("m").alias("margin")).agg(F.avg(F.when(TARGET(), (met & RIGHT()).cast("int"))).alias("accuracy"), F.avg(F.when(~TARGET(), met.cast("int"))).alias("far"))
+    # rows meet the grid as counts
+    per = scores(spark, d).groupBy("gap", TARGET().alias("t")).agg(F.count(F.lit(1)).alias("n"), F.count_if(OK() & RIGHT()).alias("right"), F.count_if(OK()).alias("ok")).crossJoin(F.broadcast(grid))
+    met, t = F.col("gap").isNull() | (F.col("gap") >= F.col("m")), F.col("t")
+    part = lambda c, w: F.coalesce(F.sum(F.when(w & met, F.col(c))), F.lit(0)) / F.sum(F.when(w, F.col("n")))
+    g = per.groupBy(F.col("m").alias("margin")).agg(part("right", t).alias("accuracy"), part("ok", ~t).alias("far"))
     return K.choose_margin(g, 0.06)
 
 

@@ -58,11 +58,14 @@ def sc4(spark, d):
     )
 
 
-@add("sc5_jsonl_scan", S + " SELECT i, intent, confidence::DOUBLE AS confidence FROM scores")
+@add("sc5_jsonl_scan", S + " SELECT i, intent, confidence::DOUBLE AS confidence, FALSE AS bad FROM scores UNION ALL SELECT i, NULL, NULL, TRUE FROM scores WHERE i % 10 = 3")
 def sc5(spark, d):
     out = place(spark)
-    scores(spark, d).select("i", "intent", "confidence", "split").write.partitionBy("split").json(out)
-    return A.read_jsonl(spark, f"{out}/split=*/*.json", "i long, intent string, confidence double")
+    lines = scores(spark, d).select("split", F.to_json(F.struct("i", "intent", "confidence")).alias("line"))
+    broken = scores(spark, d).where("i % 10 = 3").select("split", F.concat(F.lit('{"i": '), F.col("i").cast("string"), F.lit(", broken")).alias("line"))
+    lines.unionByName(broken).write.partitionBy("split").text(out)
+    rows, bad = A.read_jsonl(spark, f"{out}/split=*/*.txt", "i long, intent string, confidence double", "i")
+    return rows.select("i", "intent", "confidence", F.lit(False).alias("bad")).unionByName(bad.select(F.regexp_extract("line", "([0-9]+)", 1).cast("long").alias("i"), F.lit(None).cast("string").alias("intent"), F.lit(None).cast("double").alias("confidence"), F.lit(True).alias("bad")))
 
 
 @add("sc6_shard_merge", "SELECT o_orderkey AS job_id, o_orderstatus AS status FROM orders")
@@ -71,11 +74,11 @@ def sc6(spark, d):
     return A.merge_shards([o.where(f"job_id % 3 = {i}") for i in range(3)], "job_id")
 
 
-@add("sc7_file_hashes")
+@add("sc7_file_hashes", "SELECT item_id::BIGINT AS item_id, octet_length(encode(text || chr(10)))::BIGINT AS length, md5(text || chr(10)) AS md5, sha256(text || chr(10)) AS sha256 FROM benchmark")
 def sc7(spark, d):
     out = place(spark)
-    table(spark, d, "benchmark").select("text").write.text(out)
-    return A.hash_files(spark, f"{out}/*.txt").select("length", "md5", "sha256")
+    table(spark, d, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(out)
+    return A.hash_files(spark, f"{out}/*/*.txt").select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), "length", "md5", "sha256")
 
 
 _REPORT = "concat('# Report ', c_custkey, '\\n\\n## Passed\\n| name | why |\\n| x.wav | ok |\\n## Flagged\\n| name | why |\\n|---|---|\\n| a', c_custkey, '.wav | noise |\\n| b\\\\|', c_nationkey, '.wav | text |\\n\\n## End\\n| y.wav | z |')"

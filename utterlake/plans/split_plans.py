@@ -53,7 +53,7 @@ def sp3(spark, d):
 
 @add(
     "sp4_greedy_group_split",
-    f"""WITH RECURSIVE g AS (SELECT o_orderpriority AS fam, o_custkey AS grp, count(*) AS n, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {draw_sql(4, 'group', 'o_orderpriority', 'o_custkey')}) AS i FROM orders WHERE o_custkey % 5 = 0 GROUP BY 1, 2),
+    f"""WITH RECURSIVE g AS (SELECT o_orderpriority AS fam, o_custkey AS grp, count(*) AS n, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {draw_sql(4, 'group', 'o_orderpriority', 'o_custkey')}) AS i FROM orders GROUP BY 1, 2),
 tot AS (SELECT fam, sum(n) AS total FROM g GROUP BY 1),
 f AS (SELECT fam, 0::BIGINT AS i, 0::HUGEINT AS te, 0::HUGEINT AS tr, 0::HUGEINT AS va, NULL::BIGINT AS grp, NULL::VARCHAR AS split FROM tot
 UNION ALL SELECT fam, i, te + CASE WHEN s = 'test' THEN n ELSE 0 END, tr + CASE WHEN s = 'train' THEN n ELSE 0 END, va + CASE WHEN s = 'val' THEN n ELSE 0 END, grp, s
@@ -61,7 +61,7 @@ FROM (SELECT f.fam, g.i, te, tr, va, n, g.grp, CASE WHEN total - 10 * va >= tota
 SELECT fam, grp, split FROM f WHERE i > 0""",
 )
 def sp4(spark, d):
-    return _sp4(table(spark, d, "orders").where("o_custkey % 5 = 0"))
+    return _sp4(table(spark, d, "orders"))
 
 
 @add("sp4_greedy_group_split_whole")
@@ -102,13 +102,12 @@ def sp9(spark, d):
 
 @add(
     "sp10_voice_split",
-    """WITH ids AS (SELECT c_nationkey AS no, count(*) AS n FROM customer WHERE c_nationkey < 10 GROUP BY 1), m AS (SELECT range AS m FROM range(1024) WHERE bit_count(range::BIGINT) IN (3, 2)),
-s AS (SELECT m, sum(n) AS s, list(no ORDER BY no) AS ids, count(*) AS c FROM m JOIN ids ON (m >> no) & 1 = 1 GROUP BY 1),
-p AS (SELECT abs(100 * a.s - 30 * t) + abs(100 * b.s - 8 * t) AS err, a.ids AS ta, b.ids AS vb FROM s a, s b, (SELECT sum(n) AS t FROM ids) WHERE a.c = 3 AND b.c = 2 AND a.m & b.m = 0)
+    """WITH ids AS (SELECT c_nationkey AS no, count(*) AS n FROM customer GROUP BY 1), a AS (SELECT [x.no, y.no, z.no] AS ids, x.n + y.n + z.n AS s FROM ids x JOIN ids y ON y.no > x.no JOIN ids z ON z.no > y.no), b AS (SELECT [x.no, y.no] AS ids, x.n + y.n AS s FROM ids x JOIN ids y ON y.no > x.no),
+p AS (SELECT abs(100 * a.s - 30 * t) + abs(100 * b.s - 8 * t) AS err, a.ids AS ta, b.ids AS vb FROM a, b, (SELECT sum(n) AS t FROM ids) WHERE NOT list_has_any(a.ids, b.ids))
 SELECT err::BIGINT AS err, array_to_string(ta, ',') AS test_ids, array_to_string(vb, ',') AS val_ids FROM p ORDER BY p.err, ta, vb LIMIT 1""",
 )
 def sp10(spark, d):
-    return _sp10(table(spark, d, "customer").where("c_nationkey < 10"))
+    return _sp10(table(spark, d, "customer"))
 
 
 @add("sp10_voice_split_whole")
@@ -199,9 +198,9 @@ def sp21(spark, d):
     return one("all").unionByName(one("references")).unionByName(one("own"))
 
 
-@add("sp22_even_pairs", f"WITH p AS (SELECT p_type AS label, p_partkey AS clip, s_suppkey AS persona FROM part, supplier WHERE p_partkey % 20 = 0 AND s_suppkey < 8), r AS (SELECT *, row_number() OVER (PARTITION BY label, clip ORDER BY {draw_sql(2, 'pair', 'clip', 'persona')}) AS r FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY r, clip) AS o FROM r) SELECT label, clip, persona FROM o WHERE o <= 25")
+@add("sp22_even_pairs", f"WITH p AS (SELECT p_type AS label, p_partkey AS clip, s_suppkey AS persona FROM part, supplier), r AS (SELECT *, row_number() OVER (PARTITION BY label, clip ORDER BY {draw_sql(2, 'pair', 'clip', 'persona')}) AS r FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY r, clip) AS o FROM r) SELECT label, clip, persona FROM o WHERE o <= 25")
 def sp22(spark, d):
-    return _sp22(table(spark, d, "part").where("p_partkey % 20 = 0"), table(spark, d, "supplier").where("s_suppkey < 8"))
+    return _sp22(table(spark, d, "part"), table(spark, d, "supplier"))
 
 
 @add("sp22_even_pairs_whole")
@@ -267,13 +266,13 @@ def sp29(spark, d):
 
 @add(
     "sp30_prompt_packing",
-    """WITH RECURSIVE x AS (SELECT o_custkey AS spk, o_orderkey AS k, (o_totalprice / 200)::INT AS ms, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderkey) AS i FROM orders WHERE o_custkey % 7 = 0),
+    """WITH RECURSIVE x AS (SELECT o_custkey AS spk, o_orderkey AS k, (o_totalprice / 200)::INT AS ms, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderkey) AS i FROM orders),
 f AS (SELECT spk, 0::BIGINT AS i, 0 AS len, ''::VARCHAR AS out FROM (SELECT DISTINCT spk FROM x)
 UNION ALL SELECT spk, i, CASE WHEN take THEN longer ELSE len END, CASE WHEN take THEN out || CASE WHEN out = '' THEN '' ELSE ',' END || k ELSE out END FROM (SELECT f.spk, x.i, len, out, k, len + ms + CASE WHEN out = '' THEN 0 ELSE 150 END AS longer, len < 8000 AND len + ms + CASE WHEN out = '' THEN 0 ELSE 150 END <= 12000 AS take FROM f JOIN x ON x.spk = f.spk AND x.i = f.i + 1)),
 l AS (SELECT *, row_number() OVER (PARTITION BY spk ORDER BY i DESC) AS r FROM f) SELECT spk, len AS ms, out AS clips FROM l WHERE r = 1 AND len >= 8000""",
 )
 def sp30(spark, d):
-    return _sp30(table(spark, d, "orders").where("o_custkey % 7 = 0"))
+    return _sp30(table(spark, d, "orders"))
 
 
 @add("sp30_prompt_packing_whole")

@@ -27,11 +27,11 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_manifest(df: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
-    """SC10: fixed column order, sorted within files, published by renaming a staged folder."""
+    """SC10: fixed column order, sorted over all files (range by range), published by renaming a staged folder."""
     spark = df.sparkSession
     staged = f"{path}.staging-{uuid.uuid4().hex}"
     cells = [F.when(F.col(c), "True").when(~F.col(c), "False").alias(c) if df.schema[c].dataType == T.BooleanType() else F.col(c) for c in columns]
-    df.select(*columns).sortWithinPartitions(*order).select(*cells).write.csv(staged, header=True, quote='"', escape='"', nullValue="", emptyValue="")
+    df.select(*columns).orderBy(*order).select(*cells).write.csv(staged, header=True, quote='"', escape='"', nullValue="", emptyValue="")
     jvm = spark._jvm
     a, b = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
     fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -75,9 +75,12 @@ def adapt(sources: dict[str, tuple[DataFrame, dict[str, Column], Column | None]]
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_jsonl(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """SC5: sharded JSON lines of a fixed schema; malformed lines are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(glob)
+def read_jsonl(spark: SparkSession, glob: str, schema: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """SC5: sharded JSON lines of a fixed schema in order of a row number; and the malformed lines with their file."""
+    lines = spark.read.text(glob).where(F.trim("value") != "").withColumn("file", F.input_file_name())
+    parsed = lines.withColumn("row", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    good = parsed.where("row IS NOT NULL AND row._bad IS NULL").select("row.*").drop("_bad")
+    return good.orderBy(order), parsed.where("row IS NULL OR row._bad IS NOT NULL").select("file", F.col("value").alias("line"))
 
 
 def merge_shards(parts: list[DataFrame], key: str) -> DataFrame:
