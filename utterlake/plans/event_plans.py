@@ -232,6 +232,17 @@ def es4_stream(spark, d):
     return run_stream(spark, d, lambda s: P.gated(s, "user_id", "t", "value", 120, 200_000_000))
 
 
+@add("es1_sliding_stream", _ES1.replace("s + 86400000000 <= m GROUP", "s + 86400000000 <= m // 1000 * 1000 - 86400000000 GROUP"))
+def es1_stream(spark, d):
+    out = run_stream(spark, d, lambda s: P.sliding_counts(s, "user_id", "ts", "1 day", "6 hours", "1 day"))
+    return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
+
+
+@add("es2_threshold_stream", "SELECT event_id FROM events WHERE value >= 80")
+def es2_stream(spark, d):
+    return run_stream(spark, d, lambda s: P.accepted_only(s, F.col("value") >= 80).select("event_id"))
+
+
 _LAST = f"z AS (SELECT user_id, max({MS}) AS lt FROM events GROUP BY 1), wm AS (SELECT max({MS}) - 86400000 AS wm FROM events)"
 _SHUT = "(lt >= start + 200000000 OR wm > lt + 200000000)"
 
