@@ -17,9 +17,10 @@ bucket, into one index per bucket:
    samples the match with the neighbour shrinks by one byte a position;
 4. windows whose longest match elsewhere reaches the length are marked.
 
-An anchor with very many different segments (`hot_anchor`) has each window
-dealt by the window's own hash instead, summed before the shuffle, so that
-no bucket ever holds more than a bounded share; this is exact as well.
+Where more than `hot_anchor` different segments share an anchor (a frequent
+line in many surroundings), they are cut again by longer k-grams, which hold
+more of the surroundings, and at last by whole windows: equal windows stay
+together at every step, and no index ever holds more than a bounded share.
 
 Defined cases: a null text is empty; texts shorter than the window keep all
 bytes; equal rows (even of one doc_id) are repeats of each other; an empty
@@ -38,23 +39,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import string_buffers
-from .scratch import keep
+from .scratch import drop, keep
 
-LENGTH, GRAM = 200, 64
+LENGTH = 200
+#: Lengths of the k-grams that deal the windows: the next one where too many segments share one, the whole window at last.
+GRAMS = (64, 128, 200)
 MIX = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 ODD = 0xD6E8FEB86659FD93
 OWN = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "spans")
 
 
 def gram_hashes(a: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hashes of all k-byte strings of a, k a power of two, by doubling."""
+    """64-bit hashes of all k-byte strings of a, put together from those of the powers of two in k."""
     h, m, s = MIX[a], ODD, 1
-    while s < k:
+    out, done = None, 0
+    while True:
+        if k & s:
+            out = h[: len(a) - s + 1] if out is None else h[: len(out) - s] * np.uint64(pow(ODD, done, 1 << 64)) + out[s:]
+            done += s
+        if done == k:
+            break
         h = h[:-s] * np.uint64(m) + h[s:]
         m, s = m * m & 0xFFFFFFFFFFFFFFFF, s * 2
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(32))
+    out = out ^ (out >> np.uint64(29))
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(32))
 
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -76,33 +85,36 @@ def segments(a: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray
 def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Suffix array by prefix doubling; the separators at `ends` differ from each other, in order of place."""
     n = len(text)
-    pad = np.zeros(n + 8, np.uint64)
-    pad[:n] = text.astype(np.uint64) + 1
+    place = np.arange(n, dtype=np.int32)
+    to_end = np.repeat(ends, np.diff(ends, prepend=-1)).astype(np.int32) - place
     # the first seven characters at once; nothing is read beyond a separator
-    to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    pad = np.zeros(n + 8, np.uint16)
+    pad[:n] = text
+    pad[:n] += 1
     key = np.zeros(n, np.uint64)
     for i in range(7):
-        key = (key << np.uint64(9)) | np.where(to_end > i, pad[i : i + n], np.uint64(0))
-    rank = np.empty(n, np.int64)
-    order = np.argsort(key, kind="stable")
-    step, sorted_key = 7, key[order]
-    new = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
+        key <<= np.uint64(9)
+        key |= np.where(to_end > i, pad[i : i + n], 0).astype(np.uint64)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    del key, pad
+    rank, step = np.empty(n, np.int32), 7
     while True:
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        head = np.maximum.accumulate(np.where(new, place, 0))
         rank[order] = head
         lone = new & np.append(new[1:], True)
         if lone.all():
             return order
         # only suffixes that still share their rank are sorted again
         where = np.flatnonzero(~lone)
-        pos = order[where]
+        pos, head = order[where], head[where]
         over = to_end[pos] < step  # the separator lies within what is equal: its place decides
         after = np.where(over, pos, rank[np.minimum(pos + step, n - 1)])
-        sub = np.lexsort((after, head[where]))
+        sub = np.argsort(head.astype(np.int64) << 32 | after, kind="stable")
         order[where] = pos[sub]
-        g, x = head[where][sub], after[sub]
-        fresh = np.concatenate(([True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])))
-        new[where] = fresh
+        g, x = head[sub], after[sub]
+        new[where] = np.concatenate(([True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])))
         step *= 2
 
 
@@ -167,59 +179,81 @@ def mark(texts: list[bytes], many: np.ndarray, length: int) -> list[list[tuple[i
     return out
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = 1 << 20, hot_anchor: int = 2000) -> DataFrame:
-    """docs: row long, tag long, text; row and tag name a text of an id, equal rows share both. Returns row, tag, lo, hi: byte ranges, one row each, that repeated windows cover."""
+CUTS = pa.schema([("row", pa.int64()), ("tag", pa.int64()), ("anchor", pa.int64()), ("seg", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("times", pa.int64())])
+CUTS_SQL = "row long, tag long, anchor long, seg long, lo int, n int, times long"
+BODIES = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("times", pa.int64()), ("kinds", pa.int64()), ("body", pa.binary())])
+BODIES_SQL = "anchor long, seg long, times long, kinds long, body binary"
+
+
+def cut_segments(docs: DataFrame, length: int, gram: int, most: int = 100_000) -> DataFrame:
+    """docs: row, tag, text, times. The segments of every text, in batches of about `most`."""
 
     def cut(batches):
+        out, size = {k: [] for k in CUTS.names}, 0
         for batch in batches:
             data, at = string_buffers(batch.column(2))
-            out = {"row": [], "tag": [], "anchor": [], "seg": [], "lo": [], "n": []}
-            for row, tag, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            for row, tag, times, a, b in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3)], at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if b - a < length:
                     continue
-                text = data[a:b]
-                anchor, lo, n = segments(text, length, gram)
-                raw = text.tobytes()
-                out["row"].append(np.full(len(lo), row, np.int64))
-                out["tag"].append(np.full(len(lo), tag, np.int64))
-                out["anchor"].append(anchor.view(np.int64))
-                out["seg"].append(np.array([xxhash.xxh3_64_intdigest(raw[i : i + m + length - 1]) for i, m in zip(lo.tolist(), n.tolist(), strict=True)], np.uint64).view(np.int64))
-                out["lo"].append(lo.astype(np.int32))
-                out["n"].append(n.astype(np.int32))
-            if out["row"]:
-                yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()})
-
-    cuts = keep(docs.mapInArrow(cut, "row long, tag long, anchor long, seg long, lo int, n int"), "segments")
-    # counts are summed before the shuffle; then only what has an anchor in common goes on
-    busy = cuts.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).where("total > 1")
-    cuts = keep(cuts.join(busy.select("anchor"), "anchor"), "repeated")
-    seg = cuts.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "tag", "lo", "n")).alias("at"))
-    kinds = cuts.groupBy("anchor").agg(F.count_distinct("seg").alias("kinds"))
-    seg = seg.join(kinds, "anchor")
-    whole = seg.where("times > 1").select("anchor", "seg", F.lit(0).alias("first"), F.col("at.n").alias("past"))
-    mixed = seg.where("kinds > 1").select(F.col("at.row").alias("row"), F.col("at.tag").alias("tag"), "anchor", "seg", "times", "kinds", F.col("at.lo").alias("lo"), F.col("at.n").alias("n"))
+                anchor, lo, n = segments(data[a:b], length, gram)
+                raw = data[a:b].tobytes()
+                seg = [xxhash.xxh3_64_intdigest(raw[i : i + m + length - 1]) for i, m in zip(lo.tolist(), n.tolist(), strict=True)]
+                same = [np.full(len(lo), v, np.int64) for v in (row, tag, times)]
+                for k, v in zip(CUTS.names, (same[0], same[1], anchor.view(np.int64), np.array(seg, np.uint64).view(np.int64), lo.astype(np.int32), n.astype(np.int32), same[2]), strict=True):
+                    out[k].append(v)
+                size += len(lo)
+                if size >= most:
+                    yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()}, schema=CUTS)
+                    out, size = {k: [] for k in CUTS.names}, 0
+        if size:
+            yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()}, schema=CUTS)
 
-    # the bytes of one copy of each segment that has to be compared
-    wanted = mixed.groupBy("row", "tag").agg(F.collect_list(F.struct("anchor", "seg", "times", "kinds", "lo", "n")).alias("w"))
+    return docs.select("row", "tag", "text", "times").mapInArrow(cut, CUTS_SQL)
+
+
+def fetch_bodies(texts: DataFrame, length: int, most: int = 2 << 20) -> DataFrame:
+    """texts: text, w (segments wanted of it). The bytes of each segment, in batches of about `most` bytes."""
 
     def fetch(batches):
+        out, size = {k: [] for k in BODIES.names}, 0
         for batch in batches:
-            out = {"anchor": [], "seg": [], "times": [], "kinds": [], "body": []}
             for text, w in zip(batch.column(0), batch.column(1), strict=True):
-                raw = text.as_py().encode()
+                raw = text.as_py()
+                raw = raw.encode() if isinstance(raw, str) else raw
                 for x in w.as_py():
-                    out["body"].append(raw[x["lo"] : x["lo"] + x["n"] + length - 1])
-                    for k in ("anchor", "seg", "times", "kinds"):
+                    body = raw[x["lo"] : x["lo"] + x["n"] + length - 1]
+                    for k in BODIES.names[:4]:
                         out[k].append(x[k])
-                if len(out["body"]) > 20_000:
-                    yield pa.RecordBatch.from_pydict(out, schema=FETCHED)
-                    out = {k: [] for k in out}
-            yield pa.RecordBatch.from_pydict(out, schema=FETCHED)
-
-    one = docs.join(wanted, ["row", "tag"]).groupBy("row", "tag").agg(F.first("text").alias("text"), F.first("w").alias("w"))  # of equal rows
-    bodies = one.select("text", "w").mapInArrow(fetch, "anchor long, seg long, times long, kinds long, body binary")
-    bodies = keep(bodies, "bodies")
-    size = bodies.where(F.col("kinds") <= hot_anchor).agg(F.sum(F.octet_length("body"))).first()[0] or 0
+                    out["body"].append(body)
+                    size += len(body) + 32
+                if size >= most:
+                    yield pa.RecordBatch.from_pydict(out, schema=BODIES)
+                    out, size = {k: [] for k in BODIES.names}, 0
+        yield pa.RecordBatch.from_pydict(out, schema=BODIES)
+
+    return texts.mapInArrow(fetch, BODIES_SQL)
+
+
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, bucket_bytes: int = 1 << 19, hot_anchor: int = 2000) -> DataFrame:
+    """docs: row long, tag long, text, times (how often the text occurs); row and tag name a text, equal rows share both. Returns row, tag, lo, hi: byte ranges, one row each, that repeated windows cover."""
+    every = keep(cut_segments(docs, length, grams[0]), "segments")
+    # counts are summed before the shuffle; then only what has an anchor in common goes on
+    busy = keep(every.groupBy("anchor").agg(F.sum("times").alias("total")).where("total > 1").select("anchor"), "busy")
+    cuts = keep(every.join(busy, "anchor", "left_semi"), "repeated")
+    drop(every)
+    drop(busy)
+    seg = keep(cuts.groupBy("anchor", "seg").agg(F.sum("times").alias("times"), F.min(F.struct("row", "tag", "lo", "n")).alias("at")), "distinct")
+    kinds = keep(seg.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
+    whole = seg.where("times > 1").select("anchor", "seg", F.lit(0).alias("first"), F.col("at.n").alias("past"))
+    mixed = seg.join(kinds, "anchor").select("at.row", "at.tag", "anchor", "seg", "times", "kinds", "at.lo", "at.n")
+
+    # the bytes of one copy of each segment that has to be compared; equal rows are one before they meet what is wanted of them
+    wanted = mixed.groupBy("row", "tag").agg(F.collect_list(F.struct("anchor", "seg", "times", "kinds", "lo", "n")).alias("w"))
+    unique = docs.groupBy("row", "tag").agg(F.first("text").alias("text"))
+    bodies = keep(fetch_bodies(unique.join(wanted, ["row", "tag"]).select("text", "w"), length), "bodies")
+    drop(kinds)
+    few = bodies.where(F.col("kinds") <= hot_anchor) if len(grams) > 1 else bodies
+    size = few.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
 
     def index(group: pa.Table) -> pa.Table:
@@ -229,33 +263,17 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buc
         pick = pa.array([r[0] for r in rows], pa.int64())
         return pa.table({"anchor": group["anchor"].take(pick), "seg": group["seg"].take(pick), "first": pa.array([r[1] for r in rows], pa.int32()), "past": pa.array([r[2] for r in rows], pa.int32())})
 
-    marked = (
-        bodies.where(F.col("kinds") <= hot_anchor)
-        .withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-        .groupBy("bucket")
-        .applyInArrow(index, "anchor long, seg long, first int, past int")
-    )
-
-    def single(batches):
-        for batch in batches:
-            out = {"anchor": [], "seg": [], "first": [], "a": [], "b": [], "times": []}
-            for anchor, seg_, times, body in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 4)], strict=True):
-                for i in range(len(body) - length + 1):
-                    h = xxhash.xxh3_128_digest(body[i : i + length])
-                    for k, v in zip(out, (anchor, seg_, i, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), times), strict=True):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=SINGLE)
-
-    hot = bodies.where(F.col("kinds") > hot_anchor).mapInArrow(single, "anchor long, seg long, first int, a long, b long, times long")
-    again = hot.groupBy("a", "b").agg(F.sum("times").alias("total")).where("total > 1")
-    hot = hot.where("times = 1").join(again, ["a", "b"]).select("anchor", "seg", "first", (F.col("first") + 1).alias("past"))
-
-    found = whole.unionByName(marked).unionByName(hot)
-    return cuts.join(found, ["anchor", "seg"]).select("row", "tag", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("past") + length - 1).alias("hi"))
-
-
-FETCHED = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("times", pa.int64()), ("kinds", pa.int64()), ("body", pa.binary())])
-SINGLE = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("first", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64())])
+    marked = few.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(index, "anchor long, seg long, first int, past int")
+    found = whole.unionByName(marked)
+    if len(grams) > 1:
+        again = bodies.where(F.col("kinds") > hot_anchor).select(F.col("anchor").alias("row"), F.col("seg").alias("tag"), F.col("body").alias("text"), "times")
+        if not again.isEmpty():
+            deeper = repeated_ranges(again, length, grams[1:], bucket_bytes, hot_anchor)
+            found = found.unionByName(deeper.select(F.col("row").alias("anchor"), F.col("tag").alias("seg"), F.col("lo").alias("first"), (F.col("hi") - length + 1).cast("int").alias("past")))
+    ranges = keep(cuts.join(found, ["anchor", "seg"]).select("row", "tag", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("past") + length - 1).alias("hi")), "ranges")
+    for table in (cuts, seg, bodies):
+        drop(table)
+    return ranges
 
 
 def merge(lo: list[int], hi: list[int]) -> list[tuple[int, int]]:
@@ -280,33 +298,36 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
         raise ValueError(f"columns already present: {sorted(clash)}")
     # a row is known by 128 bits of its id, null or not, and its text; equal rows share them and so their ranges
     numbered = docs.withColumns(row_tag(F.col(key), F.col(text)))
-    body = numbered.select("row", "tag", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    body = numbered.select("row", "tag", F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(1).cast("long").alias("times"))
     ranges = repeated_ranges(body, length, **options)
-    per_row = ranges.groupBy("row", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    per_row = keep(ranges.groupBy("row", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "cover")
     joined = numbered.join(per_row, ["row", "tag"], "left")
     at = docs.columns.index(text)
     cols = docs.columns
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))]
+
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = {k: [] for k in OWN}
+        for t, r in zip(batch.column(at), batch.column(len(cols)), strict=True):
+            raw = (t.as_py() or "").encode()
+            runs = merge([x["lo"] for x in r.as_py()], [x["hi"] for x in r.as_py()]) if r.is_valid else []
+            kept, pos = [], 0
+            for a, b in runs:
+                kept.append(raw[pos:a])
+                pos = b
+            kept = b"".join([*kept, raw[pos:]])
+            out["n_bytes"].append(len(raw))
+            out["n_removed"].append(len(raw) - len(kept))
+            out["n_spans"].append(len(runs))
+            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+            out["kept_text"].append(kept.decode("utf-8", "ignore"))
+            out["spans"].append([{"lo": a, "hi": b} for a, b in runs])
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], *[pa.array(out[k], kind) for k, kind in zip(OWN, types, strict=True)]], [*cols, *OWN])
 
     def apply(batches):
         for batch in batches:
-            out = {k: [] for k in OWN}
-            ranges_ = batch.column(batch.schema.get_field_index("ranges"))
-            for t, r in zip(batch.column(at), ranges_, strict=True):
-                raw = (t.as_py() or "").encode()
-                runs = merge([x["lo"] for x in r.as_py()], [x["hi"] for x in r.as_py()]) if r.is_valid else []
-                kept, pos = [], 0
-                for a, b in runs:
-                    kept.append(raw[pos:a])
-                    pos = b
-                kept = b"".join([*kept, raw[pos:]])
-                out["n_bytes"].append(len(raw))
-                out["n_removed"].append(len(raw) - len(kept))
-                out["n_spans"].append(len(runs))
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["kept_text"].append(kept.decode("utf-8", "ignore"))
-                out["spans"].append([{"lo": a, "hi": b} for a, b in runs])
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], *[pa.array(out[k], kind) for k, kind in zip(OWN, types, strict=True)]], [*cols, *OWN])
+            for i in range(0, len(batch), 1000):
+                yield some(batch.slice(i, 1000))
 
     ordered = joined.select(*cols, "ranges")
     schema = docs.selectExpr(*[f"`{c}`" for c in cols], "0L n_bytes", "0L n_removed", "0L n_spans", "'' kept_sha256", "'' kept_text", "cast(array() as array<struct<lo:bigint,hi:bigint>>) spans").schema
