@@ -3,6 +3,14 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of docs. Each one's result is written and read again
 before the next.
+
+Defined cases: an empty table gives an empty table at every stage; other
+columns pass through under any name, except those of an operator's own output,
+which raise. Null, empty and letterless texts go at the language stage; where
+they are given to a later one, near_duplicates and long_repeats keep such
+rows, personal_data leaves the text as it is and pack gives the end token
+alone. Of equal rows and near copies one stays, that of the smallest id, nulls
+last. Very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -16,19 +24,27 @@ from utterlake.llm import jaccard_join, language_id, packing, pii, repeat_index
 from utterlake.llm.scratch import keep
 
 
+def few_a_batch(spark: SparkSession) -> None:
+    """Whole texts go to Python and back: a fifth of the usual rows a batch bounds what an executor holds of them at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what language identification rejects: no letters, or far from every centroid. Rejected labels never count."""
+    few_a_batch(spark)
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     return language_id.predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near duplicates."""
+    few_a_batch(spark)
     return jaccard_join.keep_one(docs)
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 200 bytes and more that occur elsewhere; texts of which nothing is left go."""
+    few_a_batch(spark)
     cut = repeat_index.remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return cut.where((F.col("n_removed") == 0) | (F.length(F.trim("kept_text")) > 0)).withColumn("text", text).select(*docs.columns)
@@ -41,6 +57,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the token pieces of what is left into sequences of at most 4096."""
+    few_a_batch(spark)
     return packing.pack(docs)
 
 

@@ -6,6 +6,13 @@ a document; the lists are dealt by word, so that each distinct word of the
 corpus meets the tokenizer once; the ids go back to the blocks and are joined
 to the documents by word number. Decoding joins each id to its piece.
 
+Splitting, positions and pieces stay within a block instead of being rows of
+Spark joins: Java's regular expressions don't have the tokenizer's normaliser
+and word classes, and a row for each word and position (about 200 million a
+GB of text) would shuffle several times the input. A block's documents carry
+their words' numbers in order, which is the position, and meet the ids of the
+block's words by number; ids meet their pieces by id.
+
 Blocks are bounded in words, and word lists are dealt in buckets of about
 `bucket_bytes` of text, so no task holds more as the input grows; a very
 frequent word is one entry a block.
@@ -89,7 +96,7 @@ def encode_words(words: list[str], path: str) -> list[list[int]]:
 class Encoder:
     """Ids of whole texts, with a cache of at most `most` words."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.path, self.most, self.cache = path, most, {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:

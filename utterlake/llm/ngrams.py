@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 GRAMS = (1, 2, 3, 4)
-PIECE = 1 << 20
+#: Bytes and rows that are counted together.
+PIECE, ROWS = 1 << 20, 512
 
 
 def _fold() -> np.ndarray:
@@ -26,24 +27,27 @@ FOLD = _fold()
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and the n + 1 offsets of a string column; null is empty."""
+    """UTF-8 bytes and the n + 1 offsets of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
+    if pa.types.is_binary(column.type):
+        column = column.fill_null(b"").cast(pa.large_binary())
+    else:
+        column = column.fill_null("").cast(pa.large_string())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
 def _pieces(at: np.ndarray) -> Iterator[list[tuple[int, int, int, int]]]:
-    """Lists of (row, first byte, end of starts, end of bytes) of about PIECE bytes; long rows come in parts that overlap by three bytes."""
+    """Lists of (row, first byte, end of starts, end of bytes) of about PIECE bytes and at most ROWS parts; long rows come in parts that overlap by three bytes."""
     todo, size = [], 0
     for row, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
         for a in range(lo, max(hi, lo + 1), PIECE):
             b = min(a + PIECE, hi)
             todo.append((row, a, b, min(b + max(GRAMS) - 1, hi)))
             size += b - a
-            if size >= PIECE:
+            if size >= PIECE or len(todo) >= ROWS:
                 yield todo
                 todo, size = [], 0
     if todo:

@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where the setting is absent, as in local tests."""
+    """The cluster's checkpoint folder. Where the setting is absent, one of our own in local mode, as in tests, and an error on a cluster: executors would write to disks that the others don't see."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="utterlake-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def keep(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage is cut, a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/utterlake/{uuid.uuid4().hex}-{name}"
