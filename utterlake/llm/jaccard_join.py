@@ -14,8 +14,9 @@ the one exact intersection. Pairs inside a
 component say nothing new, so stars come first: each class meets the hub of
 its prefix shingles; components form; then the hub of the other components;
 components form again; and only then do
-all remaining pairs between different components meet. No link between
-different components is lost, and no group emits all its pairs.
+all remaining pairs between different components meet, the smaller class
+asking only the bands of sizes that its own size and position allow. No link
+between different components is lost.
 
 Defined cases: null, empty and blank texts have the empty set and are linked
 with nothing; texts of fewer than five words have one shingle; repeated rows
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ngrams import string_buffers
@@ -40,7 +41,9 @@ TURN = np.random.default_rng(32).integers(0, 1 << 63, WORDS, dtype=np.uint64) *
 STEP = 0xD6E8FEB86659FD93
 RANGES = 64
 HUBS = 2
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+#: Rows of a written table that may be broadcast; a larger one is joined by a shuffle.
+SMALL = 250_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -134,6 +137,18 @@ def range_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
+def range_edges(token: np.ndarray, n: int):
+    """(from, to, range) of the ranges of n that sorted hashes fall into."""
+    top = (token >> np.uint64(32)).astype(np.uint32)
+    a = 0
+    while a < len(top):
+        bucket = int(range_of(token[a : a + 1], n)[0])
+        least = -(-(bucket + 1 << 32) // n)  # the smallest upper half that belongs to the next range
+        b = int(np.searchsorted(top, least)) if least < 1 << 32 else len(top)
+        yield a, b, bucket
+        a = b
+
+
 POSTINGS = pa.schema([("bucket", pa.int64()), ("tokens", pa.binary()), ("owner", pa.binary()), ("cls", pa.binary()), ("n", pa.binary())])
 POSTINGS_SQL = "bucket long, tokens binary, owner binary, cls binary, n binary"
 SHARED = pa.schema([("bucket", pa.int64()), ("cls", pa.binary()), ("n", pa.binary()), ("many", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())])
@@ -152,12 +167,12 @@ def postings(docs: DataFrame, buckets: int, most: int = 2_000_000) -> DataFrame:
         names = np.array(cls, np.int64)
         order = np.argsort(token, kind="stable")
         token, owner = token[order], owner[order]
-        bucket = range_of(token, buckets)
-        edge = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 63)))
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(token)], strict=True):
+        del order
+        # hashes are sorted, so each range's end is found by search
+        for a, b, bucket in range_edges(token, buckets):
             here, local = np.unique(owner[a:b], return_inverse=True)
             yield pa.RecordBatch.from_pydict(
-                {"bucket": [int(bucket[a])], "tokens": [delta(token[a:b])], "owner": [pack(local.astype(np.int32))], "cls": [pack(names[here])], "n": [pack(n[here])]}, schema=POSTINGS
+                {"bucket": [bucket], "tokens": [delta(token[a:b])], "owner": [pack(local.astype(np.int32))], "cls": [pack(names[here])], "n": [pack(n[here])]}, schema=POSTINGS
             )
 
     def cut(batches):
@@ -186,21 +201,29 @@ def meet(buckets: int):
     """Postings of one range of shingles: those of two or more classes, dealt by class, with frequencies."""
 
     def one(group: pa.Table) -> pa.Table:
-        token, cls, n = [], [], []
-        for t, o, c, k in zip(*[group[x].to_pylist() for x in ("tokens", "owner", "cls", "n")], strict=True):
-            owner = unpack(o, np.int32)
-            token.append(undelta(t))
-            cls.append(unpack(c, np.int64)[owner])
-            n.append(unpack(k, np.int32)[owner])
-        token, cls, n = np.concatenate(token), np.concatenate(cls), np.concatenate(n)
-        order = np.lexsort((cls, token))
-        token, cls, n = token[order], cls[order], n[order]
-        fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
-        token, cls, n = token[fresh], cls[fresh], n[fresh]
-        head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        df = np.repeat(np.diff(np.append(head, len(token))), np.diff(np.append(head, len(token))))
+        names = [unpack(c, np.int64) for c in group["cls"].to_pylist()]
+        cls, at = np.unique(np.concatenate(names), return_inverse=True)  # a number for each class of the range
+        n = np.zeros(len(cls), np.int32)
+        n[at] = np.concatenate([unpack(k, np.int32) for k in group["n"].to_pylist()])
+        start = np.cumsum([0, *map(len, names)])
+        owner = np.concatenate([at[a:b].astype(np.int32)[unpack(o, np.int32)] for a, b, o in zip(start[:-1], start[1:], group["owner"].to_pylist(), strict=True)])
+        token = np.concatenate([undelta(t) for t in group["tokens"].to_pylist()])
+        order = np.argsort(token, kind="stable").astype(np.int32)
+        token, owner = token[order], owner[order]
+        same = token[1:] == token[:-1]
+        twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))  # most shingles occur once
+        token, owner = token[twice], owner[twice]
+        del order, same, twice
+        order = np.lexsort((owner, token))
+        token, owner = token[order], owner[order]
+        fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])))[: len(token)]
+        token, owner = token[fresh], owner[fresh]
+        head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))[: len(token)])
+        many = np.diff(np.append(head, len(token)))
+        df = np.repeat(many, many)
         keep_ = df > 1
-        token, cls, n, df = token[keep_], cls[keep_], n[keep_], df[keep_]
+        token, df = token[keep_], df[keep_]
+        cls, n = cls[owner[keep_]], n[owner[keep_]]
         to = range_of(cls.view(np.uint64), buckets)
         order = np.lexsort((cls, to))
         token, cls, n, df, to = token[order], cls[order], n[order], df[order], to[order]
@@ -245,7 +268,8 @@ def prefixes(group: pa.Table) -> pa.Table:
 def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """pairs: x, y, nx, ny. Those with 7 * intersection >= 3 * (nx + ny)."""
     sets = classes.select("cls", "tokens")
-    both = pairs.join(sets.toDF("x", "tx"), "x").join(sets.toDF("y", "ty"), "y").select("x", "y", "nx", "ny", "tx", "ty")
+    hubs = sets.join(pairs.select(F.col("y").alias("cls")), "cls", "left_semi")
+    both = pairs.join(sets.toDF("x", "tx"), "x").join(hubs.toDF("y", "ty"), "y").select("x", "y", "nx", "ny", "tx", "ty")
 
     def test(batches):
         for batch in batches:
@@ -261,15 +285,17 @@ def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(test, "x long, y long, ok boolean").where("ok").select("x", "y")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """cls, label: the smallest class of each component, by minimum labels and pointer jumps."""
+def components(edges: DataFrame) -> DataFrame:
+    """cls, label: the smallest class of each component of two classes and more, by minimum labels and pointer jumps."""
     both = edges.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(edges.select(F.col("y").alias("a"), F.col("x").alias("b"))).distinct()
     both = keep(both, "edges")
-    labels = keep(nodes.select("cls", F.col("cls").alias("label")), "labels")
+    # every class starts from the least of itself and its neighbours
+    labels = keep(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("cls"), F.least("a", "low").alias("label")), "labels")
+    hint = hint_for(labels)
     while True:
-        near = both.join(labels, both["b"] == labels["cls"]).groupBy("a").agg(F.min("label").alias("low"))
-        step = labels.join(near, labels["cls"] == near["a"], "left").select("cls", F.least("label", F.coalesce("low", "label")).alias("label"), F.col("label").alias("was"))
-        jump = labels.toDF("mid", "far")
+        low = both.join(hint(labels), both["b"] == labels["cls"]).groupBy("a").agg(F.min("label").alias("low"))
+        step = labels.join(low, labels["cls"] == low["a"]).select("cls", F.least("label", "low").alias("label"), F.col("label").alias("was"))
+        jump = hint(labels.toDF("mid", "far"))
         step = step.join(jump, step["label"] == jump["mid"]).select("cls", F.least("label", "far").alias("label"), (F.least("label", "far") != F.col("was")).alias("moved"))
         done = keep(step, "labels")
         still = done.where("moved").isEmpty()
@@ -278,37 +304,87 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = done.select("cls", "label")
         labels._kept_at = kept_at
         if still:
+            drop(both)
             return labels
 
 
-def candidates(grams: DataFrame, labels: DataFrame, stage: str) -> DataFrame:
-    """Pairs of classes in different components on common prefix shingles, after the length and positional filters.
-
-    hub: each class meets the shingle's hub, the class whose shingles are
-    shared most (the original among its altered copies); second: the hub of
-    the other components; all: every class of another component.
-    """
-    here = grams.join(labels, "cls")
-    met = here.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("hub", "label")).alias("h")).where("lo <> hi").select("token", F.col("h.label").alias("first"))
-    here = here.join(met, "token")
-    if stage == "all":
-        other = here.select("token", F.col("cls").alias("c2"), F.col("label").alias("l2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-        apart = F.col("label") < F.col("l2")
-    else:
-        chosen = here if stage == "hub" else here.where("label <> first")
-        best = F.max(F.struct("hub", "cls", "label", "n", "pos"))
-        other = chosen.groupBy("token").agg(best.alias("o")).select("token", F.col("o.cls").alias("c2"), F.col("o.label").alias("l2"), F.col("o.n").alias("n2"), F.col("o.pos").alias("p2"))
-        apart = F.col("label") != F.col("l2")
+BEST = ("hub", "cls", "label", "n", "pos")
+
+
+def hint_for(kept: DataFrame):
+    """What to do with a written table of these rows before a join: broadcast it if they are few, nothing else."""
+    return F.broadcast if kept.limit(SMALL + 1).count() <= SMALL else lambda df: df
+
+
+def small(kept: DataFrame) -> DataFrame:
+    return hint_for(kept)(kept)
+
+
+def near(pairs: DataFrame) -> DataFrame:
+    """pairs: cls, n, pos and c2, n2, p2 of two classes on a common prefix shingle. After the length and positional filters: x < y, their sizes and how many shingles met."""
     long_enough = (F.col("n") * 4 >= F.col("n2") * 3) & (F.col("n2") * 4 >= F.col("n") * 3)
     need = F.ceil((F.col("n") + F.col("n2")) * 3 / 7.0)
     # the first common shingle of a similar pair leaves enough behind it on both sides
     early = (F.col("pos") <= F.col("n") - need) & (F.col("p2") <= F.col("n2") - need)
     flip = lambda a, b: F.when(F.col("cls") < F.col("c2"), F.col(a)).otherwise(F.col(b))
-    pairs = here.join(other, "token").where(apart & long_enough & early)
+    pairs = pairs.where((F.col("cls") != F.col("c2")) & long_enough & early)
     pairs = pairs.select(flip("cls", "c2").alias("x"), flip("c2", "cls").alias("y"), flip("n", "n2").alias("nx"), flip("n2", "n").alias("ny"))
     return pairs.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("c"))
 
 
+def asked(pairs: DataFrame) -> DataFrame:
+    """Each class asks the few hubs it meets most often."""
+    turn = Window.partitionBy("who").orderBy(F.desc("c"), "x", "y")
+    each = pairs.withColumn("who", F.explode(F.array("x", "y"))).withColumn("r", F.row_number().over(turn))
+    return each.where(F.col("r") <= HUBS).select("x", "y", "nx", "ny").distinct()
+
+
+def stars(grams: DataFrame) -> DataFrame:
+    """Each class of a shared prefix shingle with the shingle's hub: the class whose shingles are shared most, the original among its altered copies."""
+    best = F.max(F.struct("hub", "cls", "n", "pos")).alias("o")
+    star = grams.groupBy("token").agg(best, F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token", F.col("o.cls").alias("c2"), F.col("o.n").alias("n2"), F.col("o.pos").alias("p2"))
+    star = keep(star, "stars")  # written first, so that a join on a frequent shingle can be split
+    met = keep(grams.join(star, "token"), "met")
+    drop(star)
+    return met
+
+
+def prefix_grams(classes: DataFrame, *more: str) -> DataFrame:
+    """The shared prefix shingles of classes, with their positions."""
+    return classes.select("cls", "n", "hub", *more, "pos", F.posexplode("prefix").alias("i", "token")).select("cls", "n", "hub", *more, (F.col("pos") + F.col("i")).cast("int").alias("pos"), "token")
+
+
+def apart(grams: DataFrame) -> DataFrame:
+    """Rows of prefix shingles (token, label and more) that classes of different components share."""
+    met = grams.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    met = keep(met, "mixed")
+    out = keep(grams.join(small(met), "token"), "apart")
+    drop(met)
+    return out
+
+
+def second_stars(here: DataFrame) -> DataFrame:
+    """Classes with the best hub outside the component of the shingle's first hub."""
+    first = here.groupBy("token").agg(F.max(F.struct("hub", "label")).alias("h")).select("token", F.col("h.label").alias("first"))
+    best = F.max(F.struct(*BEST)).alias("o")
+    other = here.join(first, "token").where("label <> first").groupBy("token").agg(best)
+    other = other.select("token", F.col("o.cls").alias("c2"), F.col("o.label").alias("l2"), F.col("o.n").alias("n2"), F.col("o.pos").alias("p2"))
+    return here.join(other, "token").where("label <> l2")
+
+
+def band(n: Column) -> Column:
+    return F.floor(F.log(n) / float(np.log(1.05))).cast("int")
+
+
+def across(here: DataFrame) -> DataFrame:
+    """Classes of different components on common prefix shingles. The smaller class meets only the size bands that its own size and position allow, so classes that are too far apart by position never meet, however many share the shingle."""
+    most = F.least(F.floor(F.col("n") * 4 / 3.0), F.floor((F.col("n") - F.col("pos")) * 7 / 3.0) - F.col("n"))
+    small = here.withColumn("most", most).where("most >= n").withColumn("band", F.explode(F.sequence(band(F.col("n")), band(F.col("most")))))
+    large = here.select("token", band(F.col("n")).alias("band"), F.col("cls").alias("c2"), F.col("label").alias("l2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
+    ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("cls") < F.col("c2")))
+    return small.join(large, ["token", "band"]).where((F.col("label") != F.col("l2")) & ordered)
+
+
 def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Suffix filter: the shingle counts of both sides in hash ranges bound the intersection."""
     h = classes.select("cls", "hist")
@@ -318,37 +394,36 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, bucket_bytes: int = 12 << 20) -> DataFrame:
-    """docs: text. cls, label of every class that is linked with another class or could have been."""
+    """docs: text. cls, label of every class that is linked with another class."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     shared = postings(docs.select("text"), buckets).groupBy("bucket").applyInArrow(meet(buckets), SHARED_SQL)
     classes = keep(shared.groupBy("bucket").applyInArrow(prefixes, CLASSES_SQL), "classes", "none")
-    grams = keep(classes.select("cls", "n", "pos", "hub", F.posexplode("prefix").alias("i", "token")).select("cls", "n", "hub", (F.col("pos") + F.col("i")).cast("int").alias("pos"), "token"), "prefixes")
-    lone = grams.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("token")
-    grams = keep(grams.join(lone, "token"), "met")
-    labels = keep(classes.select("cls", F.col("cls").alias("label")), "labels")
-    links, tested = None, None
+    links, tested, labels, here = None, None, None, stars(prefix_grams(classes))
     for stage in ("hub", "second", "all"):
-        found = candidates(grams, labels, stage)
-        if tested is not None:
-            found = found.join(tested, ["x", "y"], "left_anti")
-        found = plausible(found, classes)
-        if stage != "all":
-            # each class asks the few hubs it meets most often
-            asked = Window.partitionBy("who").orderBy(F.desc("c"), "x", "y")
-            found = found.withColumn("who", F.explode(F.array("x", "y"))).withColumn("r", F.row_number().over(asked))
-            hubs = F.col("r") <= HUBS
-            found = found.where(hubs).select("x", "y", "nx", "ny").distinct()
+        if stage == "hub":
+            found = asked(near(here))
         else:
-            found = found.select("x", "y", "nx", "ny")
-        found = keep(found, "pairs")
+            # what one component shares alone stays so: later rounds see the rows of earlier ones, with new labels
+            rows = prefix_grams(classes.select("cls", "n", "hub", "pos", "prefix")) if stage == "second" else here.drop("label")
+            rows = rows.join(small(labels), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+            now = apart(rows)
+            drop(here)
+            here = now
+            found = near(second_stars(here) if stage == "second" else across(here)).join(tested, ["x", "y"], "left_anti")
+            found = asked(found) if stage == "second" else found.select("x", "y", "nx", "ny")
+        found = keep(found, "found")
+        pairs = keep(plausible(small(found), classes), "pairs")
+        drop(found)
+        found = pairs
         now = found.select("x", "y")
         tested = now if tested is None else tested.unionByName(now)
-        good = keep(verified(found, classes), "links")
-        if good.isEmpty():
-            continue
+        good = keep(verified(small(found), classes), "links")
         links = good if links is None else links.unionByName(good)
-        labels = components(classes.select("cls"), links)
+        if labels is None or not good.isEmpty():
+            labels = components(links)
+    drop(classes)
+    drop(here)
     return labels
 
 
