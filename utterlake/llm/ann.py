@@ -1,18 +1,23 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Coarse centroids and residual codebooks are fitted on a hash sample of about
-`train_rows` vectors (a documented bound); every vector is then indexed by its
-list and residual codes. A query probes the nearest lists, at least until
-they hold `rerank` vectors; lists are cut into parts of at most `part_rows`
-vectors by a hash of vec_id, so a list that holds a third of all vectors is
-many tasks. Each part returns its best `rerank` by asymmetric distance
-tables; the best of all parts are measured exactly on the original vectors.
+Rows are numbered and written once, so that every row is known whatever its
+id: a query row's candidates are all rows but itself, rows that repeat its id
+or its vector among them. Coarse centroids and residual codebooks are fitted
+on a hash sample of about `train_rows` vectors (a documented bound); every
+vector is then indexed by its list and residual codes. There are about half
+the root of n lists; a query probes a number of lists that grows with the
+root of theirs, and more until they hold `rerank` vectors. Lists are cut into
+parts of at most `part_rows` vectors by a hash of the row number, so a list
+that holds a third of all vectors is many tasks. Each part returns its best
+`rerank` by asymmetric distance tables; the best of all parts are measured
+exactly on the original vectors.
 
 Defined cases: vectors that are null, zero, of another size than the most
 frequent one, or hold null or non-finite components take no part, as query or
-candidate; ties go to the smaller vec_id; rows that repeat a vec_id count
-once; fewer candidates than k give them all; an empty table gives no rows;
-other columns are left out, so their names never clash.
+candidate, nor do rows without an id; ties go to the smaller vec_id; rows that
+repeat a vec_id are candidates and queries each; fewer candidates than k give
+them all; an empty table gives no rows; other columns are left out, so their
+names never clash.
 """
 
 from __future__ import annotations
@@ -62,13 +67,13 @@ def matrix(column) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, n: int, lists: int, parts: int, codes: int, train_rows: int, seed: int) -> Model:
-    """vectors: vec_id, v; n their number."""
-    share = min(1.0, train_rows / max(n, 1))
-    sample = vectors.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    """vectors: row, v; n their number."""
+    share = int(min(1.0, train_rows / max(n, 1)) * (1 << 62))
+    sample = vectors.where(F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(1 << 62)) <= share)
 
     def train(group: pa.Table) -> pa.Table:
         rng = np.random.default_rng(seed)
-        x = matrix(group.sort_by("vec_id")["v"])
+        x = matrix(group.sort_by("row")["v"])
         coarse = kmeans(x, lists, 8, rng)
         rest = x - coarse[nearest(x, coarse)]
         books = [kmeans(p, codes, 6, rng) for p in np.split(rest, parts, axis=1)]
@@ -80,30 +85,35 @@ def fit(vectors: DataFrame, n: int, lists: int, parts: int, codes: int, train_ro
     return Model(*pickle.loads(row["model"]))
 
 
-def search(table: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", rerank: int = 100, probe_share: float = 0.3, part_rows: int = 20_000, train_rows: int = 20_000, seed: int = 9) -> DataFrame:
+def probes_of(lists: int, breadth: float) -> int:
+    """How many of the lists a query probes: at least 16, then breadth times the root of their number."""
+    return min(lists, max(16, int(np.ceil(breadth * np.sqrt(lists)))))
+
+
+def search(table: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", rerank: int = 100, breadth: float = 2.5, part_rows: int = 20_000, train_rows: int = 20_000, seed: int = 9) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query row."""
     out = "query_id long, rank int, vec_id long, score double"
     spark = table.sparkSession
-    vectors = table.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), is_query.alias("q")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sizes = vectors.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    sound = table.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    sizes = sound.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], out)
     dims, n = sizes["d"], sizes["n"]
-    vectors = vectors.where(F.size("v") == dims)
+    vectors = keep(sound.where(F.size("v") == dims).withColumn("row", F.monotonically_increasing_id()), "vectors")
     parts = next(p for p in (16, 8, 4, 2, 1) if dims % p == 0)
     lists = int(np.clip(np.sqrt(n) / 2, 1, 4096))
-    probes = max(16, int(lists * probe_share))
-    model = fit(vectors.select("vec_id", "v"), n, lists, parts, 256, train_rows, seed)
+    model = fit(vectors.select("row", "v"), n, lists, parts, 256, train_rows, seed)
+    probes = probes_of(len(model.coarse), breadth)
 
     def code(batches):
         for batch in batches:
-            x = matrix(batch.column(1))
+            x = matrix(batch.column(2))
             own = nearest(x, model.coarse) if len(x) else np.zeros(0, np.int64)
             rest = x - model.coarse[own] if len(x) else x
             codes = np.stack([nearest(p, b) for p, b in zip(np.split(rest, parts, axis=1), model.books, strict=True)], axis=1).astype(np.uint8) if len(x) else np.zeros((0, parts), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "list", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["row", "vec_id", "list", "code"])
 
-    index = keep(vectors.select("vec_id", "v").mapInArrow(code, "vec_id long, list int, code binary"), "index")
+    index = keep(vectors.select("row", "vec_id", "v").mapInArrow(code, "row long, vec_id long, list int, code binary"), "index")
     held = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number a list
     per_list = np.array([held.get(i, 0) for i in range(len(model.coarse))])
     cuts = np.maximum(1, -(-per_list // part_rows))
@@ -111,7 +121,7 @@ def search(table: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
     def probe(batches):
         for batch in batches:
             x = matrix(batch.column(1))
-            rows = {"list": [], "part": [], "query_id": [], "v": []}
+            rows = {"list": [], "part": [], "query": [], "v": []}
             for q, v in zip(batch.column(0).to_pylist(), x, strict=True):
                 order = np.argsort(((model.coarse - v) ** 2).sum(1), kind="stable")
                 enough = int(np.searchsorted(np.cumsum(per_list[order]), rerank + 1)) + 1
@@ -119,40 +129,38 @@ def search(table: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id",
                     for part in range(int(cuts[i])):
                         for name, value in zip(rows, (i, part, q, v.tobytes()), strict=True):
                             rows[name].append(value)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("list", pa.int32()), ("part", pa.int32()), ("query_id", pa.int64()), ("v", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("list", pa.int32()), ("part", pa.int32()), ("query", pa.int64()), ("v", pa.binary())]))
 
-    asked = vectors.where("q").select("vec_id", "v").mapInArrow(probe, "list int, part int, query_id long, v binary")
+    asked = vectors.where("q").select("row", "v").mapInArrow(probe, "list int, part int, query long, v binary")
     many = F.array(*[F.lit(int(c)) for c in cuts])
-    parted = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.get(many, F.col("list")).cast("long")).cast("int"))
+    parted = index.withColumn("part", F.pmod(F.xxhash64("row"), F.get(many, F.col("list")).cast("long")).cast("int"))
 
     def scan(codes: pa.Table, queries: pa.Table) -> pa.Table:
-        found = {"query_id": [], "vec_id": [], "near": []}
+        found = {"query": [], "row": [], "vec_id": [], "near": []}
         if len(codes) and len(queries):
-            ids = codes["vec_id"].to_numpy()
+            rows, ids = codes["row"].to_numpy(), codes["vec_id"].to_numpy()
             c = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), parts)
             centre = model.coarse[codes["list"][0].as_py()]
-            for q, v in zip(queries["query_id"].to_pylist(), queries["v"].to_pylist(), strict=True):
+            for q, v in zip(queries["query"].to_pylist(), queries["v"].to_pylist(), strict=True):
                 rest = (np.frombuffer(v) - centre).reshape(parts, 1, -1)
                 tables = ((model.books - rest) ** 2).sum(2)
                 near = tables[np.arange(parts), c].sum(1)
-                own = np.flatnonzero(ids != q)
-                if len(own) > rerank:
-                    limit = np.partition(near[own], rerank - 1)[rerank - 1]
-                    own = own[near[own] <= limit]
-                own = own[np.lexsort((ids[own], near[own]))][:rerank]
-                found["query_id"].append(np.full(len(own), q, np.int64))
-                found["vec_id"].append(ids[own])
-                found["near"].append(near[own])
-        empty = {"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "near": np.zeros(0)}
+                other = np.flatnonzero(rows != q)
+                if len(other) > rerank:
+                    limit = np.partition(near[other], rerank - 1)[rerank - 1]
+                    other = other[near[other] <= limit]
+                other = other[np.lexsort((rows[other], ids[other], near[other]))][:rerank]
+                for name, value in zip(found, (np.full(len(other), q, np.int64), rows[other], ids[other], near[other]), strict=True):
+                    found[name].append(value)
+        empty = {name: np.zeros(0, np.float64 if name == "near" else np.int64) for name in found}
         return pa.table({name: np.concatenate(v) if v else empty[name] for name, v in found.items()})
 
-    near = parted.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(scan, "query_id long, vec_id long, near double")
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "vec_id"))).where(F.col("r") <= rerank)
+    near = parted.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(scan, "query long, row long, vec_id long, near double")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("near", "vec_id", "row"))).where(F.col("r") <= rerank)
     square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    queries = vectors.where("q").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    exact = best.select("query_id", "vec_id").join(queries, "query_id").join(vectors.select("vec_id", "v"), "vec_id").select("query_id", "vec_id", F.sqrt(square(F.col("qv"), F.col("v"))).alias("score"))
-    exact = exact.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    queries = vectors.where("q").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    exact = best.select("query", "row", "vec_id").join(queries, "query").join(vectors.select("row", "v"), "row").select("query", "query_id", "row", "vec_id", F.sqrt(square(F.col("qv"), F.col("v"))).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id", "row"))
     return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
