@@ -3,7 +3,8 @@
 Pass one scatters whole records into memory-sized buckets by seeded hashes:
 the shard is a consistent-hash function of doc_id and the shard count alone
 (law `key`: with one more shard, records move only into the new one), the
-bucket within the shard a second hash, of doc_id and text. Pass two
+bucket within the shard a second hash, of doc_id, text and the number of the
+task that read the record. Pass two
 Fisher-Yates-shuffles each bucket in one task and writes it; buckets are
 sized by `bucket_bytes`, so a task's memory does not grow with the input.
 
@@ -19,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import keep
@@ -55,7 +56,9 @@ def external_shuffle(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_b
     )
     total = docs.agg(F.sum(F.octet_length(F.col(text)) + 64)).first()[0] or 0
     per_shard = max(1, math.ceil(total / shards / bucket_bytes))
-    scattered = sized.withColumn("bucket", F.col("shard") * per_shard + F.pmod(F.xxhash64(F.lit(seed + 1), k, F.col(text)), F.lit(per_shard)).cast("int"))
+    # equal rows of different tasks part ways too, so that no number of them is one bucket
+    scatter = F.pmod(F.xxhash64(F.lit(seed + 1), k, F.col(text), F.spark_partition_id()), F.lit(per_shard))
+    scattered = sized.withColumn("bucket", F.col("shard").cast("long") * per_shard + scatter)
     schema = scattered.withColumn("place", F.lit(0).cast("long")).schema
 
     def mix(bucket: pa.Table) -> pa.Table:
@@ -66,13 +69,9 @@ def external_shuffle(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_b
 
     mixed = keep(scattered.groupBy("bucket").applyInArrow(mix, schema), "shards", "snappy")
     counts = mixed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows"))
-    # a row for each bucket: each shard's own buckets are summed side by side
-    before = counts.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "rows"))).alias("b"))
-    offsets = before.select(
-        F.explode(
-            F.transform("b", lambda x: F.struct(x["bucket"].alias("bucket"), F.aggregate(F.filter("b", lambda y: y["bucket"] < x["bucket"]), F.lit(0).cast("long"), lambda a, y: a + y["rows"]).alias("first")))
-        ).alias("o")
-    ).select("o.bucket", "o.first")
+    # a row for each bucket: running sums side by side for the shards
+    earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("bucket", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("first"))
     return mixed.join(offsets, "bucket").withColumn("slot", F.col("first") + F.col("place")).drop("first", "place")
 
 
