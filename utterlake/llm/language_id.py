@@ -111,7 +111,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     idf = (np.log((1 + found[-1]) / (1 + per_slot)) + 1).astype(np.float32)
 
     keepers = F.create_map(*[x for name, n in sizes.items() for x in (F.lit(name), F.lit(min(1.0, per_language / n)))])
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20)) / float(1 << 20)
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 62)) / float(1 << 62)
     sample = train.where(u < keepers[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.col(text).alias("text"))
 
     def embed(batches):

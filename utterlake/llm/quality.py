@@ -120,8 +120,8 @@ def fit(graded: DataFrame, train_rows: int = 8_000, seed: int = 3, rounds: int =
     n, top = graded.agg(F.count(F.lit(1)), F.max("grade")).first()
     if not n or not top:
         return None
-    share = int(min(1.0, train_rows / n) * (1 << 20))
-    sample = graded.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 20)) < share)
+    share = int(min(1.0, train_rows / n) * (1 << 62))
+    sample = graded.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 62)) < share)
 
     def train(group: pa.Table) -> pa.Table:
         group = group.sort_by([("key", "ascending"), ("grade", "ascending")])
@@ -173,8 +173,8 @@ def op2_quality(spark, sf_dir):
     chosen = labels.select(F.col("doc_id").alias("key"), grade(F.col("quality"), F.col("toxic")).alias("grade"))
     n = chosen.count()
     # the bound of fit() is applied before texts are fetched
-    share = int(min(1.0, 8_000 / max(n, 1)) * (1 << 20))
-    chosen = chosen.where(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1 << 20)) < share)
+    share = int(min(1.0, 8_000 / max(n, 1)) * (1 << 62))
+    chosen = chosen.where(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1 << 62)) < share)
     graded = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["key"]).select("key", "text", "grade")
     model = fit(graded, train_rows=1 << 40)
     return score(docs, model).select("doc_id", "expected_grade", "tail", "selected")
