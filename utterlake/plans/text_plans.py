@@ -202,3 +202,6 @@ def ar7_whole(spark, d):
 def _ar7(events):
     e = events.groupBy((F.col("user_id") % 10).alias("g")).agg(F.count_if(F.col("value") > 60).alias("k"), F.count_if((F.col("value") > 60) | (F.col("value") < 12)).alias("n"))
     return e.select("g", "k", "n", F.round(A.sign_test(F.col("k"), F.col("n")), 6).alias("p"))
+
+
+BOOK.oracles["ar7_sign_test_whole"] = BOOK.oracles["ar7_sign_test"]
