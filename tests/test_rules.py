@@ -134,7 +134,7 @@ def test_gate_closes_exactly(spark):
     assert got == [True, True, False]
 
 
-POLLS = "s string, t long, open_at long, intent string, ok boolean, ended boolean, fallback_ended boolean, speech long, fallback string"
+POLLS = "s string, t long, open_at long, intent string, slots array<string>, ok boolean, ended boolean, fallback_ended boolean, speech long, fallback string"
 
 
 def ends(spark, polls, **options):
@@ -144,20 +144,27 @@ def ends(spark, polls, **options):
 
 def test_endpointed(spark):
     no = (False, 0, None)
-    said = lambda t, at, intent="on", ended=True: (t, at, intent, True, ended, *no)
+    said = lambda t, at, intent="on", ended=True, slots=None: (t, at, intent, slots, True, ended, *no)
     # two equal confident windows, the second one ended; nothing within the first 300 ms
     assert ends(spark, [said(0, 0), said(200, 0), said(400, 0, ended=False), said(600, 0)]) == [(0, 600, "on", "accepted")]
     assert ends(spark, [said(0, 0), said(400, 0, "on"), said(600, 0, "off"), said(800, 0, "off")]) == [(0, 800, "off", "accepted")]
     # the time-out counts from the latest opening, the period from the first
-    quiet = lambda t, at: (t, at, "on", False, False, *no)
+    quiet = lambda t, at: (t, at, "on", None, False, False, *no)
     assert ends(spark, [quiet(0, 0), quiet(2000, 2000), quiet(5000, 2000), quiet(7000, 2000)]) == [(0, 7000, None, "timeout")]
     # after closing, the old detection must stop before a new one counts
     again = [said(0, 0), said(400, 0), said(600, 0), said(700, 700), said(900, 900), said(1000, None), said(1100, 1100), said(1500, 1100), said(1700, 1100)]
     assert ends(spark, again) == [(0, 600, "on", "accepted"), (1100, 1700, "on", "accepted")]
+    # alternating slots are no stable command; the same ones in another order are
+    lights = lambda t, *slots: said(t, 0, slots=list(slots))
+    assert ends(spark, [lights(0), lights(400, "on"), lights(600, "off"), lights(800, "on"), lights(1000, "off")]) == []
+    assert ends(spark, [lights(0), lights(400, "on", "red"), lights(600, "off"), lights(800, "on", "red"), lights(1000, "red", "on")]) == [(0, 1000, "on", "accepted")]
+    # a pause ends the session and its open period
+    assert ends(spark, [said(0, 0), said(400, 0, ended=False), said(9000, None)], idle=5000) == [(0, 5000, None, "timeout")]
+    assert ends(spark, [said(0, 0), said(400, 0, ended=False)], idle=5000) == [(0, 5000, None, "timeout")]
 
 
 def test_endpointed_fallback(spark):
-    ask = lambda t, speech, long, what: (t, 0, "on", False, True, long, speech, what)
+    ask = lambda t, speech, long, what: (t, 0, "on", None, False, True, long, speech, what)
     assert ends(spark, [ask(0, 300, True, "red"), ask(400, 300, True, "red")]) == [(0, 400, "red", "fallback")]
     assert ends(spark, [ask(0, 0, True, "red"), ask(400, 199, True, "red"), ask(600, 300, False, "red"), ask(800, 300, True, None)]) == []
 

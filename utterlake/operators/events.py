@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import ENDPOINT_START, debounce_step, endpoint_step, fold_sorted
+from .folds import debounce_step, endpoint_fold, fold_in_order, fold_sorted
 
 
 def sliding(df: DataFrame, key: str, ts: str, width: str, stride: str) -> DataFrame:
@@ -64,14 +64,14 @@ def period_votes(obs: DataFrame, spans: DataFrame, session: str, at: str, cls: s
     return mode_vote(inside.where(F.col(cls).isNotNull()), [session, "pid"], at, [cls], confidence)
 
 
-def endpointed(polls: DataFrame, session: str, period: int, stable: int, least_audio: int = 300, least_speech: int = 200) -> DataFrame:
-    """ES7: polls: session, t, open_at (the gate's latest opening, null while closed), intent, ok (confident), ended and fallback_ended (quiet for the hold and the longer hold), speech and fallback (what the second scorer says, if it accepts). Times in milliseconds.
+def endpointed(polls: DataFrame, session: str, period: int, stable: int, least_audio: int = 300, least_speech: int = 200, idle: int | None = None) -> DataFrame:
+    """ES7: polls: session, t, open_at (the gate's latest opening, null while closed), intent, slots (array of strings), ok (confident), ended and fallback_ended (quiet for the hold and the longer hold), speech and fallback (what the second scorer says, if it accepts). Times in milliseconds.
 
-    The first opening anchors a period; later ones move only its time-out, which comes `period` after the latest. A poll accepts once a confident intent has been the same `stable` times running and the speech has ended; one that is not confident asks the second scorer, if the longer hold has passed with enough speech. After closing, the old detection has to stop before a new one counts. Rows: session, opened_at, t, intent, reason.
+    The first opening anchors a period; later ones move only its time-out, which comes `period` after the latest. A poll accepts once a confident intent with the same slots, in any order, has been heard `stable` times running and the speech has ended; one that is not confident asks the second scorer, if the longer hold has passed with enough speech. After closing, the old detection has to stop before a new one counts. A time-out is told at the poll that finds it; with `idle`, a session without a poll for so long is over and a period that is open then timed out, at its own time. Rows: session, opened_at, t, intent, slots (sorted, comma-joined), reason.
     """
-    cols = [session, "t", "open_at", "intent", "ok", "ended", "fallback_ended", "speech", "fallback"]
+    cols = ["t", "open_at", "intent", "slots", "ok", "ended", "fallback_ended", "speech", "fallback"]
     kind = polls.schema[session].dataType.simpleString()
-    return fold_sorted(polls.select(*cols), [session], cols[1:], f"`{session}` {kind}, opened_at long, t long, intent string, reason string", lambda: ENDPOINT_START, endpoint_step(period, stable, least_audio, least_speech))
+    return fold_in_order(polls.select(session, *cols), session, cols, f"`{session}` {kind}, opened_at long, t long, intent string, slots string, reason string", endpoint_fold(period, stable, least_audio, least_speech, idle))
 
 
 def fan_out(lines: DataFrame, line: str, lead: int = 3) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import events as E
 from ..streaming import policies as P
 from ..streaming.folder import shared_dir
+from ..streaming.inorder import rocksdb_state
 from .common import SCORES, Book, table
 
 BOOK = Book()
@@ -78,26 +79,35 @@ def es6(spark, d):
 
 
 _WAIT, _AUDIO = 1_000_000_000, 1000
-_POLLS = f"""p AS (SELECT e.user_id, g.t, CASE WHEN g.t < o + 200000000 THEN o END AS open_at, event_type AS intent, value > 10 AS ok, value < 60 AS ended, value < 30 AS fbe, json_extract_string(props, '$.k')::INT * 10 AS speech, CASE WHEN json_extract_string(props, '$.k')::INT % 4 = 0 THEN event_type END AS fb FROM g JOIN events e USING (event_id)),
-n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, open_at NULLS FIRST, intent, ok, ended, fbe, speech, fb NULLS FIRST) AS i FROM p)"""
-_ENDED = f"""r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS anchor, 0::BIGINT AS since, -1::BIGINT AS closed, TRUE AS armed, NULL::BIGINT AS lopen, NULL::VARCHAR AS key, 0 AS streak, NULL::BIGINT AS e_open, NULL::BIGINT AS e_t, NULL::VARCHAR AS e_intent, NULL::VARCHAR AS reason FROM (SELECT DISTINCT user_id FROM n)
-UNION ALL SELECT user_id, i, CASE WHEN said IS NULL THEN anchor2 END, since2, CASE WHEN said IS NULL THEN closed2 ELSE t END, CASE WHEN said IS NULL THEN armed2 ELSE FALSE END, open_at, CASE WHEN said IS NULL THEN key3 END, CASE WHEN said IS NULL THEN streak3 ELSE 0 END, CASE WHEN said IS NOT NULL THEN anchor2 END, CASE WHEN said IS NOT NULL THEN t END, CASE said WHEN 'accepted' THEN intent WHEN 'fallback' THEN fb END, said
+_SLOTS = "CASE k % 3 WHEN 0 THEN array('dim', 'on') WHEN 1 THEN array('on', 'dim') ELSE array('off') END"
+
+
+def _polls_sql(where: str = "", idle: int | None = None) -> str:
+    """Polls numbered within stretches of a session without a pause of `idle`."""
+    pause = f"CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) >= {idle} THEN 1 ELSE 0 END" if idle else "0"
+    return f"""p AS (SELECT e.user_id, g.t, CASE WHEN g.t < o + 200000000 THEN o END AS open_at, event_type AS intent, CASE WHEN json_extract_string(props, '$.k')::INT % 3 = 2 THEN 'off' ELSE 'dim,on' END AS sl, value > 10 AS ok, value < 60 AS ended, value < 30 AS fbe, json_extract_string(props, '$.k')::INT * 10 AS speech, CASE WHEN json_extract_string(props, '$.k')::INT % 4 = 0 THEN event_type END AS fb FROM g JOIN events e USING (event_id) {where}),
+q AS (SELECT *, sum(pause) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, {pause} AS pause FROM p)),
+n AS (SELECT *, concat(intent, '|', sl) AS said_now, row_number() OVER (PARTITION BY user_id, seg ORDER BY t, open_at NULLS FIRST, intent, sl, ok, ended, fbe, speech, fb NULLS FIRST) AS i FROM q)"""
+
+
+_ENDED = f"""r AS (SELECT user_id, seg, 0::BIGINT AS i, NULL::BIGINT AS anchor, 0::BIGINT AS since, -1::BIGINT AS closed, TRUE AS armed, NULL::BIGINT AS lopen, NULL::VARCHAR AS key, 0 AS streak, NULL::BIGINT AS e_open, NULL::BIGINT AS e_t, NULL::VARCHAR AS e_intent, NULL::VARCHAR AS e_slots, NULL::VARCHAR AS reason, NULL::BIGINT AS seen_at FROM (SELECT DISTINCT user_id, seg FROM n)
+UNION ALL SELECT user_id, seg, i, CASE WHEN said IS NULL THEN anchor2 END, since2, CASE WHEN said IS NULL THEN closed2 ELSE t END, CASE WHEN said IS NULL THEN armed2 ELSE FALSE END, open_at, CASE WHEN said IS NULL THEN key3 END, CASE WHEN said IS NULL THEN streak3 ELSE 0 END, CASE WHEN said IS NOT NULL THEN anchor2 END, CASE WHEN said IS NOT NULL THEN t END, CASE said WHEN 'accepted' THEN intent WHEN 'fallback' THEN fb END, CASE said WHEN 'accepted' THEN sl END, said, t
 FROM (SELECT *, CASE WHEN anchor2 IS NULL THEN NULL WHEN t >= since2 + {_WAIT} THEN 'timeout' WHEN obs AND ok AND streak3 >= 2 AND ended THEN 'accepted' WHEN obs AND NOT ok AND fb IS NOT NULL AND fbe AND speech >= 200 THEN 'fallback' END AS said
-FROM (SELECT *, CASE WHEN NOT obs THEN key WHEN ok THEN intent END AS key3, CASE WHEN NOT obs THEN streak WHEN NOT ok THEN 0 WHEN key = intent THEN streak + 1 ELSE 1 END AS streak3
+FROM (SELECT *, CASE WHEN NOT obs THEN key WHEN ok THEN said_now END AS key3, CASE WHEN NOT obs THEN streak WHEN NOT ok THEN 0 WHEN key = said_now THEN streak + 1 ELSE 1 END AS streak3
 FROM (SELECT *, coalesce(anchor2 IS NOT NULL AND t < since2 + {_WAIT} AND t - anchor2 >= {_AUDIO}, FALSE) AS obs
 FROM (SELECT *, CASE WHEN anchor IS NOT NULL THEN anchor WHEN hold OR open_at IS NULL OR open_at <= closed THEN NULL ELSE open_at END AS anchor2, CASE WHEN anchor IS NOT NULL THEN CASE WHEN rearmed THEN open_at ELSE since END WHEN hold OR open_at IS NULL OR open_at <= closed THEN since ELSE open_at END AS since2, CASE WHEN hold THEN greatest(closed, open_at) ELSE closed END AS closed2, NOT hold AS armed2
-FROM (SELECT *, anchor IS NULL AND NOT armed AND rearmed AS hold FROM (SELECT r.anchor, r.since, r.closed, r.armed, r.lopen, r.key, r.streak, n.*, coalesce(n.open_at IS NOT NULL AND n.open_at IS DISTINCT FROM r.lopen, FALSE) AS rearmed FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)))))))"""
-_ES7 = "WITH RECURSIVE {0}, " + _POLLS + ", " + _ENDED + " SELECT user_id, e_open AS opened_at, e_t AS t, e_intent AS intent, reason FROM r WHERE reason IS NOT NULL"
+FROM (SELECT *, anchor IS NULL AND NOT armed AND rearmed AS hold FROM (SELECT r.anchor, r.since, r.closed, r.armed, r.lopen, r.key, r.streak, n.*, coalesce(n.open_at IS NOT NULL AND n.open_at IS DISTINCT FROM r.lopen, FALSE) AS rearmed FROM r JOIN n ON n.user_id = r.user_id AND n.seg = r.seg AND n.i = r.i + 1)))))))"""
+_TOLD = "SELECT user_id, e_open AS opened_at, e_t AS t, e_intent AS intent, e_slots AS slots, reason FROM r WHERE reason IS NOT NULL"
 
 
 def polls(e):
     """Polls of ES7 from rows with user_id, t, open_at, event_type, value and props."""
     k = F.get_json_object("props", "$.k").cast("int")
     v = F.col("value")
-    return e.select("*", F.col("event_type").alias("intent"), (v > 10).alias("ok"), (v < 60).alias("ended"), (v < 30).alias("fallback_ended"), (k * 10).alias("speech"), F.when(k % 4 == 0, F.col("event_type")).alias("fallback"))
+    return e.select("*", F.col("event_type").alias("intent"), F.expr(_SLOTS.replace("k %", "CAST(get_json_object(props, '$.k') AS INT) %")).alias("slots"), (v > 10).alias("ok"), (v < 60).alias("ended"), (v < 30).alias("fallback_ended"), (k * 10).alias("speech"), F.when(k % 4 == 0, F.col("event_type")).alias("fallback"))
 
 
-@add("es7_endpointed_period", _ES7.format(_GATE))
+@add("es7_endpointed_period", f"WITH RECURSIVE {_GATE}, {_polls_sql()}, {_ENDED} {_TOLD}")
 def es7(spark, d):
     g = E.gate_open(timed(spark, d), "user_id", "t", "value", 120, 200_000_000)
     x = g.join(table(spark, d, "events").select("event_id", "props"), "event_id").withColumn("open_at", F.when(F.col("open"), F.col("opened_at")))
@@ -212,7 +222,9 @@ def run_stream(spark, d, build, complete=False):
         writer = writer.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(out))
     else:
         writer = writer.outputMode("append").format("parquet").option("path", out)
-    writer.start().awaitTermination()
+    with rocksdb_state(spark):
+        running = writer.start()
+    running.awaitTermination()
     return spark.read.schema(rows.schema).parquet(out)
 
 
@@ -222,12 +234,16 @@ def _is_dir(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-@add("es3_debounce_stream", f"WITH RECURSIVE f AS (SELECT user_id, {MS} AS t, row_number() OVER (PARTITION BY user_id ORDER BY {MS}) AS i FROM events WHERE value > 40), r AS (SELECT user_id, t, i, TRUE AS emitted, t AS last FROM f WHERE i = 1 UNION ALL SELECT f.user_id, f.t, f.i, f.t - last >= 86400000, CASE WHEN f.t - last >= 86400000 THEN f.t ELSE last END FROM r JOIN f ON f.user_id = r.user_id AND f.i = r.i + 1) SELECT user_id, t, emitted FROM r")
+#: The stream's last watermark: rows before it have been told.
+_WM = f"wm AS (SELECT max({MS}) - 86400000 AS wm FROM events)"
+
+
+@add("es3_debounce_stream", f"WITH RECURSIVE {_WM.replace('FROM events', 'FROM events WHERE value > 40')}, f AS (SELECT user_id, {MS} AS t, row_number() OVER (PARTITION BY user_id ORDER BY {MS}) AS i FROM events WHERE value > 40), r AS (SELECT user_id, t, i, TRUE AS emitted, t AS last FROM f WHERE i = 1 UNION ALL SELECT f.user_id, f.t, f.i, f.t - last >= 86400000, CASE WHEN f.t - last >= 86400000 THEN f.t ELSE last END FROM r JOIN f ON f.user_id = r.user_id AND f.i = r.i + 1) SELECT user_id, t, emitted FROM r, wm WHERE t < wm")
 def es3_stream(spark, d):
     return run_stream(spark, d, lambda s: P.debounced(s.where("value > 40"), "user_id", "t", 86_400_000))
 
 
-@add("es4_gate_stream", f"WITH {_GATE} SELECT user_id, t, o AS opened_at FROM g WHERE t < o + 200000000")
+@add("es4_gate_stream", f"WITH {_GATE}, {_WM} SELECT user_id, t, o AS opened_at FROM g, wm WHERE t < o + 200000000 AND t < wm")
 def es4_stream(spark, d):
     return run_stream(spark, d, lambda s: P.gated(s, "user_id", "t", "value", 120, 200_000_000))
 
@@ -243,34 +259,36 @@ def es2_stream(spark, d):
     return run_stream(spark, d, lambda s: P.accepted_only(s, F.col("value") >= 80).select("event_id"))
 
 
-_LAST = f"z AS (SELECT user_id, max({MS}) AS lt FROM events GROUP BY 1), wm AS (SELECT max({MS}) - 86400000 AS wm FROM events)"
-_SHUT = "(lt >= start + 200000000 OR wm > lt + 200000000)"
-
-
 @add(
     "es5_mode_period_stream",
-    f"WITH {_PER}, {_LAST}, x AS (SELECT e.user_id, start AS pid, event_type, {MS} AS t, value FROM events e JOIN pp ON pp.user_id = e.user_id AND NOT restarted AND {MS} >= start AND {MS} < start + 200000000 JOIN z ON z.user_id = e.user_id JOIN wm ON {_SHUT}), g AS (SELECT user_id, pid, event_type, count(*) AS votes, round(sum(value), 9) AS s, min(t) AS f, max(t) AS latest, avg(value) AS mean FROM x GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, pid ORDER BY votes DESC, s DESC, f) AS r FROM g) SELECT user_id, pid, event_type, votes, latest, round(mean, 6) AS mean FROM r WHERE r = 1",
+    f"WITH {_PER}, {_WM}, x AS (SELECT e.user_id, start AS pid, event_type, {MS} AS t, value FROM events e JOIN pp ON pp.user_id = e.user_id AND NOT restarted AND {MS} >= start AND {MS} < start + 200000000 JOIN wm ON start + 200000000 <= wm), g AS (SELECT user_id, pid, event_type, count(*) AS votes, round(sum(value), 9) AS s, min(t) AS f, max(t) AS latest, avg(value) AS mean FROM x GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, pid ORDER BY votes DESC, s DESC, f) AS r FROM g) SELECT user_id, pid, event_type, votes, latest, round(mean, 6) AS mean FROM r WHERE r = 1",
 )
 def es5_stream(spark, d):
     fires = lambda s: s.withColumn("fires", F.col("value") >= 120)
     return run_stream(spark, d, lambda s: P.mode_periods(fires(s), "user_id", "t", "fires", "event_type", "value", 200_000_000)).withColumn("mean", F.round("mean", 6))
 
 
-@add("es6_single_period_stream", f'WITH {_PER}, {_LAST} SELECT user_id, start, restarted, fin AS "end" FROM pp JOIN z USING (user_id) JOIN wm ON restarted OR {_SHUT}')
+@add("es6_single_period_stream", f'WITH {_PER}, {_WM} SELECT user_id, start, restarted, fin AS "end" FROM pp, wm WHERE fin < wm OR NOT restarted AND fin = wm')
 def es6_stream(spark, d):
     return run_stream(spark, d, lambda s: P.single_periods(s.withColumn("fires", F.col("value") >= 120), "user_id", "t", "fires", 200_000_000))
 
 
-@add("es7_endpointed_stream", _ES7.format(_GATE))
+_IDLE, _AWAY = _WAIT, 3 * 86_400_000
+
+
+@add("es7_endpointed_stream", f"WITH RECURSIVE {_GATE}, {_WM}, {_polls_sql('JOIN wm ON g.t < wm', _IDLE)}, {_ENDED} {_TOLD} UNION ALL SELECT user_id, anchor, since + {_WAIT}, NULL, NULL, 'timeout' FROM (SELECT *, row_number() OVER (PARTITION BY user_id, seg ORDER BY i DESC) AS last FROM r) JOIN wm ON last = 1 AND anchor IS NOT NULL AND seen_at + {_IDLE} <= wm")
 def es7_stream(spark, d):
-    """The gate's openings come with the polls: they are found per row from the batch table, as a live gate would stamp them."""
-    g = E.gate_open(timed(spark, d), "user_id", "t", "value", 120, 200_000_000).select("event_id", F.when(F.col("open"), F.col("opened_at")).alias("open_at"))
-    return run_stream(spark, d, lambda s: P.endpointed(polls(s.join(g, "event_id")), "user_id", _WAIT, 2, _AUDIO))
+    return run_stream(spark, d, lambda s: P.endpointed(polls(s), "user_id", "value", 120, 200_000_000, _WAIT, 2, _IDLE, _AUDIO))
+
+
+_DEVICE = f"q AS (SELECT user_id, event_type AS e, event_id, {MS} AS t, {MS} - lag({MS}) OVER (PARTITION BY user_id ORDER BY {MS}, event_id) AS away FROM events), x AS (SELECT user_id, e, event_id, coalesce(away >= {_AWAY}, FALSE) AS anew, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM q, wm WHERE t < wm)"
+_HELD = "(CASE WHEN x.anew THEN 'idle' ELSE state END)"
+_FROM = _MOVE.replace("state =", f"{_HELD} =")
 
 
-@add("es14_state_stream", f"WITH RECURSIVE x AS (SELECT user_id, event_type AS e, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), f AS (SELECT user_id, 0::BIGINT AS i, 'idle' AS state, FALSE AS changed, NULL::BIGINT AS event_id FROM (SELECT DISTINCT user_id FROM x) UNION ALL SELECT f.user_id, x.i, coalesce({_MOVE}, state), ({_MOVE}) IS NOT NULL, x.event_id FROM f JOIN x ON x.user_id = f.user_id AND x.i = f.i + 1) SELECT user_id, event_id, state, changed FROM f WHERE i > 0")
+@add("es14_state_stream", f"WITH RECURSIVE {_WM}, {_DEVICE}, f AS (SELECT user_id, 0::BIGINT AS i, 'idle' AS state, FALSE AS changed, NULL::BIGINT AS event_id FROM (SELECT DISTINCT user_id FROM x) UNION ALL SELECT f.user_id, x.i, coalesce({_FROM}, {_HELD}), ({_FROM}) IS NOT NULL, x.event_id FROM f JOIN x ON x.user_id = f.user_id AND x.i = f.i + 1) SELECT user_id, event_id, state, changed FROM f WHERE i > 0")
 def es14_stream(spark, d):
-    return run_stream(spark, d, lambda s: P.machine(s, "user_id", "event_id", "event_type", "idle", TABLE))
+    return run_stream(spark, d, lambda s: P.machine(s, "user_id", "t", "event_id", "event_type", "idle", TABLE, _AWAY))
 
 
 @add("es15_latest_stream", "SELECT user_id, max_by(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")

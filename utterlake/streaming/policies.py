@@ -1,29 +1,21 @@
 """Structured Streaming forms of the stream policies.
 
-The keyed policies are the folds of the batch forms with their state kept by
-Spark, one small tuple a key. All of a key's rows in a micro-batch are sorted
-together before they are folded, over all Arrow chunks. Times are
-milliseconds since 1970 and follow the stream's event-time column: late rows
-beyond the watermark are dropped by Spark and counted in the progress metric
-numRowsDroppedByWatermark; where a pause ends what is remembered, the state
-is closed and forgotten once the watermark has passed the last row by it.
+The keyed policies are the folds of the batch forms, run in event-time order:
+rows wait until the watermark has passed them, so files that overlap in time
+give the batch result, and what a stream has told at its end is the batch
+result up to its watermark. Times are milliseconds since 1970, those of the
+event-time column. States end by timer as soon as they are due, without a
+further row, and leave nothing behind. Start these queries within
+inorder.rocksdb_state(spark).
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegralType
-
-from ..operators.folds import ENDPOINT_START, endpoint_step, machine_step, period_step, vote_step, vote_winner
 
-#: Rows of one output frame.
-BATCH = 10_000
+from ..operators.folds import Fold, behind_gate, endpoint_fold, machine_fold, period_step, vote_step, vote_winner
+from .inorder import folded_in_order
 
 
 def sliding_counts(stream: DataFrame, key: str, ts: str, width: str, stride: str, late: str) -> DataFrame:
@@ -36,46 +28,6 @@ def accepted_only(stream: DataFrame, ok: Column) -> DataFrame:
     return stream.where(F.coalesce(ok, F.lit(False)))
 
 
-def folded(stream: DataFrame, key: str, cols: list[str], ts: str, late: str, idle: int | None, schema: str, start: Callable, step: Callable, finish: Callable | None = None) -> DataFrame:
-    """step over each key's rows (key, *cols) in order of cols, cols[0] being the time; finish(key, state) once the watermark has passed the key's last row by `idle` milliseconds; never where that is None. The state travels as JSON."""
-    names = [f.split()[0].strip("`") for f in schema.split(",")]
-
-    whole = {c for c in cols if isinstance(stream.schema[c].dataType, IntegralType)}
-
-    def plain(x, integer: bool):
-        """pandas reads whole numbers with nulls among them as floats."""
-        return None if x is None or x != x else int(x) if integer else x
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
-
-    def one(group, batches: Iterator[pd.DataFrame], state: GroupState):
-        held, seen = (json.loads(state.get[0]), state.get[1]) if state.exists else (start(), None)
-        if state.hasTimedOut:
-            state.remove()
-            if finish and (out := finish(group, held)):
-                yield frame(out)
-            return
-        rows, out = [], []
-        for pdf in batches:  # a key's rows may come in several chunks
-            rows += zip(*[[plain(x, c in whole) for x in pdf[c].tolist()] for c in cols], strict=True)
-        rows.sort(key=lambda r: tuple((x is not None, x) if x is not None else (False,) for x in r))  # nulls first, as Spark sorts
-        for row in rows:
-            held, more = step(held, (group[0], *row))
-            out += more
-            if len(out) >= BATCH:
-                yield frame(out)
-                out = []
-        yield frame(out)
-        seen = max(x for x in (seen, rows[-1][0]) if x is not None)
-        state.update((json.dumps(held), seen))
-        if idle is not None:
-            state.setTimeoutTimestamp(max(int(seen) + idle, state.getCurrentWatermarkMs() + 1))
-
-    x = stream.withWatermark(ts, late).select(key, *cols, ts)
-    return x.groupBy(key).applyInPandasWithState(one, schema, "held string, seen long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def _named(stream: DataFrame, key: str) -> str:
     return f"`{key}` {stream.schema[key].dataType.simpleString()}"
 
@@ -87,50 +39,45 @@ def debounced(stream: DataFrame, session: str, at: str, refractory: int, ts: str
         go = last is None or row[1] - last >= refractory
         return (row[1] if go else last), [(row[0], row[1], go)]
 
-    return folded(stream, session, [at], ts, late, refractory, f"{_named(stream, session)}, `{at}` bigint, emitted boolean", lambda: None, step)
+    fold = Fold(lambda: None, step, lambda last: last + refractory, lambda key, last: [])
+    return folded_in_order(stream, session, [at], ts, late, f"{_named(stream, session)}, `{at}` bigint, emitted boolean", fold)
 
 
 def gated(stream: DataFrame, session: str, at: str, score: str, threshold: float, period: int, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """ES4: rows while the gate is open; a detection opens it or restarts its period."""
+    seen = Fold(lambda: None, lambda s, row: (s, [(row[0], row[1], row[2])] if row[2] is not None else []), lambda s: None, lambda key, s: [])
+    gate = behind_gate(threshold, period, seen)
+    fold = gate._replace(due=lambda s: None if s[0] is None else s[0] + period)
+    return folded_in_order(stream, session, [at, score], ts, late, f"{_named(stream, session)}, `{at}` bigint, opened_at bigint", fold)
 
-    def step(opened, row):
-        key, t, s = row
-        opened = t if s is not None and s >= threshold else opened
-        return opened, [(key, t, opened)] if opened is not None and t < opened + period else []
 
-    return folded(stream, session, [at, score], ts, late, period, f"{_named(stream, session)}, `{at}` bigint, opened_at bigint", lambda: None, step)
+def _firing_first(row: tuple) -> tuple:
+    """Order of (t, fires, ...): a row at the time of a detection belongs to the period that it opens."""
+    return row[0], not row[1], *[(x is not None, x) if x is not None else (False,) for x in row[2:]]
 
 
 def mode_periods(stream: DataFrame, session: str, at: str, fires: str, cls: str, confidence: str, length: int, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """ES5: the mode vote of each whole period, at its end; a new detection within it discards it."""
-    vote = vote_step(length)
-
-    def step(state, row):
-        (start, seen), out = vote((state[0], {k: tuple(v) for k, v in state[1].items()}), row)
-        return [start, seen], out
-
-    finish = lambda key, state: vote_winner(key[0], state[0], {k: tuple(v) for k, v in state[1].items()}) if state[0] is not None else []
-    return folded(stream, session, [at, fires, cls, confidence], ts, late, length, f"{_named(stream, session)}, pid bigint, `{cls}` string, votes bigint, latest bigint, mean double", lambda: [None, {}], step, finish)
+    fold = Fold(lambda: (None, {}), vote_step(length), lambda s: None if s[0] is None else s[0] + length, lambda key, s: vote_winner(key[0], *s), _firing_first)
+    return folded_in_order(stream, session, [at, fires, cls, confidence], ts, late, f"{_named(stream, session)}, pid bigint, `{cls}` string, votes bigint, latest bigint, mean double", fold)
 
 
 def single_periods(stream: DataFrame, session: str, at: str, fires: str, length: int, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """ES6: one request a period, at its end or where a detection restarts it."""
-    finish = lambda key, start: [(key[0], start, False, start + length)] if start is not None else []
-    return folded(stream, session, [at, fires], ts, late, length, f"{_named(stream, session)}, start bigint, restarted boolean, end bigint", lambda: None, period_step(length), finish)
+    fold = Fold(lambda: None, period_step(length), lambda start: start + length, lambda key, start: [(key[0], start, False, start + length)], _firing_first)
+    return folded_in_order(stream, session, [at, fires], ts, late, f"{_named(stream, session)}, start bigint, restarted boolean, `end` bigint", fold)
 
 
-def endpointed(stream: DataFrame, session: str, period: int, stable: int, least_audio: int = 300, least_speech: int = 200, ts: str = "ts", late: str = "1 day") -> DataFrame:
-    """ES7: the batch form's polls as they come. A time-out is told at the poll that finds it, so sessions are not forgotten."""
-    cols = ["t", "open_at", "intent", "ok", "ended", "fallback_ended", "speech", "fallback"]
-    inner = endpoint_step(period, stable, least_audio, least_speech)
-    step = lambda state, row: inner(tuple(state), row)
-    return folded(stream, session, cols, ts, late, None, f"{_named(stream, session)}, opened_at bigint, t bigint, intent string, reason string", lambda: list(ENDPOINT_START), step)
+def endpointed(stream: DataFrame, session: str, score: str, threshold: float, gate: int, period: int, stable: int, idle: int, least_audio: int = 300, least_speech: int = 200, ts: str = "ts", late: str = "1 day") -> DataFrame:
+    """ES7 behind a live gate (ES4): polls with a score, as the batch form has them otherwise. A session without polls for `idle` milliseconds is over: its open period is told as timed out by timer, and it is forgotten."""
+    cols = ["t", score, "intent", "slots", "ok", "ended", "fallback_ended", "speech", "fallback"]
+    fold = behind_gate(threshold, gate, endpoint_fold(period, stable, least_audio, least_speech, idle))
+    return folded_in_order(stream, session, cols, ts, late, f"{_named(stream, session)}, opened_at bigint, t bigint, intent string, slots string, reason string", fold)
 
 
-def machine(stream: DataFrame, device: str, order: str, event: str, start: str, table: dict[tuple[str, str], str], ts: str = "ts", late: str = "1 day") -> DataFrame:
-    """ES14: the state after each event and whether the table lists the move. Devices are not forgotten."""
-    schema = f"{_named(stream, device)}, `{order}` bigint, state string, changed boolean"
-    return folded(stream, device, [order, event], ts, late, None, schema, lambda: None, machine_step(start, table))
+def machine(stream: DataFrame, device: str, at: str, order: str, event: str, start: str, table: dict[tuple[str, str], str], idle: int, ts: str = "ts", late: str = "1 day") -> DataFrame:
+    """ES14: the state after each event and whether the table lists the move. A device without events for `idle` milliseconds is forgotten and starts anew."""
+    return folded_in_order(stream, device, [at, order, event], ts, late, f"{_named(stream, device)}, `{order}` bigint, state string, changed boolean", machine_fold(start, table, idle))
 
 
 def latest(stream: DataFrame, key: str, at: str, item: str) -> DataFrame:
