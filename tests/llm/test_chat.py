@@ -82,7 +82,7 @@ def test_other_templates(spark):
     t = Template(begin="<|im_start|>", sep="=\n", end="<|im_end|>", names=(("user", "U"),), learned=("user", "bot"))
     got = back(spark, [(1, 0, "user", "a<|im_end|>\n\nb"), (1, 1, "bot", "$<\\|im_start|>")], t)[1]
     assert [(x.role, x.text) for x in got.turns] == [("user", "a<|im_end|>\n\nb"), ("bot", "$<\\|im_start|>")] and got.loss_text == "a<|im_end|>\n\nb$<\\|im_start|>"
-    for bad in ({"end": "##x"}, {"end": "abab"}, {"sep": ":"}, {"begin": "a\\b"}):
+    for bad in ({"end": " #x"}, {"end": "abab"}, {"sep": ":"}, {"begin": "a\\b"}):
         with pytest.raises(ValueError):
             Template(**bad)
 
