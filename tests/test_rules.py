@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,6 +250,21 @@ def test_pinned_split_equals_loop(spark):
     assert got == want
 
 
+def test_pinned_split_of_many_labels_plans_at_once(spark):
+    rng = random.Random(13)
+    labels = [f"l{i:02}" for i in range(93)]
+    sizes = [(x, f"g{g}", rng.randint(1, 40)) for x in labels for g in rng.sample(range(3000), 12)]
+    df = spark.createDataFrame(sizes, "label string, grp string, n int")
+    began = time.perf_counter()
+    out = splits.pinned_split(df, labels, [("train", 7), ("val", 2), ("test", 1)])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert time.perf_counter() - began < 10 and plan.count("Arrow") <= 4  # one fold, whatever the number of labels
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.grp, set()).add(r.split)
+    assert all(len(s) == 1 for s in by.values()) and sum(1 for _ in sizes) == out.count()
+
+
 def test_ranks_equal_sorting(spark):
     from utterlake.operators import ranks
 

@@ -64,25 +64,36 @@ def group_split(sizes: DataFrame, family: str, group: str, n: str, seed: int, pa
 
 
 def pinned_split(sizes: DataFrame, labels: list[str], parts: list[tuple[str, int]]) -> DataFrame:
-    """SP5: sizes: label, grp, n. Label by label, groups largest first (ties by name) to the part that lacks most, ties to the first part; a group that an earlier label placed stays there and counts. parts in tenths."""
-    placed = None
+    """SP5: sizes: label, grp, n, a row for each label and group. Label by label, groups largest first (ties by name) to the part that lacks most, ties to the first part; a group that an earlier label placed stays there and counts before the others. parts in tenths.
+
+    One fold: a group is pinned wherever it has an earlier label, so the order of rows is known beforehand, and the state keeps the part of a group only from its first label to its last. Labels that no chain of shared groups links are folded side by side.
+    """
     names = [p for p, _ in parts]
+    order = sizes.sparkSession.createDataFrame([(label, i) for i, label in enumerate(labels)], "label string, at int")
+    x = sizes.select("label", F.col("grp").cast("string").alias("grp"), F.col("n").cast("long").alias("n")).join(order, "label")
+    total = x.groupBy("label").agg(F.sum("n").alias("total"))
+    life = x.groupBy("grp").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    x = x.join(life, x["grp"].eqNullSafe(life["grp"])).drop(life["grp"]).join(total, "label")
+    chain = list(range(len(labels)))  # of each label the least one linked to it
+    for first, at in sorted(map(tuple, x.where("at > first").select("first", "at").distinct().collect())):  # at most labels squared
+        low, high = sorted((chain[first], chain[at]))
+        chain = [low if c == high else c for c in chain]
+    linked = F.get(F.array(*map(F.lit, chain)), F.col("at"))
+    x = x.select(linked.alias("chain"), "at", (F.col("at") == F.col("first")).alias("free"), (-F.col("n")).alias("less"), "grp", "label", "total", (F.col("at") < F.col("last")).alias("again"))
 
-    def step(have, row):
-        label, grp, n, pin, total, _ = row
-        to = pin or max(range(len(parts)), key=lambda i: (parts[i][1] * total - 10 * have[i], -i))
-        i = names.index(to) if pin else to
-        return [h + n * (j == i) for j, h in enumerate(have)], [(label, grp, names[i])]
-
-    for label in labels:
-        mine = sizes.where(F.col("label") == label)
-        mine = mine.withColumn("pin", F.lit(None).cast("string")) if placed is None else mine.join(placed.groupBy("grp").agg(F.min("split").alias("pin")), "grp", "left")
-        total = mine.groupBy("label").agg(F.sum("n").cast("long").alias("total"))
-        x = mine.join(total, "label").select("label", F.col("grp").cast("string").alias("grp"), F.col("n").cast("long").alias("n"), "pin", "total", F.when(F.col("pin").isNull(), 1).otherwise(0).alias("free"))
-        x = x.withColumn("free", F.struct("free", (-F.col("n")).alias("m")))
-        done = fold_sorted(x, ["label"], ["free", "grp"], "label string, grp string, split string", lambda: [0] * len(parts), step)
-        placed = done if placed is None else placed.unionByName(done)
-    return placed
+    def step(state, row):
+        _, at, free, less, grp, label, total, again = row
+        now, have, pins = state
+        have = have if now == at else [0] * len(parts)
+        i = max(range(len(parts)), key=lambda i: (parts[i][1] * total - 10 * have[i], -i)) if free else pins[grp]
+        if again:
+            pins[grp] = i
+        else:
+            pins.pop(grp, None)
+        have[i] -= less
+        return (at, have, pins), [(label, grp, names[i])]
+
+    return fold_sorted(x, ["chain"], ["at", "free", "less", "grp"], "label string, grp string, split string", lambda: (None, [], {}), step)
 
 
 def majority(df: DataFrame, key: str, split: str, priority: list[str] | None = None) -> DataFrame:
