@@ -21,9 +21,9 @@ def choose_margin(grid: DataFrame, budget: float) -> DataFrame:
     return fit.agg(F.min(F.struct("far", "margin", "accuracy")).alias("r")).select("r.margin", "r.far", "r.accuracy")
 
 
-def iso_threshold(df: DataFrame, by: str, score: str, want: DataFrame) -> DataFrame:
-    """TK3: want: by, n. The n-th largest score of each key; +infinity for n <= 0, -infinity when there are fewer. Ranks run over distinct scores."""
-    per = df.where(F.col(score).isNotNull()).groupBy(by, score).agg(F.count(F.lit(1)).alias("_n"))
+def iso_threshold(df: DataFrame, by: str, score: str, want: DataFrame, rows: Column | None = None) -> DataFrame:
+    """TK3: want: by, n. The n-th largest score of each key; +infinity for n <= 0, -infinity when there are fewer. Ranks run over distinct scores. rows: how many rows a row stands for."""
+    per = df.where(F.col(score).isNotNull()).groupBy(by, score).agg(F.sum(rows if rows is not None else F.lit(1)).alias("_n"))
     x = running(with_span_slot(per, [by], score), [by], [F.desc(score)], "_slot", {"_before": F.col("_n")}, descending=True)
     j = want.join(x, by, "left").groupBy(by, "n").agg(F.max(F.when(F.col("_before") + F.col("_n") >= F.col("n"), F.col(score))).alias("t"))
     inf = F.lit(float("inf"))

@@ -1,8 +1,11 @@
 """Pre-registered decision rules over counts.
 
-Rows meet the rules as counts: `outcomes` sums each config's acceptances by
-split, condition, bucket, label and intent in one pass, and every rule reads
-that small table. Rates are compared in integers, by cross-multiplication.
+Rows are read twice, whatever the number of scorers, configs and rules. The
+first pass counts rows by threshold key and score (`score_counts`), from which
+thresholds are selected exactly; the second counts them by split, condition,
+bucket, label, intent and the configs that accept them (`decision_cube`), from
+which every rule follows. Both tables are written. Rates are compared in
+integers, by cross-multiplication.
 
 A score row has bucket (target_commands, babble, silence), label, intent,
 gap and a score for each scorer. Configs are named scorer-mode: `fixed` takes
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import sign_test
 from ..functions.scoring import count_where, margin_ok, ratio0, wilson
+from ..sources.kept import keep
 from .choose import iso_threshold
 
 #: Fixed values of the registered rules.
@@ -53,16 +57,33 @@ def half_of(group: Column) -> Column:
     return F.crc32(F.encode(group.cast("string"), "UTF-8")).bitwiseAND(1).cast("int")
 
 
-def calibrate(df: DataFrame, scorers: dict[str, str], base: float, margin: float | None, by: Column | str = "") -> DataFrame:
-    """at, tau: the highest threshold at which a scorer accepts as many rows as the baseline score at `base`, over all intents (scorer|*) and within each intent that the baseline accepts at all (scorer|intent). df: clean validation targets; keys begin with `by`."""
-    x = df.where(F.col("intent").isNotNull() & margin_ok(F.col("gap"), margin))
+def calibration_cells(scorers: dict[str, str], base: float, margin: float | None, by: Column | str = "", where: Column | None = None) -> list[Column]:
+    """Cells of score_counts for the thresholds of scorers over all intents (scorer|*) and within each intent (scorer|intent); keys begin with `by`."""
+    met = F.coalesce(F.col("intent").isNotNull() & margin_ok(F.col("gap"), margin) & (where if where is not None else F.lit(True)), F.lit(False))
     by = F.lit(by) if isinstance(by, str) else by
     base_ok = F.coalesce(F.col("confidence") >= base, F.lit(False))
-    places = ((True, F.lit(ALL)), (False, F.col("intent")))
-    cells = [F.struct(F.concat(by, F.lit(f"{s}|"), at).alias("at"), F.lit(every).alias("every"), F.col(c).alias("score"), base_ok.alias("base")) for s, c in scorers.items() for every, at in places]
-    long = x.select(F.inline(F.array(*cells)))
-    want = long.groupBy("at", "every").agg(count_where(F.col("base")).alias("n")).where("every OR n > 0").select("at", "n")
-    return iso_threshold(long.select("at", "score"), "at", "score", want)
+    return [_cell(F.concat(by, F.lit(f"{s}|"), at), every, F.col(c), base_ok, met) for s, c in scorers.items() for every, at in ((True, F.lit(ALL)), (False, F.col("intent")))]
+
+
+def _cell(at: Column, every: bool, score: Column, base: Column, where: Column) -> Column:
+    return F.when(where, F.struct(at.alias("at"), F.lit(every).alias("every"), score.cast("double").alias("score"), base.alias("base")))
+
+
+def score_counts(df: DataFrame, cells: list[Column]) -> DataFrame:
+    """at, every, score: rows n and those that the baseline accepts (base), in one pass over df. A row meets each cell (at, every, score, base) that isn't null."""
+    long = df.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+    return keep(long.groupBy("at", "every", "score").agg(F.count(F.lit(1)).alias("n"), count_where(F.col("base")).alias("base")), "scores")
+
+
+def calibrated(counts: DataFrame) -> DataFrame:
+    """at, tau: the highest threshold at which as many rows are accepted as the baseline accepts; keys that aren't `every` only if it accepts any."""
+    want = counts.groupBy("at", "every").agg(F.sum("base").alias("n")).where("every OR n > 0").select("at", "n")
+    return keep(iso_threshold(counts, "at", "score", want, F.col("n")), "thresholds")
+
+
+def calibrate(df: DataFrame, scorers: dict[str, str], base: float, margin: float | None, by: Column | str = "") -> DataFrame:
+    """at, tau: the highest threshold at which a scorer accepts as many rows as the baseline score at `base`, over all intents (scorer|*) and within each intent that the baseline accepts at all (scorer|intent). df: clean validation targets."""
+    return calibrated(score_counts(df, calibration_cells(scorers, base, margin, by)))
 
 
 def with_thresholds(df: DataFrame, taus: DataFrame) -> DataFrame:
@@ -82,11 +103,19 @@ def config_ok(config: str, scorers: dict[str, str], base: float, margin: float |
     return F.coalesce(F.col("intent").isNotNull() & margin_ok(F.col("gap"), margin) & (score >= tau), F.lit(False))
 
 
-def outcomes(df: DataFrame, keys: list[str], configs: dict[str, Column], base: str) -> DataFrame:
+def decision_cube(df: DataFrame, keys: list[str], configs: dict[str, Column], marks: dict[str, Column] | None = None, sums: dict[str, Column] | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """Keys, bucket, label, intent, marks and the set of configs that accept: rows n, and how many of them meet each of `sums`; in one pass over df. Also what reads a config's acceptance from it. Thresholds nest, so few of the sets occur."""
+    ok = F.struct(*[F.coalesce(c, F.lit(False)).alias(f"c{i}") for i, c in enumerate(configs.values())])
+    cells = df.select(*keys, "bucket", "label", "intent", *[c.alias(m) for m, c in (marks or {}).items()], ok.alias("ok"), *[F.coalesce(c, F.lit(False)).alias(f"_{m}") for m, c in (sums or {}).items()])
+    cube = cells.groupBy(*keys, "bucket", "label", "intent", *(marks or {}), "ok").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f"_{m}").alias(m) for m in sums or {}])
+    return keep(cube, "cube"), {name: F.col(f"ok.c{i}") for i, name in enumerate(configs)}
+
+
+def outcomes(cube: DataFrame, keys: list[str], configs: dict[str, Column], base: str) -> DataFrame:
     """Keys, bucket, label, intent, config: rows n, accepted rows ok, rows that only the base config (lost) or only this one (won) accepts."""
-    cells = [F.struct(F.lit(c).alias("config"), F.col("n"), F.col(f"ok{i}").alias("ok"), F.col(f"lost{i}").alias("lost"), F.col(f"won{i}").alias("won")) for i, c in enumerate(configs)]
-    sums = [x for i, c in enumerate(configs) for x in (count_where(configs[c]).alias(f"ok{i}"), count_where(configs[base] & ~configs[c]).alias(f"lost{i}"), count_where(~configs[base] & configs[c]).alias(f"won{i}"))]
-    wide = df.groupBy(*keys, "bucket", "label", "intent").agg(F.count(F.lit(1)).alias("n"), *sums)
+    cells = [F.struct(F.lit(c).alias("config"), F.col("rows").alias("n"), F.col(f"ok{i}").alias("ok"), F.col(f"lost{i}").alias("lost"), F.col(f"won{i}").alias("won")) for i, c in enumerate(configs)]
+    sums = [x for i, c in enumerate(configs) for x in (_sum("n", configs[c]).alias(f"ok{i}"), _sum("n", configs[base] & ~configs[c]).alias(f"lost{i}"), _sum("n", ~configs[base] & configs[c]).alias(f"won{i}"))]
+    wide = cube.groupBy(*keys, "bucket", "label", "intent").agg(F.sum("n").alias("rows"), *sums)
     return wide.select(*keys, "bucket", "label", "intent", F.inline(F.array(*cells)))
 
 
@@ -183,18 +212,25 @@ def parity(observed: DataFrame, expected: DataFrame, key: str, near: DataFrame)
     return j.select(key, (gap == 0).alias("exact"), ((gap == 0) | ((gap == 1) & (F.coalesce("near", F.lit(0)) > 0))).alias("ok"))
 
 
+def cube_parity(cube: DataFrame, key: str = "cond") -> DataFrame:
+    """One row, parity: whether in each key the accepted rows (seen) equal those counted from the raw values (raw), or are one apart where a row lies near the threshold (near)."""
+    per = cube.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("seen", "raw", "near")])
+    gap = F.abs(F.col("seen") - F.col("raw"))
+    return per.agg(F.coalesce(F.bool_and((gap == 0) | ((gap == 1) & (F.col("near") > 0))), F.lit(False)).alias("parity"))
+
+
 def select_config(fa: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """config: the fewest false accepts (config, fa), ties in the order given."""
     place = F.array_position(F.array(*[F.lit(o) for o in order]), F.col("config"))
     return fa.where(F.col("config").isin(*order)).agg(F.min_by("config", F.struct("fa", place.alias("p"))).alias("config"))
 
 
-def overlap(df: DataFrame, keys: list[str], base: Column, margin: Column, others: dict[str, Column]) -> DataFrame:
+def overlap(cube: DataFrame, keys: list[str], base: Column, margin: Column, others: dict[str, Column]) -> DataFrame:
     """Keys, config: rows to reject that the base accepts, by what removes them: the margin only, the other config only, both, neither."""
-    x = df.where(F.col("bucket").isin(*REJECT) & base)
+    x = cube.where(F.col("bucket").isin(*REJECT) & base)
     kinds = lambda ok: {"margin_only": ~margin & ok, "other_only": margin & ~ok, "both": ~margin & ~ok, "neither": margin & ok}
-    wide = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[count_where(w).alias(f"{k}{i}") for i, ok in enumerate(others.values()) for k, w in kinds(ok).items()])
-    cells = [F.struct(F.lit(c).alias("config"), F.col("n").alias("base_fa"), *[F.col(f"{k}{i}").alias(k) for k in ("margin_only", "other_only", "both", "neither")]) for i, c in enumerate(others)]
+    wide = x.groupBy(*keys).agg(F.sum("n").alias("rows"), *[_sum("n", w).alias(f"{k}{i}") for i, ok in enumerate(others.values()) for k, w in kinds(ok).items()])
+    cells = [F.struct(F.lit(c).alias("config"), F.col("rows").alias("base_fa"), *[F.col(f"{k}{i}").alias(k) for k in ("margin_only", "other_only", "both", "neither")]) for i, c in enumerate(others)]
     return wide.select(*keys, F.inline(F.array(*cells)))
 
 
@@ -317,18 +353,24 @@ def cell_gate(out: DataFrame, base: str, new: str, ghosts: DataFrame) -> DataFra
     return p.crossJoin(fails).crossJoin(ghosts).select("fa_ok", "exact_ok", "fails", (c("fa_ok") & c("exact_ok") & (c("fails") == "")).alias("p1"), (c("s") <= c("b")).alias("p2"))
 
 
-def budget_tau(df: DataFrame, score: str, budgets: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, tau: the smallest score of clean targets at which no condition has more false accepts than budgets (keys, cond, budget) allow; keys may be empty."""
+def budget_cells(score: str, base_ok: Column, key: Column, where: Column) -> list[Column]:
+    """Cells of score_counts for budget_tau: rows to reject by condition, and clean targets; keys end in `key`."""
+    reject, target = F.col("bucket").isin(*REJECT), (F.col("bucket") == TARGET) & (F.col("cond") == "clean")
+    shown = F.when(F.col("intent").isNotNull(), F.col(score))  # rows without an intent are never accepted, but count in the budget's key
+    place = lambda kind, *more: F.concat_ws("|", F.lit(kind), key, *more)
+    return [_cell(place("reject", F.col("cond")), False, shown, base_ok, F.coalesce(where & reject, F.lit(False))), _cell(place("target"), False, F.col(score), F.lit(False), F.coalesce(where & target, F.lit(False)))]
+
+
+def budget_tau(counts: DataFrame) -> DataFrame:
+    """key, tau: the smallest score of clean targets at which no condition has more false accepts than the baseline, from counts of budget_cells."""
     c = F.col
-    reject = c("bucket").isin(*REJECT) & c("intent").isNotNull() & c(score).isNotNull()
-    at = F.concat_ws("|", *[c(k).cast("string") for k in [*keys, "cond"]])
-    want = budgets.select(at.alias("_at"), *keys, (c("budget") + 1).alias("n"))
+    part = counts.select("*", F.split("at", "[|]").alias("_at")).select("*", F.get("_at", F.lit(0)).alias("_kind"), F.get("_at", F.lit(1)).alias("key"))
+    reject = part.where(c("_kind") == "reject")
+    want = reject.groupBy("at").agg((F.sum("base") + 1).alias("n"))
     # scores above the (budget + 1)-th largest one are within the budget
-    edge = iso_threshold(df.where(reject).withColumn("_at", at), "_at", score, want.select("_at", "n"))
-    edge = edge.join(want.select("_at", *keys), "_at").groupBy(*keys).agg(F.max("tau").alias("edge"))
-    cand = df.where((c("bucket") == TARGET) & (c("cond") == "clean") & c(score).isNotNull())
-    j = cand.join(edge, keys) if keys else cand.crossJoin(edge)
-    return j.where(c(score) > c("edge")).groupBy(*keys).agg(F.min(score).alias("tau"))
+    edge = iso_threshold(reject, "at", "score", want, c("n")).withColumn("key", F.get(F.split("at", "[|]"), F.lit(1))).groupBy("key").agg(F.max("tau").alias("edge"))
+    target = part.where((c("_kind") == "target") & c("score").isNotNull()).join(edge, "key", "left")
+    return target.where(c("score") > F.coalesce("edge", F.lit(float("-inf")))).groupBy("key").agg(F.min("score").alias("tau"))
 
 
 def stability(out: DataFrame, taus: DataFrame) -> DataFrame:
@@ -342,26 +384,33 @@ def stability(out: DataFrame, taus: DataFrame) -> DataFrame:
     return x.select("tau0", "tau1", "s1", "s2", "s3", F.when(c("s1") & c("s2") & c("s3"), "STABLE").otherwise("UNSTABLE").alias("verdict"))
 
 
+def curve_taus(low: Column, high: Column, steps: int = 8) -> Column:
+    """DR14: `steps` thresholds evenly from low to high - 0.30, then high."""
+    return F.concat(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: low + (high - MOST_GAP - low) * i / (steps - 1)), F.array(high))
+
+
 def loosening(row: DataFrame, labels: DataFrame, ghosts: DataFrame) -> DataFrame:
-    """DR14: row: split and condition_side_value; labels: split, label; ghosts: b, s. L1 (test false accepts no more than the baseline's), L2 (ghosts likewise), L3 (no split and condition with fewer exact rows), L4 (labels within 3 points), failing labels and the verdict."""
+    """DR14: row: split and condition_side_value; labels: split, label; ghosts: b, s. L1 (test false accepts no more than the baseline's), L2 (ghosts likewise), L3 (no split and condition with fewer exact rows), L4 (labels within 3 points), failing (label@split/cond) and the verdict."""
     c = F.col
     l1 = F.coalesce(F.bool_and(F.when(c("split") == "test", (c("clean_s_fa") <= c("clean_b_fa")) & (c("noisy_s_fa") <= c("noisy_b_fa")))), F.lit(True))
     l3 = F.coalesce(F.bool_and((c("clean_s_exact") >= c("clean_b_exact")) & (c("noisy_s_exact") >= c("noisy_b_exact"))), F.lit(True))
-    failing = label_floor(labels, ["split"]).where(~c("ok")).agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("failing"))
+    lost = lambda x: 100 * (c(f"{x}_s_exact") - c(f"{x}_b_exact")) < -LABEL_LOSS_PERCENT * c("clean_n")
+    at = F.array(*[F.when(lost(x), F.concat("label", F.lit("@"), "split", F.lit(f"/{x}"))) for x in CONDITIONS])
+    places = labels.where(c("clean_n") >= LABEL_LEAST).select(F.explode(at).alias("at")).where(c("at").isNotNull())
+    failing = places.agg(F.array_join(F.array_sort(F.collect_list("at")), ",").alias("failing"))
     x = row.agg(l1.alias("l1"), l3.alias("l3")).crossJoin(ghosts.select((c("s") <= c("b")).alias("l2"))).crossJoin(failing)
     l4 = c("failing") == ""
     return x.select("l1", "l2", "l3", l4.alias("l4"), "failing", F.when(c("l1") & c("l2") & c("l3") & l4, "PASS").otherwise("FAIL").alias("verdict"))
 
 
-def loosening_curve(df: DataFrame, keys: list[str], score: str, low: Column, high: Column, steps: int = 8) -> DataFrame:
-    """DR14: keys, step, tau, exact, fa at `steps` thresholds evenly from low to high - 0.30, and at high. df has one row of low and high (the calibrated and the loosest threshold); rows are counted by the last step they reach."""
+def loosening_curve(cube: DataFrame, keys: list[str], taus: Column, met: str, known: Column, ghost: Column, watched: tuple[str, ...] = ()) -> DataFrame:
+    """DR14: keys, step, tau, exact and fa of the known rows at each of `taus`, exact rows of the watched labels, and false accepts of the ghost rows, of all keys. cube has, in `met`, which of the thresholds a row's score reaches."""
     c = F.col
-    taus = F.concat(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: low + (high - MOST_GAP - low) * i / (steps - 1)), F.array(high))
-    x = df.withColumn("_taus", taus).where(c("intent").isNotNull() & c(score).isNotNull())
-    x = x.withColumn("_met", F.transform("_taus", lambda t: c(score) >= t))
-    per = x.groupBy(*keys, "_taus", "_met").agg(count_where(_right()).alias("e"), count_where(c("bucket").isin(*REJECT)).alias("f"))
-    long = per.select(*keys, "e", "f", F.posexplode(F.arrays_zip("_taus", "_met")).alias("step", "x"))
-    return long.groupBy(*keys, "step").agg(F.max("x._taus").alias("tau"), _sum("e", c("x._met")).alias("exact"), _sum("f", c("x._met")).alias("fa"))
+    long = cube.select(*keys, "bucket", "label", "intent", "n", known.alias("_known"), ghost.alias("_ghost"), F.posexplode(F.arrays_zip(taus.alias("tau"), c(met).alias("met"))).alias("step", "x"))
+    hit = c("x.met")
+    per = long.where("_known").groupBy(*keys, "step").agg(F.max("x.tau").alias("tau"), _sum("n", hit & _right()).alias("exact"), _sum("n", hit & c("bucket").isin(*REJECT)).alias("fa"), *[_sum("n", hit & _right() & (c("label") == w)).alias(f"exact_{w}") for w in watched])
+    ghosts = long.groupBy("step").agg(_sum("n", hit & c("_ghost")).alias("ghost_fa"))
+    return per.join(ghosts, "step")
 
 
 def promotion(row: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions.scoring import accepted
 from ..operators import choose as K
 from ..operators import decide as D
 from ..operators import metrics as M
+from ..sources.kept import keep
 from .common import SCORES, Book, scores, table
 from .metric_plans import GRID, OK, OK_SQL, R_SQL, RIGHT, SLOT_OK, SWEEP_SQL, T_SQL, TARGET, wilson_sql
 
@@ -40,9 +41,9 @@ def clean_targets(p):
     return p.where((F.col("split") == "val") & (F.col("cond") == "clean") & TARGET())
 
 
-def thresholds(p, by=""):
-    parts = [D.calibrate(clean_targets(p), SCORERS, BASE, m, F.concat(F.lit(by) if isinstance(by, str) else by, F.lit(name + "|"))) for name, m in MARGINS.items()]
-    return parts[0].unionByName(parts[1])
+def thresholds(p):
+    cells = [c for name, m in MARGINS.items() for c in D.calibration_cells(SCORERS, BASE, m, f"{name}|")]
+    return D.calibrated(D.score_counts(clean_targets(p), cells))
 
 
 def config(name, margin):
@@ -52,18 +53,20 @@ def config(name, margin):
 B, CONFIGS = "baseline-fixed|gate", [f"{c}|{m}" for c in ("baseline-fixed", *D.ORDER) for m in MARGINS]
 
 
-def pilot_outcomes(p, names=CONFIGS):
-    """Outcomes of configs on validation and test rows."""
-    x = D.with_thresholds(p.where("split <> 'train'"), thresholds(p))
-    return D.outcomes(x, ["split", "cond"], {n: config(*n.split("|")) for n in names}, B)
+def raw_sums():
+    """Rows accepted by the score table, by the raw values, and close to the threshold."""
+    return {"seen": OK(), "raw": (F.col("k") % 10 != 9) & (F.col("value") <= 60), "near": F.abs(F.col("confidence") - BASE) < 0.0001}
+
+
+def pilot_cube(p, names=CONFIGS, taus=None, marks=None):
+    """The cube of configs over all rows, and their acceptances."""
+    x = D.with_thresholds(p, thresholds(p) if taus is None else taus)
+    return D.decision_cube(x, ["split", "cond"], {n: config(*n.split("|")) for n in names}, marks, raw_sums())
 
 
-def parity_ok(s):
-    """Whether rows accepted by the score table equal those counted from the raw values."""
-    o = s.groupBy("cond").agg(F.count_if(OK()).alias("n"))
-    want = s.groupBy("cond").agg(F.count_if((F.col("k") % 10 != 9) & (F.col("value") <= 60)).alias("n"))
-    near = s.groupBy("cond").agg(F.count_if(F.abs(F.col("confidence") - BASE) < 0.0001).alias("near"))
-    return D.parity(o, want, "cond", near).agg(F.coalesce(F.bool_and("ok"), F.lit(False)).alias("parity"))
+def pilot_outcomes(cube, ok):
+    """Outcomes of configs on validation and test rows."""
+    return D.outcomes(cube.where("split <> 'train'"), ["split", "cond"], ok, B)
 
 
 # the same in SQL: p (score rows), tau, a (rows by config and margin), m (counts), l (counts of labels)
@@ -130,18 +133,18 @@ cr AS (SELECT w.*, removed, added, parity, {crit} FROM w, sp, par WHERE split =
 g AS (SELECT *, CASE WHEN NOT parity THEN 'INVALID' WHEN noisy_b_fa < 4 THEN 'NO-GO' WHEN {failed} = '' THEN 'GO' ELSE 'NO-GO' END AS verdict, CASE WHEN NOT parity THEN 'parity_failed' WHEN noisy_b_fa < 4 THEN 'baseline_far_already_absorbed_by_margin' WHEN {failed} = '' THEN 'all_criteria_pass' ELSE 'criteria_failed:' || {failed} END AS reason FROM cr)"""
 
 
-def decision_row(out, s, chosen):
+def decision_row(out, cube, chosen):
     """The counts of DR1: test rows, baseline b against s, removed and added rows, parity."""
     row = D.condition_row(out.where("split = 'test'"), [], {"b": B, "s": chosen}, TIME_STOP)
     moved = D.config_metrics(out.where("split = 'test' AND cond = 'noisy'"), []).where(F.col("config") == chosen).agg(F.coalesce(F.max("lost"), F.lit(0)).alias("removed"), F.coalesce(F.max("won"), F.lit(0)).alias("added"))
-    return row.crossJoin(moved).crossJoin(parity_ok(s))
+    return row.crossJoin(moved).crossJoin(D.cube_parity(cube))
 
 
 @add("dr1_go_no_go", S + f", {_PILOT}, {_go(chr(39) + 'd2-global' + chr(39))} SELECT verdict, reason, r1, r2, r3, r4, r5, r6, r7 FROM g")
 def dr1(spark, d):
-    p = pilot(spark, d)
-    out = pilot_outcomes(p, [B, "d2-global|gate"])
-    return D.go_no_go(decision_row(out, p, "d2-global|gate"), D.label_rows(out.where("split = 'test'"), [], {"b": B, "s": "d2-global|gate"}))
+    cube, ok = pilot_cube(pilot(spark, d), [B, "d2-global|gate"])
+    out = pilot_outcomes(cube, ok)
+    return D.go_no_go(decision_row(out, cube, "d2-global|gate"), D.label_rows(out.where("split = 'test'"), [], {"b": B, "s": "d2-global|gate"}))
 
 
 @add("dr2_parity_block", S + f", o AS (SELECT source, count(*) FILTER ({OK_SQL}) AS n, count(*) FILTER (abs(confidence - 0.9) < 0.0001) AS near FROM scores GROUP BY 1), e AS (SELECT source, n + CASE source WHEN 'src1' THEN 1 WHEN 'src2' THEN 2 ELSE 0 END AS want FROM o) SELECT source, n = want AS exact, n = want OR (abs(n - want) = 1 AND near > 0) AS ok FROM o JOIN e USING (source)")
@@ -172,16 +175,16 @@ UNION ALL SELECT 'grid', concat(config, '|', margin, '|', split, '|', cond, '|',
 def dr3(spark, d):
     p = pilot(spark, d)
     taus = thresholds(p)
-    x = D.with_thresholds(p.where("split <> 'train'"), taus)
-    out = D.outcomes(x, ["split", "cond"], {n: config(*n.split("|")) for n in CONFIGS}, B)
+    cube, ok = pilot_cube(p, taus=taus)
+    out = pilot_outcomes(cube, ok)
     grid = D.config_metrics(out, ["split", "cond"], TIME_STOP)
     gated = F.regexp_extract("config", r"^(.*)\|gate$", 1)
     val_fa = grid.where("split = 'val'").groupBy(gated.alias("config")).agg(F.sum("fa").alias("fa")).where(F.col("config").isin(*D.ORDER))
     sel = D.select_config(val_fa, D.ORDER)
     named = out.crossJoin(sel.select(F.concat("config", F.lit("|gate")).alias("_sel"))).where((F.col("config") == B) | (F.col("config") == F.col("_sel"))).withColumn("config", F.when(F.col("config") == B, B).otherwise("s")).drop("_sel")
-    row = decision_row(named, p, "s")
+    row = decision_row(named, cube, "s")
     word = D.go_no_go(row, D.label_rows(named.where("split = 'test'"), [], {"b": B, "s": "s"}))
-    over = D.overlap(x.where("split = 'test'"), ["cond"], config("baseline-fixed", "none"), config("baseline-fixed", "gate"), {c: config(c, "none") for c in D.ORDER}).join(sel, "config")
+    over = D.overlap(cube.where("split = 'test'"), ["cond"], ok["baseline-fixed|none"], ok[B], {c: ok[f"{c}|none"] for c in D.ORDER}).join(sel, "config")
 
     def told(df, part, key, values):
         one = [F.struct(F.lit(part).alias("part"), F.concat_ws("|", *key, *([F.lit(n)] if n else [])).alias("key"), v.cast("double").alias("value")) for n, v in values.items()]
@@ -207,8 +210,7 @@ f AS (SELECT w.split, (SELECT config FROM sel) AS selected, noisy_s_fa <= noisy_
 SELECT split, selected, f1, f2, f3, failing = '' AS f4, failing, CASE WHEN (SELECT bool_and(f1 AND f2 AND f3 AND failing = '') FROM f) THEN 'FOLLOWUP-GO' ELSE 'FOLLOWUP-NO-GO' END AS verdict FROM f""",
 )
 def dr4(spark, d):
-    p = pilot(spark, d)
-    out = pilot_outcomes(p, [B, *[f"{c}|none" for c in D.FOLLOW_UP]])
+    out = pilot_outcomes(*pilot_cube(pilot(spark, d), [B, *[f"{c}|none" for c in D.FOLLOW_UP]]))
     val_fa = D.config_metrics(out.where("split = 'val'"), []).select(F.regexp_extract("config", r"^(.*)\|none$", 1).alias("config"), "fa")
     sel = D.select_config(val_fa, D.FOLLOW_UP)
     named = out.crossJoin(sel.withColumnRenamed("config", "selected")).where((F.col("config") == B) | (F.col("config") == F.concat("selected", F.lit("|none")))).withColumn("config", F.when(F.col("config") == B, "b").otherwise("s"))
@@ -219,6 +221,10 @@ def dr4(spark, d):
     return g.crossJoin(every).crossJoin(sel.withColumnRenamed("config", "selected")).select("split", "selected", "f1", "f2", "f3", "f4", F.array_join("failing", ",").alias("failing"), word)
 
 
+def gated_ok():
+    return accepted(F.col("intent"), F.col("confidence"), BASE) & (F.col("gap").isNull() | (F.col("gap") >= GATE))
+
+
 def halved(p):
     return p.withColumn("half", D.half_of(F.col("grp")))
 
@@ -226,11 +232,12 @@ def halved(p):
 def cross_fit_outcomes(p):
     """Outcomes of the baseline b, the relax-only hybrid s and the global control c: validation rows under thresholds of the other half, test rows under those of all validation rows."""
     h = halved(p)
-    halves = [D.calibrate(clean_targets(h), {"d2": "d2"}, BASE, None, F.concat(F.col("half").cast("string"), F.lit("|")))]
-    taus = halves[0].unionByName(D.calibrate(clean_targets(h), {"d2": "d2"}, BASE, None, "all|"))
+    cells = [c for by in (F.concat(F.col("half").cast("string"), F.lit("|")), "all|") for c in D.calibration_cells({"d2": "d2"}, BASE, None, by)]
+    taus = D.calibrated(D.score_counts(clean_targets(h), cells))
     place = F.when(F.col("split") == "val", F.concat((1 - F.col("half")).cast("string"), F.lit("|"))).otherwise("all|")
-    configs = {"b": accepted(F.col("intent"), F.col("confidence"), BASE) & (F.col("gap").isNull() | (F.col("gap") >= GATE)), "s": D.config_ok("d2-relax", SCORERS, BASE, None, place), "c": D.config_ok("d2-global", SCORERS, BASE, None, place)}
-    return D.outcomes(D.with_thresholds(h.where("split <> 'train'"), taus), ["split", "cond", "half"], configs, "b")
+    configs = {"b": gated_ok(), "s": D.config_ok("d2-relax", SCORERS, BASE, None, place), "c": D.config_ok("d2-global", SCORERS, BASE, None, place)}
+    cube, ok = D.decision_cube(D.with_thresholds(h.where("split <> 'train'"), taus), ["split", "cond", "half"], configs)
+    return D.outcomes(cube, ["split", "cond", "half"], ok, "b")
 
 
 _X_CFG = "cfg AS (SELECT * FROM (VALUES ('b', 'baseline', 'fixed', 'gate'), ('s', 'd2', 'relax', 'none'), ('c', 'd2', 'global', 'none')) v(config, scorer, mode, margin))"
@@ -274,7 +281,7 @@ SELECT unnest(['clean_exact', 'noisy_exact', 'noisy_babble_fa']) AS criterion, u
 )
 def dr7(spark, d):
     p = pilot(spark, d)
-    row = D.condition_row(pilot_outcomes(p, [B, "d2-global|gate"]).where("split = 'test'"), [], {"b": B, "s": "d2-global|gate"})
+    row = D.condition_row(pilot_outcomes(*pilot_cube(p, [B, "d2-global|gate"])).where("split = 'test'"), [], {"b": B, "s": "d2-global|gate"})
     babble = p.where("split = 'test' AND cond = 'noisy' AND bucket = 'babble'").agg(F.count(F.lit(1)).alias("scale"))
     return D.gate_a(row.crossJoin(babble))
 
@@ -353,9 +360,8 @@ def dr11(spark, d):
 _GHOST = "split = 'train' AND bucket = 'silence'"  # rows that stand for the ghost probe
 
 
-def ghost_counts(p, taus, base, new):
-    x = D.with_thresholds(p.where(_GHOST), taus)
-    return x.agg(F.count_if(base).alias("b"), F.count_if(new).alias("s"))
+def ghost_counts(cube, base, new):
+    return cube.where("ghost").agg(D._sum("n", base).alias("b"), D._sum("n", new).alias("s"))
 
 
 @add(
@@ -365,10 +371,9 @@ ll AS (SELECT split, cond, label, sum(n) FILTER ({_B_SIDE}) AS n, sum(exact) FIL
 c AS (SELECT coalesce(bool_and(sf <= bf) FILTER (split = 'test'), TRUE) AS fa_ok, coalesce(bool_and(se >= be), TRUE) AS exact_ok FROM mm) SELECT fa_ok, exact_ok, fails, fa_ok AND exact_ok AND fails = '' AS p1, s <= b AS p2 FROM c, f, gh""",
 )
 def dr12(spark, d):
-    p = pilot(spark, d)
     new = "d2-per_intent|none"
-    ghosts = ghost_counts(p, thresholds(p), config("baseline-fixed", "gate"), config("d2-per_intent", "none"))
-    return D.cell_gate(pilot_outcomes(p, [B, new]), B, new, ghosts)
+    cube, ok = pilot_cube(pilot(spark, d), [B, new], marks={"ghost": F.expr(_GHOST)})
+    return D.cell_gate(pilot_outcomes(cube, ok), B, new, ghost_counts(cube, ok[B], ok[new]))
 
 
 def _loosest(source, key=""):
@@ -381,11 +386,6 @@ ed AS (SELECT {k}max(coalesce(x, '-inf'::DOUBLE)) AS edge FROM (SELECT {', '.joi
 lo AS (SELECT {k}min(d2) AS tau FROM {source} JOIN ed {join} WHERE split = 'val' AND cond = 'clean' AND {T_SQL} AND d2 > edge {f'GROUP BY {key}' if key else ''})"""
 
 
-def budgets(p, keys):
-    ok = accepted(F.col("intent"), F.col("confidence"), BASE) & (F.col("gap").isNull() | (F.col("gap") >= GATE))
-    return p.groupBy(*keys, "cond").agg(F.count_if(F.col("bucket").isin(*D.REJECT) & ok).alias("budget"))
-
-
 @add(
     "dr13_threshold_stability",
     R + f""", {_P}, {_HALF}, hp AS (SELECT p.*, half FROM p JOIN halves USING (grp)), {_loosest('hp', 'half')}, x AS (SELECT v.*, {OK_SQL} AND (gap IS NULL OR gap >= 4) AS bok, coalesce(intent IS NOT NULL AND d2 >= tau, FALSE) AS sok FROM hp v LEFT JOIN lo ON lo.half = 1 - v.half WHERE split = 'val'),
@@ -394,11 +394,11 @@ t AS (SELECT max(tau) FILTER (half = 0) AS tau0, max(tau) FILTER (half = 1) AS t
 )
 def dr13(spark, d):
     v = halved(pilot(spark, d)).where("split = 'val'")
-    taus = D.budget_tau(v, "d2", budgets(v, ["half"]), ["half"])
+    counts = D.score_counts(v, D.budget_cells("d2", gated_ok(), F.col("half").cast("string"), F.lit(True)))
+    taus = keep(D.budget_tau(counts).select(F.col("key").cast("int").alias("half"), "tau"), "thresholds")
     x = v.join(taus.select((1 - F.col("half")).alias("half"), "tau"), "half", "left")
-    ok = accepted(F.col("intent"), F.col("confidence"), BASE) & (F.col("gap").isNull() | (F.col("gap") >= GATE))
-    out = D.outcomes(x, ["half", "cond"], {"b": ok, "s": accepted(F.col("intent"), F.col("d2"), F.col("tau"))}, "b")
-    return D.stability(out, taus)
+    cube, ok = D.decision_cube(x, ["half", "cond"], {"b": gated_ok(), "s": accepted(F.col("intent"), F.col("d2"), F.col("tau"))})
+    return D.stability(D.outcomes(cube, ["half", "cond"], ok, "b"), taus)
 
 
 @add(
@@ -406,24 +406,27 @@ def dr13(spark, d):
     S + f""", {_P}, {_tau('tau', 'p')}, {_loosest('p')}, tt AS (SELECT (SELECT tau FROM lo) AS hi, (SELECT tau FROM tau WHERE scorer = 'd2' AND margin = 'none' AND place = '*') AS iso), st AS (SELECT i AS step, CASE WHEN i = 8 THEN hi ELSE iso + (hi - 0.3::DOUBLE - iso) * i / 7 END AS tau FROM tt, range(9) r(i)),
 y AS (SELECT p.*, {OK_SQL} AND (gap IS NULL OR gap >= 4) AS bok, coalesce(intent IS NOT NULL AND d2 >= hi, FALSE) AS sok FROM p, tt), w AS (SELECT split, cond, count(*) FILTER ({T_SQL} AND {R_SQL} AND bok) AS be, count(*) FILTER ({T_SQL} AND {R_SQL} AND sok) AS se, count(*) FILTER ({_REJ} AND bok) AS bf, count(*) FILTER ({_REJ} AND sok) AS sf FROM y WHERE split <> 'train' GROUP BY ALL),
 lb AS (SELECT split, label, count(*) FILTER (cond = 'clean') AS n, count(*) FILTER (cond = 'clean' AND {R_SQL} AND bok) AS bc, count(*) FILTER (cond = 'clean' AND {R_SQL} AND sok) AS sc, count(*) FILTER (cond = 'noisy' AND {R_SQL} AND bok) AS bn, count(*) FILTER (cond = 'noisy' AND {R_SQL} AND sok) AS sn FROM y WHERE split <> 'train' AND {T_SQL} GROUP BY ALL),
-gh AS (SELECT count(*) FILTER (bok) AS b, count(*) FILTER (sok) AS s FROM y WHERE {_GHOST}), ru AS (SELECT (SELECT coalesce(bool_and(sf <= bf), TRUE) FROM w WHERE split = 'test') AS l1, (SELECT s <= b FROM gh) AS l2, (SELECT coalesce(bool_and(se >= be), TRUE) FROM w) AS l3, coalesce((SELECT string_agg(DISTINCT label, ',' ORDER BY label) FROM lb WHERE n >= 50 AND NOT (100 * (sc - bc) >= -3 * n AND 100 * (sn - bn) >= -3 * n)), '') AS failing),
-cu AS (SELECT split, cond, step, any_value(st.tau) AS tau, count(*) FILTER ({T_SQL} AND {R_SQL} AND d2 >= st.tau) AS exact, count(*) FILTER ({_REJ} AND d2 >= st.tau) AS fa FROM p, st WHERE split <> 'train' AND intent IS NOT NULL AND d2 IS NOT NULL GROUP BY ALL)
-SELECT split, cond, step::INT AS step, round(tau, 9) AS tau, exact, fa, l1, l2, l3, failing = '' AS l4, failing, CASE WHEN l1 AND l2 AND l3 AND failing = '' THEN 'PASS' ELSE 'FAIL' END AS verdict FROM cu, ru""",
+gh AS (SELECT count(*) FILTER (bok) AS b, count(*) FILTER (sok) AS s FROM y WHERE {_GHOST}), ru AS (SELECT (SELECT coalesce(bool_and(sf <= bf), TRUE) FROM w WHERE split = 'test') AS l1, (SELECT s <= b FROM gh) AS l2, (SELECT coalesce(bool_and(se >= be), TRUE) FROM w) AS l3, coalesce((SELECT string_agg(place, ',' ORDER BY place) FROM (SELECT concat(label, '@', split, '/clean') AS place FROM lb WHERE n >= 50 AND 100 * (sc - bc) < -3 * n UNION ALL SELECT concat(label, '@', split, '/noisy') FROM lb WHERE n >= 50 AND 100 * (sn - bn) < -3 * n)), '') AS failing),
+cu AS (SELECT split, cond, step, any_value(st.tau) AS tau, count(*) FILTER ({T_SQL} AND {R_SQL} AND d2 >= st.tau) AS exact, count(*) FILTER ({_REJ} AND intent IS NOT NULL AND d2 >= st.tau) AS fa, {', '.join(f"count(*) FILTER ({T_SQL} AND {R_SQL} AND label = '{w}' AND d2 >= st.tau) AS exact_{w}" for w in TIME_STOP)} FROM p, st WHERE split <> 'train' GROUP BY ALL),
+cg AS (SELECT step, count(*) FILTER (intent IS NOT NULL AND d2 >= st.tau AND {_REJ}) AS ghost_fa FROM p, st WHERE {_GHOST} GROUP BY ALL)
+SELECT split, cond, step::INT AS step, round(tau, 9) AS tau, exact, fa, {', '.join(f'exact_{w}' for w in TIME_STOP)}, ghost_fa, l1, l2, l3, failing = '' AS l4, failing, CASE WHEN l1 AND l2 AND l3 AND failing = '' THEN 'PASS' ELSE 'FAIL' END AS verdict FROM cu JOIN cg USING (step), ru""",
 )
 def dr14(spark, d):
     p = pilot(spark, d)
-    v = p.where("split = 'val'")
-    high = D.budget_tau(v, "d2", budgets(v, []), []).withColumnRenamed("tau", "high")
-    iso = thresholds(p).where("at = 'none|d2|*'").agg(F.max("tau").alias("low"))
-    x = p.crossJoin(high).crossJoin(iso)
-    base = accepted(F.col("intent"), F.col("confidence"), BASE) & (F.col("gap").isNull() | (F.col("gap") >= GATE))
-    new = accepted(F.col("intent"), F.col("d2"), F.col("high"))
-    known = x.where("split <> 'train'")
-    out = D.outcomes(known, ["split", "cond"], {"b": base, "s": new}, "b")
+    val = F.col("split") == "val"
+    iso = D.calibration_cells({"d2": "d2"}, BASE, None, "iso|", val & (F.col("cond") == "clean") & TARGET())
+    counts = D.score_counts(p, [*iso[:1], *D.budget_cells("d2", gated_ok(), F.lit("*"), val)])
+    low = D.calibrated(counts.where("every")).agg(F.max("tau").alias("low"))
+    ends = keep(D.budget_tau(counts.where("NOT every")).agg(F.max("tau").alias("high")).crossJoin(low), "thresholds")
+    x = p.crossJoin(ends).withColumn("taus", D.curve_taus(F.col("low"), F.col("high")))
+    scored = F.col("intent").isNotNull() & F.col("d2").isNotNull()
+    met = F.transform("taus", lambda t: F.coalesce(scored & (F.col("d2") >= t), F.lit(False)))
+    cube, ok = D.decision_cube(x, ["split", "cond"], {"b": gated_ok(), "s": accepted(F.col("intent"), F.col("d2"), F.col("high"))}, {"ghost": F.expr(_GHOST), "met": met, "taus": F.col("taus")})
+    known = cube.where("split <> 'train'")
+    out = D.outcomes(known, ["split", "cond"], ok, "b")
     sides = {"b": "b", "s": "s"}
-    ghosts = x.where(_GHOST).agg(F.count_if(base).alias("b"), F.count_if(new).alias("s"))
-    rules = D.loosening(D.condition_row(out, ["split"], sides), D.label_rows(out, ["split"], sides), ghosts)
-    curve = D.loosening_curve(known, ["split", "cond"], "d2", F.col("low"), F.col("high"))
+    rules = D.loosening(D.condition_row(out, ["split"], sides), D.label_rows(out, ["split"], sides), ghost_counts(cube, ok["b"], ok["s"]))
+    curve = D.loosening_curve(cube, ["split", "cond"], F.col("taus"), "met", F.col("split") != "train", F.col("ghost"), TIME_STOP)
     return curve.withColumn("tau", F.round("tau", 9)).crossJoin(rules)
 
 
