@@ -1,23 +1,30 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Rows are numbered and written once, so that every row is known whatever its
-id: a query row's candidates are all rows but itself, rows that repeat its id
-or its vector among them. Coarse centroids and residual codebooks are fitted
-on a hash sample of about `train_rows` vectors (a documented bound); every
-vector is then indexed by its list and residual codes. There are about half
-the root of n lists; a query probes a number of lists that grows with the
-root of theirs, and more until they hold `rerank` vectors. Lists are cut into
-parts of at most `part_rows` vectors by a hash of the row number, so a list
-that holds a third of all vectors is many tasks. Each part returns its best
-`rerank` by asymmetric distance tables; the best of all parts are measured
-exactly on the original vectors.
+Equal vectors are one class, which is indexed, asked and measured once
+whatever its number of rows: of its rows only the k + 1 of smallest vec_id can
+be among anyone's k nearest, and a query row leaves itself out at the end. So
+a vector that a third of all rows hold is one entry. Classes are known by 128
+bits of hash of the vector.
+
+Coarse centroids and residual codebooks are fitted on a hash sample of about
+`train_rows` vectors (a documented bound); every class is then indexed by its
+list and residual codes. There are about half the root of n lists, at most
+4,096; a list of more than `part_rows` classes is divided by second-level
+centroids, fitted on a hash sample of at most `list_sample` of its classes for
+each of them, so that cells stay of one size while their number grows with n.
+A query probes a number of lists that grows with the root of theirs, and of
+their cells the nearest ones, two and a half times as many as lists, and more
+until they hold `rerank` classes. Queries of a cell are dealt in chunks of
+`chunk` to as many copies of the cell's codes. Each returns its best `rerank`
+by asymmetric distance tables; the best of all are measured exactly on the
+original vectors.
 
 Defined cases: vectors that are null, zero, of another size than the most
 frequent one, or hold null or non-finite components take no part, as query or
-candidate, nor do rows without an id; ties go to the smaller vec_id; rows that
-repeat a vec_id are candidates and queries each; fewer candidates than k give
-them all; an empty table gives no rows; other columns are left out, so their
-names never clash.
+candidate; rows without an id are candidates like others; ties go to the
+smaller vec_id, none at all last; rows that repeat a vec_id are candidates and
+queries each; fewer candidates than k give them all; an empty table gives no
+rows; other columns are left out, so their names never clash.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import drop, keep
 
 
 @dataclass(frozen=True)
@@ -38,6 +45,17 @@ class Model:
     coarse: np.ndarray  # lists x dims
     books: np.ndarray  # parts x codes x dims of a part
 
+    @property
+    def parts(self) -> int:
+        return len(self.books)
+
+
+@dataclass(frozen=True)
+class Cells:
+    centres: np.ndarray  # cells x dims: second-level centroids, or the list's own where it isn't divided
+    first: np.ndarray  # of each list its first cell, and the number of cells at the end
+    sizes: np.ndarray  # classes of each cell
+
 
 def usable(v: Column) -> Column:
     d = lambda x: x.cast("double")
@@ -90,78 +108,159 @@ def probes_of(lists: int, breadth: float) -> int:
     return min(lists, max(16, int(np.ceil(breadth * np.sqrt(lists)))))
 
 
-def search(table: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", rerank: int = 100, breadth: float = 2.5, part_rows: int = 20_000, train_rows: int = 20_000, seed: int = 9) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each query row."""
-    out = "query_id long, rank int, vec_id long, score double"
-    spark = table.sparkSession
-    sound = table.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sizes = sound.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    if sizes is None:
-        return spark.createDataFrame([], out)
-    dims, n = sizes["d"], sizes["n"]
-    vectors = keep(sound.where(F.size("v") == dims).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    parts = next(p for p in (16, 8, 4, 2, 1) if dims % p == 0)
-    lists = int(np.clip(np.sqrt(n) / 2, 1, 4096))
-    model = fit(vectors.select("row", "v"), n, lists, parts, 256, train_rows, seed)
-    probes = probes_of(len(model.coarse), breadth)
+def classes_of(vectors: DataFrame, k: int) -> DataFrame:
+    """cls, k1, k2, v, members: equal vectors, and of their rows (vec_id, row) the k + 1 first. Windows of that size are cut before the shuffle."""
+    same = Window.partitionBy("k1", "k2").orderBy(F.col("vec_id").asc_nulls_last(), "row")
+    some = vectors.select("k1", "k2", "row", "vec_id", "v").withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
+    met = some.groupBy("k1", "k2").agg(F.min_by("row", "r").alias("cls"), F.min_by("v", "r").alias("v"), F.array_sort(F.collect_list(F.struct("r", "vec_id", "row"))).alias("members"))
+    return met.select("cls", "k1", "k2", "v", F.transform("members", lambda m: F.struct(m["vec_id"].alias("vec_id"), m["row"].alias("row"))).alias("members"))
+
+
+def divide(listed: DataFrame, model: Model, per_list: np.ndarray, part_rows: int, list_sample: int, seed: int) -> list[np.ndarray]:
+    """Of each list the second-level centroids, its own centroid where it is small. listed: cls, v, list."""
+    wanted = np.maximum(1, -(-per_list // part_rows))
+    centres = [model.coarse[i : i + 1] for i in range(len(wanted))]
+    large = np.flatnonzero(wanted > 1)
+    if not len(large):
+        return centres
+    share = {int(i): int(min(1.0, list_sample * wanted[i] / per_list[i]) * (1 << 62)) for i in large}
+    bound = F.create_map(*[x for i, s in share.items() for x in (F.lit(i), F.lit(s))])
+    sample = listed.where(F.col("list").isin(*share) & (F.pmod(F.xxhash64(F.lit(seed + 1), "cls"), F.lit(1 << 62)) <= F.try_element_at(bound, F.col("list"))))
+
+    def train(group: pa.Table) -> pa.Table:
+        i = group["list"][0].as_py()
+        c = kmeans(matrix(group.sort_by("cls")["v"]), int(wanted[i]), 6, np.random.default_rng([seed, i]))
+        return pa.table({"list": pa.array([i], pa.int32()), "c": pa.array([c.tobytes()], pa.binary())})
+
+    for r in sample.select("cls", "v", "list").groupBy("list").applyInArrow(train, "list int, c binary").toLocalIterator():  # n / part_rows centroids in all
+        centres[r["list"]] = np.frombuffer(r["c"]).reshape(-1, model.coarse.shape[1])
+    return centres
+
+
+def encode(classes: DataFrame, model: Model, centres: list[np.ndarray]) -> DataFrame:
+    """cls, cell and residual code of each class."""
+    first = np.concatenate([[0], np.cumsum([len(c) for c in centres])])
 
     def code(batches):
         for batch in batches:
-            x = matrix(batch.column(2))
+            x = matrix(batch.column(1))
             own = nearest(x, model.coarse) if len(x) else np.zeros(0, np.int64)
+            cell = first[own]
+            for i in set(own[[len(centres[j]) > 1 for j in own.tolist()]].tolist()) if len(x) else ():
+                mine = np.flatnonzero(own == i)
+                cell[mine] += nearest(x[mine], centres[i])
             rest = x - model.coarse[own] if len(x) else x
-            codes = np.stack([nearest(p, b) for p, b in zip(np.split(rest, parts, axis=1), model.books, strict=True)], axis=1).astype(np.uint8) if len(x) else np.zeros((0, parts), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["row", "vec_id", "list", "code"])
+            codes = np.stack([nearest(p, b) for p, b in zip(np.split(rest, model.parts, axis=1), model.books, strict=True)], axis=1).astype(np.uint8) if len(x) else np.zeros((0, model.parts), np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["cls", "cell", "code"])
+
+    return classes.select("cls", "v").mapInArrow(code, "cls long, cell int, code binary")
+
+
+def counted(df: DataFrame, by: str, many: int) -> np.ndarray:
+    """Rows of each number below `many`: one number a cell or list on the driver."""
+    out = np.zeros(many, np.int64)
+    for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect():
+        out[r[by]] = r["n"]
+    return out
+
 
-    index = keep(vectors.select("row", "vec_id", "v").mapInArrow(code, "row long, vec_id long, list int, code binary"), "index")
-    held = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number a list
-    per_list = np.array([held.get(i, 0) for i in range(len(model.coarse))])
-    cuts = np.maximum(1, -(-per_list // part_rows))
+def probed(asked: DataFrame, model: Model, cells: Cells, probes: int, rerank: int) -> DataFrame:
+    """cell, query, v: the cells that each asked class looks into. asked: cls, v."""
 
     def probe(batches):
         for batch in batches:
-            x = matrix(batch.column(1))
-            rows = {"list": [], "part": [], "query": [], "v": []}
-            for q, v in zip(batch.column(0).to_pylist(), x, strict=True):
+            rows = {"cell": [], "query": [], "v": []}
+            for q, v in zip(batch.column(0).to_pylist(), matrix(batch.column(1)), strict=True):
                 order = np.argsort(((model.coarse - v) ** 2).sum(1), kind="stable")
-                enough = int(np.searchsorted(np.cumsum(per_list[order]), rerank + 1)) + 1
-                for i in order[: max(probes, enough)].tolist():
-                    for part in range(int(cuts[i])):
-                        for name, value in zip(rows, (i, part, q, v.tobytes()), strict=True):
-                            rows[name].append(value)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("list", pa.int32()), ("part", pa.int32()), ("query", pa.int64()), ("v", pa.binary())]))
+                held = np.add.reduceat(cells.sizes, cells.first[:-1])[order]
+                lists = order[: max(probes, int(np.searchsorted(np.cumsum(held), rerank + 1)) + 1)]
+                mine = np.concatenate([np.arange(cells.first[i], cells.first[i + 1]) for i in lists.tolist()])
+                if len(mine) > len(lists):
+                    mine = mine[np.argsort(((cells.centres[mine] - v) ** 2).sum(1), kind="stable")]
+                    enough = int(np.searchsorted(np.cumsum(cells.sizes[mine]), rerank + 1)) + 1
+                    mine = mine[: max(int(2.5 * len(lists)), enough)]
+                for c in mine[cells.sizes[mine] > 0].tolist():
+                    for name, value in zip(rows, (c, q, v.tobytes()), strict=True):
+                        rows[name].append(value)
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("cell", pa.int32()), ("query", pa.int64()), ("v", pa.binary())]))
+
+    return asked.select("cls", "v").mapInArrow(probe, "cell int, query long, v binary")
 
-    asked = vectors.where("q").select("row", "v").mapInArrow(probe, "list int, part int, query long, v binary")
-    many = F.array(*[F.lit(int(c)) for c in cuts])
-    parted = index.withColumn("part", F.pmod(F.xxhash64("row"), F.get(many, F.col("list")).cast("long")).cast("int"))
+
+def scanned(index: DataFrame, wanted: DataFrame, model: Model, cells: Cells, rerank: int, chunk: int) -> DataFrame:
+    """query, cls, near: of each cell that a query looks into the best `rerank` classes by asymmetric distance."""
+    of = np.repeat(np.arange(len(cells.first) - 1), np.diff(cells.first))  # the list of a cell
 
     def scan(codes: pa.Table, queries: pa.Table) -> pa.Table:
-        found = {"query": [], "row": [], "vec_id": [], "near": []}
+        found = {"query": [], "cls": [], "near": []}
         if len(codes) and len(queries):
-            rows, ids = codes["row"].to_numpy(), codes["vec_id"].to_numpy()
-            c = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), parts)
-            centre = model.coarse[codes["list"][0].as_py()]
+            ids = codes["cls"].to_numpy()
+            c = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(len(ids), model.parts)
+            centre = model.coarse[of[codes["cell"][0].as_py()]]
             for q, v in zip(queries["query"].to_pylist(), queries["v"].to_pylist(), strict=True):
-                rest = (np.frombuffer(v) - centre).reshape(parts, 1, -1)
+                rest = (np.frombuffer(v) - centre).reshape(model.parts, 1, -1)
                 tables = ((model.books - rest) ** 2).sum(2)
-                near = tables[np.arange(parts), c].sum(1)
-                other = np.flatnonzero(rows != q)
-                if len(other) > rerank:
-                    limit = np.partition(near[other], rerank - 1)[rerank - 1]
-                    other = other[near[other] <= limit]
-                other = other[np.lexsort((rows[other], ids[other], near[other]))][:rerank]
-                for name, value in zip(found, (np.full(len(other), q, np.int64), rows[other], ids[other], near[other]), strict=True):
+                near = tables[np.arange(model.parts), c].sum(1)
+                some = np.arange(len(ids))
+                if len(some) > rerank:
+                    some = some[near <= np.partition(near, rerank - 1)[rerank - 1]]
+                some = some[np.lexsort((ids[some], near[some]))][:rerank]
+                for name, value in zip(found, (np.full(len(some), q, np.int64), ids[some], near[some]), strict=True):
                     found[name].append(value)
         empty = {name: np.zeros(0, np.float64 if name == "near" else np.int64) for name in found}
         return pa.table({name: np.concatenate(v) if v else empty[name] for name, v in found.items()})
 
-    near = parted.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(scan, "query long, row long, vec_id long, near double")
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("near", "vec_id", "row"))).where(F.col("r") <= rerank)
+    chunks = np.maximum(1, -(-counted(wanted, "cell", len(of)) // chunk))
+    many = {int(i): int(chunks[i]) for i in np.flatnonzero(chunks > 1)}
+    copies = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("cell")), F.lit(1)) if many else F.lit(1)
+    left = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), copies - 1)))
+    right = wanted.withColumn("chunk", F.pmod(F.xxhash64("query"), copies.cast("long")).cast("int"))
+    return left.groupBy("cell", "chunk").cogroup(right.groupBy("cell", "chunk")).applyInArrow(scan, "query long, cls long, near double")
+
+
+def search(
+    table: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", rerank: int = 100, breadth: float = 2.5,
+    part_rows: int = 20_000, train_rows: int = 20_000, list_sample: int = 64, chunk: int = 4096, seed: int = 9,
+) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows found for each query row."""
+    out = "query_id long, rank int, vec_id long, score double"
+    spark = table.sparkSession
+    sound = table.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(usable(F.col("v")))
+    sizes = sound.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    if sizes is None:
+        return spark.createDataFrame([], out)
+    dims = sizes["d"]
+    whole = F.transform("v", lambda x: x.cast("double") + F.lit(0.0))  # one zero
+    vectors = keep(sound.where(F.size("v") == dims).withColumns({"row": F.monotonically_increasing_id(), "k1": F.xxhash64(whole), "k2": F.xxhash64(F.lit(seed), whole)}), "vectors")
+    classes = keep(classes_of(vectors, k), "classes")
+    n = classes.count()
+    parts = next(p for p in (16, 8, 4, 2, 1) if dims % p == 0)
+    lists = int(np.clip(np.sqrt(n) / 2, 1, 4096))
+    model = fit(classes.select(F.col("cls").alias("row"), "v"), n, lists, parts, 256, train_rows, seed)
+    whole_lists = [model.coarse[i : i + 1] for i in range(len(model.coarse))]
+    index = keep(encode(classes, model, whole_lists), "index")
+    per_list = counted(index, "cell", len(whole_lists))
+    centres = whole_lists
+    if per_list.max() > part_rows:
+        listed = classes.select("cls", "v").join(index.select("cls", F.col("cell").alias("list")), "cls")
+        centres, coarse_index = divide(listed, model, per_list, part_rows, list_sample, seed), index
+        index = keep(encode(classes, model, centres), "cells")
+        drop(coarse_index)
+    first = np.concatenate([[0], np.cumsum([len(c) for c in centres])])
+    cells = Cells(np.concatenate(centres), first, counted(index, "cell", int(first[-1])))
+    queries = vectors.where("q").select("row", F.col("vec_id").alias("query_id"), "k1", "k2")
+    asked = classes.join(queries.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("cls", "k1", "k2", "v")
+    wanted = keep(probed(asked, model, cells, probes_of(len(model.coarse), breadth), rerank), "probes")
+    near = scanned(index, wanted, model, cells, rerank, chunk)
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("near", "cls"))).where(F.col("r") <= rerank)
     square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    queries = vectors.where("q").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    exact = best.select("query", "row", "vec_id").join(queries, "query").join(vectors.select("row", "v"), "row").select("query", "query_id", "row", "vec_id", F.sqrt(square(F.col("qv"), F.col("v"))).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id", "row"))
-    return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    mine = asked.select(F.col("cls").alias("query"), "k1", "k2", F.col("v").alias("qv"))
+    exact = best.select("query", "cls").join(mine, "query").join(classes.select("cls", "v", "members"), "cls").select("k1", "k2", F.sqrt(square(F.col("qv"), F.col("v"))).alias("score"), F.explode("members").alias("m"))
+    rank = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("score", F.col("m.vec_id").asc_nulls_last(), "m.row"))
+    first_rows = exact.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("r", "score", "m"))).alias("near"))
+    # every query row of a class takes the class's list without itself
+    found = queries.join(first_rows, ["k1", "k2"]).select("query_id", F.slice(F.filter("near", lambda x: x["m"]["row"] != F.col("row")), 1, k).alias("near"))
+    return found.select("query_id", F.posexplode("near").alias("i", "x")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.m.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def op8_ann(spark, sf_dir):
