@@ -158,6 +158,16 @@ def test_shards_of_equal_rows(spark):
     assert len({r.bucket for r in got}) > 1
 
 
+def test_buckets_of_a_hot_shard(spark):
+    """A third of all rows share one id and so a shard: its buckets keep to the bound as others do."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 512), F.lit(" " * 72)).alias("text")).repartition(8)
+    got = sharding.external_shuffle(rows, bucket_bytes=20_000)
+    sizes = [r.b for r in got.groupBy("bucket").agg(F.sum("size").alias("b")).collect()]
+    assert max(sizes) < 2 * 20_000 and sum(sizes) == 3000 * 208
+    for r in got.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("a"), F.max("slot").alias("z"), F.count_distinct("slot").alias("d")).collect():
+        assert (r.a, r.z, r.d) == (0, r.n - 1, r.n)
+
+
 def test_neighbours_of_repeated_ids(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (1, [0.5, 0.5]), (0, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"row": F.lit(1), "list": F.lit("x"), "v": F.lit(2)})

@@ -5,8 +5,10 @@ the shard is a consistent-hash function of doc_id and the shard count alone
 (law `key`: with one more shard, records move only into the new one), the
 bucket within the shard a second hash, of doc_id, text and the number of the
 task that read the record. Pass two
-Fisher-Yates-shuffles each bucket in one task and writes it; buckets are
-sized by `bucket_bytes`, so a task's memory does not grow with the input.
+Fisher-Yates-shuffles each bucket in one task and writes it. The bytes of each
+shard are counted first and give its number of buckets of `bucket_bytes`, so a
+task's memory grows neither with the input nor with a shard that many rows of
+one key make hot.
 
 Defined cases: a null text has no bytes (size 8, crc32 of nothing is 0) and a
 null doc_id is hashed as -1; copies of a text under different ids scatter like
@@ -54,11 +56,13 @@ def external_shuffle(docs: DataFrame, shards: int = 24, seed: int = 17, bucket_b
             "grown_shard": rendezvous(k, shards + 1, seed),
         }
     )
-    total = docs.agg(F.sum(F.octet_length(F.col(text)) + 64)).first()[0] or 0
-    per_shard = max(1, math.ceil(total / shards / bucket_bytes))
+    held = {r["shard"]: r["b"] for r in sized.groupBy("shard").agg(F.sum(F.col("size") + 56).alias("b")).collect()}  # a number for each shard
+    many = [max(1, math.ceil(held.get(s, 0) / bucket_bytes)) for s in range(shards)]
+    first = [sum(many[:s]) for s in range(shards)]
+    of = lambda numbers: F.get(F.array(*map(F.lit, numbers)), F.col("shard")).cast("long")
     # equal rows of different tasks part ways too, so that no number of them is one bucket
-    scatter = F.pmod(F.xxhash64(F.lit(seed + 1), k, F.col(text), F.spark_partition_id()), F.lit(per_shard))
-    scattered = sized.withColumn("bucket", F.col("shard").cast("long") * per_shard + scatter)
+    scatter = F.pmod(F.xxhash64(F.lit(seed + 1), k, F.col(text), F.spark_partition_id()), of(many))
+    scattered = sized.withColumn("bucket", of(first) + scatter)
     schema = scattered.withColumn("place", F.lit(0).cast("long")).schema
 
     def mix(bucket: pa.Table) -> pa.Table:
