@@ -41,8 +41,10 @@ def clean_targets(p):
     return p.where((F.col("split") == "val") & (F.col("cond") == "clean") & TARGET())
 
 
-def thresholds(p):
-    cells = [c for name, m in MARGINS.items() for c in D.calibration_cells(SCORERS, BASE, m, f"{name}|")]
+def thresholds(p, names=None):
+    """Thresholds of the scorers and margins that the configs use; of all of them without names."""
+    used = [(c, m) for c in SCORERS for m in MARGINS if names is None or any(n.startswith(f"{c}-") and n.endswith(f"|{m}") and "-fixed" not in n for n in names)]
+    cells = [c for s, m in used for c in D.calibration_cells({s: SCORERS[s]}, BASE, MARGINS[m], f"{m}|")]
     return D.calibrated(D.score_counts(clean_targets(p), cells))
 
 
@@ -60,7 +62,7 @@ def raw_sums():
 
 def pilot_cube(p, names=CONFIGS, taus=None, marks=None):
     """The cube of configs over all rows, and their acceptances."""
-    x = D.with_thresholds(p, thresholds(p) if taus is None else taus)
+    x = D.with_thresholds(p, thresholds(p, names) if taus is None else taus)
     return D.decision_cube(x, ["split", "cond"], {n: config(*n.split("|")) for n in names}, marks, raw_sums())
 
 
