@@ -191,7 +191,6 @@ def trial_events(events: DataFrame, trials: DataFrame, key: str, at: str, lead:
 
     early = trials.withColumn("_from", F.col("start") - lead)
     inside = assign_interval(events, early, key, at, "_from", "end", ["trial", "start"])
-    r = F.row_number().over(Window.partitionBy(key, "trial").orderBy(at, "id"))
-    first = inside.withColumn("_r", r)
+    first = inside.groupBy(key, "trial").agg(F.min(F.struct(F.col(at).alias("t"), "id", "start")).alias("_f"))
     stray = events.join(inside.select("id"), "id", "left_anti").select(key, "id", F.lit(None).cast("long").alias("trial"), F.lit(None).cast("long").alias("latency"))
-    return first.where("_r = 1").select(key, "id", "trial", (F.col(at) - F.col("start")).alias("latency")).unionByName(stray)
+    return first.select(key, F.col("_f.id").alias("id"), "trial", (F.col("_f.t") - F.col("_f.start")).alias("latency")).unionByName(stray)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import accepted, count_where, margin_ok, ratio, ratio0, wilson
-from .ranks import running, with_span_slot
+from .ranks import at_ranks, running, with_span_slot
 
 
 def N(name: str) -> Column:
@@ -198,11 +198,9 @@ def latency(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, by: str, value: str, p: float) -> DataFrame:
-    """AG33: the value at sorted place round(p * (n - 1)), halves to even; ranks are counted over distinct values, so no group is gathered."""
-    per = df.groupBy(by, value).agg(N("_n"))
-    w = Window.partitionBy(by).orderBy(value)
-    c = per.withColumn("_c", F.sum("_n").over(w)).withColumn("_t", F.sum("_n").over(Window.partitionBy(by)))
-    return c.where(F.col("_c") > F.bround(p * (F.col("_t") - 1))).groupBy(by).agg(F.min(value).alias("value"))
+    """AG33: the value at sorted place round(p * (n - 1)), halves to even; nulls don't count. Found by selection, so no group is gathered or sorted."""
+    want = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.bround(p * (F.count(F.lit(1)) - 1)).cast("long").alias("rank"))
+    return at_ranks(df, by, value, want).select(by, value)
 
 
 def concentration(df: DataFrame, by: str, group: str) -> DataFrame:
@@ -251,11 +249,12 @@ def overlap_audit(a: DataFrame, b: DataFrame, group: str, split: str) -> DataFra
 
 
 def loudest_level(df: DataFrame, by: str, power: str, share: float = 0.1) -> DataFrame:
-    """AG42: mean power of the loudest share of frames, in dB."""
-    w = Window.partitionBy(by).orderBy(F.col(power).desc())
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    top = df.withColumn("_r", F.row_number().over(w)).withColumn("_k", F.greatest(F.floor(n * share), F.lit(1))).where("_r <= _k")
-    return top.groupBy(by).agg((10 * F.log10(F.avg(power))).alias("db"))
+    """AG42: mean power of the loudest share of frames, in dB: the least power among them is selected, larger ones are summed, and it fills up the rest."""
+    sizes = df.where(F.col(power).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.greatest(F.floor(F.col("_n") * share), F.lit(1)))
+    edge = at_ranks(df, by, power, sizes.select(by, (F.col("_n") - F.col("_k")).alias("rank"))).select(F.struct(by).alias("_in"), F.col(power).alias("_edge"))
+    over = df.join(edge, F.struct(by) == F.col("_in")).groupBy(by, "_edge").agg(F.count_if(F.col(power) > F.col("_edge")).alias("_m"), F.coalesce(F.sum(F.when(F.col(power) > F.col("_edge"), F.col(power))), F.lit(0.0)).alias("_s"))
+    x = over.join(sizes.select(F.struct(by).alias("_in"), "_k"), F.struct(by) == F.col("_in"))
+    return x.select(by, (10 * F.log10((F.col("_s") + (F.col("_k") - F.col("_m")) * F.col("_edge")) / F.col("_k"))).alias("db"))
 
 
 def log_counts(lines: DataFrame, file: str, line: str, patterns: dict[str, str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seeding import number
+from ..sources.kept import keep
 
 #: Slots of a stratum.
 SLOTS = 1 << 16
@@ -56,3 +57,38 @@ def ranked(df: DataFrame, by: list[str], digest: Column, out: str = "_r", upto:
 def ranked_by_number(df: DataFrame, by: list[str], value: str, out: str = "_r") -> DataFrame:
     """df with the row's rank from 0 within its stratum, in order of a number."""
     return running(with_span_slot(df, by, value), by, [F.col(value)], "_slot", {out: F.lit(1)}).drop("_slot")
+
+
+#: Values that one task sorts; above it a wanted slot is divided again.
+FEW = 100_000
+
+
+def at_ranks(df: DataFrame, by: str, value: str, want: DataFrame, few: int = FEW) -> DataFrame:
+    """by, rank, value, before: the value at each wanted rank (want: by, rank; ranks from 0 in rising order) and the number of smaller ones.
+
+    Selection in rounds: distinct values are counted by equal parts of their span, the counts tell which part holds a rank, and only that part goes on, divided anew, until no part has more than `few` values. Equal ranks of parts meet; nothing runs over a stratum.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
+    # a row for each rank and value that may hold it; _b: rows before the part
+    x = per.join(want.select(F.struct(by).alias("_in"), "rank"), F.struct(by) == F.col("_in")).drop("_in").withColumn("_b", F.lit(0).cast("long"))
+    left = None
+    for _ in range(64):
+        x = keep(_narrowed(x, by, value), "ranks")
+        most = x.groupBy(F.struct(by, "rank").alias("_p")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(value).alias("d")).agg(F.max(F.when(F.col("d") > 1, F.col("n")))).first()[0] or 0
+        if most <= few or most == left:
+            break
+        left = most
+    w = Window.partitionBy(F.struct(by, "rank")).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_c", F.col("_b") + F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    return x.where((F.col("_c") <= F.col("rank")) & (F.col("rank") < F.col("_c") + F.col("_n"))).select(by, "rank", value, F.col("_c").alias("before"))
+
+
+def _narrowed(x: DataFrame, by: str, value: str) -> DataFrame:
+    """Of each wanted rank the part of its values that holds it."""
+    s = with_span_slot(x, [by, "rank"], value)
+    place = F.struct(by, "rank", "_slot")
+    slots = s.groupBy(by, "rank", "_b", "_slot").agg(F.sum("_n").alias("_m"))
+    before = Window.partitionBy(F.struct(by, "rank")).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    first = slots.withColumn("_first", F.col("_b") + F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    held = first.where((F.col("_first") <= F.col("rank")) & (F.col("rank") < F.col("_first") + F.col("_m"))).select(place.alias("_place"), "_first")
+    return s.join(held, place == F.col("_place")).select(by, "rank", value, "_n", F.col("_first").alias("_b"))

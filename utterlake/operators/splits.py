@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.seeding import draw, number, uniform
+from ..functions.seeding import draw, number, permuted, uniform
 from .folds import fold_sorted
-from .ranks import digest_slot, ranked, ranked_by_number, running
+from .ranks import SLOTS, digest_slot, ranked, ranked_by_number, running
 
 
 class Shortage(ValueError):
@@ -161,10 +161,11 @@ def capped_sample(df: DataFrame, by: str, group: str, key: str, n: int, seed: in
 
 
 def round_robin(df: DataFrame, by: list[str], voice: str, key: str, cap: int, seed: int) -> DataFrame:
-    """SP12, SP22: up to cap rows a stratum, one voice after another in seeded order."""
-    r = F.row_number().over(Window.partitionBy(*by, voice).orderBy(draw(seed, "pick", F.col(key))))
-    order = Window.partitionBy(*by).orderBy("_r", draw(seed, "voice", F.col(voice)), F.col(key))
-    return df.withColumn("_r", r).withColumn("_o", F.row_number().over(order)).where(F.col("_o") <= cap).drop("_r", "_o")
+    """SP12: up to cap rows a stratum, one voice after another in seeded order, each voice's rows in seeded order. Rows of one turn are slots of the stratum, so neither it nor a voice is sorted whole."""
+    x = ranked(df, [*by, voice], draw(seed, "pick", F.col(key)), upto=F.lit(cap))
+    x = x.where(F.col("_r") < cap).withColumn("_v", draw(seed, "voice", F.col(voice))).withColumn("_turn", F.col("_r") * SLOTS + digest_slot(F.col("_v")))
+    x = running(x, by, [F.col("_v"), F.col(key)], "_turn", {"_o": F.lit(1)}, {"_o": F.lit(cap)})
+    return x.where(F.col("_o") < cap).drop("_r", "_v", "_turn", "_o")
 
 
 def budget(df: DataFrame, by: str, key: str, wants: Column, target: int, seed: int) -> DataFrame:
@@ -176,13 +177,12 @@ def budget(df: DataFrame, by: str, key: str, wants: Column, target: int, seed: i
 
 def family_draw(df: DataFrame, by: str, family: str, key: str, total: int, seed: int) -> DataFrame:
     """SP14: one row of every family first, the rest of each stratum's total in proportion to what the families still hold, by largest remainder."""
-    r = F.row_number().over(Window.partitionBy(by, family).orderBy(draw(seed, "family", F.col(key))))
-    x = df.withColumn("_r", r)
-    fam = x.groupBy(by, family).agg((F.count(F.lit(1)) - 1).alias("pool"))
-    rest = fam.withColumn("_f", F.count(F.lit(1)).over(Window.partitionBy(by))).withColumn("_p", F.sum("pool").over(Window.partitionBy(by)))
+    fam = df.groupBy(by, family).agg((F.count(F.lit(1)) - 1).alias("pool"))
+    rest = fam.withColumn("_f", F.count(F.lit(1)).over(Window.partitionBy(by))).withColumn("_p", F.sum("pool").over(Window.partitionBy(by)))  # a row a family
     want = F.least(F.greatest(F.lit(total) - F.col("_f"), F.lit(0)), F.col("_p"))
     quota = largest_remainder(rest.where("_p > 0"), [by], family, "pool", want).select(by, family, F.least("n", "pool").alias("q"))
-    return x.join(quota, [by, family], "left").where(F.col("_r") <= 1 + F.coalesce("q", F.lit(0))).drop("_r", "q")
+    x = df.join(quota, [by, family], "left").withColumn("q", F.coalesce("q", F.lit(0)) + 1)
+    return ranked(x, [by, family, "q"], draw(seed, "family", F.col(key)), upto=F.col("q")).where("_r < q").drop("_r", "q")
 
 
 def proportional_sample(df: DataFrame, by: str, key: str, total: int, seed: int) -> DataFrame:
@@ -240,11 +240,15 @@ def voice_pool(voices: DataFrame, splits: DataFrame, mode: str) -> DataFrame:
 
 
 def even_pairs(clips: DataFrame, personas: DataFrame, by: str, clip: str, persona: str, cap: int, seed: int) -> DataFrame:
-    """SP22: min(cap, clips * personas) pairs a label, round-robin over clips, each clip meeting personas in its own order."""
-    pairs = clips.crossJoin(personas)
-    r = F.row_number().over(Window.partitionBy(by, clip).orderBy(draw(seed, "pair", F.col(clip), F.col(persona))))
-    order = Window.partitionBy(by).orderBy("_r", clip)
-    return pairs.withColumn("_r", r).withColumn("_o", F.row_number().over(order)).where(F.col("_o") <= cap).drop("_r", "_o")
+    """SP22: min(cap, clips * personas) pairs a label, round-robin over its clips in seeded order, each clip meeting personas in its own order. A keyed permutation tells a clip's k-th persona, so only the pairs of the plan are made."""
+    sizes = clips.groupBy(F.struct(by).alias("_in")).agg(F.count(F.lit(1)).alias("_c"))
+    many = personas.count()  # the length of everyone's order
+    first = ranked(clips, [by], draw(seed, "clip", F.col(by), F.col(clip)), upto=F.lit(cap)).where(F.col("_r") < cap)
+    x = first.withColumn("_in", F.struct(by)).join(sizes, "_in").drop("_in")
+    turns = F.ceil((F.least(F.lit(cap), F.col("_c") * many) - F.col("_r")) / F.col("_c")).cast("long")
+    x = x.withColumn("_k", F.explode(F.when(turns > 0, F.sequence(F.lit(0).cast("long"), turns - 1)).otherwise(F.array().cast("array<bigint>"))))
+    x = x.withColumn("_p", permuted(F.col("_k"), F.lit(many).cast("long"), seed, "pair", F.col(clip)))
+    return x.join(ranked(personas, [], draw(seed, "persona", F.col(persona)), "_p"), "_p").drop("_p", "_r", "_c", "_k")
 
 
 def mix_plan(df: DataFrame, split: str, key: str, pools: DataFrame, p_mix: float, lo: float, hi: float, seed: int) -> DataFrame:
@@ -261,19 +265,31 @@ def mix_plan(df: DataFrame, split: str, key: str, pools: DataFrame, p_mix: float
 
 
 def step_plan(df: DataFrame, cls: str, key: str, steps: dict[str, float], seed: int, epoch: int, barred: dict[str, Column] | None = None) -> DataFrame:
-    """SP24: of each class floor(p * n) rows get a step, one more by a coin with the fraction, on a seeded subset per step; barred rows stay out."""
-    x = df
-    for step, p in steps.items():
-        free = F.lit(True) if not barred or step not in barred else ~barred[step]
-        x = x.withColumn("_free", F.coalesce(free, F.lit(False)))
-        size = x.groupBy(F.struct(cls).alias("_in")).agg(F.count_if("_free").alias("_n"))
-        n = F.col("_n")
-        quota = F.floor(n * p) + F.when(uniform(seed, "frac", F.lit(epoch), F.col(cls), F.lit(step)) < n * p - F.floor(n * p), 1).otherwise(0)
-        # barred rows come last; they never reach the quota
-        h = F.concat(F.when(F.col("_free"), "0").otherwise("f"), draw(seed, "step", F.lit(epoch), F.lit(step), F.col(key)))
-        y = ranked(x, [cls], h).withColumn("_in", F.struct(cls)).join(size, "_in")
-        x = y.withColumn(step, F.col("_free") & (F.col("_r") < quota)).drop("_in", "_r", "_n", "_free")
-    return x
+    """SP24: of each class floor(p * n) rows get a step, one more by a coin with the fraction, on a seeded subset per step; barred rows stay out.
+
+    A step's rows are those whose digest lies below the class's (quota + 1)-th smallest: all steps' slots are counted in one pass, the slot that holds each edge is read in a second, and a row meets one row of edges.
+    """
+    names = list(steps)
+    free = {s: F.coalesce(~barred[s], F.lit(False)) if barred and s in barred else F.lit(True) for s in names}
+    digest = {s: draw(seed, "step", F.lit(epoch), F.lit(s), F.col(key)) for s in names}
+    cells = F.array(*[F.when(free[s], F.struct(F.lit(i).alias("i"), digest[s].alias("h"))) for i, s in enumerate(names)])
+    long = df.select(F.struct(cls).alias("_in"), F.inline(F.filter(cells, lambda c: c.isNotNull()))).withColumn("_slot", digest_slot(F.col("h")))
+    slots = long.groupBy("_in", "i", "_slot").agg(F.count(F.lit(1)).alias("_m"))
+    n = F.sum("_m").over(Window.partitionBy("_in", "i"))
+    p = F.element_at(F.array(*[F.lit(x) for x in steps.values()]), F.col("i") + 1)
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1)
+    coin = uniform(seed, "frac", F.lit(epoch), F.col(f"_in.{cls}"), name)
+    quota = F.floor(F.col("_n") * p) + F.when(coin < F.col("_n") * p - F.floor(F.col("_n") * p), 1).otherwise(0)
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy("_in", "i").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = slots.withColumn("_n", n).withColumn("_b", before).withColumn("_q", quota)
+    # no slot holds the edge where every row is taken
+    edge = placed.where("_b <= _q AND _q < _b + _m").select(F.struct("_in", "i", "_slot").alias("_place"), "_b", "_q")
+    inside = long.withColumn("_place", F.struct("_in", "i", "_slot")).join(edge, "_place")
+    r = F.row_number().over(Window.partitionBy("_place").orderBy("h")) - 1 + F.col("_b")
+    edges = inside.withColumn("_r", r).where("_r = _q").groupBy("_in").agg(F.map_from_entries(F.collect_list(F.struct("i", "h"))).alias("_edges"))
+    x = df.withColumn("_in", F.struct(cls)).join(edges, "_in", "left")
+    below = lambda i, s: F.coalesce(digest[s] < F.try_element_at("_edges", F.lit(i)), F.lit(True))
+    return x.withColumns({s: free[s] & below(i, s) for i, s in enumerate(names)}).drop("_in", "_edges")
 
 
 def spread(df: DataFrame, by: str, key: str, lo: float, hi: float, seed: int) -> DataFrame:
@@ -305,11 +321,12 @@ def session_plan(df: DataFrame, key: str, seed: int, wakes: int, beds: int) -> D
 
 
 def timeline(df: DataFrame, by: str, key: str, duration: str, seed: int) -> DataFrame:
-    """SP29: units of a recording in seeded order with distances of 1 to 8 s: offset and end of range (next offset)."""
-    w = Window.partitionBy(by).orderBy(draw(seed, "order", F.col(key)))
-    step = F.col(duration) + F.round(1 + uniform(seed, "dist", F.col(key)) * 7, 3)
-    x = df.withColumn("offset_s", F.round(F.coalesce(F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), 3))
-    return x.withColumn("range_end_s", F.lead("offset_s").over(w))
+    """SP29: units of a recording in seeded order with distances of 1 to 8 s: offset and end of range (next offset, null for the last unit). Running sums over slots; a unit's end is its own offset and step, so no border is looked over."""
+    x = df.withColumns({"_h": draw(seed, "order", F.col(key)), "_step": F.col(duration) + F.round(1 + uniform(seed, "dist", F.col(key)) * 7, 3)}).withColumn("_slot", digest_slot(F.col("_h")))
+    last = x.groupBy(F.struct(by).alias("_in")).agg(F.max("_h").alias("_last"))
+    x = running(x, [by], [F.col("_h")], "_slot", {"_t": F.col("_step")}).withColumn("_in", F.struct(by)).join(last, "_in")
+    ends = F.when(F.col("_h") < F.col("_last"), F.round(F.col("_t") + F.col("_step"), 3))
+    return x.withColumn("offset_s", F.round("_t", 3)).withColumn("range_end_s", ends).drop("_h", "_step", "_slot", "_t", "_in", "_last")
 
 
 def prompt_pack(df: DataFrame, speaker: str, kind: str, key: str, ms: str, least: int = 8000, most: int = 12000, gap: int = 150) -> DataFrame:

@@ -210,7 +210,29 @@ def sp21(spark, d):
     return one("all").unionByName(one("references")).unionByName(one("own"))
 
 
-@add("sp22_even_pairs", f"WITH p AS (SELECT p_type AS label, p_partkey AS clip, s_suppkey AS persona FROM part, supplier), r AS (SELECT *, row_number() OVER (PARTITION BY label, clip ORDER BY {draw_sql(2, 'pair', 'clip', 'persona')}) AS r FROM p), o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY r, clip) AS o FROM r) SELECT label, clip, persona FROM o WHERE o <= 25")
+def _turned(x: str, i: int) -> str:
+    """One round of the permutation in SQL, from columns l, r to l, r."""
+    mixed = lambda half: number_sql(draw_sql(2, "pair", "clip", str(i), half))
+    return f"(SELECT * EXCLUDE (l, r), {f'(l + {mixed(chr(114))}) % a AS l, r' if i % 2 == 0 else f'l, (r + {mixed(chr(108))}) % b AS r'} FROM {x})"
+
+
+def _once(x: str) -> str:
+    """x: a relation with columns x, a, b, clip and others; x goes once through the permutation."""
+    inner = f"(SELECT *, x // b AS l, x % b AS r FROM {x})"
+    for i in range(4):
+        inner = _turned(inner, i)
+    return f"(SELECT * EXCLUDE (l, r) REPLACE (l * b + r AS x) FROM {inner})"
+
+
+_PAIRS = f"""WITH RECURSIVE sz AS (SELECT *, ceil(np / a::DOUBLE)::BIGINT AS b FROM (SELECT count(*) AS np, ceil(sqrt(count(*)))::BIGINT AS a FROM supplier)),
+pn AS (SELECT s_suppkey AS persona, row_number() OVER (ORDER BY {draw_sql(2, 'persona', 's_suppkey')}) - 1 AS x FROM supplier),
+c AS (SELECT p_type AS label, p_partkey AS clip, row_number() OVER (PARTITION BY p_type ORDER BY {draw_sql(2, 'clip', 'p_type', 'p_partkey')}) - 1 AS i, count(*) OVER (PARTITION BY p_type) AS nc FROM part),
+k AS (SELECT label, clip, unnest(range(ceil((least(25, nc * np) - i) / nc::DOUBLE)::BIGINT)) AS x, a, b, np FROM c, sz WHERE i < least(25, nc * np)),
+w AS (SELECT * FROM {_once('k')} UNION ALL SELECT * FROM {_once('(SELECT * FROM w WHERE x >= np)')})
+SELECT label, clip, persona FROM w JOIN pn USING (x) WHERE x < np"""
+
+
+@add("sp22_even_pairs", _PAIRS)
 def sp22(spark, d):
     return _sp22(table(spark, d, "part"), table(spark, d, "supplier"))
 
