@@ -478,8 +478,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     first = first.join(labels, "cls", "left").groupBy(F.coalesce("label", "cls")).agg(F.min("at").alias("at"))
     stay = first.select("at.row", "at.tag", F.lit(True).alias("full"))
     stay = stay.unionByName(sets.where(~full).select("row", "tag", F.lit(False).alias("full")).distinct())
-    turn = F.row_number().over(Window.partitionBy("row", "tag").orderBy("full"))
-    return named.join(stay, ["row", "tag"]).withColumn("turn", turn).where(~F.col("full") | (F.col("turn") == 1)).select(*docs.columns)
+    met = named.join(stay, ["row", "tag"])
+    # equal rows are one before the shuffle, however many they are; rows with the empty set are told apart
+    own = F.when(~F.col("full"), F.monotonically_increasing_id())
+    one = met.groupBy("row", "tag", own.alias("turn")).agg(F.first(F.struct(*docs.columns)).alias("full"))
+    return one.select(*[F.col("full")[c].alias(c) for c in docs.columns])
 
 
 def op3_jaccard_join(spark, sf_dir):

@@ -12,7 +12,8 @@ own (grade 0 against the rest); the most of it that a selected text may have
 is set on held-out training rows.
 
 The fit takes a hash sample of about `train_rows` labelled rows (a documented
-bound); every text is scored whole.
+bound), by key and text, so that rows which share a key part ways; every text
+is scored whole.
 
 Defined cases: null and empty texts have no features and get the prior of
 the thresholds; with fewer than two grades to learn from, the expected grade
@@ -30,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard_join import word_hashes
+from .jaccard_join import hint_for, word_hashes
 from .ngrams import FOLD, string_buffers
+from .scratch import drop, keep
 
 BITS = 20
 OUT = ("expected_grade", "tail", "selected")
@@ -114,14 +116,19 @@ def guard(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, top: int, co
     return model, float(np.quantile(p, 1 - cost))
 
 
+def bounded(graded: DataFrame, n: int, train_rows: int, seed: int) -> DataFrame:
+    """About train_rows of the n rows, by hash of key and text."""
+    share = int(min(1.0, train_rows / n) * (1 << 62))
+    return graded.where(F.pmod(F.xxhash64(F.lit(seed), "key", "text"), F.lit(1 << 62)) < share)
+
+
 def fit(graded: DataFrame, train_rows: int = 8_000, seed: int = 3, rounds: int = 300, rate: float = 0.1, lasso: float = 1e-3, cost: float = 0.02) -> Model | None:
     """graded: key, text, grade (0, 1, 2 ...)."""
     graded = graded.where(F.col("grade").isNotNull())
     n, top = graded.agg(F.count(F.lit(1)), F.max("grade")).first()
     if not n or not top:
         return None
-    share = int(min(1.0, train_rows / n) * (1 << 62))
-    sample = graded.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 62)) < share)
+    sample = bounded(graded, n, train_rows, seed)
 
     def train(group: pa.Table) -> pa.Table:
         group = group.sort_by([("key", "ascending"), ("grade", "ascending")])
@@ -172,9 +179,11 @@ def op2_quality(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     chosen = labels.select(F.col("doc_id").alias("key"), grade(F.col("quality"), F.col("toxic")).alias("grade"))
     n = chosen.count()
-    # the bound of fit() is applied before texts are fetched
-    share = int(min(1.0, 8_000 / max(n, 1)) * (1 << 62))
-    chosen = chosen.where(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(1 << 62)) < share)
-    graded = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["key"]).select("key", "text", "grade")
-    model = fit(graded, train_rows=1 << 40)
+    # about twice the bound of fit() by key, before texts are fetched; fit() holds it by row, whatever an id's number of rows
+    share = int(min(1.0, 16_000 / max(n, 1)) * (1 << 62))
+    chosen = keep(chosen.where(F.pmod(F.xxhash64(F.lit(4), "key"), F.lit(1 << 62)) < share), "labels")
+    graded = keep(docs.join(hint_for(chosen)(chosen), docs["doc_id"] == chosen["key"]).select("key", "text", "grade"), "graded")
+    drop(chosen)
+    model = fit(graded)
+    drop(graded)
     return score(docs, model).select("doc_id", "expected_grade", "tail", "selected")
