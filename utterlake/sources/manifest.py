@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,16 +14,51 @@ class BadTable(ValueError):
     """A table lacks columns, has too few or too many rows, or repeats a key."""
 
 
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, record (from 0), text: the records of CSV files, whose quoted cells may hold line breaks. Files are cut into blocks like any text.
+
+    A line belongs to the record before it if the quotes of the file so far are odd in number. Quotes are counted by block in a first pass; the counts of earlier blocks tell each block whether it begins within quotes and at which record, so that a second pass reads blocks side by side. Only the lines of one record meet.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").withColumn("line", F.monotonically_increasing_id())
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    # the number of a line rises within a block, not from block to block
+    first, second = lines.withColumn("q", quotes), Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    per = first.groupBy("file", "block").agg(F.sum("q").alias("q"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    odd = per.select("file", "block", F.pmod(F.coalesce(F.sum("q").over(earlier), F.lit(0)), F.lit(2)).alias("odd"))
+    x = first.join(odd, ["file", "block"]).withColumn("inside", F.pmod(F.col("odd") + F.coalesce(F.sum("q").over(second), F.lit(0)), F.lit(2)) == 1)
+    began = F.sum(F.when(F.col("inside"), 0).otherwise(1)).over(Window.partitionBy("file", "block").orderBy("line"))
+    x = x.withColumn("at", began)
+    starts = x.groupBy("file", "block").agg(F.max("at").alias("n"))
+    before = starts.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    x = x.join(before, ["file", "block"]).withColumn("record", F.col("before") + F.col("at") - 1)
+    lines_of = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
+    text = F.array_join(F.transform(lines_of, lambda s: s["value"]), "\n")
+    return x.groupBy("file", "record").agg(text.alias("text")).withColumn("text", F.regexp_replace("text", "\r$", "")).where(F.col("text") != "")
+
+
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """SC1: header CSV with quoted free text; empty cells are null; typed by a fixed schema."""
+    """SC1: header CSV with quoted free text, line breaks within it; empty cells are null; typed by a fixed schema. Large files are many tasks. A header that names other columns, and a table without rows, are errors."""
     typed = T._parse_datatype_string(schema)
-    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in typed.fields])
-    rows = spark.read.csv(path, header=True, schema=raw, enforceSchema=False, quote='"', escape='"', multiLine=True)
-    cells = []
-    for f in typed.fields:
-        c = F.nullif(F.col(f.name), F.lit(""))
-        cells.append((F.when(c.isNotNull(), c == "True") if f.dataType == T.BooleanType() else c.cast(f.dataType)).alias(f.name))
-    return rows.select(*cells)
+    names = [f.name for f in typed.fields]
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "lineSep": "\u0001", "maxCharsPerColumn": "-1"}
+    records = quoted_records(spark, path)
+    cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))) + ", more string", options)
+    rows = records.select("record", cells.alias("r")).select("record", "r.*")
+    heads = rows.where("record = 0").drop("record").distinct().limit(2).collect()
+    if not heads:
+        raise BadTable(f"{path} is empty")
+    if len(heads) > 1 or [*heads[0]][:-1] != names or heads[0]["more"] is not None:
+        raise BadTable(f"{path} has other columns than {names}")
+    body = rows.where("record > 0")
+    if body.isEmpty():
+        raise BadTable(f"{path} has no rows")
+    out = []
+    for i, f in enumerate(typed.fields):
+        c = F.nullif(F.col(f"c{i}"), F.lit(""))
+        out.append((F.when(c.isNotNull(), c == "True") if f.dataType == T.BooleanType() else c.cast(f.dataType)).alias(f.name))
+    return body.select(*out)
 
 
 def write_manifest(df: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
