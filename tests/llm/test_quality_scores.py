@@ -21,7 +21,7 @@ def plain(model, text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", FOLD[np.frombuffer(raw, np.uint8)].tobytes())
 
     def score(weights):
-        z = 0.0
+        weights, z = weights.astype(float), 0.0
         slots = Counter(int(word_hashes(np.frombuffer(w, np.uint8))[1][0]) >> (64 - quality.BITS) for w in words)
         for slot, n in slots.items():
             z += weights[slot] * math.log1p(n)
