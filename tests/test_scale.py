@@ -76,3 +76,30 @@ def test_steps_take_exactly_their_share(spark):
     got = {r.c: r for r in out.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(s).alias(s) for s in ("all", "none", "half", "some")]).collect()}
     assert (got["big"].n, got["big"]["all"], got["big"]["none"], got["big"].half) == (1350, 1350, 0, 675) and got["big"].some in (225, 226)
     assert got["small"].some == 0 and got[None]["all"] == 1 and out.where("some AND i % 2 = 0").count() == 0
+
+
+def test_prompts_of_a_speaker_with_most_clips(spark):
+    rng = random.Random(11)
+    rows = [("hot", "read" if rng.random() < 0.01 else "clip", i, rng.choice([300, 900, 3850, 3851, 7000, 11_000, 12_001])) for i in range(3000)] + [("long", "clip", i, 11_500) for i in range(20)] + [("few", "read", 1, 5000), (None, "clip", 4, 9000)]
+    df = spark.createDataFrame(rows, "s string, kind string, k int, ms int").repartition(4)
+    want = {}
+    for speaker in {r[0] for r in rows}:
+        length, taken = 0, []
+        for _, k, ms in sorted((kind != "read", k, ms) for s, kind, k, ms in rows if s == speaker):
+            longer = length + ms + (150 if taken else 0)
+            if length < 8000 and longer <= 12_000:
+                length, taken = longer, [*taken, k]
+        if length >= 8000:
+            want[speaker] = (length, ",".join(map(str, taken)))
+    assert {r.s: (r.ms, r.clips) for r in splits.prompt_pack(df, "s", "kind", "k", "ms").collect()} == want and set(want) == {"hot", "long", None}
+
+
+def test_silence_by_source(spark):
+    """Rule D counts what its caller calls silence."""
+    from utterlake.operators import decide
+
+    rows = [("m", "clean", "own", "target_commands", i, True) for i in range(40)] + [("m", "clean", "hum", "babble", 90 + i, i == 0) for i in range(5)] + [("ref", "clean", "own", "target_commands", 200, True)]
+    df = spark.createDataFrame(rows, "model string, tag string, source string, bucket string, i int, ok boolean")
+    none = spark.createDataFrame([], "i int")
+    rule = lambda **more: {r.model: r.D for r in decide.registered_rules(df, "model", "ref", none, "i", "tag", "source", "own", "persona", F.col("bucket") == "target_commands", F.lit(True), F.col("ok"), **more).collect()}["m"]
+    assert rule() == "PASS" and rule(silence=F.col("source") == "hum") == "FAIL"

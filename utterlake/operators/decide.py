@@ -308,12 +308,12 @@ def run_report(df: DataFrame, run: str, cond: str, target: Column, a: str, a_ok:
     return totals.unionByName(sources).unionByName(confused)
 
 
-def registered_rules(df: DataFrame, model: str, reference: str, out: DataFrame, key: str, tag: str, source: str, own: str, persona: str, target: Column, right: Column, ok: Column) -> DataFrame:
-    """DR9: rules A to D of each model, rows of `out` left out. A: at least 96.5 % of the clean test's own targets right; B: 90 % of the perturbed ones (fail where not scored); C: 93 % of the old test's targets without personas (n/a where not scored, and then no verdict); D: no babble of its own accepted, and no more silence than the reference model does. A model without the clean test has no row."""
+def registered_rules(df: DataFrame, model: str, reference: str, out: DataFrame, key: str, tag: str, source: str, own: str, persona: str, target: Column, right: Column, ok: Column, silence: Column | None = None) -> DataFrame:
+    """DR9: rules A to D of each model, rows of `out` left out. A: at least 96.5 % of the clean test's own targets right; B: 90 % of the perturbed ones (fail where not scored); C: 93 % of the old test's targets without personas (n/a where not scored, and then no verdict); D: no babble of its own accepted, and no more silence than the reference model does; silence: rows of the sources that hold it, of that bucket if not given. A model without the clean test has no row."""
     x = df.join(out.select(key).distinct(), key, "left_anti").withColumn("_own", F.col(source) == own)
     c, t = F.col, F.col(tag)
     clean, old = t == "clean", t == "old"
-    babble, silence = F.col("bucket") == "babble", F.col("bucket") == "silence"
+    babble, silence = F.col("bucket") == "babble", F.col("bucket") == "silence" if silence is None else F.coalesce(silence, F.lit(False))
     cells = {"a": clean & c("_own") & target, "b": (t == "noisy") & c("_own") & target, "c": old & target & (c(source) != persona)}
     g = x.groupBy(model).agg(
         count_where(clean).alias("scored"), count_where(old).alias("old_rows"), *[e.alias(f"{k}_{s}") for k, w in cells.items() for s, e in (("n", count_where(w)), ("k", count_where(w & right & ok)))],

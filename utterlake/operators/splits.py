@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seeding import draw, number, permuted, uniform
 from .folds import fold_sorted
-from .ranks import SLOTS, digest_slot, ranked, ranked_by_number, running
+from .ranks import SLOTS, digest_slot, ranked, ranked_by_number, running, with_span_slot
 
 
 class Shortage(ValueError):
@@ -330,8 +330,14 @@ def timeline(df: DataFrame, by: str, key: str, duration: str, seed: int) -> Data
 
 
 def prompt_pack(df: DataFrame, speaker: str, kind: str, key: str, ms: str, least: int = 8000, most: int = 12000, gap: int = 150) -> DataFrame:
-    """SP30: read speech first, clips added until `least`, one that would pass `most` skipped, gaps counted; speakers short of it are dropped. Milliseconds."""
-    x = df.select(speaker, F.when(F.col(kind) == "read", 0).otherwise(1).alias("_o"), F.col(key).cast("long").alias("_k"), F.col(ms).cast("int").alias("_ms"))
+    """SP30: read speech first, clips added until `least`, one that would pass `most` skipped, gaps counted; speakers short of it are dropped. Milliseconds.
+
+    A clip that fits at any length below `least` is always taken, so nothing after enough of them can count: running sums over slots cut each speaker's clips there before they meet in the fold. Clips longer than `most` never count.
+    """
+    x = df.select(speaker, F.when(F.col(kind) == "read", 0).otherwise(1).alias("_o"), F.col(key).cast("long").alias("_k"), F.col(ms).cast("int").alias("_ms")).where(F.col("_ms") <= most)
+    x = with_span_slot(x, [speaker, "_o"], "_k").withColumn("_slot", F.col("_o") * (SLOTS + 2) + F.col("_slot"))
+    sure = F.when((F.col("_ms") >= 0) & (F.col("_ms") <= most - least - gap), F.col("_ms") + gap).otherwise(0)
+    x = running(x, [speaker], [F.col("_o"), F.col("_k")], "_slot", {"_sure": sure}, {"_sure": F.lit(least + gap)}).where(F.col("_sure") < least + gap)
 
     def step(state, row):
         length, taken = state
@@ -341,7 +347,7 @@ def prompt_pack(df: DataFrame, speaker: str, kind: str, key: str, ms: str, least
     def finish(name, state):
         return [(*name, state[0], ",".join(map(str, state[1])))] if state[0] >= least else []
 
-    return fold_sorted(x, [speaker], ["_o", "_k"], f"`{speaker}` {df.schema[speaker].dataType.simpleString()}, ms int, clips string", lambda: (0, []), step, finish)
+    return fold_sorted(x.select(speaker, "_o", "_k", "_ms"), [speaker], ["_o", "_k"], f"`{speaker}` {df.schema[speaker].dataType.simpleString()}, ms int, clips string", lambda: (0, []), step, finish)
 
 
 def chunk_plan(colours: DataFrame, bands: DataFrame, total: int, seed: int) -> DataFrame:
