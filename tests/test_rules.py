@@ -170,15 +170,19 @@ def test_endpointed_fallback(spark):
     assert ends(spark, [ask(0, 0, True, "red"), ask(400, 199, True, "red"), ask(600, 300, False, "red"), ask(800, 300, True, None)]) == []
 
 
-def test_debounce_runs_equal_one_fold(spark):
+@pytest.mark.parametrize("stretch", [1, 2, 64])
+def test_debounce_equals_one_fold(spark, stretch):
     rng = random.Random(6)
-    rows_ = [(f"s{i % 3}", t, i) for i, t in enumerate(rng.sample(range(0, 4000), 600) + rng.sample(range(9000, 90000), 300))]
-    got = {r.k: r.emitted for r in events.debounce(spark.createDataFrame(rows_, "s string, t long, k long"), "s", "t", F.lit(True), 40, "k").collect()}
-    want, last = {}, {}
+    times = rng.sample(range(0, 4000), 600) + rng.sample(range(9000, 90000), 300) + [rng.randrange(-500, 4000) for _ in range(200)]
+    rows_ = [(f"s{i % 3}" if i % 7 else None, t, i) for i, t in enumerate(times)]
+    df = spark.createDataFrame([*rows_, ("s1", None, 9999)], "s string, t long, k long").repartition(5)
+    got = {r.k: r.emitted for r in events.debounce(df, "s", "t", F.lit(True), 40, "k", stretch).collect()}
+    want, last = {9999: False}, {}
     for s, t, k in sorted(rows_, key=lambda r: (r[1], r[2])):
         want[k] = s not in last or t - last[s] >= 40
         last[s] = t if want[k] else last[s]
     assert got == want
+    assert {r.emitted for r in events.debounce(df.where("t IS NOT NULL"), "s", "t", F.lit(True), 0, "k").collect()} == {True}
 
 
 def test_state_fold_composes_stretches(spark):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import debounce_step, endpoint_fold, fold_in_order, fold_sorted
+from .folds import endpoint_fold, fold_in_order, fold_sorted
 
 
 def sliding(df: DataFrame, key: str, ts: str, width: str, stride: str) -> DataFrame:
@@ -20,23 +24,49 @@ def threshold_policy(df: DataFrame, ok: Column) -> DataFrame:
     return df.where(F.coalesce(ok, F.lit(False)))
 
 
-def runs_of(df: DataFrame, session: str, at: str, gap: int, out: str) -> DataFrame:
-    """df with the number of the row's run: stretches of a session with at least `gap` between them are runs of their own. Found on the first and last times of wide stretches of time, so that a long session is many runs; two gaps within one stretch may share a run."""
-    wide = max(16 * gap, 1)
-    stretch = F.floor(F.col(at) / wide)
-    per = df.groupBy(session, stretch.alias("_s")).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
-    w = Window.partitionBy(session).orderBy("_s")
-    first = F.coalesce(F.col("_a") - F.lag("_b").over(w) >= gap, F.lit(True)).cast("int")
-    runs = per.withColumn("_f", first).select(session, "_s", F.sum("_f").over(w).alias(out))
-    return df.withColumn("_s", stretch).join(runs, [session, "_s"]).drop("_s")
-
+def debounce(df: DataFrame, session: str, at: str, fire: Column, refractory: int, key: str, stretch: int = 16) -> DataFrame:
+    """ES3: a firing row is emitted if `refractory` has passed since the last emission, else suppressed, as is one without a time; of rows at one time the first by key.
 
-def debounce(df: DataFrame, session: str, at: str, fire: Column, refractory: int, key: str) -> DataFrame:
-    """ES3: a firing row is emitted if `refractory` has passed since the last emission, else suppressed. After a pause of that length nothing is remembered, so sessions are folded run by run."""
-    rows = df.where(fire).select(session, F.col(at).cast("long").alias("_t"), F.col(key).cast("long").alias("_k"))
-    rows = runs_of(rows, session, "_t", refractory, "_run").select(session, "_run", "_t", "_k")
-    kind = df.schema[session].dataType.simpleString()
-    return fold_sorted(rows, [session, "_run"], ["_t", "_k"], f"`{session}` {kind}, `{key}` long, emitted boolean", lambda: None, debounce_step(refractory))
+    Who follows an emission is known without the past: the first row that is `refractory` later. So each stretch of `stretch` refractory periods is summed up by itself, as the last emission that every possible first one leads to; a session's summaries are composed in order, and tell each stretch its first emission. A session of any size is as many tasks as it has stretches; rows of a stretch meet in one.
+    """
+    c, kind = F.col, df.schema[session].dataType.simpleString()
+    rows = df.where(fire).select(session, c(at).cast("long").alias("_t"), c(key).cast("long").alias("_k")).withColumn("_c", F.floor(c("_t") / (stretch * max(refractory, 1))))
+    if refractory <= 0:
+        return rows.select(session, c("_k").alias(key), c("_t").isNotNull().alias("emitted"))
+
+    def sum_up(group: pa.Table) -> pa.Table:
+        t = np.unique(group["_t"].to_numpy())
+        last = next_after(t, refractory)
+        last = np.where(last < len(t), last, np.arange(len(t)))
+        while not np.array_equal(last, last[last]):  # leaps double
+            last = last[last]
+        # an emission before the stretch is less than `refractory` before it: the first one here lies in its first period, or is the first row after that
+        many = int(np.searchsorted(t, (group["_c"][0].as_py() * stretch + 1) * refractory)) + 1
+        return pa.table({session: group[session].slice(0, 1), "_c": group["_c"].slice(0, 1), "firsts": pa.array([t[:many]], pa.list_(pa.int64())), "lasts": pa.array([t[last][:many]], pa.list_(pa.int64()))})
+
+    def compose(before, row):
+        i = 0 if before is None else bisect.bisect_left(row[2], before + refractory)
+        return (row[3][i], [(row[0], row[1], row[2][i])]) if i < len(row[2]) else (before, [])
+
+    def emit(group: pa.Table, first: pa.Table) -> pa.Table:
+        group = group.sort_by([("_t", "ascending"), ("_k", "ascending")])
+        emitted = np.zeros(len(group), bool)
+        if len(first):
+            t = group["_t"].to_numpy()
+            follow, i = next_after(t, refractory), int(np.searchsorted(t, first["first"][0].as_py()))
+            while i < len(t):  # once a refractory period
+                emitted[i] = True
+                i = int(follow[i])
+        return pa.table({session: group[session], key: group["_k"], "emitted": pa.array(emitted)})
+
+    summaries = rows.where(c("_c").isNotNull()).groupBy(session, "_c").applyInArrow(sum_up, f"`{session}` {kind}, _c long, firsts array<long>, lasts array<long>")
+    firsts = fold_sorted(summaries, [session], ["_c"], f"`{session}` {kind}, _c long, first long", lambda: None, compose)
+    return rows.groupBy(session, "_c").cogroup(firsts.groupBy(session, "_c")).applyInArrow(emit, f"`{session}` {kind}, `{key}` long, emitted boolean")
+
+
+def next_after(t: np.ndarray, refractory: int) -> np.ndarray:
+    """Of each of the sorted times the place of the first one `refractory` later."""
+    return np.searchsorted(t, t + refractory)
 
 
 def gate_open(df: DataFrame, session: str, at: str, score: str, threshold: float, period: int) -> DataFrame:
