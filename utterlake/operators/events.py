@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,10 @@ def threshold_policy(df: DataFrame, ok: Column) -> DataFrame:
     return df.where(F.coalesce(ok, F.lit(False)))
 
 
-def debounce(df: DataFrame, session: str, at: str, fire: Column, refractory: int, key: str, stretch: int = 16) -> DataFrame:
+def debounce(df: DataFrame, session: str, at: str, fire: Column, refractory: int, key: str, stretch: int = 64) -> DataFrame:
     """ES3: a firing row is emitted if `refractory` has passed since the last emission, else suppressed, as is one without a time; of rows at one time the first by key.
 
-    Who follows an emission is known without the past: the first row that is `refractory` later. So each stretch of `stretch` refractory periods is summed up by itself, as the last emission that every possible first one leads to; a session's summaries are composed in order, and tell each stretch its first emission. A session of any size is as many tasks as it has stretches; rows of a stretch meet in one.
+    Who follows an emission is known without the past: the first row that is `refractory` later. A stretch of `stretch` refractory periods that comes after a pause begins with its first row. Others are summed up by themselves, as the last emission that every possible first one leads to, and a session's summaries are composed in order. So each stretch's first emission is known, and a session is as many tasks as it has stretches, whose sorted rows stream.
     """
     c, kind = F.col, df.schema[session].dataType.simpleString()
     rows = df.where(fire).select(session, c(at).cast("long").alias("_t"), c(key).cast("long").alias("_k")).withColumn("_c", F.floor(c("_t") / (stretch * max(refractory, 1))))
@@ -35,8 +36,8 @@ def debounce(df: DataFrame, session: str, at: str, fire: Column, refractory: int
         return rows.select(session, c("_k").alias(key), c("_t").isNotNull().alias("emitted"))
 
     def sum_up(group: pa.Table) -> pa.Table:
-        t = np.unique(group["_t"].to_numpy())
-        last = next_after(t, refractory)
+        t = np.sort(group["_t"].to_numpy())
+        last = np.searchsorted(t, t + refractory)
         last = np.where(last < len(t), last, np.arange(len(t)))
         while not np.array_equal(last, last[last]):  # leaps double
             last = last[last]
@@ -48,25 +49,43 @@ def debounce(df: DataFrame, session: str, at: str, fire: Column, refractory: int
         i = 0 if before is None else bisect.bisect_left(row[2], before + refractory)
         return (row[3][i], [(row[0], row[1], row[2][i])]) if i < len(row[2]) else (before, [])
 
-    def emit(group: pa.Table, first: pa.Table) -> pa.Table:
-        group = group.sort_by([("_t", "ascending"), ("_k", "ascending")])
-        emitted = np.zeros(len(group), bool)
-        if len(first):
-            t = group["_t"].to_numpy()
-            follow, i = next_after(t, refractory), int(np.searchsorted(t, first["first"][0].as_py()))
-            while i < len(t):  # once a refractory period
-                emitted[i] = True
-                i = int(follow[i])
-        return pa.table({session: group[session], key: group["_k"], "emitted": pa.array(emitted)})
-
-    summaries = rows.where(c("_c").isNotNull()).groupBy(session, "_c").applyInArrow(sum_up, f"`{session}` {kind}, _c long, firsts array<long>, lasts array<long>")
-    firsts = fold_sorted(summaries, [session], ["_c"], f"`{session}` {kind}, _c long, first long", lambda: None, compose)
-    return rows.groupBy(session, "_c").cogroup(firsts.groupBy(session, "_c")).applyInArrow(emit, f"`{session}` {kind}, `{key}` long, emitted boolean")
-
-
-def next_after(t: np.ndarray, refractory: int) -> np.ndarray:
-    """Of each of the sorted times the place of the first one `refractory` later."""
-    return np.searchsorted(t, t + refractory)
+    times = rows.where(c("_t").isNotNull()).groupBy(session, "_c").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"))
+    w = Window.partitionBy(session).orderBy("_c")
+    tied = F.coalesce(c("lo") - F.lag("hi").over(w) < refractory, F.lit(False)), F.coalesce(F.lead("lo").over(w) - c("hi") < refractory, F.lit(False))
+    times = times.withColumns({"tied": tied[0], "_in": F.struct(session, "_c"), "leads": tied[1]})
+    chain = rows.select(F.struct(session, "_c").alias("_in"), "_t").distinct().join(times.where("tied OR leads").select("_in"), "_in", "left_semi").select(f"_in.{session}", "_in._c", "_t")
+    summaries = chain.groupBy(session, "_c").applyInArrow(sum_up, f"`{session}` {kind}, _c long, firsts array<long>, lasts array<long>")
+    composed = fold_sorted(summaries, [session], ["_c"], f"`{session}` {kind}, _c long, first long", lambda: None, compose)
+    firsts = times.where("NOT tied AND NOT leads").select("_in", c("lo").alias("first")).unionByName(composed.select(F.struct(session, "_c").alias("_in"), "first"))
+    # a stretch's first emission travels ahead of its rows
+    none = F.lit(None).cast("long")
+    known = rows.select(session, "_c", "_t", "_k", none.alias("first")).unionByName(firsts.select(f"_in.{session}", "_in._c", none.alias("_t"), none.alias("_k"), "first"))
+    return known.repartition(session, "_c").sortWithinPartitions(session, "_c", F.col("first").desc_nulls_last(), "_t", "_k").mapInArrow(emissions(refractory, session, key), f"`{session}` {kind}, `{key}` long, emitted boolean")
+
+
+def emissions(refractory: int, session: str, key: str):
+    """Rows (session, stretch, t, key, first) by session, stretch and time, a stretch's row with `first` ahead of the others: which of them are emitted. Steps are emissions, not rows."""
+
+    def run(batches):
+        now, due = None, None  # the stretch, and the earliest next emission
+        for batch in batches:
+            if not len(batch):
+                continue
+            who = batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy()
+            part, t = batch.column(1).fill_null(-(1 << 62)).to_numpy(), batch.column(2).fill_null(-(1 << 62)).to_numpy()
+            edges = [0, *(np.flatnonzero((who[1:] != who[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(t)]
+            emitted = np.zeros(len(t), bool)
+            for a, z in itertools.pairwise(edges):
+                place = (batch.column(0)[a].as_py(), batch.column(1)[a].as_py())
+                if place != now:
+                    now, due = place, batch.column(4)[a].as_py()
+                while due is not None and (i := a + int(np.searchsorted(t[a:z], due))) < z:
+                    emitted[i] = True
+                    due = int(t[i]) + refractory
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(emitted)], [session, key, "emitted"])
+            yield out.filter(batch.column(4).is_null())
+
+    return run
 
 
 def gate_open(df: DataFrame, session: str, at: str, score: str, threshold: float, period: int) -> DataFrame:

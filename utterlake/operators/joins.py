@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import with_span_slot
-
 
 class MissingRows(ValueError):
     """A mandatory match is absent, or a key that must be unique is not."""
@@ -123,18 +121,24 @@ def plan_product(a: DataFrame, b: DataFrame, name: Column) -> DataFrame:
     return pairs.join(n, "name")
 
 
+#: Parts of the time from the first range to the last.
+PARTS = 4096
+
+
 def assign_interval(events: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str, payload: list[str]) -> DataFrame:
     """JN15: each event gets the last range of its key with start <= at, if at < end, with the time since start.
 
-    Union and window, no range join. A key's time is cut into equal parts; the last range of each part is carried to the later ones, and only a part's own rows are sorted together, so a key of any size is many tasks.
+    Union and window, no range join. Time is cut into equal parts; the last range of a key's part is carried to its later ones, and only the rows of one part are sorted together, so a key of any size is many tasks.
     """
+    first, last = ranges.agg(F.min(start), F.max(start)).first()
+    width = (last - first) / PARTS if first is not None and last > first else 1
+    part = F.floor((F.greatest(F.least(F.col("_t"), F.lit(last)), F.lit(first)) - F.lit(first)) / F.lit(width)) if first is not None else F.lit(0)
     r = ranges.select(key, F.col(start).alias("_t"), F.lit(0).alias("_o"), F.struct(F.col(start).alias("_s"), F.col(end).alias("_e"), *payload).alias("_r"))
     e = events.withColumn("_t", F.col(at)).withColumn("_o", F.lit(1))
-    both = with_span_slot(e.unionByName(r, allowMissingColumns=True), [key], "_t", "_part").withColumn("_place", F.struct(key, "_part"))
-    last = both.where("_o = 0").groupBy(key, "_part").agg(F.max_by("_r", "_t").alias("_r"))
-    places = both.select(key, "_part").distinct().join(last.select(F.struct(key, "_part").alias("_p"), "_r"), F.struct(key, "_part") == F.col("_p"), "left")
-    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = places.select(F.struct(key, "_part").alias("_place"), F.last("_r", ignorenulls=True).over(earlier).alias("_carried"))
+    both = e.unionByName(r, allowMissingColumns=True).withColumn("_place", F.struct(key, part.alias("part")))
+    per = both.groupBy("_place").agg(F.max_by("_r", F.when(F.col("_o") == 0, F.col("_t"))).alias("_r"))
+    earlier = Window.partitionBy(F.col(f"_place.{key}")).orderBy("_place.part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    carried = per.select("_place", F.last("_r", ignorenulls=True).over(earlier).alias("_carried"))
     w = Window.partitionBy("_place").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
     x = both.join(carried, "_place").withColumn("_last", F.coalesce(F.last("_r", ignorenulls=True).over(w), F.col("_carried"))).where("_o = 1")
     return x.where(F.col(at) < F.col("_last._e")).withColumn("since", F.col(at) - F.col("_last._s")).select(*events.columns, "since", *[F.col(f"_last.{p}").alias(p) for p in payload])
