@@ -56,14 +56,33 @@ def test_prompt_packing(spark, sf):
     assert {tuple(r) for r in run(spark, sf, "sp30_prompt_packing_whole").collect()} == want
 
 
+def kth(k, size, clip):
+    """Where the clip's permutation of 0 .. size - 1 takes k, step by step."""
+    a = math.isqrt(size - 1) + 1
+    b = -(-size // a)
+    while True:
+        left, right = divmod(k, b)
+        for i in range(4):
+            if i % 2 == 0:
+                left = (left + int(draw(2, "pair", clip, i, right)[:8], 16)) % a
+            else:
+                right = (right + int(draw(2, "pair", clip, i, left)[:8], 16)) % b
+        k = left * b + right
+        if k < size:
+            return k
+
+
 def test_even_pairs(spark, sf):
-    personas = [r["s_suppkey"] for r in load(sf, "supplier", "s_suppkey")]
+    """Clips in seeded order take turns; a clip's k-th persona is where its own permutation takes k."""
+    personas = sorted((r["s_suppkey"] for r in load(sf, "supplier", "s_suppkey")), key=lambda p: draw(2, "persona", p))
     by, want = collections.defaultdict(list), set()
     for r in load(sf, "part", "p_type", "p_partkey"):
         by[r["p_type"]].append(r["p_partkey"])
     for label, clips in by.items():
-        turns = [(i, c, p) for c in clips for i, p in enumerate(sorted(personas, key=lambda p, c=c: draw(2, "pair", c, p)))]
-        want |= {(label, c, p) for _, c, p in sorted(turns)[:25]}
+        clips.sort(key=lambda c, label=label: draw(2, "clip", label, c))
+        turns = [(label, c, k) for k in range(len(personas)) for c in clips][:25]
+        want |= {(label, c, personas[kth(k, len(personas), c)]) for label, c, k in turns}
+    assert len(want) == sum(min(25, len(c) * len(personas)) for c in by.values())
     assert {tuple(r) for r in run(spark, sf, "sp22_even_pairs_whole").collect()} == want
 
 
