@@ -4,6 +4,10 @@ Built-in column functions only, one projection, no shuffle, no user code. All
 repeats are possessive or over one character class, so that neither very long
 texts nor very long runs of digits cost more than linear time or deep stacks.
 
+Offsets are running sums over blocks of matches and texts are read in pieces of
+PIECE code points, so the time is linear in the text and in its matches, however
+many they are.
+
 Base kinds (email, ip, card, phone) stay whatever their score; the further
 kinds (iban, ssn, secret) count from `min_score` on. Positions are code
 points, end exclusive; matches of a kind are leftmost and do not overlap.
@@ -16,12 +20,15 @@ output name raises.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
+#: Matches of a block, code points of a piece.
+BLOCK, PIECE = 256, 1024
 ALNUM = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -74,33 +81,66 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """array<int>: for each of `values` (not negative) what combine makes of those before it, from 0 on. Blocks first, then across blocks, since appending copies an array."""
+    ints, blocks = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+
+    def within(acc: Column, x: Column) -> Column:
+        return F.struct(combine(acc["last"], x).alias("last"), F.concat(acc["before"], F.array(acc["last"])).alias("before"))
+
+    def across(acc: Column, block: Column) -> Column:
+        before = F.transform(block["before"], lambda x: combine(acc["last"], x))
+        return F.struct(combine(acc["last"], block["last"]).alias("last"), F.concat(acc["before"], F.array(before)).alias("before"))
+
+    cut = let(values, lambda v: F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(BLOCK)), lambda i: F.slice(v, i + 1, F.lit(BLOCK)))).otherwise(blocks))
+    each = F.transform(cut, lambda b: F.aggregate(b, F.struct(F.lit(0).alias("last"), ints.alias("before")), within))
+    return F.flatten(F.aggregate(each, F.struct(F.lit(0).alias("last"), blocks.alias("before")), across)["before"])
+
+
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def between(cut: Column, lo: Column, hi: Column) -> Column:
+    """Code points lo to hi of a text in pieces; only the pieces that hold them are read."""
+    first = F.floor(lo / PIECE).cast("int")
+    many = F.greatest(F.floor((hi - 1) / PIECE).cast("int") - first + 1, F.lit(0))
+    return F.substr(F.array_join(F.slice(cut, first + 1, many), ""), lo - first * PIECE + 1, F.greatest(hi - lo, F.lit(0)))
+
+
 def spans_of(kind: Kind, text: Column, min_score: float) -> Column:
     """Array of confirmed spans of one kind, in order of start."""
     pattern = kind.pattern
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("found"))
 
-    def step(acc: Column, e: Column) -> Column:
-        gap, hit = e["gap"], e["hit"]
-        begin = acc["at"] + F.length(gap)
-        end = begin + F.length(hit)
-        one = F.struct(begin.alias("start"), end.alias("end"), hit.alias("hit"))
-        more = F.when(valid(kind.name, hit), F.concat(acc["found"], F.array(one))).otherwise(acc["found"])
-        return F.when(hit.isNull(), acc).otherwise(F.struct(end.alias("at"), more.alias("found")))
+    def placed(matches: Column) -> Column:
+        before = running(F.transform(matches, lambda e: F.length(e["gap"]) + F.coalesce(F.length(e["hit"]), F.lit(0))), lambda a, x: a + x)
 
-    found = F.aggregate(both, start, step)["found"]
+        def span(e: Column, at: Column) -> Column:
+            start = at + F.length(e["gap"])
+            return F.struct(start.alias("start"), (start + F.length(e["hit"])).alias("end"), e["hit"].alias("hit"))
 
-    def scored(s: Column) -> Column:
+        return F.zip_with(matches, before, span)
+
+    confirmed = F.filter(let(both, placed), lambda s: s["hit"].isNotNull() & valid(kind.name, s["hit"]))
+
+    def scored(cut: Column, s: Column) -> Column:
         lo = F.greatest(s["start"] - 40, F.lit(0))
-        near = F.concat(F.substr(text, lo + 1, s["start"] - lo), F.lit(" "), F.substr(text, s["end"] + 1, F.lit(40)))
+        near = F.concat(between(cut, lo, s["start"]), F.lit(" "), between(cut, s["end"], s["end"] + 40))
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(F.lower(near).rlike(kind.context), 0.2).otherwise(0.0))
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
 
-    out = F.transform(found, scored)
+    none = F.array().cast(SPAN)
+    out = let(confirmed, lambda found: F.when(F.size(found) > 0, let(pieces(text), lambda cut: F.transform(found, lambda s: scored(cut, s)))).otherwise(none))
     if not kind.base:
         out = F.filter(out, lambda s: s["score"] >= min_score)
     possible = F.contains(text, F.lit(kind.hint)) if kind.hint else text.rlike("[0-9]")
-    return F.when(possible, out).otherwise(F.array()).cast(SPAN)
+    return F.when(possible, out).otherwise(none).cast(SPAN)
 
 
 def find_pii(docs: DataFrame, text: str = "text", min_score: float = 0.5) -> DataFrame:
@@ -125,16 +165,16 @@ def mask_pii(docs: DataFrame, text: str = "text", min_score: float = 0.5) -> Dat
             lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("until"), s["kind"].alias("kind")),
         )
     )
-    t = F.col(text)
-
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["until"]
-        put = F.concat(acc["out"], F.substr(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] >= acc["at"], F.struct(put.alias("out"), end.alias("at"))).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], end).alias("at")))
-
-    done = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1)))
-    some = F.size(spans) > 0
-    return found.withColumn(text, F.when(some, done).otherwise(t)).select(*docs.columns)
+    def masked(spans: Column, cut: Column) -> Column:
+        # a span within earlier ones adds nothing
+        at = running(F.transform(spans, lambda s: -s["until"]), lambda a, x: F.greatest(a, x))
+        open_ = F.filter(F.zip_with(spans, at, lambda s, a: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), a.alias("at"))), lambda s: s["start"] >= s["at"])
+        shown = F.transform(open_, lambda s: F.concat(between(cut, s["at"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        end = F.array_max(F.transform(spans, lambda s: -s["until"]))
+        return F.concat(F.array_join(shown, ""), F.substr(F.col(text), end + 1))
+
+    done = let(spans, lambda s: F.when(F.size(s) > 0, let(pieces(F.col(text)), lambda cut: masked(s, cut))).otherwise(F.col(text)))
+    return found.withColumn(text, done).select(*docs.columns)
 
 
 def op7_pii(spark, sf_dir):
