@@ -15,18 +15,18 @@ last. Very long texts are worked on whole.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlake.llm import jaccard_join, language_id, packing, pii, repeat_index
-from utterlake.llm.scratch import keep
+from utterlake.llm.scratch import drop, keep
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def few_a_batch(spark: SparkSession) -> None:
-    """Whole texts go to Python and back: a fifth of the usual rows a batch bounds what an executor holds of them at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Whole texts go to Python and back: a fifth of the usual rows a batch bounds what an executor holds of them at a time. A stage's result is computed after the stage returns, so the setting outlives it; run() puts the session's own back."""
+    spark.conf.set(BATCH, "2000")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +73,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    stages = [functools.partial(f, spark) for _, f in STAGES]
-    for stage in stages[:-1]:
-        docs = keep(stage(docs, sf_dir), "stage", "snappy")
-    return stages[-1](docs, sf_dir)
+    """The rows of the last stage. A stage's table is dropped once the next one is written; the last one stays for the result. The session's settings are as before at the end."""
+    docs, written, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None, spark.conf.get(BATCH)
+    try:
+        for _, stage in STAGES[:-1]:
+            docs = keep(stage(spark, docs, sf_dir), "stage", "snappy")
+            if written is not None:
+                drop(written)
+            written = docs
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set(BATCH, before)
