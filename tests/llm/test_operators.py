@@ -52,6 +52,14 @@ def test_language_id_without_rows_or_labels(empty, docs):
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_learns_the_most_frequent_labels(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    dirty = d.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("dirt"), "doc_id")).otherwise(F.col("lang")))
+    names = [r.lang for r in dirty.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(3).collect()]
+    model = language_id.fit(dirty, languages=3)
+    assert sorted({r.lang_pred for r in language_id.predict(d, model).collect()} - {"und"}) == sorted(names)
+
+
 def test_quality_grades(spark, sf):
     sf = "/root/testdata/sf0.1"  # enough labels to learn from
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

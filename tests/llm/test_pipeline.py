@@ -118,8 +118,12 @@ def test_packing_covers_every_row(spark, sf, docs, stages):
     assert out.where("piece = 0").count() == docs.count()
 
 
-def test_run_equals_its_stages(spark, sf):
-    out = pipeline.run(spark, sf).collect()
+def test_run_equals_its_stages(spark, sf, monkeypatch):
+    before, drops = spark.conf.get(pipeline.BATCH), []
+    monkeypatch.setattr(pipeline, "drop", lambda df, drop=pipeline.drop: (drops.append(df._kept_at), drop(df)))
+    out = pipeline.run(spark, sf)
+    assert spark.conf.get(pipeline.BATCH) == before and len(set(drops)) == len(pipeline.STAGES) - 2
+    out = out.collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in pipeline.STAGES[:-1]:
         docs = pipeline.keep(stage(spark, docs, sf), f"test-{name}", "snappy")

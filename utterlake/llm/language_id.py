@@ -12,8 +12,9 @@ number has its own radius, which no single outlier rules. Ranges seen too
 rarely take the radius of the next lower range, the lowest 0.
 
 Document frequencies cover every training document. Centroids are fitted on a
-hash sample of about `per_language` training texts of each language: the
-bound of what one task or the driver ever holds.
+hash sample of about `per_language` training texts of each of the `languages`
+most frequent labels (ties by name): the bound of what one task or the driver
+ever holds, however dirty the labels are.
 
 Defined cases: null, empty and letterless texts are `und`, score 0, rejected;
 with no labelled text to learn from, every text is; of equal cosines the
@@ -90,10 +91,11 @@ def cluster(vecs: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return c
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, clusters: int = 4, quantile: float = 0.01, least: int = 50, share: float = 0.7, seed: int = 5) -> Model | None:
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, clusters: int = 4, quantile: float = 0.01, least: int = 50, share: float = 0.7, seed: int = 5, languages: int = 1000) -> Model | None:
     """A model from labelled texts; None without any."""
     train = train.where(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}"))
-    sizes = {r[lang]: r["n"] for r in train.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
+    frequent = train.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(languages)
+    sizes = {r[lang]: r["n"] for r in frequent.collect()}
     if not sizes:
         return None
 
