@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -103,3 +104,27 @@ def test_silence_by_source(spark):
     none = spark.createDataFrame([], "i int")
     rule = lambda **more: {r.model: r.D for r in decide.registered_rules(df, "model", "ref", none, "i", "tag", "source", "own", "persona", F.col("bucket") == "target_commands", F.lit(True), F.col("ok"), **more).collect()}["m"]
     assert rule() == "PASS" and rule(silence=F.col("source") == "hum") == "FAIL"
+
+
+def test_greedy_split_keeps_a_family_together_behind_a_join(spark):
+    """Sizes from many tasks, too large to be broadcast as planned; the totals turn out small, so Spark changes the join as it runs."""
+    options = {"spark.sql.autoBroadcastJoinThreshold": "20000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in options}
+    rows = spark.range(0, 60_000, 1, 8).select(F.concat(F.lit("fam"), F.col("id") % 2).alias("fam"), (F.col("id") * 7919 % 20_011).alias("grp"))
+    sizes = rows.groupBy("fam", "grp").agg(F.count(F.lit(1)).alias("n"))
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        got = {(r.fam, r.grp): r.split for r in splits.group_split(sizes, "fam", "grp", "n", 4, {"train": 8, "val": 1, "test": 1}).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    have, total = {}, {}
+    count = {(r.fam, r.grp): r.n for r in sizes.collect()}
+    for (fam, _), n in count.items():
+        total[fam] = total.get(fam, 0) + n
+    for fam, grp in sorted(count, key=lambda k: (k[0], hashlib.md5(f"4:group:{k[0]}:{k[1]}".encode()).hexdigest())):
+        mine = have.setdefault(fam, {"test": 0, "train": 0, "val": 0})
+        to = max(mine, key=lambda p: ((8 if p == "train" else 1) * total[fam] - 10 * mine[p], p))
+        mine[to] += count[fam, grp]
+        assert got[fam, grp] == to

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import endpoint_fold, fold_in_order, fold_sorted
+from .folds import dealt_sorted, endpoint_fold, fold_in_order, fold_sorted
 
 
 def sliding(df: DataFrame, key: str, ts: str, width: str, stride: str) -> DataFrame:
@@ -60,7 +60,7 @@ def debounce(df: DataFrame, session: str, at: str, fire: Column, refractory: int
     # a stretch's first emission travels ahead of its rows
     none = F.lit(None).cast("long")
     known = rows.select(session, "_c", "_t", "_k", none.alias("first")).unionByName(firsts.select(f"_in.{session}", "_in._c", none.alias("_t"), none.alias("_k"), "first"))
-    return known.repartition(session, "_c").sortWithinPartitions(session, "_c", F.col("first").desc_nulls_last(), "_t", "_k").mapInArrow(emissions(refractory, session, key), f"`{session}` {kind}, `{key}` long, emitted boolean")
+    return dealt_sorted(known, [session, "_c"], [F.col("first").desc_nulls_last(), "_t", "_k"]).mapInArrow(emissions(refractory, session, key), f"`{session}` {kind}, `{key}` long, emitted boolean")
 
 
 def emissions(refractory: int, session: str, key: str):
