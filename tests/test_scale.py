@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from utterlake import plans
 from utterlake.functions.seeding import permuted
 from utterlake.operators import joins, metrics, ranks, splits
 
@@ -128,3 +130,13 @@ def test_greedy_split_keeps_a_family_together_behind_a_join(spark):
         to = max(mine, key=lambda p: ((8 if p == "train" else 1) * total[fam] - 10 * mine[p], p))
         mine[to] += count[fam, grp]
         assert got[fam, grp] == to
+
+
+def test_placement_keeps_the_sign_of_what_rounds_to_zero(spark, tmp_path):
+    rows = [(i, [-4e-7, 4e-7, -0.0, 0.0, -0.1234565, 0.1234565, -5e-7, 3.5, -1.0, 2.0, -3e-8, 1.0]) for i in range(12)] + [(12, [1.0]), (13, [float("nan"), float("-inf")]), (14, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.vec_id, *(str(list(x)) for x in (r.l, r.r, r.c))) for r in plans.queries()["ar6_placement"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted((v, *(str(x) for x in lists)) for v, *lists in con.execute(plans.oracles()["ar6_placement"]).fetchall())
+    assert got == want and "-0.0" in got[0][1]

@@ -65,6 +65,11 @@ def clipped(a: Column) -> Column:
     return peak(a) >= 0.999
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded, halves away from zero; what rounds to zero keeps its sign, as in SQL engines that round doubles, where Spark's decimals lose it."""
+    return F.signum(x) * F.abs(F.round(x, digits))
+
+
 def placed(a: Column, n: int, where: str) -> Column:
     """AR6: a in n values, zero-filled; left, right or centre; longer arrays are cut about the centre."""
     over = F.size(a) - n

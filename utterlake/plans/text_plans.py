@@ -145,7 +145,7 @@ def ar2(spark, d):
 @add("ar3_softmax", f"WITH {P}, x AS (SELECT vec_id, unnest(range(0, 10)) AS i, unnest(p) AS v FROM p), s AS (SELECT vec_id, i, v, exp(v - max(v) OVER w) AS e, max(v) OVER w AS m FROM x WINDOW w AS (PARTITION BY vec_id)) SELECT vec_id, i::INT AS i, round(e / sum(e) OVER w, 6) AS p, round(v - m - ln(sum(e) OVER w), 6) AS logp FROM s WINDOW w AS (PARTITION BY vec_id)")
 def ar3(spark, d):
     both = probs(spark, d).select("vec_id", F.posexplode(F.arrays_zip(A.softmax(F.col("p")).alias("a"), A.log_softmax(F.col("p")).alias("b"))).alias("i", "x"))
-    return both.select("vec_id", "i", F.round("x.a", 6).alias("p"), F.round("x.b", 6).alias("logp"))
+    return both.select("vec_id", "i", F.round("x.a", 6).alias("p"), A.rounded(F.col("x.b"), 6).alias("logp"))
 
 
 @add(
@@ -158,7 +158,7 @@ SELECT vec_id, round(sum(CASE WHEN ps > 0 AND pn > 0 THEN s + n * sqrt(ps / (pn
 def ar4(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"), F.transform(F.slice("embedding", 40, 25), lambda x: x.cast("double")).alias("b"))
     m = e.select("vec_id", A.snr_mix(F.col("a"), F.col("b"), F.col("vec_id") % 7, (F.col("vec_id") % 5).cast("int")).alias("m"))
-    return m.select("vec_id", F.round(A.total(F.transform("m", lambda x, i: x * (i + 1))), 5).alias("mixed"))
+    return m.select("vec_id", A.rounded(A.total(F.transform("m", lambda x, i: x * (i + 1))), 5).alias("mixed"))
 
 
 @add("ar5_levels", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / 64), 6) AS rms, round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 6) AS peak, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) >= 0.999 AS clipped FROM embeddings")
@@ -176,13 +176,13 @@ f AS (SELECT vec_id, a, 8 - len(a) AS n FROM c)
 SELECT vec_id, a || list_transform(range(0, n), lambda x: 0.0::DOUBLE) AS l, list_transform(range(0, n), lambda x: 0.0::DOUBLE) || a AS r, list_transform(range(0, n // 2), lambda x: 0.0::DOUBLE) || a || list_transform(range(0, n - n // 2), lambda x: 0.0::DOUBLE) AS c FROM f""",
 )
 def ar6(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", F.lit(1), (F.col("vec_id") % 12 + 1).cast("int")), lambda x: F.round(x.cast("double"), 6)).alias("a"))
+    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", F.lit(1), (F.col("vec_id") % 12 + 1).cast("int")), lambda x: A.rounded(x.cast("double"), 6)).alias("a"))
     return e.select("vec_id", *[A.placed(F.col("a"), 8, w).alias(n) for n, w in (("l", "left"), ("r", "right"), ("c", "centre"))])
 
 
 @add("ar9_zscore", f"WITH {P}, x AS (SELECT vec_id, unnest(range(0, 10)) AS i, unnest(p) AS v FROM p) SELECT vec_id, i::INT AS i, round((v - avg(v) OVER w) / (stddev_samp(v) OVER w + 1e-5), 5) AS z FROM x WINDOW w AS (PARTITION BY vec_id)")
 def ar9(spark, d):
-    return probs(spark, d).select("vec_id", F.posexplode(A.zscore(F.col("p"))).alias("i", "z")).select("vec_id", "i", F.round("z", 5).alias("z"))
+    return probs(spark, d).select("vec_id", F.posexplode(A.zscore(F.col("p"))).alias("i", "z")).select("vec_id", "i", A.rounded(F.col("z"), 5).alias("z"))
 
 
 @add(
