@@ -58,3 +58,15 @@ def test_divided_lists_and_dealt_queries(spark, part_rows, chunk):
     for q, near in got.items():
         assert all(s == pytest.approx(float(np.linalg.norm(np.array(at[q]) - np.array(at[i]))), abs=1e-8) for _, s, i in near)
         assert [(s, i) for _, s, i in near] == sorted((s, i) for _, s, i in near)
+
+
+@pytest.mark.parametrize("shape", ["no clusters", "far from the origin", "norms of all sizes"])
+def test_recall_on_other_rows(spark, shape):
+    """Neighbours lie in many cells: the width that the sample needs is measured."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(8000, 24))
+    x = {"no clusters": x, "far from the origin": 1e6 + x, "norms of all sizes": x * np.exp(2 * rng.normal(size=(8000, 1)))}[shape]
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    got, want = found(spark, rows), dict(brute(rows))
+    hits = sum(len({i for _, _, i in got[q]} & {i for _, i in want[q]}) for q in want)
+    assert len(want) == 80 and hits >= 0.93 * 10 * len(want)
