@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import tempfile
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from utterlake.operators import events
+from utterlake.operators.folds import Fold
 from utterlake.streaming import policies
-from utterlake.streaming.inorder import PROVIDER, rocksdb_state
+from utterlake.streaming.inorder import PROVIDER, InOrder, rocksdb_state
 
 KIND = "s string, t long, v double, cls string, fires boolean, slots array<string>, fallback string, ts timestamp"
 LATE = "400 seconds"
@@ -155,3 +158,51 @@ def test_setting_comes_back(spark):
     with rocksdb_state(spark):
         assert "RocksDB" in spark.conf.get(PROVIDER)
     assert spark.conf.get(PROVIDER, None) == was
+
+
+class Store:
+    """A key's state and timers by themselves, with the calls on them counted."""
+
+    def __init__(self):
+        self.map, self.value, self.timers, self.calls, self.most = {}, None, set(), 0, 0
+
+    def getMapState(self, *_):
+        def call(f):
+            def counted(*a):
+                self.calls += 1
+                return f(*a)
+
+            return counted
+
+        put = lambda k, v: (self.map.update({k: v}), setattr(self, "most", max(self.most, len(self.map))))
+        return SimpleNamespace(updateValue=call(put), getValue=call(lambda k: self.map[tuple(k)]), removeKey=call(lambda k: self.map.pop(tuple(k))), keys=call(lambda: iter(list(self.map))))
+
+    def getValueState(self, *_):
+        return SimpleNamespace(get=lambda: self.value, exists=lambda: self.value is not None, update=lambda v: setattr(self, "value", v), clear=lambda: setattr(self, "value", None))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+@pytest.mark.parametrize("n, span, most", [(200, 10**9, 0), (2000, 10**9, 20), (50_000, 10**7, 420)])
+def test_a_key_costs_calls_by_parts_not_by_rows(n, span, most):
+    """Rows come shuffled, in calls of different sizes, and go out in order, each once, as the watermark passes; few calls on the state."""
+    rng, store = random.Random(n), Store()
+    fold = Fold(lambda: 0, lambda s, row: (s + 1, [(row[0], row[1], row[2], s)]), lambda s: None, lambda key, s: [])
+    p = InOrder(fold, ["t", "i"], ["k", "t", "i", "at"], 600_000)
+    p.init(store)
+    rows = [(rng.randrange(span), i) for i in range(n)]
+    kind = Row("k", "t", "i", "ts")
+    wait, out, edges = rows[:], [], (0, n // 2, n // 2 + n // 10, n)
+    for a, z in itertools.pairwise(edges):
+        p.handleInputRows(key=("k",), rows=(kind("k", t, i, None) for t, i in wait[a:z]), timerValues=None)
+    for watermark in (span // 3, span // 2, span + 1):
+        if due := [at for at in store.timers if at <= watermark]:
+            store.timers -= set(due)
+            out += [tuple(r) for r in p.handleExpiredTimer(key=("k",), timerValues=SimpleNamespace(getCurrentWatermarkInMs=lambda w=watermark: w), expiredTimerInfo=None)]
+            assert len(out) == sum(t < watermark for t, _ in rows)
+    assert out == [("k", t, i, at) for at, (t, i) in enumerate(sorted(rows))] and not store.map
+    assert store.calls <= 4 * most
