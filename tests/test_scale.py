@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from utterlake import plans
 from utterlake.functions.seeding import permuted
-from utterlake.operators import joins, metrics, ranks, splits
+from utterlake.operators import collate, joins, metrics, ranks, splits
 
 
 def test_permutation_takes_every_place_once(spark):
@@ -140,3 +140,11 @@ def test_placement_keeps_the_sign_of_what_rounds_to_zero(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = sorted((v, *(str(x) for x in lists)) for v, *lists in con.execute(plans.oracles()["ar6_placement"]).fetchall())
     assert got == want and "-0.0" in got[0][1]
+
+
+def test_set_counts_shuffle_and_group_once(spark):
+    """Nulls are equal, copies count once; a task holds one map of keys, not one for each side and one for both."""
+    a, b = [(1, None), (1, None), (2, 5), (3, 3), (None, None)], [(1, None), (4, 4), (4, 4), (3, 3), (6, 1), (7, 1)]
+    out = collate.set_counts(*(spark.createDataFrame(x, "p long, s long") for x in (a, b)))
+    assert tuple(out.first()) == (2, 3, 2) and out.columns == ["only_a", "only_b", "both"]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("HashAggregate(keys=[p") == 2  # partial and final

@@ -34,10 +34,9 @@ def symmetric_difference(a: DataFrame, b: DataFrame, columns: list[str]) -> Data
 
 def set_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     """SO3: sizes of the distinct difference and intersection, both ways, in one pass."""
-    both = a.distinct().withColumn("_a", F.lit(1)).withColumn("_b", F.lit(0)).unionByName(b.distinct().withColumn("_a", F.lit(0)).withColumn("_b", F.lit(1)))
-    per = both.groupBy(*a.columns).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
-    n = lambda x, y: F.count_if((F.col("_a") == x) & (F.col("_b") == y))
-    return per.agg(n(1, 0).alias("only_a"), n(0, 1).alias("only_b"), n(1, 1).alias("both"))
+    both = a.withColumn("_in", F.lit(1)).unionByName(b.withColumn("_in", F.lit(2)))
+    per = both.groupBy(*a.columns).agg(F.bit_or("_in").alias("_in"))
+    return per.agg(*[F.count_if(F.col("_in") == i).alias(n) for i, n in ((1, "only_a"), (2, "only_b"), (3, "both"))])
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
