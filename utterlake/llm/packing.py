@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,16 +39,23 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
 
+def slices(texts: pa.Array, most: int = 8 << 20) -> list[pa.Array]:
+    """Consecutive texts of about `most` bytes, one at least."""
+    size = pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)
+    edge = np.flatnonzero(np.diff((np.cumsum(size) - size) // most, prepend=-1)).tolist()
+    return [texts.slice(a, z - a) for a, z in zip(edge, [*edge[1:], len(texts)], strict=False)]
+
+
 def cut_pieces(docs: DataFrame, capacity: int, end_id: int, path: str) -> DataFrame:
     """docs: doc_id, text. One row a piece; local: its number among the task's pieces of the same length."""
 
     def cut(batches):
         known, seen, part = encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(docs_), 500):
+            docs_ = iter(batch.column(0).to_pylist())
+            for texts in slices(batch.column(1)):
                 out = {k: [] for k in PIECES.names}
-                for doc, ids in zip(docs_[lo : lo + 500], known.ids([t or "" for t in texts[lo : lo + 500]]), strict=True):
+                for ids, doc in zip(known.ids(texts), docs_, strict=False):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for no, start in enumerate(range(0, len(ids), capacity)):
                         p = ids[start : start + capacity]
