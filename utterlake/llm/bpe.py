@@ -129,7 +129,7 @@ def by_list(lists: pa.Array, n: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of whole texts. Words are known from call to call; where that makes more than `most`, those of the last call stay."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         self.path, self.most = path, most
         self.known, self.count, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
 

@@ -39,7 +39,7 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
 
-def slices(texts: pa.Array, most: int = 8 << 20) -> list[pa.Array]:
+def slices(texts: pa.Array, most: int = 2 << 20) -> list[pa.Array]:
     """Consecutive texts of about `most` bytes, one at least."""
     size = pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)
     edge = np.flatnonzero(np.diff((np.cumsum(size) - size) // most, prepend=-1)).tolist()
@@ -63,6 +63,7 @@ def cut_pieces(docs: DataFrame, capacity: int, end_id: int, path: str) -> DataFr
                             out[k].append(v)
                         seen[len(p)] += 1
                 yield pa.RecordBatch.from_pydict(out, schema=PIECES)
+        pa.default_memory_pool().release_unused()  # the Python worker waits for its next task beside the others
 
     return docs.mapInArrow(cut, PIECES_SQL)
 
