@@ -7,8 +7,10 @@ import os
 import random
 import tempfile
 
+import duckdb
 import pytest
 
+from utterlake import plans
 from utterlake.sources import manifest
 from utterlake.sources.manifest import BadTable
 
@@ -63,3 +65,37 @@ def test_errors(spark):
     for head in (("path", "n", "ok"), ("path", "n", "ok", "text"), ("path", "n", "ok", "said", "more")):
         with pytest.raises(BadTable, match="other columns"):
             read(spark, written([("a", "1", "True", "b")], head=head))
+
+
+ODD = ["", " ", "a ", " a", "\ta", "a\n", "\na", "a\r", "a\r\r", "\r\n", "\n", "\r", '"', '""', ' "a" ', "a\\", '\\"', "a,b ", "a\u0001b", "\u0001", "a\u0000", "\u0000a", "#a", " a", "﻿a", "null", " \n, \"\n ", None]
+
+
+def test_written_cells_come_back(spark):
+    """Blanks and line breaks at the ends of cells, empty strings and nulls, in the first, a middle and the last column."""
+    rows = [(i, a, ODD[(i * 5 + 1) % len(ODD)], i % 2 == 0 if i % 3 else None, ODD[(i * 11 + 3) % len(ODD)]) for i, a in enumerate(ODD)]
+    df = spark.createDataFrame(rows, "n int, a string, b string, ok boolean, c string").repartition(3)
+    where = tempfile.mkdtemp(prefix="spark-csv-", dir="/tmp") + "/out"
+    manifest.write_manifest(df, where, ["a", "n", "b", "ok", "c"], ["n"])
+    got = manifest.read_manifest(spark, where, "a string, n int, b string, ok boolean, c string").select("n", "a", "b", "ok", "c").collect()
+    assert sorted(map(tuple, got)) == rows
+
+
+def test_scan_query_equals_sql_on_odd_texts(spark):
+    where = tempfile.mkdtemp(prefix="spark-docs-", dir="/tmp")
+    rows = [(i, t, "en", f"src{i % 3}", i) for i, t in enumerate(ODD)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(1).write.parquet(f"{where}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{where}/documents.parquet/*.parquet'")
+    want = con.execute(plans.oracles()["sc1_manifest_scan"]).fetchall()
+    assert sorted(map(tuple, plans.queries()["sc1_manifest_scan"](spark, where).collect())) == sorted(want)
+
+
+def test_header_with_a_line_break(spark):
+    rows = [("x", "1", "True", "two\nlines"), ("y", "2", "", "z")]
+    schema = "path string, `n\nn` int, ok boolean, said string"
+    got = manifest.read_manifest(spark, written(rows, head=("path", "n\nn", "ok", "said")), schema).collect()
+    assert sorted(map(tuple, got)) == [("x", 1, True, "two\nlines"), ("y", 2, None, "z")]
+    for head in (("path", "n", "ok", "said"), ("path", "n\nn", "ok", "said\n"), ("path", "n\nn\n", "ok", "said")):
+        with pytest.raises(BadTable, match="other columns"):
+            manifest.read_manifest(spark, written(rows, head=head), schema)

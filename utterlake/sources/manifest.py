@@ -9,64 +9,82 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .kept import keep
+
 
 class BadTable(ValueError):
     """A table lacks columns, has too few or too many rows, or repeats a key."""
 
 
-def quoted_records(spark: SparkSession, path: str) -> DataFrame:
-    """file, record (from 0), text: the records of CSV files, whose quoted cells may hold line breaks. Files are cut into blocks like any text.
-
-    A line belongs to the record before it if the quotes of the file so far are odd in number. Quotes are counted by block in a first pass; the counts of earlier blocks tell each block whether it begins within quotes and at which record, so that a second pass reads blocks side by side. Only the lines of one record meet.
-    """
-    lines = spark.read.option("lineSep", "\n").text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").withColumn("line", F.monotonically_increasing_id())
+def kept_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, line, value, q, blank: the lines of text files, and the number of quotes in each. How files are cut into blocks depends on the cores of the moment, so they are scanned once, and the lines are written with their block."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     # the number of a line rises within a block, not from block to block
-    first, second = lines.withColumn("q", quotes), Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    per = first.groupBy("file", "block").agg(F.sum("q").alias("q"))
+    line = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    return keep(spark.read.option("lineSep", "\n").text(path).select(*line, "value", quotes.alias("q"), F.col("value").isin("", "\r").alias("blank")), "lines")
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """kept_lines of CSV files, whose quoted cells may hold line breaks, with at, n and opener: `at` is the number of a line's record among the n that begin in its block, and 0 where it goes on with the last record of the block `opener`.
+
+    A line belongs to the record before it if the quotes of the file so far are odd in number. Records are numbered within a block for both cases, and the quotes of earlier blocks tell which one holds.
+    """
+    block = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    odd = F.pmod(F.coalesce(F.sum("q").over(block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(2))
+    x = lines.withColumn("odd", odd).withColumn("at0", F.sum(1 - F.col("odd")).over(block)).withColumn("at1", F.sum("odd").over(block))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
-    odd = per.select("file", "block", F.pmod(F.coalesce(F.sum("q").over(earlier), F.lit(0)), F.lit(2)).alias("odd"))
-    x = first.join(odd, ["file", "block"]).withColumn("inside", F.pmod(F.col("odd") + F.coalesce(F.sum("q").over(second), F.lit(0)), F.lit(2)) == 1)
-    began = F.sum(F.when(F.col("inside"), 0).otherwise(1)).over(Window.partitionBy("file", "block").orderBy("line"))
-    x = x.withColumn("at", began)
-    starts = x.groupBy("file", "block").agg(F.max("at").alias("n"))
-    before = starts.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    x = x.join(before, ["file", "block"]).withColumn("record", F.col("before") + F.col("at") - 1)
-    lines_of = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
-    text = F.array_join(F.transform(lines_of, lambda s: s["value"]), "\n")
-    return x.groupBy("file", "record").agg(text.alias("text")).withColumn("text", F.regexp_replace("text", "\r$", "")).where(F.col("text") != "")
+    per = x.groupBy("file", "block").agg(F.sum("q").alias("q"), F.max("at0").alias("n0"), F.max("at1").alias("n1"))
+    per = per.withColumn("inside", F.pmod(F.coalesce(F.sum("q").over(earlier), F.lit(0)), F.lit(2)) == 1).withColumn("n", F.when(F.col("inside"), F.col("n1")).otherwise(F.col("n0")))
+    per = per.withColumn("opener", F.last(F.when(F.col("n") > 0, F.col("block")), ignorenulls=True).over(earlier))
+    at = F.when(F.col("inside"), F.col("at1")).otherwise(F.col("at0"))
+    return x.join(per.select("file", "block", "inside", "n", "opener"), ["file", "block"]).select("file", "block", "line", "value", "blank", at.alias("at"), "n", "opener")
+
+
+def joined(*by: str) -> Column:
+    """The texts of a group, the last column, as lines in order of the columns."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*by))), lambda s: s[by[-1]]), "\n")
+
+
+def quoted_records(lines: DataFrame) -> DataFrame:
+    """file, block, at, text: the records of numbered lines by the block that they begin in, blank ones left out. Lines meet by block; what later blocks add to a block's last record is joined to it."""
+    pieces = lines.groupBy("file", "block", "at", "n", "opener").agg(joined("line", "value").alias("text"))
+    rest = pieces.where("at = 0").groupBy("file", F.col("opener").alias("block")).agg(joined("block", "text").alias("rest"))
+    x = pieces.where((F.col("at") > 0) & ~F.col("text").isin("", "\r")).join(rest, ["file", "block"], "left")
+    text = F.when((F.col("at") == F.col("n")) & F.col("rest").isNotNull(), F.concat_ws("\n", "text", "rest")).otherwise(F.col("text"))
+    return x.select("file", "block", "at", F.regexp_replace(text, "\r\\z", "").alias("text"))
 
 
 def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """SC1: header CSV with quoted free text, line breaks within it; empty cells are null; typed by a fixed schema. Large files are many tasks. A header that names other columns, and a table without rows, are errors."""
+    """SC1: header CSV with quoted free text, line breaks within it; empty cells are null, quoted empty ones empty strings where the schema has a string; typed by a fixed schema. Large files are many tasks. A header that names other columns, and a table without rows, are errors."""
     typed = T._parse_datatype_string(schema)
     names = [f.name for f in typed.fields]
-    options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "lineSep": "\u0001", "maxCharsPerColumn": "-1"}
-    records = quoted_records(spark, path)
-    cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))) + ", more string", options)
-    rows = records.select("record", cells.alias("r")).select("record", "r.*")
-    heads = rows.where("record = 0").drop("record").distinct().limit(2).collect()
+    # a null that no cell spells: else a quoted empty cell is one too
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "lineSep": "\u0001", "maxCharsPerColumn": "-1", "nullValue": uuid.uuid4().hex, "emptyValue": ""}
+    cells = lambda text: F.from_csv(text, ", ".join(f"c{i} string" for i in range(len(names))) + ", more string", options).alias("r")
+    lines, breaks = kept_lines(spark, path), sum(name.count("\n") for name in names)
+    first = lines.where("block = 0").withColumn("i", F.row_number().over(Window.partitionBy("file").orderBy("line"))).where(F.col("i") <= 1 + breaks)
+    heads = first.groupBy("file").agg(F.regexp_replace(joined("line", "value"), "\r\\z", "").alias("text"), (F.sum("q") % 2 == 1).alias("open")).where("text != ''")
+    heads = heads.select(cells("text"), "open").select("r.*", "open").distinct().limit(2).collect()
     if not heads:
         raise BadTable(f"{path} is empty")
-    if len(heads) > 1 or [*heads[0]][:-1] != names or heads[0]["more"] is not None:
+    if len(heads) > 1 or [*heads[0]][: len(names)] != names or heads[0]["more"] is not None or heads[0]["open"]:
         raise BadTable(f"{path} has other columns than {names}")
-    body = rows.where("record > 0")
-    if body.isEmpty():
+    lines, head = numbered(lines), (F.col("block") == 0) & (F.col("at") == 1)
+    if lines.where(~head & (F.col("at") > 0) & ~F.col("blank")).isEmpty():
         raise BadTable(f"{path} has no rows")
-    out = []
+    body, out = quoted_records(lines).where(~head).select(cells("text")).select("r.*"), []
     for i, f in enumerate(typed.fields):
-        c = F.nullif(F.col(f"c{i}"), F.lit(""))
+        c = F.col(f"c{i}") if f.dataType == T.StringType() else F.nullif(F.col(f"c{i}"), F.lit(""))
         out.append((F.when(c.isNotNull(), c == "True") if f.dataType == T.BooleanType() else c.cast(f.dataType)).alias(f.name))
     return body.select(*out)
 
 
 def write_manifest(df: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
-    """SC10: fixed column order, sorted over all files (range by range), published by renaming a staged folder."""
+    """SC10: fixed column order, sorted over all files (range by range), published by renaming a staged folder. Texts keep the blanks at their ends; a null is an empty cell, an empty string a quoted one."""
     spark = df.sparkSession
     staged = f"{path}.staging-{uuid.uuid4().hex}"
     cells = [F.when(F.col(c), "True").when(~F.col(c), "False").alias(c) if df.schema[c].dataType == T.BooleanType() else F.col(c) for c in columns]
-    df.select(*columns).orderBy(*order).select(*cells).write.csv(staged, header=True, quote='"', escape='"', nullValue="", emptyValue="")
+    df.select(*columns).orderBy(*order).select(*cells).write.csv(staged, header=True, quote='"', escape='"', nullValue="", emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     jvm = spark._jvm
     a, b = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
     fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
