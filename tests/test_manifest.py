@@ -67,7 +67,7 @@ def test_errors(spark):
             read(spark, written([("a", "1", "True", "b")], head=head))
 
 
-ODD = ["", " ", "a ", " a", "\ta", "a\n", "\na", "a\r", "a\r\r", "\r\n", "\n", "\r", '"', '""', ' "a" ', "a\\", '\\"', "a,b ", "a\u0001b", "\u0001", "a\u0000", "\u0000a", "#a", " a", "﻿a", "null", " \n, \"\n ", None]
+ODD = ["", " ", "a ", " a", "\ta", "a\n", "\na", "a\r", "a\r\r", "\r\n", "\n", "\r", '"', '""', ' "a" ', "a\\", '\\"', "a,b ", "a\u0001b", "\u0001", "a\u0000", "\u0000a", "#a", " a", "﻿a", "null", " \n, \"\n ", "a,\u0000b", "\u0000\"\u0000\n", "\u0002b,\u0002", "\u0002a\u0000", None]
 
 
 def test_written_cells_come_back(spark):

@@ -58,9 +58,11 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SC1: header CSV with quoted free text, line breaks within it; empty cells are null, quoted empty ones empty strings where the schema has a string; typed by a fixed schema. Large files are many tasks. A header that names other columns, and a table without rows, are errors."""
     typed = T._parse_datatype_string(schema)
     names = [f.name for f in typed.fields]
-    # a null that no cell spells: else a quoted empty cell is one too
+    # a null that no cell spells: else a quoted empty cell is one too; \0 is spelled otherwise for the parser, which drops it from quoted cells
     options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "lineSep": "\u0001", "maxCharsPerColumn": "-1", "nullValue": uuid.uuid4().hex, "emptyValue": ""}
-    cells = lambda text: F.from_csv(text, ", ".join(f"c{i} string" for i in range(len(names))) + ", more string", options).alias("r")
+    spelled = lambda c: F.replace(F.replace(c, F.lit("\u0002"), F.lit("\u0002a")), F.lit("\0"), F.lit("\u0002b"))
+    restored = lambda c: F.replace(F.replace(c, F.lit("\u0002b"), F.lit("\0")), F.lit("\u0002a"), F.lit("\u0002"))
+    cells = lambda text: F.from_csv(spelled(F.col(text)), ", ".join(f"c{i} string" for i in range(len(names))) + ", more string", options).alias("r")
     lines, breaks = kept_lines(spark, path), sum(name.count("\n") for name in names)
     first = lines.where("block = 0").withColumn("i", F.row_number().over(Window.partitionBy("file").orderBy("line"))).where(F.col("i") <= 1 + breaks)
     heads = first.groupBy("file").agg(F.regexp_replace(joined("line", "value"), "\r\\z", "").alias("text"), (F.sum("q") % 2 == 1).alias("open")).where("text != ''")
@@ -74,7 +76,7 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raise BadTable(f"{path} has no rows")
     body, out = quoted_records(lines).where(~head).select(cells("text")).select("r.*"), []
     for i, f in enumerate(typed.fields):
-        c = F.col(f"c{i}") if f.dataType == T.StringType() else F.nullif(F.col(f"c{i}"), F.lit(""))
+        c = restored(F.col(f"c{i}")) if f.dataType == T.StringType() else F.nullif(F.col(f"c{i}"), F.lit(""))
         out.append((F.when(c.isNotNull(), c == "True") if f.dataType == T.BooleanType() else c.cast(f.dataType)).alias(f.name))
     return body.select(*out)
 
